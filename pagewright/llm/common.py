@@ -19,6 +19,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(value: Column) -> Column:
+    """``value``, computed once for each row where it stands.
+
+    The optimizer copies a deterministic expression into every filter and lambda that uses it; costly arrays are kept from that.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def words(text: Column) -> Column:
     """The ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, once, words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -71,15 +71,15 @@ def quality(docs: DataFrame, text: str = "text", least_left: float = LEAST_LEFT)
     """
     out = [c for c in docs.columns if c.lower() != "quality"]
     row = docs.select(F.struct(*[docs[c] for c in out]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    row = row.withColumn("w", words(F.col("text"))).withColumn(
-        "lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    row = row.withColumn("w", once(words(F.col("text")))).withColumn(
+        "lines", once(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     )
     w, lines = F.col("w"), F.col("lines")
     keys = F.when(
         F.size(w) >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    row = row.withColumn("keys", keys).withColumn("clean", F.filter("lines", line_passes))
+    row = row.withColumn("keys", once(keys)).withColumn("clean", once(F.filter("lines", line_passes)))
     chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(F.trim(x)))
     row = row.select(
         "row",
@@ -87,11 +87,11 @@ def quality(docs: DataFrame, text: str = "text", least_left: float = LEAST_LEFT)
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _covered(F.col("keys")).alias("n_repeat_words"),
+        once(_covered(F.col("keys"))).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
         F.size("clean").cast("long").alias("n_clean_lines"),
-        chars(lines).alias("line_chars"),
-        chars(F.col("clean")).alias("clean_chars"),
+        once(chars(lines)).alias("line_chars"),
+        once(chars(F.col("clean"))).alias("clean_chars"),
         F.array_join("clean", "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

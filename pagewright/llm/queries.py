@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import decontaminate, huffman, licenses, lines, lm, mixing, pii, quality, simhash, tokencount
+
+#: Key of the pseudonyms in the registered query; a real run has a secret one.
+KEY = "example-key"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +28,53 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_groups)}
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contained(_documents(spark, sf_dir), items)
+    pair = found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_common", "containment")
+    return pair.distinct()
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymised(docs, KEY)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = huffman.round_trip(_documents(spark, sf_dir))
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.document_counts(_documents(spark, sf_dir))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = licenses.licenses(docs)
+    return found.select("doc_id", "license.name", "license.template", "license.containment", "license.first_word")
+
+
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return lines.deduplicated(docs)
+
+
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.scores(_documents(spark, sf_dir))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_simhash_groups, op3_benchmark_leaks, op4_pseudonyms, op5_token_files,
+        op6_source_mix, op7_token_counts, op8_license_scan, op9_line_templates, op10_context_mixing,
+    )
+}
 ORACLES: dict[str, str] = {}

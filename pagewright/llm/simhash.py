@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import ascii_lower, shingles, words, written
+from .common import ascii_lower, once, shingles, words, written
 from .components import components
 
 WIDTH, BITS, DISTANCE, BLOCK = 3, 64, 3, 16
@@ -41,7 +41,7 @@ def _majority(hashes: pd.Series) -> pd.Series:
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``fp``, the 64 bits as a long: of the XXH64 of all 3-word shingles, those set in over half; zero for no words."""
     out = [c for c in docs.columns if c.lower() not in ("fp", "_w")]
-    with_words = docs.select(*out, words(ascii_lower(docs[text])).alias("_w"))
+    with_words = docs.select(*out, once(words(ascii_lower(docs[text]))).alias("_w"))
     hashes = shingles(F.col("_w"), WIDTH, lambda run: F.xxhash64(F.concat_ws(" ", *run)))
     return with_words.withColumn("_w", hashes).select(*out, _majority("_w").alias("fp"))
 
