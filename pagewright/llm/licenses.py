@@ -90,7 +90,7 @@ def licenses(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str
     """One row for each document and template found in it: the columns of ``docs`` but the text, and the struct ``license``.
 
     license has name, template (its place among the license's templates), containment (share of the template's distinct 5-word shingles that
-    the document has, ``threshold`` or more), first_word (place of the first shared shingle).
+    the document has, ``threshold`` or more; a template whose shared shingles another one has too, with a higher share, is left out), first_word (place of the first shared shingle).
     Words are compared in lower case without punctuation. A template of fewer than five words is one shingle and matches only a text that is
     equal to it. Null and blank texts have no license. Rows are on their own, repeated rows give repeated results; a column named license is replaced.
     """
@@ -119,13 +119,16 @@ def licenses(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str
     row = row.withColumn("s", once(shingles(F.col("w"), WIDTH, lambda run: F.concat_ws(" ", *run))))
     names = "array<struct<name:string,template:int,keys:array<bigint>,shingles:array<string>>>"
     table = F.from_json(F.lit(json.dumps([{"name": n, "template": k, "keys": [hashed[x] for x in s], "shingles": s} for n, k, s in sets])), names)
-    row = row.select("row", "s", "hits", F.explode(table).alias("x")).where(F.arrays_overlap("hits", F.col("x.keys")))
-    row = row.withColumn("common", once(F.array_intersect("x.shingles", "s")))
-    row = row.where(F.size("common") >= F.ceil(F.size("x.shingles") * threshold - 1e-9))
-    first = F.array_position(F.transform("s", lambda x: F.array_contains("common", x)), F.lit(True)).cast("int") - 1
+    tried = F.filter(table, lambda x: F.arrays_overlap("hits", x["keys"]))
+    tried = F.transform(tried, lambda x: F.struct(x["name"].alias("name"), x["template"].alias("template"), F.size(x["shingles"]).alias("n"), F.array_intersect(x["shingles"], "s").alias("common")))
+    passed = F.filter(tried, lambda x: F.size(x["common"]) >= F.ceil(x["n"] * threshold - 1e-9))
+    share = lambda x: F.size(x["common"]) / x["n"]
+    better = lambda x, y: (share(y) > share(x)) & (F.size(F.array_except(x["common"], y["common"])) == 0)
+    row = row.select("row", "s", once(passed).alias("passed"))
+    row = row.select("row", "s", F.explode_outer(F.filter("passed", lambda x: ~F.exists("passed", lambda y: better(x, y)))).alias("x")).where("x is not null")
+    first = F.array_position(F.transform("s", lambda x: F.array_contains("x.common", x)), F.lit(True)).cast("int") - 1
     best = F.struct(
-        F.col("x.name").alias("name"), F.col("x.template").alias("template"),
-        (F.size("common") / F.size("x.shingles")).alias("containment"), first.alias("first_word"),
+        F.col("x.name").alias("name"), F.col("x.template").alias("template"), (F.size("x.common") / F.col("x.n")).alias("containment"), first.alias("first_word")
     )
     return row.select("row", best.alias("license")).select(*[F.col("row")[c].alias(c) for c in own], "license")
 
