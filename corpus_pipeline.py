@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import quality, simhash
+from pagewright.llm import decontaminate, huffman, mixing, quality, simhash
+from pagewright.llm.common import new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +19,37 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return simhash.deduplicated(docs)
 
 
-STAGES = [("quality", quality_rules), ("near-duplicates", one_of_each_group)]
-ORACLE_SQL = None  # the fingerprints' hash has no counterpart in SQL
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: each document as often as its source's target asks."""
+    return mixing.selected(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    back = huffman.round_trip(docs)
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("near-duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("mixing", target_weights),
+    ("tokens", token_files),
+]
+ORACLE_SQL = None  # SQL has neither the fingerprints' hash nor the tokenizer
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage over what the one before kept, by way of Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
