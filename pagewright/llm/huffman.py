@@ -138,7 +138,7 @@ def token_table(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabul
     shared = spark.sparkContext.broadcast(vocabulary or vocabulary_file())
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder.of_worker(shared.value)
         last = np.array([end], encoder.dtype).tobytes()
         for rows in batches:
             for k in range(0, len(rows), 512):

@@ -30,7 +30,7 @@ def write_flat(docs: DataFrame, path: str, text: str = "text", vocabulary: str |
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or vocabulary_file())
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder.of_worker(shared.value)
         if encoder.dtype.itemsize != WIDE:
             raise ValueError("the vocabulary has ids of more than two bytes")
         for rows in batches:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
 
-#: White space other than blanks and newlines: such texts go to the tokenizer whole.
-OTHER_SPACE = re.compile(r"[^\S \n]")
-#: A text's runs of blanks and newlines, each with the characters up to the next run.
-PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Pieces that a task remembers.
-REMEMBERED = 600_000
+#: White space other than blanks and newlines.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words that a worker process remembers.
+REMEMBERED = 1_500_000
 
 
 def vocabulary_file(path: str | None = None) -> str:
@@ -26,11 +27,16 @@ def vocabulary_file(path: str | None = None) -> str:
         return f.read()
 
 
+def has_odd_space(text: str) -> bool:
+    """Whether a text has white space other than single blanks and newlines between other characters."""
+    return text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or bool(OTHER_SPACE.search(text))
+
+
 class Encoder:
     """Ids of texts as little-endian bytes of ``dtype``; every id comes from the tokenizers library.
 
-    A byte-level tokenizer never joins a blank or newline to what stands before it, so the ids of a text are those of its pieces in order.
-    Pieces repeat a lot; each distinct one is encoded once for a task. Texts with other white space are encoded whole.
+    A byte-level tokenizer never joins a blank or newline to what stands before it, so the ids of a text are those of its words in order, each with
+    the blank before it, and of the newlines. Words repeat a lot: each is encoded once and remembered. Texts with unusual white space are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -39,21 +45,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.pieces: dict[str, bytes] = {}
+        self.newline = self.whole(["\n"])[0]
+        self.marks = dict(zip(".,", self.whole([".", ","]), strict=True))
+        self.first: dict[str, bytes] = {}  # at the start of a line
+        self.later: dict[str, bytes] = {}  # after a blank
+
+    @staticmethod
+    def of_worker(vocabulary: str) -> Encoder:
+        """The worker process's encoder for this vocabulary: workers run many tasks, and keep what they remember."""
+        kept = sys.modules.setdefault("_pagewright_worker", types.ModuleType("_pagewright_worker")).__dict__
+        key = zlib.crc32(vocabulary.encode())
+        if key not in kept:
+            kept[key] = Encoder(vocabulary)
+        return kept[key]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        split = [None if OTHER_SPACE.search(t) else PIECES.findall(t) for t in texts]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known = self.pieces
-        new = list({p for row in split if row for p in row if p not in known})
+    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
+        new = words - known.keys()
+        ended = {w for w in new if w[-1] in ".," and w[-2:-1].isalpha()}  # the mark after a letter is a token of its own
+        new = list((new - ended) | {w[:-1] for w in ended} - known.keys())
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
-            known.update(zip(part, self.whole(part), strict=True))
-        odd = iter(self.whole([t for t, row in zip(texts, split, strict=True) if row is None]))
-        return [next(odd) if row is None else b"".join([known[p] for p in row]) for row in split]
+            known.update(zip(part, self.whole([before + w for w in part] if before else part), strict=True))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in ended)
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        if len(self.first) + len(self.later) > REMEMBERED:
+            self.first.clear()
+            self.later.clear()
+        split = [[] if not t else None if has_odd_space(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        first, later = set(), set()
+        for lines in split:
+            for words in lines or ():
+                first.add(words[0])
+                later.update(words[1:])
+        self._learn(self.first, first, "")
+        self._learn(self.later, later, " ")
+        starts, others = self.first, self.later.__getitem__
+        odd = iter(self.whole([t for t, lines in zip(texts, split, strict=True) if lines is None]))
+        return [
+            next(odd) if lines is None else self.newline.join([starts[words[0]] + b"".join(map(others, words[1:])) for words in lines])
+            for lines in split
+        ]
