@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import caching, classify, redact, urls
-from ..operators import capture, closure, links, resolve, validate
+from ..functions import caching, classify, media, redact, urls
+from ..operators import capture, closure, extract, links, resolve, routes, validate
 from .fixtures import Literal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,3 +363,77 @@ _STATES = Literal("job_id string, seq long, state string", (
 @query("illegal_transitions", """SELECT * FROM (VALUES ('a', 4::BIGINT, 'attaching', 'complete'), ('b', 4, 'cancelled', 'downloading'), ('c', 1, NULL, 'ready')) t(job_id, seq, before, state)""")
 def illegal_transitions(spark, _):
     return validate.illegal_transitions(_STATES.frame(spark))
+
+
+# --- renditions, ranges, extraction, routes -------------------------------------------------------------------------------
+
+golden("byte_ranges", Literal("header string, size long, result string", (
+    ("bytes=0-4", 10, "0-4"), ("bytes=5-", 10, "5-9"), ("bytes=-3", 10, "7-9"), ("bytes=2-99", 10, "2-9"), ("bytes=10-", 10, None), ("bytes=5-2", 10, None), ("bytes=-0", 10, None), ("items=1-2", 10, None), ("bytes=-99", 10, "0-9"),
+)), "result", lambda c: F.when(media.byte_range(c("header"), c("size")).isNotNull(), F.format_string("%d-%d", media.byte_range(c("header"), c("size"))["start"], media.byte_range(c("header"), c("size"))["end"])))
+
+golden("volatile_aliases", Literal("url string, result string", (
+    ("https://e.com/a.js?b=1&t=17000000000000", "https://e.com|/a.js|b=1&t=<timestamp>"), ("https://e.com/a.js?t=id_17000000000000", "https://e.com|/a.js|t=id_<timestamp>"),
+    ("https://e.com/a.js?t=5", None), ("https://e.com/a.js?token=17000000000000", None), ("https://e.com/a.js", None),
+)), "result", lambda c: media.volatile_key(c("url")))
+
+golden("rendition_identities", Literal("url string, result string", (
+    ("https://e.com/i.jpg?width=300&v=2&dpr=2", "https://e.com/i.jpg?v=2"), ("https://e.com/i.jpg?crop=center&w=5", "https://e.com/i.jpg"), ("https://e.com/i.jpg?b=2&a=1&crop=top", "https://e.com/i.jpg?a=1&b=2&crop=top"),
+)), "result", lambda c: media.rendition_identity(c("url")))
+
+golden("css_references", Literal("css string, result string", (
+    ("a{background:url(x.png)} @import 'b.css';", "x.png b.css"), ("/* url(no.png) */ b{src:url( \"f.woff2\" ), url('g.woff')}", "f.woff2 g.woff"), ("p{margin:0}", ""),
+)), "result", lambda c: F.array_join(extract.css_urls(c("css")), " "))
+
+golden("srcset_picks", Literal("srcset string, result string", (
+    ("a.jpg 400w, b.jpg 1200w, c.jpg 2000w", "b.jpg"), ("a.jpg 1180w, b.jpg 1380w", "a.jpg"), ("a.jpg 2x, b.jpg", "b.jpg"), ("only.jpg", "only.jpg"), ("a.jpg 3x, b.jpg 2x", "b.jpg"),
+)), "result", lambda c: extract.srcset_pick(c("srcset")))
+
+
+@query("retry_delays", "SELECT page_id, 500 + ('0x' || left(sha256(url || chr(0) || '2'), 4))::BIGINT % 250 + 1 AS delay FROM pages")
+def retry_delays(spark, d):
+    return pages(spark, d).select("page_id", media.retry_delay(F.col("url"), F.lit(2)).alias("delay"))
+
+
+@query("rendition_pick", """SELECT * FROM (VALUES ('https://e.com/i.jpg', 'https://e.com/i.jpg?w=1600'), ('https://e.com/j.jpg?v=1', 'https://e.com/j.jpg?v=1&w=300')) t(identity, url)""")
+def rendition_pick(spark, _):
+    """Of each image's renditions the narrowest that covers 1280 pixels, else the widest; ties by URL."""
+    rows = spark.createDataFrame([("https://e.com/i.jpg?w=400",), ("https://e.com/i.jpg?w=1600",), ("https://e.com/i.jpg?w=2400",), ("https://e.com/j.jpg?v=1&w=300",), ("https://e.com/j.jpg?v=1&w=100&dpr=2",)], "url string")
+    wide = media.width(F.col("url"))
+    order = F.struct((wide < 1280).cast("int"), F.when(wide >= 1280, wide).otherwise(-wide), "url")
+    return rows.groupBy(media.rendition_identity(F.col("url")).alias("identity")).agg(F.min_by("url", order).alias("url"))
+
+
+@query("html_tag_references", r"""SELECT page_id, count(*) AS n, count_if(h LIKE '/%') AS n_rooted FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)<a\s+href="([^"]*)"', 1)) AS h FROM pages) GROUP BY page_id""")
+def html_tag_references(spark, d):
+    rows = extract.html_references(pages(spark, d).select("page_id", "html")).where("tag = 'a'")
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith("/")).alias("n_rooted"))
+
+
+_JSON = (("a", '{"model":{"uri":"m.bin","name":"x"},"images":["a.png",{"b":"c.png"}],"title":"t","posterUrl":"p.jpg"}'), ("b", "not json"), ("c", '["x"]'), ("d", None))
+
+
+@query("json_asset_references", """SELECT * FROM (VALUES ('a', '$.model.uri', 'm.bin'), ('a', '$.model.name', 'x'), ('a', '$.images[0]', 'a.png'), ('a', '$.images[1].b', 'c.png'), ('a', '$.posterUrl', 'p.jpg')) t(id, path, value)""")
+def json_asset_references(spark, _):
+    return extract.json_assets(spark.createDataFrame(list(_JSON), "id string, json string"))
+
+
+_ROUTES = Literal("path string, accept string, dest string, status long, local_path string", (
+    ("/", "text/html", "document", 200, "site/index.html"), ("/a/app.js", "*/*", "script", 200, "site/a/app.js"), ("/old.js", "*/*", "script", 200, "site/a/app.js"), ("/twice.js", "*/*", "script", 404, None),
+    ("/gone.png", "image/*", "image", 503, None), ("/deep/page", "text/html,*/*", "document", 200, "site/index.html"), ("/nope.css", "text/css", "style", 404, None), ("/../etc", "*/*", "empty", 400, None),
+))
+
+
+@query("route_resolution", f"SELECT * FROM {_ROUTES.sql()} t")
+def route_resolution(spark, _):
+    files = spark.createDataFrame([("site/index.html",), ("site/a/app.js",)], "local_path string")
+    aliases = spark.createDataFrame([("/old.js", "site/a/app.js"), ("/twice.js", "site/x"), ("/twice.js", "site/y")], "route string, local_path string")
+    gone = spark.createDataFrame([("/gone.png",)], "route string")
+    return routes.resolved(_ROUTES.frame(spark).select("path", "accept", "dest"), files, aliases, gone)
+
+
+_BUDGET = Literal("job string, seq long, size long, admitted boolean", (("a", 1, 60, True), ("a", 2, 50, False), ("a", 3, 40, True), ("a", 4, None, True), ("a", 5, 1, False), ("b", 1, 101, False), ("b", 2, 100, True)))
+
+
+@query("budget_admission", f"SELECT * FROM {_BUDGET.sql()} t")
+def budget_admission(spark, _):
+    return routes.admitted(_BUDGET.frame(spark).drop("admitted"), 100)
