@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import caching, classify, media, redact, urls
+from ..functions import caching, classify, kinds, media, redact, urls
 from ..operators import capture, closure, extract, links, resolve, routes, validate
 from .fixtures import Literal
 
@@ -437,3 +437,48 @@ _BUDGET = Literal("job string, seq long, size long, admitted boolean", (("a", 1,
 @query("budget_admission", f"SELECT * FROM {_BUDGET.sql()} t")
 def budget_admission(spark, _):
     return routes.admitted(_BUDGET.frame(spark).drop("admitted"), 100)
+
+
+# --- kinds, integrity, messages, statuses ----------------------------------------------------------------------------------
+
+golden("content_type_kinds", Literal("content_type string, result string", (
+    ("text/html; charset=utf-8", "document"), ("Application/JavaScript", "script"), ("text/css", "stylesheet"), ("application/ld+json", "structured"), ("text/xml", "structured"), ("application/x-subrip", "text"),
+    ("image/png", "image"), ("font/woff2", "font"), ("application/font-woff", "font"), ("application/vnd.ms-fontobject", "font"), ("video/mp4", "media"), ("application/wasm", "wasm"), ("model/gltf-binary", "model"),
+    ("text/plain", "text"), ("application/octet-stream", "unknown"), ("application/pdf", "binary"), ("model/obj", "binary"), ("x/y", "unknown"), (None, "unknown"), ("", "unknown"), ("model/gltf+json", "structured"),
+)), "result", lambda c: kinds.by_content_type(c("content_type")))
+
+golden("kind_compatibility", Literal("expected string, actual string, result boolean", (
+    ("script", "text", True), ("script", "unknown", True), ("image", "binary", True), ("script", "binary", False), ("text", "structured", True), ("structured", "text", True), ("image", "document", False), ("font", "font", True), ("document", "text", False),
+)), "result", lambda c: kinds.is_compatible(c("expected"), c("actual")))
+
+golden("html_bodies", Literal("body string, result boolean", (
+    ("<!DOCTYPE html><p>", True), ("  <!-- a --> <html>", True), ("<body class=x>", True), ("<p>x</p>", False), ("var a = '<html>'", False), ("﻿<HEAD>", True), ("<header>", False),
+)), "result", lambda c: kinds.starts_with_html(c("body")))
+
+golden("cors_grants", Literal("allow_origin string, credentials string, result boolean", (
+    ("*", None, True), ("*", "TRUE", False), ("https://e.com", None, True), ("https://e.com:443/", "false", True), ("https://other.com", None, False), (None, None, False), ("null", None, False),
+)), "result", lambda c: kinds.allows_any_origin(c("allow_origin"), c("credentials"), F.lit("https://e.com")))
+
+golden("body_integrity", Literal("length long, status long, content_length string, encoded long, result string", (
+    (5, 200, "9", 9, None), (0, 204, "9", 9, None), (0, 200, "9", 9, "empty despite Content-Length 9"), (0, 200, None, 7, "empty after 7 encoded bytes"), (0, 200, "0", 0, None), (-1, 200, None, None, "invalid length"), (0, None, "x", None, None),
+)), "result", lambda c: kinds.body_error(c("length"), c("status"), c("content_length"), c("encoded")))
+
+golden("console_classes", Literal("message string, result string", (
+    ("Failed to load resource: the server responded with a status of 404", "network"), ("Permissions policy violation: accelerometer is not allowed", "preview"), ("Minified React error #418; visit", "hydration"), ("Minified React error #4189", None),
+    ("The play() request was interrupted by a call to pause(). https://goo.gl", "playback"), ("[Widget] client init failed", "integration"), ("[Widget] TypeError: client failed", None), ("Blocked https://www.google-analytics.com/g/collect).", "nonessential"),
+    ("Blocked https://example.com/x and https://doubleclick.net/", None), ("Uncaught TypeError: x is not a function", None),
+)), "result", lambda c: kinds.console_class(c("message")))
+
+golden("relative_references", Literal("here string, there string, style string, result string", (
+    ("site/a/b.html", "site/a/c.js", "url", "c.js"), ("site/a/b.html", "site/x/c.js", "url", "../x/c.js"), ("site/a/b.js", "site/a/c.js", "module-specifier", "./c.js"), ("site/a/b.js", "site/c.js", "module-specifier", "../c.js"),
+    ("site/a/b.html", "site/x/c.js", "site-root-url", "/x/c.js"), ("site/i.html", "site/_external/https/h/f.css", "url", "_external/https/h/f.css"), ("site/a/b/c/d.html", "site/a/e.js", "url", "../../e.js"),
+)), "result", lambda c: kinds.relative_reference(c("here"), c("there"), c("style")))
+
+golden("status_merge", Literal("mirror string, validation string, reason string, result string", (
+    ("complete", "complete", "network_idle", "complete"), ("complete", "complete", None, "complete"), ("partial", "complete", None, "partial"), ("complete", "failed", None, "failed"), ("complete", "complete", "maximum_duration", "partial"),
+    ("failed", "failed", "cancelled", "cancelled"), ("cancelled", "complete", None, "complete"), ("complete", "complete", "odd", "failed"), ("partial", "complete", "failed", "failed"),
+)), "result", lambda c: kinds.merged_status(c("mirror"), c("validation"), c("reason")))
+
+golden("retryable_statuses", Literal("status long, result boolean", ((408, True), (429, True), (404, False), (503, True), (501, False), (None, False))), "result", lambda c: kinds.is_retryable_status(c("status")))
+
+golden("request_targets", Literal("path string, result string", (("/", "site/index.html"), ("//a/b/", "site/a/b/index.html"), ("/a/../b", None), ("/x.js", "site/x.js"), ("/a\\b", None), ("/..a", "site/..a"))), "result", lambda c: routes.target(c("path")))
