@@ -4,7 +4,7 @@ Lines are parsed to a fixed depth: token count, then the leading tokens, with to
 that differ in a few tokens only are one template: a leaf's consensus is its commonest token at each place, and a line that agrees with it in
 SIMILAR of its places belongs to it; any other line is a template of its own. Templates that recur across documents are dropped from all of them.
 
-DataFrame expressions only. Documents are read three times and shuffled once, for the last step, and only if the dropped lines are too many to broadcast.
+DataFrame expressions only. Documents are read three times and shuffled once, for the last step.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", simila
     """
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "_key", "_lines", "_id")]
     gone = written(dropped_lines(docs, id, text, similar, documents), "dropped-lines")
-    gone = small(gone.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines")), 20_000)
+    gone = gone.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines")).hint("merge")  # as many rows as documents
     rows = docs.select(*own)
     joined = rows.join(gone, rows[id].eqNullSafe(gone["_id"]) & (F.xxhash64(rows[text]) == gone["_key"]), "left").select(*own, "_lines")
     lines = F.split(F.col(text), "\n", -1)
