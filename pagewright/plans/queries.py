@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import caching, classify, kinds, media, redact, urls
-from ..operators import capture, closure, extract, links, resolve, routes, validate
+from ..operators import capture, closure, extract, links, resolve, rollups, routes, validate
 from .fixtures import Literal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,3 +482,38 @@ golden("status_merge", Literal("mirror string, validation string, reason string,
 golden("retryable_statuses", Literal("status long, result boolean", ((408, True), (429, True), (404, False), (503, True), (501, False), (None, False))), "result", lambda c: kinds.is_retryable_status(c("status")))
 
 golden("request_targets", Literal("path string, result string", (("/", "site/index.html"), ("//a/b/", "site/a/b/index.html"), ("/a/../b", None), ("/x.js", "site/x.js"), ("/a\\b", None), ("/..a", "site/..a"))), "result", lambda c: routes.target(c("path")))
+
+
+# --- roll-ups ----------------------------------------------------------------------------------------------------------------
+
+
+@query("common_event_type", "SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER w AS k, lead(n) OVER w AS nxt FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, event_type)) WHERE k = 1 AND (nxt IS NULL OR nxt < n)")
+def common_event_type(spark, d):
+    return rollups.strict_winner(events(spark, d), "user_id", "event_type")
+
+
+@query("base_of_origin", rf"WITH {_PARTS} SELECT host, base FROM (SELECT host, base, row_number() OVER (PARTITION BY host ORDER BY n DESC, length(base), base) AS k FROM (SELECT host, regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '^(.*/)', 1) AS base, count(*) AS n FROM p GROUP BY ALL)) WHERE k = 1")
+def base_of_origin(spark, d):
+    rows = pages(spark, d).select(urls.once(urls.host(F.col("url"))).alias("host"), urls.once(F.regexp_extract(urls.path(F.col("url")), "^(.*/)", 1)).alias("base"))
+    return rollups.best_base(rows, "host", "base")
+
+
+@query("latest_event", "SELECT event_id, ts, user_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_event(spark, d):
+    return rollups.latest(events(spark, d), "user_id", "event_id")
+
+
+_ONLINE = Literal("job string, url string", (("a", "https://b.net/x"), ("a", "https://a.net/x"), ("a", "https://b.net/x"), ("a", "data:x"), ("a", "https://u:p@c.net/"), ("b", None), ("b", "ftp://x.net/")))
+
+
+@query("online_dependencies", "SELECT * FROM (VALUES ('a', 'https://a.net/x https://b.net/x', 2::BIGINT), ('b', '', 2)) t(job, urls, ignored)")
+def online_dependencies(spark, _):
+    return rollups.online_dependencies(_ONLINE.frame(spark), "job", "url")
+
+
+_CHECKS = Literal("run string, outcome string", (("a", "match"), ("a", "match"), ("b", "match"), ("b", "partial"), ("c", "error"), ("d", "mismatch"), ("d", "match"), ("e", "match"), ("e", "error")))
+
+
+@query("perceptual_rollup", f"""SELECT run, count_if(outcome <> 'error') AS compared, {', '.join(f"count_if(outcome = '{o}') AS {n}" for o, n in (('match', 'matched'), ('partial', 'partial'), ('mismatch', 'mismatched'), ('error', 'errors')))}, bool_and(outcome = 'match') AS passed FROM {_CHECKS.sql()} t GROUP BY run""")
+def perceptual_rollup(spark, _):
+    return rollups.perceptual(_CHECKS.frame(spark), "run")
