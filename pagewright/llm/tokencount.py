@@ -19,12 +19,14 @@ from .common import new_path, written
 from .tokenize import Encoder, vocabulary_file
 
 END, WIDE, BLOCK_BYTES = 2, 2, 1 << 22
+#: End id of the files written here: above every id of the vocabulary, so that no text can hold it.
+RESERVED = 0xFFFF
 
 
-def write_flat(docs: DataFrame, path: str, text: str = "text", vocabulary: str | None = None, end: int = END) -> None:
+def write_flat(docs: DataFrame, path: str, text: str = "text", vocabulary: str | None = None, end: int = RESERVED) -> None:
     """Writes the ids of each text and an end id, one file for each partition, in the order of the rows.
 
-    Spark's text writer puts the lines' bytes as they are, and the end id is the line separator: so the files come from Spark's own
+    A text that holds the end id fails the job, since the files could not be read back. Spark's text writer puts the lines' bytes as they are, and the end id is the line separator: so the files come from Spark's own
     committer, through whatever file system the path names. Null and blank texts write what they have: an end id alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or vocabulary_file())
@@ -35,11 +37,14 @@ def write_flat(docs: DataFrame, path: str, text: str = "text", vocabulary: str |
             raise ValueError("the vocabulary has ids of more than two bytes")
         for rows in batches:
             for k in range(0, len(rows), 512):
-                yield pd.DataFrame({"value": encoder.encode(rows["text"].iloc[k : k + 512])})
+                found = encoder.encode(rows["text"].iloc[k : k + 512])
+                if (np.frombuffer(b"".join(found), f"<u{WIDE}") == end).any():
+                    raise ValueError(f"a text has the end id {end}")
+                yield pd.DataFrame({"value": found})
 
     lines = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(tokens, "value binary")
     separator = int(end).to_bytes(WIDE, "little").decode("latin-1")
-    lines.select(F.col("value").cast("string")).write.option("lineSep", separator).option("compression", "none").text(path)
+    lines.select(F.col("value").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
 
 
 def token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +124,7 @@ def document_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", voc
     """
     path = new_path(docs.sparkSession, "flat")
     write_flat(docs, path, text, vocabulary)
-    found = counts(token_files(docs.sparkSession, path))
+    found = counts(token_files(docs.sparkSession, path), RESERVED)
     part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long")
     found = found.select(part.alias("part"), "in_file", "start", "n_tokens")
     mark = F.monotonically_increasing_id()

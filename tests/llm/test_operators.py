@@ -198,6 +198,17 @@ def test_token_counts(spark, docs, empty, tmp_path):
     assert tokencount.document_counts(empty).count() == 0
 
 
+def test_token_counts_of_texts_with_any_token(spark, tmp_path):
+    texts = ["one two", "Start\n# Title\nmore of it", "C# code and #! too", "last words here", None, "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    tokenizer = Encoder(vocabulary_file()).tokenizer
+    found = sorted(tuple(r) for r in tokencount.document_counts(spark.read.parquet(str(tmp_path / "docs"))).collect())
+    sizes = [len(ids_of(tokenizer, t)) for t in texts]
+    assert found == [(k, sum(sizes[:k]), n) for k, n in enumerate(sizes)]
+    with pytest.raises(Exception, match="end id 2"):
+        tokencount.write_flat(spark.createDataFrame([("# Title",)], "text string"), str(tmp_path / "flat"), end=2)
+
+
 def test_documents_that_run_over_blocks_and_files(spark, monkeypatch):
     monkeypatch.setattr(tokencount, "BLOCK_BYTES", 6)
     parts = [[5, 2, 7, 8, 9, 10, 11, 2, 2, 4], [6, 6], [2, 3, 3, 3, 3, 3, 3]]
