@@ -190,6 +190,15 @@ def links(fps: DataFrame) -> DataFrame:
     return inside.union(pairs.select("fps", "fps2").mapInPandas(_between, "a long, b long"))
 
 
+def _groups(prints: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` for each distinct value of the written ``prints(id, fp)``; root is a fingerprint of the component."""
+    values = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    roots = components(links(values.select("fp")))
+    parts = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = parts.groupBy("root").agg(F.min("first").alias("component_id"))
+    return parts.join(named, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the id, ``fp``, ``component_id``.
 
@@ -199,21 +208,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     prints = written(fingerprint(own).select("id", "fp"), "fingerprints")
-    values = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    roots = components(links(values.select("fp")))
-    parts = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = parts.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = parts.join(named, "root").select("fp", "component_id")
+    by_print = _groups(prints).select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the row with the smallest id, with all its columns.
 
-    Rows that share the smallest id stay one, the first by a hash of all columns; null ids stay only in components without another id.
+    Of rows that share a component's smallest id the first by a hash of all columns stays; null ids stay only in components without another id.
+    An id that names rows of several components stays once for each of those that it is the smallest of.
     """
-    found = near_duplicates(docs, id, text)
-    keep = found.where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id].eqNullSafe(keep["_keep"]), "left_semi")
-    first = kept.groupBy(id).agg(F.min_by(F.struct(*kept.columns), F.xxhash64(*kept.columns)).alias("_row"))
-    return first.select("_row.*")
+    mark = F.xxhash64(*docs.columns)
+    own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), mark.alias("mark"))
+    prints = written(fingerprint(own).select("id", "mark", "fp"), "fingerprints")
+    rooted = prints.join(_groups(prints.select("id", "fp")).select("fp", "root"), "fp")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
+    keep = first.select(F.col("first.id").alias("_keep"), F.col("first.mark").alias("_mark"))
+    kept = docs.join(keep, docs[id].eqNullSafe(keep["_keep"]) & (mark == keep["_mark"]), "left_semi")
+    # Only equal rows share an id and a hash now.
+    return kept.groupBy(id, mark.alias("_mark")).agg(F.first(F.struct(*kept.columns)).alias("_row")).select("_row.*")

@@ -95,6 +95,16 @@ def test_simhash(docs, empty):
     assert simhash.deduplicated(docs).count() == len(set(roots))
 
 
+def test_one_document_of_each_group_whatever_its_id(spark):
+    other, third = ITEM + " and then some more of it", "Quite a different text that shares no run of words with any of these."
+    rows = [(None, PROSE, "a"), (None, other, "a"), (None, PROSE, "b"), (5, third, "a"), (None, third, "a"), (5, "One id names a second text here.", "a"), (5, "One id names a second text here.", "a")]
+    for n in (1, 3):
+        out = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n))
+        assert out.columns == ["doc_id", "text", "source"]
+        want = {(None, PROSE), (None, other), (5, third), (5, "One id names a second text here.")}
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
+
+
 def test_close_fingerprints_by_the_index(spark):
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
