@@ -162,6 +162,26 @@ def test_pseudonyms(docs, empty):
     assert pii.pseudonymised(empty, "k").count() == 0
 
 
+def test_cards_beside_numbers_and_dates_in_other_formats(spark):
+    card, other = "4539 1488 0343 6467", "4111111111111111"
+    texts = [
+        "card 4539148803436467 123", f"{card} 12/27", f"12 {card}", f"123456 {card} 123", f"{card} {other}", f"{card}-12", f"7 {card} 1984-02-29 x",
+        "born 31.12.1984", "born 12/31/1984", "born 31/12/1984", "born 1984-12-31", "born 31-12-1984", "no 31.13.1984 nor 13/13/1984 nor 30.2.1984",
+        "1 " * 30_000, "12 1984-02-29 345x 4539 1488 0343 6467 12.5",
+    ]
+    out = [r for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    digits = lambda t: re.sub(r"\D", "", t)
+    for r in (*out[:7], out[14]):
+        assert "4539148803436467" not in digits(r["text"]) and other not in r["text"] and re.sub(r"\d", "0", r["text"]) == re.sub(r"\d", "0", texts[r["doc_id"]])
+    assert [r["n_card"] for r in out[:7]] == [1, 1, 1, 1, 2, 1, 1] and out[6]["n_date"] == 1 and "1984-02-29" not in out[6]["text"]
+    moved = re.search(r"card (\d+) 123$", out[0]["text"])[1]
+    assert luhn(moved) and all(moved in digits(r["text"]) for r in out[:7])
+    y, m, d = re.search(r"(\d+)-(\d+)-(\d+)", out[10]["text"]).groups()
+    assert [out[k]["text"] for k in (7, 8, 11)] == [f"born {d}.{m}.{y}", f"born {m}/{d}/{y}", f"born {d}-{m}-{y}"]
+    assert int(re.match(r"born (\d\d)/\d\d/\d{4}$", out[9]["text"])[1]) > 12 and out[9]["text"] != texts[9]
+    assert out[12]["text"] == texts[12] and [r["n_date"] for r in out[7:12]] == [1] * 5 and out[14]["n_date"] == 1
+
+
 def test_permutations_are_one_to_one(spark):
     rows = spark.range(3000)
     text = F.lpad(F.col("id").cast("string"), 4, "0")
