@@ -68,13 +68,17 @@ TEMPLATES = {
 MOST_SHINGLES = 20_000
 
 
+#: Comment marks at the start and the end of a line; those of punctuation only, such as # and *, go with it.
+MARKS = r"(?m)^[ \t]*(?://+!?|--+|/\*+!?|<!--+|rem(?=[ \t\r]|$))|(?:\*+/|--+>)[ \t\r]*$"
+
+
 def normal(text: Column) -> Column:
-    """Lower case, without the ASCII punctuation that license texts vary in."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ".,;:()[]{}\"'`*#_", "")
+    """Lower case, without the comment marks of lines and the ASCII punctuation that license texts vary in."""
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " "), ".,;:()[]{}\"'`*#_", "")
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower().translate({ord(c): None for c in ".,;:()[]{}\"'`*#_"})) if w]
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub(MARKS, " ", text.lower()).translate({ord(c): None for c in ".,;:()[]{}\"'`*#_"})) if w]
 
 
 def _shingles(text: str) -> list[str]:
@@ -91,7 +95,7 @@ def licenses(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str
 
     license has name, template (its place among the license's templates), containment (share of the template's distinct 5-word shingles that
     the document has, ``threshold`` or more; a template whose shared shingles another one has too, with a higher share, is left out), first_word (place of the first shared shingle).
-    Words are compared in lower case without punctuation. A template of fewer than five words is one shingle and matches only a text that is
+    Words are compared in lower case without punctuation and without comment marks at a line's start or end. A template of fewer than five words is one shingle and matches only a text that is
     equal to it. Null and blank texts have no license. Rows are on their own, repeated rows give repeated results; a column named license is replaced.
     """
     sets = [(name, k, _shingles(t)) for name, ts in (templates or TEMPLATES).items() for k, t in enumerate(ts) if _shingles(t)]

@@ -282,6 +282,16 @@ def test_licenses(docs, empty):
     assert [(r["doc_id"], r["license"]["name"], r["license"]["containment"]) for r in licenses.licenses(one).collect()] == [(1, "MIT", 1.0)]
 
 
+def test_licenses_in_comments(spark):
+    import textwrap
+
+    texts = [licenses.TEMPLATES["MIT"][4], licenses.TEMPLATES["GPL-3.0"][2]]
+    marks = [("// ", ""), ("-- ", ""), ("/* ", " */"), ("<!-- ", " -->"), ("  REM ", "\r"), ("/// ", ""), (" * ", ""), ("# ", "")]
+    rows = [(k, "int x;\n" + "\n".join(a + x + b for x in textwrap.wrap(texts[k % 2], 74)) + "\nint y;") for k, (a, b) in enumerate(m for m in marks for _ in (0, 1))]
+    found = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]["name"], r["license"]["containment"]) for r in found} == {(k, ("MIT", "GPL-3.0")[k % 2], 1.0) for k, _ in rows}
+
+
 def test_line_templates(docs, empty):
     found = {r["doc_id"]: r for r in lines.deduplicated(docs).collect()}
     assert found[17]["text"] == "kept line one" and found[18]["text"] == "kept line two"
