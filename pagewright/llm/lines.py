@@ -2,7 +2,8 @@
 
 Lines are parsed to a fixed depth: token count, then the leading tokens, with tokens that hold digits as the variable field ``<*>``. Lines of one leaf
 that differ in a few tokens only are one template: a leaf's consensus is its commonest token at each place, and a line that agrees with it in
-SIMILAR of its places belongs to it; any other line is a template of its own. Templates that recur across documents are dropped from all of them.
+SIMILAR of its places belongs to it. Lines of a leaf that differ in one place only share a template too, so that a leaf has as many as its lines
+ask for, in whatever order and company they come. Each line is also a template of its own. Templates that recur across documents are dropped from all of them.
 
 DataFrame expressions only. Documents are read three times and shuffled once, for the last step.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import let, once, small, written
 
-LEADING, SIMILAR, DOCUMENTS = 3, 0.8, 3
+LEADING, SIMILAR, DOCUMENTS = 3, 0.8, 2
 SPACE = "[ \\t\\r]+"
 
 
@@ -33,7 +34,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def _consensus(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
-    """``(exact, template)`` of the lines that agree with their leaf's consensus; the template is the leaf."""
+    """``(exact, template)``: for the lines that agree with their leaf's consensus the leaf, and each form with one place masked that lines share."""
     lines = _parsed(rows).join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
     lines = written(lines, "forked-lines")
     places = lines.select("leaf", F.posexplode("tokens").alias("place", "token"))
@@ -42,7 +43,13 @@ def _consensus(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
     winner = winner.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("agreed"))
     judged = lines.join(winner, "leaf")
     same = F.size(F.filter(F.zip_with("tokens", "agreed", lambda a, b: a == b), lambda x: x))
-    return judged.where(same >= similar * F.size("tokens")).select("exact", F.col("leaf").alias("template"))
+    agreed = judged.where(same >= similar * F.size("tokens")).select("exact", F.col("leaf").alias("template"))
+    hashes = F.transform("tokens", lambda t, i: F.xxhash64(i, t))
+    sums = lines.where(F.size("tokens") - 1 >= similar * F.size("tokens")).select("leaf", "exact", once(hashes).alias("h"))
+    sums = sums.withColumn("all", once(F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))))
+    forms = sums.select("exact", F.explode(F.transform("h", lambda x, i: F.xxhash64("leaf", i, F.col("all").bitwiseXOR(x)))).alias("template"))
+    shared = forms.groupBy("template").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a <> b").select("template")
+    return agreed.union(forms.join(shared, "template").select("exact", "template"))
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, documents: int = DOCUMENTS) -> DataFrame:
@@ -52,8 +59,9 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simil
     forked = table.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a <> b").select("leaf")
     forked = small(written(forked, "forked"))
     merged = written(_consensus(rows, forked, similar), "merged")
-    named = table.select("id", "key", "line", "exact").join(small(merged), "exact", "left")
-    named = named.select("id", "key", "line", F.coalesce("template", "exact").alias("template"))
+    merged = merged.groupBy("exact").agg(F.collect_set("template").alias("templates"))
+    named = table.select("id", "key", "line", "exact").join(small(written(merged, "templates")), "exact", "left")
+    named = named.select("id", "key", "line", F.explode(F.concat(F.array("exact"), F.coalesce("templates", F.array().cast("array<bigint>")))).alias("template"))
     often = named.select("template", "id", "key").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= documents)
     often = small(written(often.select("template"), "recurring"))
     return named.join(often, "template").groupBy("id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))

@@ -300,6 +300,18 @@ def test_line_templates(docs, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
+def test_lines_of_two_documents_and_of_several_templates_in_a_leaf(spark):
+    passage = "A passage that stands in two documents only. " * 8
+    names = ["anna", "bert", "carl", "dora", "emil", "fritz"]
+    other = ["one two three " + " ".join(f"{chr(97 + k)}{'xyzuvw'[j]}q" for j in range(6)) for k in range(20)]
+    rows = [(1, passage + "\nfirst own line"), (2, passage + "\nsecond own line")]
+    rows += [(10 + k, f"one two three {'red' if k % 2 else 'blue'} fox {name} jumps {'high' if k % 2 else 'low'} today") for k, name in enumerate(names)]
+    rows += [(100 + k, line) for k, line in enumerate(other)]
+    out = {r["doc_id"]: r for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert (out[1]["text"], out[2]["text"]) == ("first own line", "second own line")
+    assert all(out[10 + k]["text"] == "" for k in range(6)) and all(out[100 + k]["text"] == line for k, line in enumerate(other))
+
+
 def test_scores(docs, empty):
     out = lm.scores(docs).collect()
     rows = docs.collect()
