@@ -68,13 +68,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables made by :func:`written` that nothing reads any more."""
-    jvm = spark._jvm
     for df in tables:
-        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(spark, *{f.rpartition("/")[0] for f in df.inputFiles()})
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .common import dropped, new_path, written
 from .tokenize import Encoder, vocabulary_file
 
 RUN, MOST_BITS, BLOCK_TOKENS = 64, 20, 1 << 19
+#: Tokens of a range of ids, which one task packs.
+PART_TOKENS = 1 << 24
 END = 2
 
 
@@ -137,17 +140,16 @@ def token_table(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabul
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary or vocabulary_file())
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(shared.value)
-        last = np.array([end], encoder.dtype).tobytes()
         for rows in batches:
-            for k in range(0, len(rows), 512):
-                part = rows.iloc[k : k + 512]
-                yield pd.DataFrame({"id": part["id"], "ids": [x + last for x in encoder.encode(part["text"])], "wide": encoder.dtype.itemsize})
+            ids = encoder.encode_ended(rows.column(1), end)
+            wide = pa.array(np.full(len(ids), encoder.dtype.itemsize, np.int32))
+            yield pa.RecordBatch.from_arrays([rows.column(0), ids, wide], ["id", "ids", "wide"])
 
-    kind = docs.schema[id].dataType.simpleString()
     own = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    return written(_null_safe(own, kind).mapInPandas(tokens, "id binary, ids binary, wide int").select(_back(kind), "ids", "wide"), "ids")
+    kind = own.schema["id"].dataType.simpleString()
+    return written(own.mapInArrow(tokens, f"id {kind}, ids binary, wide int"), "ids")
 
 
 def _null_safe(df: DataFrame, kind: str) -> DataFrame:
@@ -155,10 +157,6 @@ def _null_safe(df: DataFrame, kind: str) -> DataFrame:
     return df.withColumn("id", F.col("id").cast("string").cast("binary"))
 
 
-def _back(kind: str):
-    return F.col("id").cast("string").cast(kind).alias("id")
-
-
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(0, np.int64)
     for rows in batches:
@@ -219,7 +217,7 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
         if held:
             yield made()
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(spark.sparkContext.defaultParallelism, -(-int(total.sum()) // PART_TOKENS))
     ordered = table.withColumn("h", F.xxhash64("ids")).repartitionByRange(n, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
     kind = docs.schema[id].dataType.simpleString()
     packed = _null_safe(ordered.select("id", "ids", "wide"), kind).mapInPandas(

@@ -1,114 +1,132 @@
 """Token counts of flat token files: a scan for end-of-document ids.
 
-The files hold nothing but ids, each as two little-endian bytes, with no index. A block's separators are found by one vectorised comparison;
-what a block cannot know, where its first document began, comes from a prefix scan over the blocks' figures: first within each file,
-then over the files.
+The files hold nothing but ids, each as two little-endian bytes, with no index. They are read in byte ranges, so that a file of any size is many tasks' work. A
+block's separators are found by one vectorised comparison; what a block cannot know, where its first document began, comes from a prefix scan over the blocks'
+figures: first within each file, then over the files.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, written
+from .common import deleted, new_path, written
 from .tokenize import Encoder, vocabulary_file
 
-END, WIDE, BLOCK_BYTES = 2, 2, 1 << 22
+WIDE, BLOCK_BYTES, TASK_BYTES = 2, 1 << 22, 1 << 26
 #: End id of the files written here: above every id of the vocabulary, so that no text can hold it.
 RESERVED = 0xFFFF
 
 
-def write_flat(docs: DataFrame, path: str, text: str = "text", vocabulary: str | None = None, end: int = RESERVED) -> None:
-    """Writes the ids of each text and an end id, one file for each partition, in the order of the rows.
+def _store(uri: str):
+    """The file system of a path and the path in it, as pyarrow opens them (local and shared folders, HDFS, S3, GCS, Azure)."""
+    from pyarrow import fs
 
-    A text that holds the end id fails the job, since the files could not be read back. Spark's text writer puts the lines' bytes as they are, and the end id is the line separator: so the files come from Spark's own
-    committer, through whatever file system the path names. Null and blank texts write what they have: an end id alone.
+    if uri.startswith("file:/"):
+        uri = "file:///" + uri[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_flat(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = RESERVED) -> DataFrame:
+    """Writes the ids of each text and an end id, a file for each partition, and returns the written table ``(id, file, in_file)``: where each row's document stands.
+
+    A task names its own file and returns it with its rows, so the table holds files of finished tasks only; a lost or repeated task
+    leaves a file that the table doesn't name. A text that holds the end id fails the job, since the files could not be read back. Null and blank texts
+    write what they have: an end id alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or vocabulary_file())
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(shared.value)
         if encoder.dtype.itemsize != WIDE:
             raise ValueError("the vocabulary has ids of more than two bytes")
+        files, folder = _store(path)
+        files.create_dir(folder, recursive=True)
+        name, n, out = f"tokens-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.bin", 0, None
+        places = []
         for rows in batches:
-            for k in range(0, len(rows), 512):
-                found = encoder.encode(rows["text"].iloc[k : k + 512])
-                if (np.frombuffer(b"".join(found), f"<u{WIDE}") == end).any():
-                    raise ValueError(f"a text has the end id {end}")
-                yield pd.DataFrame({"value": found})
-
-    lines = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(tokens, "value binary")
-    separator = int(end).to_bytes(WIDE, "little").decode("latin-1")
-    lines.select(F.col("value").cast("string")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+            ids = encoder.encode_ended(rows.column(1), end)
+            raw = np.frombuffer(ids.buffers()[2], np.uint8) if len(ids) else np.zeros(0, np.uint8)
+            at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+            raw = raw[at[0] : at[-1]]
+            if int((raw.view(f"<u{WIDE}") == end).sum()) != len(ids):
+                raise ValueError(f"a text has the end id {end}")
+            out = out or files.open_output_stream(f"{folder}/{name}")
+            out.write(raw)
+            places.append(pa.RecordBatch.from_arrays([rows.column(0), pa.array([name] * len(ids), pa.string()), pa.array(np.arange(n, n + len(ids)))], ["id", "file", "in_file"]))
+            n += len(ids)
+        if out:
+            out.close()
+        yield from places
+
+    own = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    return written(own.mapInArrow(put, f"id {kind}, file string, in_file long"), "flat-places")
 
 
 def token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, content)``: the flat files below a path, a row each. A file has 2 GB at most; larger sets have more files."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    """``(file, uri, length)``: the flat files below a path, a row each, by name; their contents are not read."""
+    found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), "length")
+    return found.select(F.element_at(F.split("uri", "/"), -1).alias("file"), "uri", "length")
 
 
 def _scan(end: int):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for file, content in zip(rows["file"], rows["content"], strict=True):
-                ids = np.frombuffer(content, f"<u{WIDE}", count=len(content) // WIDE)
-                for block, at in enumerate(range(0, max(len(ids), 1), BLOCK_BYTES // WIDE)):
-                    part = ids[at : at + BLOCK_BYTES // WIDE]
-                    found = np.flatnonzero(part == end)
-                    inner = np.diff(found)
-                    yield pd.DataFrame(
-                        {
-                            "file": [file], "block": [block], "n": [len(part)], "ends": [len(found)],
-                            "first": [int(found[0]) + 1 if len(found) else None], "last": [int(found[-1]) + 1 if len(found) else None],
-                            "inner": [inner.tolist()],
-                        }
-                    ).astype({"first": "Int64", "last": "Int64"})
+            for r in rows.to_pylist():
+                files, at = _store(r["uri"])
+                with files.open_input_file(at) as f:
+                    ids = np.frombuffer(f.read_at(r["size"], r["offset"]), f"<u{WIDE}")
+                if len(ids) * WIDE != r["size"]:
+                    raise OSError(f"{r['uri']} is shorter than it was")
+                found = np.flatnonzero(ids == end) + 1
+                yield pa.RecordBatch.from_pylist(
+                    [{"file": r["file"], "block": r["block"], "n": len(ids), "n_ends": len(found), "last": int(found[-1]) if len(found) else None, "ends": found.astype(np.int32)}],
+                    pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("n_ends", pa.int64()), ("last", pa.int64()), ("ends", pa.list_(pa.int32()))]),
+                )
 
     return scan
 
 
-def counts(files: DataFrame, end: int = END) -> DataFrame:
-    """``(file, in_file, document, start, n_tokens)`` of every document in the files.
+def counts(files: DataFrame, end: int = RESERVED) -> DataFrame:
+    """``(file, in_file, document, start, n_tokens)`` of every document in ``files``, rows of :func:`token_files`.
 
     Files follow one another by name; document counts from 0 over all of them, in_file from 0 in the file where the document ends, start is the first token's place
     over all files, n_tokens counts the end id. A document may run over blocks and files. Tokens after the last end id are a document
-    without one. An odd last byte is not a token. No files, or empty ones, give no rows.
+    without one. An odd last byte is not a token. No files, or empty ones, give no rows. Only the figures of blocks and files are put in order, not the documents.
     """
-    # No cap on rows: a block has one row, and Spark reads one file a task.
-    blocks = written(
-        files.mapInPandas(_scan(end), "file string, block int, n long, ends long, first long, last long, inner array<long>"), "token-blocks"
-    )
-    in_file = Window.partitionBy("file").orderBy("block")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("length") - F.col("length") % WIDE
+    ranges = files.where(size > 0).select("file", "uri", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1, F.lit(BLOCK_BYTES).cast("long"))).alias("offset"))
+    ranges = ranges.select("file", "uri", "offset", F.floor(F.col("offset") / BLOCK_BYTES).alias("block"), F.least(F.lit(BLOCK_BYTES), F.col("size") - F.col("offset")).cast("long").alias("size"))
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    blocks = written(ranges.repartition(tasks).mapInArrow(_scan(end), "file string, block long, n long, n_ends long, last long, ends array<int>"), "token-blocks")
+
+    figures = blocks.drop("ends")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    at = blocks.withColumn("n0", sums("n", before)).withColumn("ends0", sums("ends", before)).withColumn("upto", F.col("n0") + F.col("last"))
-    at = at.withColumn("open", F.max("upto").over(before))
-
-    whole = blocks.withColumn("n0", sums("n", before)).groupBy("file").agg(F.sum("n").alias("fn"), F.sum("ends").alias("fe"), F.max(F.col("n0") + F.col("last")).alias("flast"))
+    at = figures.withColumn("n0", sums("n", before)).withColumn("k0", sums("n_ends", before))
+    at = at.withColumn("upto", F.col("n0") + F.col("last")).withColumn("open", F.max("upto").over(before))
+    whole = at.groupBy("file").agg(F.sum("n").alias("fn"), F.sum("n_ends").alias("fe"), F.max("upto").alias("flast"))
     files_before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     whole = whole.withColumn("fn0", sums("fn", files_before)).withColumn("fe0", sums("fe", files_before))
     whole = whole.withColumn("fopen", F.coalesce(F.max(F.col("fn0") + F.col("flast")).over(files_before), F.lit(0)))
 
-    all_ = at.join(whole, "file")
-    base = F.col("fn0") + F.col("n0")
-    begun = F.coalesce(F.col("fn0") + F.col("open"), F.col("fopen"))
-    closed = all_.where("ends > 0").select(
-        "file", F.col("ends0").alias("k0"), "fe0", begun.alias("begun"), (base + F.col("first")).alias("first_end"), "inner"
-    )
-    lengths = F.concat(F.array(F.col("first_end") - F.col("begun")), F.col("inner"))
-    ends = closed.withColumn("len", lengths).select(
-        "file", "k0", "fe0", "begun", F.posexplode("len").alias("k", "n_tokens")
-    )
-    run = Window.partitionBy("file", "k0").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    done = ends.select(
-        "file", (F.col("k0") + F.col("k")).alias("in_file"), (F.col("fe0") + F.col("k0") + F.col("k")).alias("document"),
-        (F.col("begun") + sums("n_tokens", run)).alias("start"), "n_tokens",
+    placed = at.where("n_ends > 0").join(whole, "file").select(
+        "file", "block", "k0", "fe0", (F.col("fn0") + F.col("n0")).alias("base"), F.coalesce(F.col("fn0") + F.col("open"), F.col("fopen")).alias("begun")
     )
+    ends = blocks.select("file", "block", "ends").join(placed, ["file", "block"])
+    upto = F.transform("ends", lambda e: F.col("base") + e)
+    starts = F.concat(F.array("begun"), F.slice(upto, 1, F.size("ends") - 1))
+    ended = ends.select("file", "k0", "fe0", F.posexplode(F.arrays_zip(starts.alias("start"), upto.alias("upto"))).alias("k", "d"))
+    done = ended.select("file", (F.col("k0") + F.col("k")).alias("in_file"), (F.col("fe0") + F.col("k0") + F.col("k")).alias("document"), "d.start", (F.col("d.upto") - F.col("d.start")).alias("n_tokens"))
     total = whole.agg(F.sum("fn").alias("all"), F.coalesce(F.max(F.col("fn0") + F.col("flast")), F.lit(0)).alias("closed"), F.sum("fe").alias("docs"), F.max("file").alias("file"), F.max_by("fe", "file").alias("in_file"))
     rest = total.where(F.col("all") > F.col("closed")).select(
         "file", "in_file", F.col("docs").alias("document"), F.col("closed").alias("start"), (F.col("all") - F.col("closed")).alias("n_tokens")
@@ -117,16 +135,20 @@ def counts(files: DataFrame, end: int = END) -> DataFrame:
 
 
 def document_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``(id, start, n_tokens)`` of each row of ``docs``, from flat files written for it.
+    """``(id, start, n_tokens)`` of each row of ``docs``, from flat files written for it and scanned.
 
-    The files hold no ids. A file's number is that of its partition and its documents follow the partition's rows, so the ids come from a
-    second read of the id column; docs should be a table that Spark reads in the same partitions each time, as it does files.
+    The files hold no ids; the table of :func:`write_flat` says which document of a file is which row's. A file whose scan finds another number of documents than were
+    written fails the job. Repeated rows and null ids have rows of their own; an empty table gives none.
     """
-    path = new_path(docs.sparkSession, "flat")
-    write_flat(docs, path, text, vocabulary)
-    found = counts(token_files(docs.sparkSession, path), RESERVED)
-    part = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("long")
-    found = found.select(part.alias("part"), "in_file", "start", "n_tokens")
-    mark = F.monotonically_increasing_id()
-    rows = docs.select(F.col(id), mark.alias("_m")).select(id, F.shiftright("_m", 33).alias("part"), (F.col("_m") % (1 << 33)).alias("in_file"))
-    return rows.join(found, ["part", "in_file"]).select(id, "start", "n_tokens")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "flat")
+    places = write_flat(docs, path, id, text, vocabulary)
+    names = places.groupBy("file").agg(F.count("*").alias("n"))
+    if names.limit(1).count() == 0:
+        return places.select(F.col("id").alias(id), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))
+    found = written(counts(token_files(spark, path).join(names, "file", "left_semi")), "flat-counts")
+    scanned = found.groupBy("file").agg(F.count("*").alias("scanned"))
+    wrong = names.join(scanned, "file", "full").where(~F.col("n").eqNullSafe(F.col("scanned"))).limit(1).collect()
+    if wrong:
+        raise RuntimeError(f"flat file {wrong[0]['file']}: {wrong[0]['n']} documents written, {wrong[0]['scanned']} found")
+    deleted(spark, path)
+    return places.join(found, ["file", "in_file"]).select(F.col("id").alias(id), "start", "n_tokens")

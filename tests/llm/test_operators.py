@@ -235,15 +235,26 @@ def test_token_counts_of_texts_with_any_token(spark, tmp_path):
     found = sorted(tuple(r) for r in tokencount.document_counts(spark.read.parquet(str(tmp_path / "docs"))).collect())
     sizes = [len(ids_of(tokenizer, t)) for t in texts]
     assert found == [(k, sum(sizes[:k]), n) for k, n in enumerate(sizes)]
-    with pytest.raises(Exception, match="end id 2"):
-        tokencount.write_flat(spark.createDataFrame([("# Title",)], "text string"), str(tmp_path / "flat"), end=2)
+    for end, text in ((2, "# Title"), (200, "\x0c"), (50256, "<|endoftext|>")):
+        with pytest.raises(Exception, match=f"end id {end}"):
+            tokencount.write_flat(spark.createDataFrame([(1, text)], "doc_id long, text string"), str(tmp_path / "flat"), end=end)
 
 
-def test_documents_that_run_over_blocks_and_files(spark, monkeypatch):
+@pytest.mark.parametrize("end", [200, 50256, 65535])
+def test_any_end_id(spark, tmp_path, end):
+    texts = ["one two", "a longer text with more words", None, "last"]
+    tokencount.write_flat(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), str(tmp_path), end=end)
+    sizes = [len(ids_of(Encoder(vocabulary_file()).tokenizer, t)) for t in texts]
+    found = sorted((r["start"], r["n_tokens"]) for r in tokencount.counts(tokencount.token_files(spark, str(tmp_path)), end).collect())
+    assert found == [(sum(sizes[:k]), n) for k, n in enumerate(sizes)]
+
+
+def test_documents_that_run_over_blocks_and_files(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tokencount, "BLOCK_BYTES", 6)
     parts = [[5, 2, 7, 8, 9, 10, 11, 2, 2, 4], [6, 6], [2, 3, 3, 3, 3, 3, 3]]
-    files = spark.createDataFrame([(f"part-{i}", bytearray(np.array(p, "<u2").tobytes())) for i, p in enumerate(parts)], "file string, content binary")
-    found = sorted((r["document"], r["start"], r["n_tokens"]) for r in tokencount.counts(files).collect())
+    for i, p in enumerate([*parts, []]):
+        (tmp_path / f"part-{i}").write_bytes(np.array(p, "<u2").tobytes() + b"\0" * (i == 2))
+    found = sorted((r["document"], r["start"], r["n_tokens"]) for r in tokencount.counts(tokencount.token_files(spark, str(tmp_path)), 2).collect())
     assert found == [(0, 0, 2), (1, 2, 6), (2, 8, 1), (3, 9, 4), (4, 13, 6)]
 
 
