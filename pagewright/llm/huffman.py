@@ -24,7 +24,7 @@ from .tokenize import Encoder, vocabulary_file
 
 RUN, MOST_BITS, BLOCK_TOKENS = 64, 20, 1 << 19
 #: Tokens of a range of ids, which one task packs.
-PART_TOKENS = 1 << 24
+PART_TOKENS = 1 << 23
 END = 2
 
 
