@@ -1,40 +1,32 @@
-"""Language-model scoring by online logistic context mixing.
+"""Language-model scoring by online logistic context mixing, on Spark.
 
-Words are spelled bit by bit. Hashed contexts (the node in the byte with the last 1, 2, 3, 4, 6 bytes of the word, or all of its beginning) each predict the
-next bit from counts; their log-odds are mixed with weights that a gate (bit of the byte, byte of the word) selects and that are
-refined online, bit after bit. A word's probability is its discounted share of the class's training tokens, and of what the discount leaves, a part by its share of all and a part by its spelling. Everything is keyed by
-distinct word and document class, so that the bits of a word are predicted once however often it occurs; a document's score is a sum over its words.
+:mod:`mixer` has the model: bits of texts, predicted by hashed contexts of the text before them, mixed by gated weights that are refined bit after bit. What it learns covers all training documents: counts of
+contexts and of inputs are summed over tasks, in steps of FAN tables a group, and the weights are fitted on the sums. The tables have 2 ** mixer.MOST_SLOT_BITS slots for each order at most, whatever the input: what
+a task and the driver can hold. Word counts, for the base score, are exact and grow with the corpus.
 
-A document's class is the nearest of CLASSES centroids of byte histograms (languages, scripts, markup); it is a context like the others, and its choice costs
-log10(CLASSES). Within a document the words' probabilities adapt to the words seen so far, as in an urn to which each drawn word is added; four urn sizes
-are averaged. What is learned covers all training documents: word counts and context counts are sums over all. The gated weights, some hundred numbers, are
-fitted on MIXER_WORDS distinct training words, the centroids on about CLASS_ROWS documents.
+Documents are packed into chunks of CHUNK_BYTES, whose distinct words are counted over the corpus and answered chunk by chunk.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, written
-
-ORDERS = (1, 2, 3, 4, 6, None)  # None: the word from its start
-SLOT_BITS, BLOCKS = 20, 64
-PRIOR, RATE, CLIP = 0.4, 0.1, 8.0
-PLACES = 8
-MIXER_WORDS = 300_000
-CHUNK_BYTES, TASK_WORDS, BATCH_WORDS = 32 << 20, 1_000_000, 8192
-DISCOUNTS, SPELLED = (0.2, 0.4, 0.6, 0.75, 0.9), (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
-CLASSES, CLASS_ROWS = 12, 2000
-URNS = (100.0, 1000.0, 10_000.0, 1_000_000.0)
-FIRST = ord("A")  # a word is lower case; the capital before it names the class
+from . import mixer
+from .common import dropped, once, written
+
+CHUNK_BYTES, LEARN_BYTES, SCORE_BYTES = 32 << 20, 1 << 19, 2 << 20
+#: Text of a counting task: at least, and at most where there are over COUNT_TASKS.
+TASK_BYTES, MOST_TASK_BYTES, COUNT_TASKS = 48 << 20, 1 << 30, 64
+#: Blocks of a table, and tables that are added up in one group.
+BLOCKS, FAN = 64, 16
 MODULUS, HELD = 7, 2
 
 
@@ -43,310 +35,194 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % MODULUS == HELD, F.lit(False))
 
 
-def _spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all words, each with a stop after it; first byte of each word; place of each byte in its word."""
-    flat = np.frombuffer(b"".join([w + b" " for w in words]), np.uint8)
-    lengths = np.array([len(w) + 1 for w in words])
-    starts = np.cumsum(lengths) - lengths
-    return flat, starts, np.arange(len(flat)) - np.repeat(starts, lengths)
-
-
-def _bits(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and bit: the node of the byte's bit tree, and the bit."""
-    j = np.arange(8)
-    byte = flat.astype(np.int64)[:, None]
-    return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
-
-
-def _contexts(flat: np.ndarray, starts: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
-    """Hash of each order's context at each byte; every other order has the class in it."""
-    kind = np.repeat(flat[starts], np.diff(np.append(starts, len(flat)))).astype(np.uint64)
-    value = np.where(place == 0, np.uint64(0), flat.astype(np.uint64) + np.uint64(1))
-    for number, order in enumerate(ORDERS):
-        if order is None:
-            power = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
-            sums = np.cumsum(value * power[place])
-            before = np.concatenate([np.zeros(1, np.uint64), sums[:-1]])
-            context = before - np.repeat(before[starts], np.diff(np.append(starts, len(flat))))
-        else:
-            context = np.zeros(len(flat), np.uint64)
-            for k in range(1, order + 1):
-                last = np.zeros(len(flat), np.uint64)
-                last[k:] = value[:-k]
-                last[place < k] = 0
-                context = context * np.uint64(257) + last
-        if number % 2:
-            context = context * np.uint64(257) + kind
-        yield (context + np.uint64(number + 1)) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    mixed = context[:, None] ^ (node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-class Model:
-    """Context counts ``n[order, slot, bit]`` and the gates' weights."""
-
-    def __init__(self, n: np.ndarray, weights: np.ndarray | None = None):
-        self.n = n
-        self.weights = np.full((8 * PLACES, len(ORDERS)), 0.3, np.float32) if weights is None else weights
-
-    def inputs(self, words: list[bytes], own: np.ndarray | None = None):
-        """Log-odds of each context, the gate and the bit, for each bit of each word; ``own`` counts of the words are left out."""
-        flat, starts, place = _spelled(words)
-        node, bit = _bits(flat)
-        x = np.empty((len(ORDERS), *node.shape), np.float32)
-        for k, context in enumerate(_contexts(flat, starts, place)):
-            at = _slots(context, node)
-            n0, n1 = self.n[k, at, 0], self.n[k, at, 1]
-            if own is not None:
-                once = np.repeat(own, np.diff(np.append(starts, len(flat))))[:, None]
-                n0, n1 = np.maximum(n0 - once * (1 - bit), 0), np.maximum(n1 - once * bit, 0)
-            x[k] = np.clip(np.log((n1 + PRIOR) / (n0 + PRIOR)), -CLIP, CLIP)
-        gate = np.minimum(place, PLACES - 1)[:, None] * 8 + np.arange(8)
-        return x, gate, bit, starts
-
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        total = np.zeros(gate.shape, np.float32)
-        for k in range(len(ORDERS)):
-            total += self.weights[gate, k] * x[k]
-        return np.clip(total, -16, 16)
-
-    def learn(self, words: list[bytes], rate: float = RATE) -> None:
-        """One online step: the words' bits move the weights of their gates."""
-        x, gate, bit, _ = self.inputs(words, np.ones(len(words), np.float32))
-        error = np.where(gate < 8, 0, bit - 1 / (1 + np.exp(-self.mix(x, gate))))  # the class is given
-        n = np.maximum(np.bincount(gate.ravel(), minlength=8 * PLACES), 1)
-        for k in range(len(ORDERS)):
-            self.weights[:, k] += rate * np.bincount(gate.ravel(), (error * x[k]).ravel(), 8 * PLACES) / n
-
-    def log2(self, words: list[bytes]) -> np.ndarray:
-        """log2 of the probability of each word's spelling, its stop included, its class given."""
-        x, gate, bit, starts = self.inputs(words)
-        odds = np.where(bit == 1, self.mix(x, gate), -self.mix(x, gate)).astype(np.float64)
-        return np.add.reduceat(np.where(gate < 8, 0, -np.log1p(np.exp(-odds))).sum(1), starts) / math.log(2)
-
-
-def _log_rising(a: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """log of a (a + 1) ... (a + m - 1)."""
-    out = np.log(a)
-    for j in range(1, 16):
-        at = np.flatnonzero(m > j)
-        out[at] += np.log(a[at] + j)
-    at = np.flatnonzero(m > 16)
-    if len(at):
-        log_gamma = lambda x: (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3)  # noqa: E731  from 16 on
-        out[at] += log_gamma(a[at] + m[at]) - log_gamma(a[at] + 16)
-    return out
-
-
-def _shape(texts) -> np.ndarray:
-    """Byte histograms, as the square roots of shares."""
-    counts = np.array([np.bincount(np.frombuffer(t or b" ", np.uint8), minlength=256) for t in texts], np.float64).reshape(-1, 256)
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-
-
-def centroids(rows: DataFrame) -> np.ndarray:
-    """CLASSES centroids of the shapes of about CLASS_ROWS training documents of ``rows(id, held, text)``."""
-    every = max(1, rows.count() // CLASS_ROWS)
-    sample = rows.where(~F.col("held") & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).select("text")
-
-    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"shape": [x.astype("<f4").tobytes() for x in _shape([(t or b"").lower() for t in batch["text"]])]})
-
-    found = sorted(r["shape"] for r in sample.mapInPandas(shapes, "shape binary").collect())
-    if not found:
-        return np.zeros((1, 256))
-    x = np.array([np.frombuffer(raw, "<f4") for raw in found], np.float64)
-    c = x.mean(0, keepdims=True)
-    while len(c) < min(CLASSES, len(x)):
-        c = np.vstack([c, x[((x[:, None] - c[None]) ** 2).sum(2).min(1).argmax()]])
-    for _ in range(20):
-        own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
-        c = np.array([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(len(c))])
-    return c
-
+def _pieces(flat: np.ndarray) -> pa.DictionaryArray:
+    """The tokens of serialised texts, each with the blank or newline after it."""
+    ends = np.flatnonzero((flat == 32) | (flat == mixer.END)).astype(np.int32) + 1
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
 
-def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
-    as_bytes = lambda c: F.col(c).cast("string").cast("binary")
-    return docs.select(as_bytes(id).alias("id"), held_out(F.col(id)).alias("held"), as_bytes(text).alias("text"))
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """Chunks of documents: their texts as :func:`mixer.serialised` gives them, their distinct tokens with training counts, and the counts of training bytes."""
+    schema = pa.schema(
+        [
+            ("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("flat", pa.binary()),
+            ("vocabulary", pa.binary()), ("train", pa.list_(pa.int32())), ("bytes", pa.list_(pa.int64())),
+        ]
+    )
 
-def _packed(rows: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Chunks of documents: their distinct words with training counts, and each document's words by place in that list."""
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        vocabulary: dict[bytes, int] = {}
-        ids, held, tokens, at, times, size = [], [], [], [], [], 0
-
-        def made() -> pd.DataFrame:
-            distinct = np.array([len(x) for x in at])
-            places = np.concatenate(at).astype(np.uint32)
-            tf = np.concatenate(times).astype(np.uint32)
-            train = np.bincount(places, tf * ~np.repeat(np.array(held, bool), distinct), len(vocabulary)).astype(np.int64)
-            return pd.DataFrame(
-                {
-                    "chunk": [(part << 32) + number], "vocabulary": [b"\n".join(vocabulary)], "train": [train.tolist()], "ids": [ids], "held": [held],
-                    "tokens": [tokens], "distinct": [distinct.tolist()], "places": [places.tobytes()], "tf": [tf.tobytes()],
-                }
-            )
+        ids, held, lengths, flats, size = [], [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            flat, n = np.concatenate(flats), np.concatenate(lengths)
+            learns = ~np.array(held, bool)
+            own = np.repeat(learns, n)
+            tokens = _pieces(flat)
+            ends = np.flatnonzero((flat == 32) | (flat == mixer.END))
+            train = np.bincount(tokens.indices.to_numpy()[own[ends]], minlength=len(tokens.dictionary))
+            words = b"\n".join(x[:-1] for x in tokens.dictionary.to_pylist())
+            row = {
+                "chunk": (part << 32) + number, "ids": ids, "held": held, "lengths": n.astype(np.int32), "flat": flat.tobytes(), "vocabulary": words,
+                "train": train.astype(np.int32), "bytes": np.bincount(flat[own], minlength=256),
+            }
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for i, h, t in zip(batch["id"], batch["held"], batch["text"], strict=True):
-                lower = (t or b"").lower()
-                kind = bytes([FIRST + int(((_shape([lower]) - classes) ** 2).sum(1).argmin())])
-                found = lower.split()
-                counts = Counter(found)
-                counts[b""] = 1
-                ids.append(None if i is None else i.decode())
-                held.append(bool(h))
-                tokens.append(len(found) + 1)
-                at.append(np.fromiter((vocabulary.setdefault(kind + w, len(vocabulary)) for w in counts), np.uint32, len(counts)))
-                times.append(np.fromiter(counts.values(), np.uint32, len(counts)))
-                size += len(t or b"")
+            texts = batch.column(2).fill_null(b"")
+            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int32)
+            for at in np.split(np.arange(len(texts)), np.searchsorted(np.cumsum(sizes), np.arange(CHUNK_BYTES, sizes.sum(), CHUNK_BYTES))):
+                if not len(at):
+                    continue
+                some = texts.slice(int(at[0]), len(at))
+                offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+                raw = np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if some.buffers()[2] else np.zeros(0, np.uint8)
+                flat, n = mixer.serialised(raw, (offsets[1:] - offsets[0]).astype(np.int64))
+                flats.append(flat)
+                lengths.append(n)
+                ids += batch.column(0).slice(int(at[0]), len(at)).to_pylist()
+                held += batch.column(1).slice(int(at[0]), len(at)).to_pylist()
+                size += len(flat)
                 if size >= CHUNK_BYTES:
                     yield made()
                     number += 1
-                    vocabulary.clear()
-                    ids, held, tokens, at, times, size = [], [], [], [], [], 0
+                    ids, held, lengths, flats, size = [], [], [], [], 0
         if ids:
             yield made()
 
-    return rows.mapInPandas(
-        pack, "chunk long, vocabulary binary, train array<long>, ids array<string>, held array<boolean>, tokens array<long>, distinct array<int>, places binary, tf binary"
-    )
+    return rows.mapInArrow(pack, "chunk long, ids array<string>, held array<boolean>, lengths array<int>, flat binary, vocabulary binary, train array<int>, bytes array<bigint>")
 
 
-def _batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in rows:
-        for k in range(0, len(batch), BATCH_WORDS):
-            yield batch.iloc[k : k + BATCH_WORDS]
-
-
-def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Context counts of the words of a task, each distinct word once: the spelling is for what the counts of words leave."""
-    n = np.zeros((len(ORDERS), 2 << SLOT_BITS), np.float32)
-    for batch in _batches(rows):
-        flat, starts, place = _spelled(list(batch["word"]))
-        node, bit = _bits(flat)
-        for k, context in enumerate(_contexts(flat, starts, place)):
-            at = (_slots(context, node) * 2 + bit).ravel()
-            np.add.at(n[k], at, np.float32(1))
-    for k in range(len(ORDERS)):
-        for b, part in enumerate(np.split(n[k], BLOCKS)):
-            if part.any():
-                yield pd.DataFrame({"order": [k], "block": [b], "n": [part.tobytes()]})
-
-
-def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((2 << SLOT_BITS) // BLOCKS, np.float32)
-    for raw in rows["n"]:
-        total += np.frombuffer(raw, np.float32)
-    return pd.DataFrame({"order": [key[0]], "block": [key[1]], "n": [total.tobytes()]})
-
-
-def fitted(words: DataFrame, distinct: int) -> Model:
-    """The model of ``words(word binary, c)``, a written table of training words and their counts."""
-    spark = words.sparkSession
-    tasks = max(1, -(-distinct // TASK_WORDS))
-    counts = words.coalesce(tasks).mapInPandas(_counted, "order int, block int, n binary")
-    n = np.zeros((len(ORDERS), BLOCKS, (2 << SLOT_BITS) // BLOCKS), np.float32)
-    # 2 ** SLOT_BITS counts for each order and bit, whatever the input.
-    for r in counts.groupBy("order", "block").applyInPandas(_summed, "order int, block int, n binary").toLocalIterator():
-        n[r["order"], r["block"]] = np.frombuffer(r["n"], np.float32)
-    n = n.reshape(len(ORDERS), 1 << SLOT_BITS, 2)
-    shared = spark.sparkContext.broadcast(n)
-
-    def learn(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, seen = Model(shared.value), 0
-        for batch in _batches(rows):
-            for k in range(0, len(batch), 256):
-                part = list(batch["word"].iloc[k : k + 256])
-                model.learn(part)
-                seen += len(part)
-        if seen:
-            yield pd.DataFrame({"seen": [seen], "weights": [model.weights.tobytes()]})
-
-    every = max(1, distinct // MIXER_WORDS)
-    sample = words.where(F.pmod(F.xxhash64("word"), F.lit(every)) == 0).coalesce(4)
-    parts = [(r["seen"], np.frombuffer(r["weights"], np.float32)) for r in sample.mapInPandas(learn, "seen long, weights binary").collect()]
-    model = Model(n)
-    if parts:
-        model.weights = (sum(s * w.astype(np.float64) for s, w in parts) / sum(s for s, _ in parts)).astype(np.float32).reshape(model.weights.shape)
-    return model
+def _split(lengths: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of texts in batches of about ``most`` bytes."""
+    before = np.cumsum(lengths) - lengths
+    return np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(before // most)) + 1) if len(lengths) else []
+
+
+def _tables(chunks: DataFrame, code: mixer.Code, slots: int, tasks: int) -> DataFrame:
+    """``(order, block, part, n)``: the tables of each counting task, in blocks; the last order is the histogram of inputs, the one after it that of matches."""
+    counts = code.counts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, part = mixer.Learner(mixer.Code(counts), slots), TaskContext.get().partitionId()
+        for batch in batches:
+            for lengths, held, flat in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                n = np.asarray(lengths.values)
+                learns = ~np.asarray(held.values.to_numpy(zero_copy_only=False), bool)
+                own = np.frombuffer(flat.as_buffer(), np.uint8)[np.repeat(learns, n)]
+                n = n[learns].astype(np.int64)
+                ends = np.cumsum(n)
+                for at in _split(n, LEARN_BYTES):
+                    learner.add(own[ends[at[0]] - n[at[0]] : ends[at[-1]]], n[at])
+        if learner.seen:
+            for order, table in enumerate([*learner.counts, learner.cells, learner.matches]):
+                for block, some in enumerate(np.split(table, BLOCKS if len(table) % BLOCKS == 0 else 1)):
+                    if some.any():
+                        yield pa.RecordBatch.from_pydict({"order": pa.array([order], pa.int32()), "block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([some.astype("<i8" if order >= len(learner.counts) else "<i4").tobytes()])})
+
+    return chunks.select("lengths", "held", "flat").coalesce(tasks).mapInArrow(count, "order int, block int, part int, n binary")
+
+
+def _summed(last: bool, slots: int):
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        order = key[0]
+        total = sum(np.frombuffer(raw, "<i8" if order >= len(mixer.ORDERS) else "<i4").astype(np.int64) for raw in rows["n"])
+        if order >= len(mixer.ORDERS):
+            used = np.flatnonzero(total) if last else None
+            raw = np.concatenate([used, total[used]]).tobytes() if last else total.tobytes()
+        else:  # beyond 2 ** 30 only the proportion of the two counts matters
+            halves = np.maximum(total.reshape(-1, 2).max(1) >> 30, 0)
+            total = (total.reshape(-1, 2) >> np.ceil(np.log2(halves + 1)).astype(np.int64)[:, None]).ravel()
+            raw = mixer.stretched(total).tobytes() if last else total.astype("<i4").tobytes()
+        return pd.DataFrame({"order": [order], "block": [key[1]], "part": [key[2]], "n": [raw]})
+
+    return add
+
+
+def fitted(chunks: DataFrame) -> mixer.Model:
+    """The model of the training documents of the written ``chunks``."""
+    spark = chunks.sparkSession
+    rows = chunks.select(F.posexplode("bytes").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(256, np.int64)
+    for r in rows:
+        counts[r["byte"]] = r["n"]
+    total = int(counts.sum())
+    code, slots = mixer.Code(counts), mixer.slot_bits(total)
+    tasks = max(1, -(-total // MOST_TASK_BYTES), min(-(-total // TASK_BYTES), COUNT_TASKS))
+    schema = "order int, block int, part int, n binary"
+    parts, left = written(_tables(chunks, code, slots, tasks), "context-counts"), tasks
+    while True:
+        last = left <= FAN
+        grouped = parts.groupBy("order", "block", F.floor(F.col("part") / FAN).cast("int").alias("part"))
+        step = written(grouped.applyInPandas(_summed(last, slots), schema), "context-counts")
+        dropped(spark, parts)
+        parts, left = step, -(-left // FAN)
+        if last:
+            break
+    tables = [np.zeros(1 << slots, np.int8) for _ in mixer.ORDERS]
+    cells, matches = [np.zeros((2, 0), np.int64)], np.zeros(32, np.int64)
+    # A byte for each slot, whatever the input, and the cells of the histogram that hold something.
+    for r in parts.toLocalIterator():
+        order, block = r["order"], r["block"]
+        if order < len(mixer.ORDERS):
+            size = (1 << slots) // BLOCKS
+            tables[order][block * size : (block + 1) * size] = np.frombuffer(r["n"], np.int8)
+            continue
+        used, n = np.frombuffer(r["n"], "<i8").reshape(2, -1)
+        if order == len(mixer.ORDERS):
+            cells.append(np.array([used + block * (mixer.CELLS // BLOCKS), n]))
+        else:
+            matches[used] = n
+    dropped(spark, parts)
+    used, n = np.concatenate(cells, 1)
+    cell = np.unique(used >> 1)
+    by_bit = np.zeros((2, len(cell)), np.int64)
+    by_bit[used & 1, np.searchsorted(cell, used >> 1)] = n
+    odds = mixer.match_odds(matches)
+    return mixer.Model(code, tables, mixer.fitted(cell, *by_bit, odds), odds)
 
 
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of each row of ``docs``.
+    """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)`` of each row of ``docs``.
 
     Tokens are the words of the text, A-Z lower-cased, and one end; null and blank texts have the end alone. base_score is the add-one unigram's log10
-    probability, score the mixing model's, both learned from the rows that aren't held out. With no training rows every word is unknown. Ids may repeat and be
-    null; rows stand for themselves. An empty table gives no rows.
+    probability, score the mixing model's of the words in their order, and bits_per_byte its bits for a byte of the words, a blank after each and the end. Both are learned from the rows that aren't held out. With no training
+    rows every word is unknown and all bits are as likely as their codes. Ids may repeat and be null; rows stand for themselves. An empty table gives no rows.
     """
     spark, kind = docs.sparkSession, docs.schema[id].dataType.simpleString()
-    rows = _rows(docs, id, text)
-    classes = centroids(rows)
-    chunks = written(_packed(rows, classes), "chunks")
+    rows = docs.select(F.col(id).cast("string").alias("id"), held_out(F.col(id)).alias("held"), F.col(text).cast("string").cast("binary").alias("text"))
+    chunks = written(_packed(rows), "chunks")
     listed = F.split(F.col("vocabulary").cast("string"), "\n", -1)
     all_words = chunks.select(F.inline_outer(F.arrays_zip(listed.alias("word"), F.col("train").alias("c")))).toDF("word", "c")
     words = written(all_words.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    letter, plain = F.substring("word", 1, 1), F.expr("substring(word, 2)")
-    overall = written(words.groupBy(plain.alias("plain")).agg(F.sum("c").alias("c_all")), "all-words")
-    total, known = overall.agg(F.coalesce(F.sum("c_all"), F.lit(0)), F.count_if(F.col("c_all") > 0)).first()
-    binary = words.select(F.col("word").cast("binary").alias("word"), "c")
-    model = fitted(binary.where("c > 0"), known)
-    shared = spark.sparkContext.broadcast((model.n, model.weights))
-
-    def spell(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*shared.value)
-        for batch in _batches(rows):
-            yield pd.DataFrame({"word": batch["word"], "c": batch["c"], "spelled": model.log2(list(batch["word"]))})
-
-    spelled = binary.mapInPandas(spell, "word binary, c long, spelled double").select(F.col("word").cast("string").alias("word"), "c", "spelled")
-    spelled = spelled.withColumn("plain", plain).join(overall, "plain").drop("plain")
-    # A row for each class: its training tokens and distinct words.
-    sizes = {r[0]: (r[1], r[2]) for r in words.groupBy(letter).agg(F.sum("c"), F.count_if(F.col("c") > 0)).collect()}
-    of_class = lambda k: F.create_map(*[F.lit(x) for name, v in sizes.items() for x in (name, v[k])])[letter] if sizes else F.lit(0)
-    spelled = written(spelled.withColumn("n_class", of_class(0)).withColumn("v_class", of_class(1)), "spelled")
-
-    def p(discount: float, part: float, less: int) -> Column:
-        """Of a word, from counts that are less by its own token where it is tried on the training tokens."""
-        c, n, v = F.col("c") - less, F.col("n_class") - less, F.col("v_class")
-        rest = (1 - part) * (F.col("c_all") - less) / max(total - less, 1) + part * F.pow(F.lit(2.0), "spelled")
-        return F.when(n > 0, F.greatest(c - discount, F.lit(0)) / n + F.least(discount * v / n, F.lit(1)) * rest).otherwise(rest)
-
-    tried = [(d, g) for d in DISCOUNTS for g in SPELLED]
-    trial = spelled.where("c > 0").agg(*[F.sum(F.col("c") * F.log(p(d, g, 1))).alias(str(k)) for k, (d, g) in enumerate(tried)]).first()
-    discount, part = tried[max(range(len(tried)), key=lambda k: trial[k] if trial[k] is not None else -math.inf)] if total else (0.5, 1.0)
-    judged = spelled.select("word", F.col("c_all").alias("c"), F.log10(p(discount, part, 0)).alias("log10"))
-
+    total, known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    model = fitted(chunks)
+    shared = spark.sparkContext.broadcast(model)
     asked = chunks.select("chunk", F.posexplode_outer(once(listed)).alias("place", "word"))
-    answered = asked.join(judged, "word").select("chunk", "place", "c", "log10")
+    answered = asked.join(words, "word").select("chunk", "place", F.col("c").cast("long").alias("c"))
     base = math.log10(total + known + 1)
-    out = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
 
     def scored(key: tuple, answers: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        if not len(chunk):
-            return pd.DataFrame({"id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-        r = chunk.iloc[0]
-        c, log10 = np.zeros(len(answers), np.int64), np.zeros(len(answers))
-        c[answers["place"]], log10[answers["place"]] = answers["c"], answers["log10"]
-        places, tf = np.frombuffer(r["places"], np.uint32), np.frombuffer(r["tf"], np.uint32)
-        starts = np.cumsum(r["distinct"]) - r["distinct"]
-        add = lambda v: np.add.reduceat(v, starts)
-        n, p = np.asarray(r["tokens"]), np.maximum(10.0**log10, 1e-300)
-        urns = np.array([add(_log_rising(u * p[places], tf)) - _log_rising(np.full(len(n), u), n) for u in URNS])
-        score = (urns.max(0) + np.log(np.exp(urns - urns.max(0)).mean(0))) / math.log(10) - math.log10(len(classes))
+        r, mine = chunk.iloc[0], shared.value
+        n, flat = np.asarray(r["lengths"], np.int64), np.frombuffer(r["flat"], np.uint8)
+        c = np.zeros(len(answers), np.int64)
+        c[answers["place"].to_numpy()] = answers["c"].to_numpy()
+        own = c[_pieces(flat).indices.to_numpy()]
+        ends = np.flatnonzero((flat == 32) | (flat == mixer.END))
+        last = np.flatnonzero(flat[ends] == mixer.END)
+        first = np.append(0, last[:-1] + 1)
+        upto = np.cumsum(n)
+        bits = np.concatenate([mine.bits(flat[upto[at[0]] - n[at[0]] : upto[at[-1]]], n[at]) for at in _split(n, SCORE_BYTES)])
+        tokens = np.diff(np.append(first, len(own)))
         return pd.DataFrame(
             {
-                "id": list(r["ids"]), "held_out": list(r["held"]), "n_tokens": list(r["tokens"]), "n_known": add(tf * (c > 0)[places]).astype(np.int64),
-                "base_score": add(tf * (np.log10(c + 1) - base)[places]), "score": score,
+                "id": list(r["ids"]), "held_out": list(r["held"]), "n_tokens": tokens, "n_known": np.add.reduceat((own > 0).astype(np.int64), first),
+                "base_score": np.add.reduceat(np.log10(own + 1), first) - tokens * base, "score": -bits * math.log10(2), "bits_per_byte": bits / n,
             }
         )
 
-    postings = chunks.select(F.col("chunk").alias("of"), "ids", "held", "tokens", "distinct", "places", "tf")
-    found = answered.groupBy("chunk").cogroup(postings.groupBy("of")).applyInPandas(scored, out)
-    return found.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    texts = chunks.select(F.col("chunk").alias("of"), "ids", "held", "lengths", "flat")
+    found = answered.groupBy("chunk").cogroup(texts.groupBy("of")).applyInPandas(scored, out)
+    return found.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
