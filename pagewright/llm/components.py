@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, small, written
+
+#: Tasks among which the links of one node are dealt.
+SALTS = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Star contraction: each round first links a node's larger neighbours to the smallest node of its neighbourhood, then
     does the same with the smaller ones, until every edge points at its root. Each round is two aggregations with
-    map-side combine and a join; a hub's rows are split by adaptive execution. Edges from a node to itself and
+    map-side combine and a join in which a hub's links are salted. Edges from a node to itself and
     repeated edges do no harm; an empty graph gives no rows.
     """
     now = written(edges.select("a", "b").where("a <> b"), "edges")
@@ -36,8 +39,8 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     """Edges (greater, smaller) after one star operation; ``links`` holds both directions for the larger star."""
     if not larger:
         links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = links.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    joined = links.join(least, "a")
+    least = written(links.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+    joined = _joined(links, least)
     if larger:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             least.where("m < a").select("a", F.col("m").alias("b"))
@@ -45,3 +48,12 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
         least.select("a", F.col("m").alias("b"))
     )
+
+
+def _joined(links: DataFrame, least: DataFrame) -> DataFrame:
+    """``links`` with the ``m`` of their ``a``. A hub's links are dealt to SALTS tasks by their other end; a small ``least`` goes to all."""
+    marked = small(least)
+    if marked is not least:
+        return links.join(marked, "a")
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return links.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS))).join(salted, ["a", "salt"]).drop("salt")

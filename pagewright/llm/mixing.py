@@ -99,14 +99,16 @@ def seeded(id: Column, seed: str) -> Column:
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: Column | None = None, weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with the struct ``mix``: size, source_size, target, taken.
 
-    ``sources`` is an array of source names, by default the one in the column source; null is a source, and comes last. size is
+    ``sources`` is an array of source names, by default the one in the column source; null is a source, and comes last; a null or empty array is that source. size is
     the words of the text, null having none. source_size and target are those of the document's first source. taken is the words that
     the mix takes of the document, its repeats counted, ``most`` times its size at most: whole passes over a pattern's
     documents, and of one more pass those first by a seeded hash, up to the one nearest to what is left. Reruns agree. Rows with equal ids and sizes are
     ordered by a hash of the text and may be taken differently if they still tie. Empty tables give empty tables; a column named mix is replaced.
     """
     own = [c for c in docs.columns if c.lower() != "mix"]
-    member = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(docs["source"])
+    none = F.array(F.lit(None).cast("string"))
+    member = F.array_sort(F.array_distinct(sources.cast("array<string>"))) if sources is not None else F.array(docs["source"])
+    member = F.when(F.coalesce(F.size(member), F.lit(0)) > 0, member).otherwise(none)
     rows = docs.select(
         F.struct(*own).alias("row"), member.cast("array<string>").alias("pattern"), F.size(words(docs[text])).cast("long").alias("size"),
         F.concat(seeded(docs[id], seed), F.md5(F.coalesce(docs[text], F.lit("")))).alias("place"),

@@ -12,12 +12,14 @@ def _count(text: str, pattern: str) -> str:
 
 _quoted = lambda s: s.replace("'", "''")
 
+EDGED = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {SPLIT.format("coalesce(text, '')")} AS w FROM documents),
-l AS (SELECT r, line, lower(trim(line)) AS p FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT r, line, lower({EDGED}) AS p FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 j AS (SELECT *, regexp_matches(p, '{_quoted(quality.TERMINAL)}') AND NOT regexp_matches(p, '^({quality.NAVIGATION})[ .:]*$') AND NOT regexp_matches(p, '( [|>»·] .*){{2}}')
-  AND {_count('p', quality.SYMBOLS)} * 2 < {_count('p', '[ \\t]+')} + 1 AND {_count('p', '!')} * 2 <= {_count('p', '[ \\t]+')} + 1 AND NOT regexp_matches(p, '{quality.BOILERPLATE}') AS good FROM l),
-s AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count_if(good) AS n_clean_lines, sum(length(trim(line))) AS line_chars, coalesce(sum(length(trim(line))) FILTER (good), 0) AS clean_chars FROM j GROUP BY r),
+  AND {_count('p', quality.SYMBOLS)} * {quality.CHARS_A_SYMBOL} < length(p) AND {_count('p', '!')} * {quality.CHARS_A_SYMBOL} <= length(p) AND (length(p) > {quality.BOILERPLATE_CHARS} OR NOT regexp_matches(p, '{quality.BOILERPLATE}')) AS good FROM l),
+s AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count_if(good) AS n_clean_lines, sum(length({EDGED})) AS line_chars, coalesce(sum(length({EDGED})) FILTER (good), 0) AS clean_chars FROM j GROUP BY r),
 g AS (SELECT r, i, w[i:i+4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM t) GROUP BY r),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import let, once, words
 
-SYMBOLS = "[#*$%&|<>]"
-WINDOW = 5
+SYMBOLS, SYMBOL_CHARS = "[#*$%&|<>]", "#*$%&|<>"
+EDGES = " \t\x0b\x0c\r"
+WINDOW, CHARS_A_SYMBOL, BOILERPLATE_CHARS = 5, 12, 160
 
 # What a prose line may end with, phrases of boilerplate, first words of navigation lines.
 TERMINAL = r"[.!?:;,…。！？؟।][\"'”’»)\]]*$"
@@ -29,15 +30,22 @@ LEAST_LEFT = 0.5
 def line_passes(line: Column) -> Column:
     """Punctuation, navigation and boilerplate rules for one line that has a word.
 
-    Punctuation: it ends like a sentence, has under one symbol of ``#*$%&|<>`` for two words, under one
-    exclamation mark for two words. Navigation: not a menu entry, not a row of links. Boilerplate: none of
-    the phrases.
+    White space at its ends doesn't count. Punctuation: it ends like a sentence, has under one symbol of ``#*$%&|<>`` and at most one exclamation mark for
+    CHARS_A_SYMBOL characters. Navigation: not a menu entry, not a row of links. Boilerplate: none of the phrases, unless the line is a
+    paragraph of over BOILERPLATE_CHARS characters that may well speak of them. The cheap rules come first.
     """
-    plain = F.lower(F.trim(line))
-    spaces = F.regexp_count(plain, F.lit("[ \\t]+")) + 1
-    navigation = plain.rlike(f"^({NAVIGATION})[ .:]*$") | plain.rlike("( [|>»·] .*){2}")
-    noisy = (F.regexp_count(plain, F.lit(SYMBOLS)) * 2 >= spaces) | (F.regexp_count(plain, F.lit("!")) * 2 > spaces)
-    return plain.rlike(TERMINAL) & ~navigation & ~noisy & ~plain.rlike(BOILERPLATE)
+    return let(
+        F.lower(F.btrim(line, F.lit(EDGES))),
+        lambda plain: plain.rlike(TERMINAL)
+        & (_count(plain, SYMBOL_CHARS) * CHARS_A_SYMBOL < F.length(plain))
+        & (_count(plain, "!") * CHARS_A_SYMBOL <= F.length(plain))
+        & ~plain.rlike(f"^({NAVIGATION})[ .:]*$|( [|>»·] .*){{2}}")
+        & ((F.length(plain) > BOILERPLATE_CHARS) | ~plain.rlike(BOILERPLATE)),
+    )
+
+
+def _count(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
 def _covered(keys: Column) -> Column:
@@ -80,12 +88,12 @@ def quality(docs: DataFrame, text: str = "text", least_left: float = LEAST_LEFT)
         F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
     row = row.withColumn("keys", once(keys)).withColumn("clean", once(F.filter("lines", line_passes)))
-    chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(F.trim(x)))
+    chars = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.length(F.btrim(x, F.lit(EDGES))))
     row = row.select(
         "row",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        _count(F.col("text"), SYMBOL_CHARS).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         once(_covered(F.col("keys"))).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
@@ -101,7 +109,7 @@ def quality(docs: DataFrame, text: str = "text", least_left: float = LEAST_LEFT)
     return row.withColumn("kept", kept).select(*[F.col("row")[c].alias(c) for c in out], F.struct(*figures, "kept").alias("quality"))
 
 
-def kept(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns."""
-    judged = quality(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", docs[text].alias("_text")), "_text")
-    return judged.where("quality.kept").select("_row.*")
+def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with their own columns; the text without the lines that fail, which may leave fewer words than the base rules ask for."""
+    judged = quality(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", docs[text].alias("_text")), "_text").where("quality.kept")
+    return judged.select(*[F.col("quality.clean_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

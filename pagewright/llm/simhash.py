@@ -1,9 +1,9 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-The index has three levels. Top: four masks, one for each 16-bit block of the fingerprint; of two fingerprints at most
-three bits apart, one block at least is equal, so the groups that share a masked block hold every link. Middle: a group's
-fingerprints, sorted by Gray rank, are cut into leaves; a leaf's bits that all its members share are its mask and pattern.
-Bottom: sixteenths of a leaf with the same factoring. Pairs of leaves and then of nodes are dropped as soon as the
+The index is a tree. Top: four masks, one for each 16-bit block of the fingerprint; of two fingerprints at most
+three bits apart, one block at least is equal, so the groups that share a masked block hold every link. Below, a group's
+fingerprints, sorted by Gray rank, are cut into leaves; the bits that all members of a leaf share are its mask and pattern. As many levels of nodes
+as the largest group needs stand over the leaves, and sixteenths of a leaf under it, with the same factoring. Pairs of nodes are dropped from the top, with all that is below them, as soon as the
 differences in the bits that both fix exceed the distance; only what is left is compared bit by bit.
 """
 
@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
-from .common import ascii_lower, once, shingles, words, written
+from .common import ascii_lower, once, shingles, small, words, written
 from .components import components
 
 WIDTH, BITS, DISTANCE, BLOCK = 3, 64, 3, 16
-LEAF, NODE = 256, 16
+LEAF, NODE, FANOUT = 256, 16, 16
 
 
 @F.pandas_udf(LongType())
@@ -180,16 +181,42 @@ def links(fps: DataFrame) -> DataFrame:
         rows.mapInPandas(_leaves, "mask int, block int, leaf long, shared long, pattern long, fps binary"), "gray-leaves"
     )
     inside = leaf.where("length(fps) > 8").mapInPandas(_within, "a long, b long")
-    many = leaf.groupBy("mask", "block").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    some = leaf.join(many, ["mask", "block"])
-    one = some.select("mask", "block", "leaf", "shared", "pattern", "fps")
-    two = some.select("mask", "block", *[F.col(c).alias(c + "2") for c in ("leaf", "shared", "pattern", "fps")])
-    pairs = one.join(two, ["mask", "block"]).where(
-        "leaf < leaf2 and bit_count((pattern ^ pattern2) & shared & shared2) <= " + str(DISTANCE)
-    )
+    pairs = _leaf_pairs(leaf)
     return inside.union(pairs.select("fps", "fps2").mapInPandas(_between, "a long, b long"))
 
 
+def _leaf_pairs(leaf: DataFrame) -> DataFrame:
+    """``(fps, fps2)`` of the pairs of leaves of a group that may hold a link.
+
+    Nodes over leaves are a tree in each group: FANOUT neighbours in Gray order share a parent, which has the bits that all of them share. From the top, pairs of
+    nodes whose shared bits differ in more than DISTANCE places are dropped with all that is below them; the children of the others are paired.
+    """
+    order = Window.partitionBy("mask", "block").orderBy("leaf")
+    of_group = Window.partitionBy("mask", "block")
+    level = leaf.withColumn("node", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(of_group)).where("n > 1")
+    level = written(level.select("mask", "block", F.col("node").cast("long"), "shared", "pattern", "n", "fps"), "gray-nodes")
+    levels, most = [level], level.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    while most > FANOUT:
+        below = levels[-1].groupBy("mask", "block", F.floor(F.col("node") / FANOUT).alias("node")).agg(
+            F.bit_and("shared").alias("shared"), F.bit_and("pattern").alias("ones"), F.bit_or("pattern").alias("any")
+        )
+        shared = F.col("shared").bitwiseAND(F.bitwise_not(F.col("ones").bitwiseXOR(F.col("any"))))
+        levels.append(written(below.select("mask", "block", "node", shared.alias("shared"), F.col("ones").bitwiseAND(shared).alias("pattern")), "gray-nodes"))
+        most = -(-most // FANOUT)
+    near = f"bit_count((pattern ^ pattern2) & shared & shared2) <= {DISTANCE}"
+    keys = ["mask", "block", "node", "shared", "pattern"]
+    twice = lambda df, *more: df.select("mask", "block", *[F.col(c).alias(c + "2") for c in (*keys[2:], *more)])
+    top = levels[-1]
+    pairs = top.select(keys).join(twice(top), ["mask", "block"]).where(f"node <= node2 and {near}").select("mask", "block", "node", "node2")
+    for below in reversed(levels[:-1]):
+        up = lambda df, c: df.withColumn("up" + c, F.floor(F.col("node" + c) / FANOUT))
+        pairs = pairs.select("mask", "block", F.col("node").alias("up"), F.col("node2").alias("up2"))
+        pairs = pairs.join(up(below.select(keys), ""), ["mask", "block", "up"]).join(up(twice(below), "2"), ["mask", "block", "up2"])
+        pairs = pairs.where(f"node <= node2 and {near}").select("mask", "block", "node", "node2")
+    pairs = pairs.where("node < node2").join(level.select("mask", "block", "node", "fps"), ["mask", "block", "node"])
+    return pairs.join(level.select("mask", "block", F.col("node").alias("node2"), F.col("fps").alias("fps2")), ["mask", "block", "node2"])
+
+
 def _groups(prints: DataFrame) -> DataFrame:
     """``(fp, root, component_id)`` for each distinct value of the written ``prints(id, fp)``; root is a fingerprint of the component."""
     values = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
@@ -215,15 +242,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the row with the smallest id, with all its columns.
 
-    Of rows that share a component's smallest id the first by a hash of all columns stays; null ids stay only in components without another id.
-    An id that names rows of several components stays once for each of those that it is the smallest of.
+    Of rows that share a component's smallest id the first by a hash of all columns stays, once if it is repeated; null ids stay only in components without another id.
+    An id that names rows of several components stays once for each of those that it is the smallest of. Who stays is settled on ids and
+    hashes; texts are joined with the rows to drop, and moved only if those are many.
     """
-    mark = F.xxhash64(*docs.columns)
+    mark = F.xxhash64(*[F.col(c) for c in docs.columns])
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), mark.alias("mark"))
     prints = written(fingerprint(own).select("id", "mark", "fp"), "fingerprints")
-    rooted = prints.join(_groups(prints.select("id", "fp")).select("fp", "root"), "fp")
+    keys = prints.groupBy("id", "mark", "fp").agg(F.count("*").alias("n"))
+    rooted = written(keys.join(_groups(prints.select("id", "fp")).select("fp", "root"), "fp").select("id", "mark", "n", "root"), "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
-    keep = first.select(F.col("first.id").alias("_keep"), F.col("first.mark").alias("_mark"))
-    kept = docs.join(keep, docs[id].eqNullSafe(keep["_keep"]) & (mark == keep["_mark"]), "left_semi")
-    # Only equal rows share an id and a hash now.
-    return kept.groupBy(id, mark.alias("_mark")).agg(F.first(F.struct(*kept.columns)).alias("_row")).select("_row.*")
+    judged = rooted.join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
+    fate = judged.where("n > 1 or not stays").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "stays")
+    fate = small(written(fate, "dropped-copies"))
+    rows = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(id).alias("_of"), mark.alias("_hash"))
+    told = rows.join(fate, rows["_of"].eqNullSafe(fate["_id"]) & (rows["_hash"] == fate["_mark"]), "left")
+    once_only = told.where("stays").groupBy("_id", "_mark").agg(F.first("_row").alias("_row"))  # equal rows only
+    return told.where("stays is null").select("_row.*").unionByName(once_only.select("_row.*"))

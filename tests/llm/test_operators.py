@@ -58,11 +58,23 @@ def test_quality(docs, empty):
         assert q["base_failed"] == (len(w) < 10 or 100 * len(again) > 20 * len(w))
         assert not (q["kept"] and q["base_failed"])
     assert quality.quality(empty).count() == 0
-    kept = quality.kept(docs)
+    kept = quality.cleaned(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} >= {1, 7} and not {r["doc_id"] for r in kept.collect()} & {2, 3, 4, 5, 8, 9}
 
 
+def test_lines_are_cleaned(spark):
+    one, two, three = "This line is a sentence of its own and ends well.", "Another one stands right below it, quite unlike the first.", "The last of them closes the text without any fuss."
+    essay = "Many people have written about what a privacy policy should say to its readers, in plain words or in those of lawyers, and this essay sums up some of what was said there, without an end."
+    texts = [
+        f"{one}\t\n {two}\r\nHome\nRead our privacy policy.\n{three}  ", f"{essay}\n{two}", "这个句子里有百分之五十(50%)的人都同意这种说法,而且他们还有别的看法要说。 第 二 句 话 也 在 这 里 面 没 有 问 题 呢。",
+        f"Home | Next > Share | Menu.\nAll of it | with bars | between the words, so it goes.\n{one}",
+    ]
+    rows = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    out = {r["doc_id"]: r["text"] for r in quality.cleaned(rows).collect()}
+    assert out == {0: f"{one}\t\n {two}\r\n{three}  ", 1: texts[1], 2: texts[2]}
+
+
 def fingerprint(t):
     h = [xxhash.xxh64_intdigest(" ".join(s).encode(), seed=42) for s in shingles(t, 3)]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
@@ -130,6 +142,30 @@ def test_close_fingerprints_by_the_index(spark):
     assert len(set(zip(mine, group, strict=True))) == len(set(mine)) == len(set(group))
 
 
+def test_a_tree_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 4)
+    monkeypatch.setattr(simhash, "FANOUT", 3)
+    rng = np.random.default_rng(3)
+    head = int(rng.integers(0, 1 << 16)) << 48  # one block for all: a group of many leaves
+    values = sorted({head | int(x) for x in rng.integers(0, 1 << 47, 150)} | {head | int(x) << 20 for x in rng.integers(0, 1 << 12, 60)})
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    from pagewright.llm.components import components
+
+    roots = {r["node"]: r["root"] for r in components(simhash.links(spark.createDataFrame([(signed(v),) for v in values], "fp long"))).collect()}
+    want = grouped(values, lambda a, b: (a ^ b).bit_count() <= 3)
+    mine = [roots.get(signed(v), signed(v)) for v in values]
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want)) < len(values)
+
+
+def test_components_with_salted_hubs(spark, monkeypatch):
+    from pagewright.llm import components
+
+    monkeypatch.setattr(components, "small", lambda df: df)
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 340)] + [(500, 500)]
+    out = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {k: 0 for k in range(200)} | {k: 300 for k in range(300, 341)}
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, ITEM), (2, "nothing like it in any of the documents at all"), (3, None), (4, ""), (5, "word"), (1, ITEM)], "item_id long, text string")
     found = {(r["doc"], r["item"]) for r in decontaminate.contained(docs, items).collect()}
@@ -278,6 +314,13 @@ def test_mixing(docs, empty):
     assert mixing.selected(docs).columns == docs.columns
 
 
+def test_mixing_of_overlapping_empty_and_null_sources(spark):
+    rows = [(1, "a b c d", ["x", "y"]), (2, "a b", ["x"]), (3, "a b c", []), (4, "a", None), (5, "a b", [None, "y"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of array<string>")
+    out = {r["doc_id"]: r["mix"] for r in mixing.mixed(docs, sources=F.col("of")).collect()}
+    assert set(out) == {1, 2, 3, 4, 5} and out[3]["source_size"] == out[4]["source_size"] == 6 and all(m["taken"] <= 3 * m["size"] for m in out.values())
+
+
 def test_flow_prefers_first_uses():
     assert mixing.routed([(("a",), 10), (("a", "b"), 10)], {"a": 12, "b": 8}) == [10, 10]
     assert mixing.targets([100, 1, 1]) == [96.0, 3.0, 3.0]
