@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import mixer
 from .common import dropped, once, written
 
-CHUNK_BYTES, LEARN_BYTES, SCORE_BYTES = 32 << 20, 1 << 19, 2 << 20
+CHUNK_BYTES, SCORE_BYTES = 24 << 20, 2 << 20
 #: Text of a counting task: at least, and at most where there are over COUNT_TASKS.
 TASK_BYTES, MOST_TASK_BYTES, COUNT_TASKS = 48 << 20, 1 << 30, 64
 #: Blocks of a table, and tables that are added up in one group.
@@ -94,12 +94,6 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, "chunk long, ids array<string>, held array<boolean>, lengths array<int>, flat binary, vocabulary binary, train array<int>, bytes array<bigint>")
 
 
-def _split(lengths: np.ndarray, most: int) -> list[np.ndarray]:
-    """Places of texts in batches of about ``most`` bytes."""
-    before = np.cumsum(lengths) - lengths
-    return np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(before // most)) + 1) if len(lengths) else []
-
-
 def _tables(chunks: DataFrame, code: mixer.Code, slots: int, tasks: int) -> DataFrame:
     """``(order, block, part, n)``: the tables of each counting task, in blocks; the last order is the histogram of inputs, the one after it that of matches."""
     counts = code.counts
@@ -113,7 +107,7 @@ def _tables(chunks: DataFrame, code: mixer.Code, slots: int, tasks: int) -> Data
                 own = np.frombuffer(flat.as_buffer(), np.uint8)[np.repeat(learns, n)]
                 n = n[learns].astype(np.int64)
                 ends = np.cumsum(n)
-                for at in _split(n, LEARN_BYTES):
+                for at in mixer.pieces(n, mixer.PIECE):
                     learner.add(own[ends[at[0]] - n[at[0]] : ends[at[-1]]], n[at])
         if learner.seen:
             for order, table in enumerate([*learner.counts, learner.cells, learner.matches]):
@@ -214,7 +208,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
         last = np.flatnonzero(flat[ends] == mixer.END)
         first = np.append(0, last[:-1] + 1)
         upto = np.cumsum(n)
-        bits = np.concatenate([mine.bits(flat[upto[at[0]] - n[at[0]] : upto[at[-1]]], n[at]) for at in _split(n, SCORE_BYTES)])
+        bits = np.concatenate([mine.bits(flat[upto[at[0]] - n[at[0]] : upto[at[-1]]], n[at]) for at in mixer.pieces(n, SCORE_BYTES)])
         tokens = np.diff(np.append(first, len(own)))
         return pd.DataFrame(
             {

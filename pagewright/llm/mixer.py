@@ -24,6 +24,8 @@ PRIOR, CLIP, STEP = 0.4, 8.0, 127 / 8.0
 SEGMENT = 4096
 RATE, SECOND_RATE, SECOND_SHARE, BUCKETS = 0.03, 0.02, 0.25, 33
 END = 10
+#: Bytes of texts whose contexts are made at once: arrays of that size stay in the cache.
+PIECE = 1 << 17
 #: Steps of a mixed input.
 FINE = 128
 #: Levels of an input in the histogram that the gates' weights are fitted on.
@@ -66,9 +68,15 @@ class Code:
         node = (np.int64(1) << depth) | (codes[byte] >> left)
         self.bit = ((codes[byte] >> (left - 1)) & 1).astype(np.uint8)
         self.gate = np.minimum(depth, GATES - 1).astype(np.uint8)
-        self.node = (node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - 32)).astype(np.int64)
+        self.node = (node.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - 31)).astype(np.int32)
         # A match may be asked for more bits than its byte has.
-        self.bit, self.node = np.append(self.bit, np.zeros(MOST_DEPTH, np.uint8)), np.append(self.node, np.full(MOST_DEPTH, -1))
+        self.bit, self.node = np.append(self.bit, np.zeros(MOST_DEPTH, np.uint8)), np.append(self.node, np.full(MOST_DEPTH, -1, np.int32))
+
+
+def pieces(lengths: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of texts, in groups of about ``most`` bytes."""
+    before = np.cumsum(lengths) - lengths
+    return np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(before // most)) + 1) if len(lengths) else []
 
 
 def slot_bits(n_bytes: int) -> int:
@@ -81,11 +89,11 @@ class Batch:
     def __init__(self, flat: np.ndarray, lengths: np.ndarray, code: Code, slots: int):
         self.flat, self.lengths, self.code, self.slots = flat, lengths, code, slots
         self.starts = np.cumsum(lengths) - lengths
-        self.size = code.length[flat]
+        self.size = code.length.take(flat)
         self.first = np.cumsum(self.size) - self.size
-        self.at = np.arange(int(self.size.sum())) + np.repeat(code.offset[flat] - self.first, self.size)
-        self.bit, self.gate = code.bit[self.at], code.gate[self.at]
-        self.node = code.node[self.at]
+        at = np.repeat((code.offset.take(flat) - self.first), self.size)
+        at += np.arange(len(at))
+        self.bit, self.gate, self.node = code.bit.take(at), code.gate.take(at), code.node.take(at)
         self.tails = self._tails(max([*ORDERS, MATCH]))
 
     def _tails(self, n: int) -> np.ndarray:
@@ -103,8 +111,10 @@ class Batch:
         tail = (self.tails & ((1 << (8 * ORDERS[k])) - 1)).astype(np.uint64) + np.uint64(k + 1)
         tail = tail * np.uint64(0x9E3779B97F4A7C15)
         tail ^= tail >> np.uint64(31)
-        tail = (tail * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.slots)).astype(np.int64)
-        return np.repeat(tail, self.size) ^ (self.node & ((1 << self.slots) - 1))
+        tail = (tail * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.slots)).astype(np.int32)
+        slot = np.repeat(tail, self.size)
+        slot ^= self.node & np.int32((1 << self.slots) - 1)
+        return slot.astype(np.int64)
 
     def matched(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits that a match predicts: where they are, its run (1 to 15 bytes that it was right for), the bit."""
@@ -173,7 +183,7 @@ class Learner:
             cell *= 4 * MATCH_LEVELS
             cell += batch.bit
             cell[at] += ((run * 2 + bit) * 2).astype(np.int32)
-            self.cells += np.bincount(cell, minlength=CELLS).astype(np.int32)
+            np.add.at(self.cells, cell, np.int32(1))
         self.seen += len(flat)
         if self.seen >= self.due:
             self.levels = [((stretched(c).astype(np.int16) + 128) >> 4).astype(np.uint8) for c in self.counts]
@@ -236,9 +246,12 @@ class Model:
         """Bits (minus log2 of the probability) of each text."""
         if not len(lengths):
             return np.zeros(0)
-        batch = Batch(flat, lengths, self.code, self.slots)
-        xs = self.inputs(batch)
-        n_bits = np.add.reduceat(batch.size, batch.starts)
+        ends, parts = np.cumsum(lengths), []
+        for at in pieces(lengths, PIECE):
+            batch = Batch(flat[ends[at[0]] - lengths[at[0]] : ends[at[-1]]], lengths[at], self.code, self.slots)
+            parts.append((np.add.reduceat(batch.size, batch.starts), batch.bit, *self.inputs(batch)))
+        n_bits, bit, *xs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         segments = -(-n_bits // SEGMENT)
         doc = np.repeat(np.arange(len(lengths)), segments)
         number = np.arange(len(doc)) - np.repeat(np.cumsum(segments) - segments, segments)
@@ -248,36 +261,35 @@ class Model:
         lane[order] = np.arange(len(order))
         longest, lanes = int(size.max()), len(size)
         row = longest + 24  # rows of a power of two bytes would share few lines of the cache
-        places = np.arange(len(batch.bit)) + np.repeat(lane * row - (np.cumsum(size) - size), size)
+        places = np.repeat(lane * row - (np.cumsum(size) - size), size)
+        places += np.arange(len(places))
 
-        def dealt(values: np.ndarray) -> np.ndarray:
-            table = np.zeros(lanes * row, values.dtype)
+        table, dealt = np.zeros(lanes * row, np.int16), np.empty((longest, len(xs) + 1, lanes), np.int16)
+        for k, values in enumerate([*xs, bit]):
             table[places] = values
-            return np.ascontiguousarray(table.reshape(lanes, row)[:, :longest].T)
-
-        cost = _mixed([dealt(x) for x in xs], dealt(batch.bit), np.searchsorted(-size[order], -np.arange(longest), "left"))
+            dealt[:, k] = table.reshape(lanes, row)[:, :longest].T
+        cost = _mixed(dealt, np.searchsorted(-size[order], -np.arange(longest), "left"))
         return np.bincount(doc[order], cost, len(lengths))
 
 
-def _mixed(xs: list[np.ndarray], bit: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Bits of each lane: rows are steps, columns lanes, of which the first ``active`` take part in a step."""
-    steps, lanes = bit.shape
-    factors = [np.full(lanes, 1 / FINE, np.float32) for _ in xs]
+def _mixed(dealt: np.ndarray, active: np.ndarray) -> np.ndarray:
+    """Bits of each lane. ``dealt[step, input, lane]``: the scaled inputs, and the bit as the last; in a step the first ``active`` lanes take part."""
+    steps, k, lanes = dealt.shape
+    k -= 1
+    factors = np.full((k, lanes), 1 / FINE, np.float32)
     start = (1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))).astype(np.float32)
     second, base = np.tile(start, lanes), np.arange(lanes) * BUCKETS + BUCKETS // 2
-    limit, rate, second_rate, share, two = np.float32(BUCKETS // 2), np.float32(RATE / FINE**2), np.float32(SECOND_RATE), np.float32(SECOND_SHARE), np.float32(2)
-    cost, done = np.zeros(lanes), np.ones((64, lanes), np.float32)
+    limit, rate, second_rate, two = np.float32(BUCKETS // 2), np.float32(RATE / FINE**2), np.float32(SECOND_RATE), np.float32(2)
+    cost, first, refined = np.zeros(lanes), np.zeros((64, lanes), np.float32), np.zeros((64, lanes), np.float32)
     with np.errstate(over="ignore"):
         for t in range(steps):
-            n = int(active[t])
-            own = [x[t, :n].astype(np.float32) for x in xs]
-            z = own[0] * factors[0][:n]
-            for f, x in zip(factors[1:], own[1:]):
-                z += x * f[:n]
-            y = bit[t, :n]
-            error = np.exp(-z)
-            error += 1
-            p = np.reciprocal(error)
+            n, row = int(active[t]), t % 64
+            own = dealt[t, :, :n].astype(np.float32)
+            x, y, f, p = own[:k], own[k], factors[:, :n], first[row, :n]
+            z = np.add.reduce(x * f)
+            np.exp(np.negative(z, out=p), out=p)
+            p += 1
+            np.reciprocal(p, out=p)
             z *= two
             np.rint(z, out=z)
             np.minimum(z, limit, out=z)
@@ -285,23 +297,18 @@ def _mixed(xs: list[np.ndarray], bit: np.ndarray, active: np.ndarray) -> np.ndar
             at = z.astype(np.int64)
             at += base[:n]
             q = second.take(at)
-            np.subtract(y, p, out=error)
-            new = y - q
-            new *= second_rate
-            new += q
-            second[at] = new
-            q -= p
-            q *= share
-            q += p
-            q += y
-            q -= 1
-            row = t % 64
-            np.abs(q, out=done[row, :n])
-            done[row, n:] = 1
-            error *= rate
-            for f, x in zip(factors, own):
-                x *= error
-                f[:n] += x
+            refined[row, :n] = q
+            np.subtract(y, q, out=z)
+            z *= second_rate
+            q += z
+            second[at] = q
+            y -= p
+            y *= rate
+            x *= y
+            f += x
             if row == 63 or t == steps - 1:
-                cost -= np.log2(np.maximum(done[: row + 1], 1e-6)).sum(0, dtype=np.float64)
+                rows = slice(t - row, t + 1)
+                final = first[: row + 1] + (refined[: row + 1] - first[: row + 1]) * np.float32(SECOND_SHARE)
+                final = np.log2(np.maximum(np.abs(1 - dealt[rows, k] - final), 1e-6, dtype=np.float32))
+                cost -= np.where(np.arange(lanes) < active[rows, None], final, 0).sum(0, dtype=np.float64)
     return cost
