@@ -6,18 +6,15 @@ at steps of half a window; of a window that lies in it at most a share of 1 - th
 many bands always include one of its own: with WINDOW 8 and 4 bands a template that is there is retrieved for certain. For
 shorter templates the window is one shingle, whose one band is the shingle: certain as well.
 
-One projection over the documents: no shuffle, no Python. The templates are a parameter, and their hashes are constants of the plan.
+Templates are a table of any size: its hashes are joined with those of the documents, by broadcast only after a count. DataFrame expressions only.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, shingles, words
+from .common import ascii_lower, once, shingles, small, words, written
 
 WIDTH, THRESHOLD = 5, 0.8
 WINDOW, STEP, BANDS, LONG = 8, 4, 4, 16
@@ -64,76 +61,71 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
 
-#: Templates and their shingles are constants of the plan, so their number has a bound.
-MOST_SHINGLES = 20_000
-
-
 #: Comment marks at the start and the end of a line; those of punctuation only, such as # and *, go with it.
-MARKS = r"(?m)^[ \t]*(?://+!?|--+|/\*+!?|<!--+|rem(?=[ \t\r]|$))|(?:\*+/|--+>)[ \t\r]*$"
+MARKS = r"^[ \t]*(?://+!?|--+|/\*+!?|<!--+|rem(?:[ \t\r]|$))|(?:\*+/|--+>)[ \t\r]*$"
+PUNCTUATION = ".,;:()[]{}\"'`*#_"
 
 
 def normal(text: Column) -> Column:
-    """Lower case, without the comment marks of lines and the ASCII punctuation that license texts vary in."""
-    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, " "), ".,;:()[]{}\"'`*#_", "")
+    """A-Z lower-cased, without the comment marks of lines and the ASCII punctuation that license texts vary in."""
+    return F.translate(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"(?md){MARKS}", " "), PUNCTUATION, "")
+
 
+def _shingled(df: DataFrame, keys: list, text: Column) -> DataFrame:
+    return df.select(*keys, once(words(normal(text))).alias("w"))
 
-def _words(text: str) -> list[str]:
-    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub(MARKS, " ", text.lower()).translate({ord(c): None for c in ".,;:()[]{}\"'`*#_"})) if w]
 
+def _hashes() -> Column:
+    return once(shingles(F.col("w"), WIDTH, lambda run: F.xxhash64(F.concat_ws(" ", *run))))
 
-def _shingles(text: str) -> list[str]:
-    w = _words(text)
-    return list(dict.fromkeys(" ".join(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1)))) if w else []
 
+def _texts() -> Column:
+    return once(shingles(F.col("w"), WIDTH, lambda run: F.concat_ws(" ", *run)))
 
-def _array(values: list, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
+def template_table(spark, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``(name, template, text)`` of license names with their notices; template is a notice's place among its license's."""
+    rows = [(name, k, text) for name, texts in (TEMPLATES if templates is None else templates).items() for k, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "name string, template int, text string")
 
-def licenses(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+
+def licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and template found in it: the columns of ``docs`` but the text, and the struct ``license``.
 
-    license has name, template (its place among the license's templates), containment (share of the template's distinct 5-word shingles that
+    ``templates`` is a table like :func:`template_table`'s. license has name, template, containment (share of the template's distinct 5-word shingles that
     the document has, ``threshold`` or more; a template whose shared shingles another one has too, with a higher share, is left out), first_word (place of the first shared shingle).
     Words are compared in lower case without punctuation and without comment marks at a line's start or end. A template of fewer than five words is one shingle and matches only a text that is
-    equal to it. Null and blank texts have no license. Rows are on their own, repeated rows give repeated results; a column named license is replaced.
+    equal to it; one without words matches nothing. Null and blank texts have no license. A document is an id with its text: repeated rows give repeated results, null ids are an id like any other; a column named license is replaced.
     """
-    sets = [(name, k, _shingles(t)) for name, ts in (templates or TEMPLATES).items() for k, t in enumerate(ts) if _shingles(t)]
-    if sum(len(s) for _, _, s in sets) > MOST_SHINGLES:
-        raise ValueError(f"the templates have more than {MOST_SHINGLES} shingles")
-    short, long = ([x for x in sets if (len(x[2]) >= LONG) == is_long] for is_long in (False, True))
-    own = [c for c in docs.columns if c.lower() != "license" and c != text]
-    row = docs.select(F.struct(*own).alias("row"), docs[text].alias("t"))
-    row = row.select("row", once(words(normal(F.col("t")))).alias("w"))
-    row = row.withColumn("h", once(shingles(F.col("w"), WIDTH, lambda run: F.xxhash64(F.concat_ws(" ", *run)))))
-
-    spark = docs.sparkSession
-    texts = sorted({x for _, _, s in sets for x in s})
-    hashed = dict(zip(texts, (r[0] for r in spark.range(1).select(F.explode(_array(texts, "string")).alias("s")).select(F.xxhash64("s")).collect()), strict=True)) if texts else {}
-
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("h"), F.lit(1)), F.lit(STEP)), lambda i: F.slice(F.sort_array(F.slice("h", i, F.lit(WINDOW))), 1, BANDS)
-    )
-    keys = lambda some: _array(sorted({hashed[x] for _, _, s in some for x in s}), "bigint")
-    hit_short = F.array_intersect("h", keys(short)) if short else F.array().cast("array<bigint>")
-    hit_long = F.array_intersect(F.flatten(windows), keys(long)) if long else F.array().cast("array<bigint>")
-    row = row.withColumn("hits", once(F.array_union(hit_short, hit_long))).where("size(hits) > 0")
+    known = template_table(docs.sparkSession) if templates is None else templates
+    known = written(_shingled(known, ["name", "template"], F.col("text")).select("name", "template", F.array_distinct(_texts()).alias("s")).where("size(s) > 0").distinct(), "templates")
+    of_template = small(written(known.select("name", "template", F.size("s").alias("n"), F.explode("s").alias("shingle")), "template-shingles"))
+    keys = of_template.select(F.xxhash64("shingle").alias("hash"), (F.col("n") >= LONG).alias("long"), "name", "template")
+    keys = small(written(keys, "template-hashes"))
+
+    own = docs.select(F.col(id).alias("_doc"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("_text"))
+    hashed = _shingled(own, ["_doc", "_key"], F.col("_text")).select("_doc", "_key", _hashes().alias("h")).where("size(h) > 0")
+    windows = F.transform(F.sequence(F.lit(1), F.size("h"), F.lit(STEP)), lambda i: F.slice(F.sort_array(F.slice("h", i, F.lit(WINDOW))), 1, BANDS))
+    offer = lambda hashes, long: F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(long).alias("long"), h.alias("hash")))
+    offered = hashed.select("_doc", "_key", F.explode(F.concat(offer(F.col("h"), False), offer(F.flatten(windows), True))).alias("o")).select("_doc", "_key", "o.long", "o.hash")
+    found = written(offered.join(keys, ["hash", "long"]).select("_doc", "_key", "name", "template").distinct(), "license-candidates")
 
     # Verified on the shingles themselves, for the templates that a band retrieved.
-    row = row.withColumn("s", once(shingles(F.col("w"), WIDTH, lambda run: F.concat_ws(" ", *run))))
-    names = "array<struct<name:string,template:int,keys:array<bigint>,shingles:array<string>>>"
-    table = F.from_json(F.lit(json.dumps([{"name": n, "template": k, "keys": [hashed[x] for x in s], "shingles": s} for n, k, s in sets])), names)
-    tried = F.filter(table, lambda x: F.arrays_overlap("hits", x["keys"]))
-    tried = F.transform(tried, lambda x: F.struct(x["name"].alias("name"), x["template"].alias("template"), F.size(x["shingles"]).alias("n"), F.array_intersect(x["shingles"], "s").alias("common")))
-    passed = F.filter(tried, lambda x: F.size(x["common"]) >= F.ceil(x["n"] * threshold - 1e-9))
+    same = lambda a, b: a["_doc"].eqNullSafe(b["_doc"]) & (a["_key"] == b["_key"])
+    some = small(written(found.select("_doc", "_key").distinct(), "license-documents"))
+    texts = own.join(some, same(own, some), "left_semi").distinct()
+    texts = _shingled(texts, ["_doc", "_key"], F.col("_text")).select("_doc", "_key", F.posexplode(_texts()).alias("place", "shingle"))
+    texts = texts.groupBy("_doc", "_key", "shingle").agg(F.min("place").alias("place"))
+    shared = texts.join(of_template, "shingle").groupBy("_doc", "_key", "name", "template", "n").agg(F.collect_list("shingle").alias("common"), F.min("place").alias("first_word"))
+    tried = found.select(F.col("_doc").alias("_d"), F.col("_key").alias("_k"), F.col("name").alias("_n"), F.col("template").alias("_t"))
+    passed = shared.join(tried, F.expr("_doc <=> _d and _key = _k and name = _n and template = _t"), "left_semi").where(F.size("common") >= F.ceil(F.col("n") * threshold - 1e-9))
+    passed = passed.groupBy("_doc", "_key").agg(F.collect_list(F.struct("name", "template", "n", "common", "first_word")).alias("p"))
     share = lambda x: F.size(x["common"]) / x["n"]
     better = lambda x, y: (share(y) > share(x)) & (F.size(F.array_except(x["common"], y["common"])) == 0)
-    row = row.select("row", "s", once(passed).alias("passed"))
-    row = row.select("row", "s", F.explode_outer(F.filter("passed", lambda x: ~F.exists("passed", lambda y: better(x, y)))).alias("x")).where("x is not null")
-    first = F.array_position(F.transform("s", lambda x: F.array_contains("x.common", x)), F.lit(True)).cast("int") - 1
-    best = F.struct(
-        F.col("x.name").alias("name"), F.col("x.template").alias("template"), (F.size("x.common") / F.col("x.n")).alias("containment"), first.alias("first_word")
-    )
-    return row.select("row", best.alias("license")).select(*[F.col("row")[c].alias(c) for c in own], "license")
-
-
+    best = F.filter("p", lambda x: ~F.exists("p", lambda y: better(x, y)))
+    best = F.transform(best, lambda x: F.struct(x["name"].alias("name"), x["template"].alias("template"), share(x).alias("containment"), x["first_word"].alias("first_word")))
+    result = small(written(passed.select("_doc", "_key", best.alias("_found")), "licenses"))
+    columns = [c for c in docs.columns if c.lower() != "license" and c != text]
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col(id).alias("_id"), F.xxhash64(F.col(text)).alias("_hash"))
+    told = rows.join(result, rows["_id"].eqNullSafe(result["_doc"]) & (rows["_hash"] == result["_key"])).select("_row", F.explode("_found").alias("license"))
+    return told.select(*[F.col("_row")[c].alias(c) for c in columns], "license")

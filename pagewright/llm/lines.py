@@ -1,11 +1,14 @@
 """Line dedup with a log-template tree.
 
-Lines are parsed to a fixed depth: token count, then the leading tokens, with tokens that hold digits as the variable field ``<*>``. Lines of one leaf
-that differ in a few tokens only are one template: a leaf's consensus is its commonest token at each place, and a line that agrees with it in
-SIMILAR of its places belongs to it. Lines of a leaf that differ in one place only share a template too, so that a leaf has as many as its lines
-ask for, in whatever order and company they come. Each line is also a template of its own. Templates that recur across documents are dropped from all of them.
+Lines are parsed to a fixed depth: token count, then the leading tokens, with tokens that hold digits as the variable field ``<*>``. In a leaf, lines that differ in few of
+their places are lines of one template, whatever their order and whatever else is in the leaf:
 
-DataFrame expressions only. Documents are read three times and shuffled once, for the last step.
+- the places whose token other lines of the leaf have there too are fixed, the others variable; lines with the same fixed places, or the same but for one more variable place, have one template;
+- lines that agree with the leaf's commonest tokens in SIMILAR of their places have one.
+
+A template keeps SIMILAR of its places fixed. Each line is also a template of its own. Templates that recur across documents are dropped from all of them.
+
+DataFrame expressions only. Documents are read three times and shuffled once, for the last step. Lines and templates are compared by 96 bits of hashes of their tokens.
 """
 
 from __future__ import annotations
@@ -25,30 +28,41 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(masked, SPACE), "")
 
 
+def _key(*parts: Column) -> Column:
+    """96 bits of hashes: few enough to shuffle, and no two of 10^12 lines are likely to share them."""
+    return F.struct(F.xxhash64(*parts).alias("h"), F.hash(*parts).alias("g"))
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
     """Lines ``(id, key, line, leaf, exact, tokens)`` of ``rows(id, key, text)``; line counts from 0, blank lines have no row."""
     lines = rows.select("id", "key", F.posexplode_outer(once(F.split("text", "\n", -1))).alias("line", "l")).select("id", "key", "line", once(_tokens(F.col("l"))).alias("tokens"))
     lines = lines.where("size(tokens) > 0")
-    leaf = F.xxhash64(F.size("tokens"), F.array_join(F.slice("tokens", 1, LEADING), " "))
-    return lines.withColumn("leaf", leaf).withColumn("exact", F.xxhash64(F.array_join("tokens", " "), F.lit(1)))
+    leaf = _key(F.size("tokens"), F.array_join(F.slice("tokens", 1, LEADING), " "))
+    return lines.withColumn("leaf", leaf).withColumn("exact", _key(F.array_join("tokens", " "), F.lit(1)))
 
 
-def _consensus(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
-    """``(exact, template)``: for the lines that agree with their leaf's consensus the leaf, and each form with one place masked that lines share."""
+def _merged(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
+    """``(exact, template)`` of the lines of leaves with several lines."""
     lines = _parsed(rows).join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
     lines = written(lines, "forked-lines")
-    places = lines.select("leaf", F.posexplode("tokens").alias("place", "token"))
-    votes = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
+
+    places = lines.select("leaf", "exact", F.size("tokens").alias("of"), F.posexplode("tokens").alias("place", "token"))
+    votes = written(places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n")), "votes")
+    hashed = F.struct(F.xxhash64("place", "token").alias("h"), F.hash("place", "token").alias("g"))
+    again = places.join(votes.where("n > 1").drop("n"), ["leaf", "place", "token"]).select("leaf", "exact", "of", hashed.alias("t")).groupBy("leaf", "exact", "of").agg(
+        F.count("*").alias("n"), F.bit_xor("t.h").alias("h"), F.bit_xor("t.g").alias("g"), F.collect_list("t").alias("parts")  # at most a line's tokens
+    )
+    none = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("g"))
+    freed = F.when(F.col("n") - 1 >= similar * F.col("of"), F.concat(F.array(none), "parts")).otherwise(F.array(none))
+    forms = again.where(F.col("n") >= similar * F.col("of")).select("leaf", "exact", "h", "g", F.explode(freed).alias("p"))
+    forms = forms.select("exact", _key("leaf", F.col("h").bitwiseXOR(F.col("p.h")), F.col("g").bitwiseXOR(F.col("p.g"))).alias("template"))
+    shared = forms.groupBy("template").agg(F.min("exact.h").alias("a"), F.max("exact.h").alias("b")).where("a <> b").select("template")
+
     winner = votes.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
     winner = winner.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("agreed"))
-    judged = lines.join(winner, "leaf")
     same = F.size(F.filter(F.zip_with("tokens", "agreed", lambda a, b: a == b), lambda x: x))
-    agreed = judged.where(same >= similar * F.size("tokens")).select("exact", F.col("leaf").alias("template"))
-    hashes = F.transform("tokens", lambda t, i: F.xxhash64(i, t))
-    sums = lines.where(F.size("tokens") - 1 >= similar * F.size("tokens")).select("leaf", "exact", once(hashes).alias("h"))
-    sums = sums.withColumn("all", once(F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))))
-    forms = sums.select("exact", F.explode(F.transform("h", lambda x, i: F.xxhash64("leaf", i, F.col("all").bitwiseXOR(x)))).alias("template"))
-    shared = forms.groupBy("template").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a <> b").select("template")
+    agreed = lines.join(winner, "leaf").where(same >= similar * F.size("tokens")).select("exact", _key("leaf", F.lit("agreed")).alias("template"))
+
     return agreed.union(forms.join(shared, "template").select("exact", "template"))
 
 
@@ -56,12 +70,12 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simil
     """``(id, key, lines)``: which lines of each document are dropped, by the hash ``key`` of its text."""
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     table = written(_parsed(rows).select("id", "key", "line", "leaf", "exact"), "lines")
-    forked = table.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a <> b").select("leaf")
+    forked = table.groupBy("leaf").agg(F.min("exact.h").alias("a"), F.max("exact.h").alias("b")).where("a <> b").select("leaf")
     forked = small(written(forked, "forked"))
-    merged = written(_consensus(rows, forked, similar), "merged")
+    merged = written(_merged(rows, forked, similar), "merged")
     merged = merged.groupBy("exact").agg(F.collect_set("template").alias("templates"))
     named = table.select("id", "key", "line", "exact").join(small(written(merged, "templates")), "exact", "left")
-    named = named.select("id", "key", "line", F.explode(F.concat(F.array("exact"), F.coalesce("templates", F.array().cast("array<bigint>")))).alias("template"))
+    named = named.select("id", "key", "line", F.explode(F.concat(F.array("exact"), F.coalesce("templates", F.array().cast("array<struct<h:bigint,g:int>>")))).alias("template"))
     often = named.select("template", "id", "key").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= documents)
     often = small(written(often.select("template"), "recurring"))
     return named.join(often, "template").groupBy("id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))

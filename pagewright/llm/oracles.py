@@ -1,6 +1,6 @@
 """DuckDB SQL with the rows of the queries that SQL can express."""
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, licenses, lines, mixing, quality
 
 SPLIT = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -54,4 +54,47 @@ r AS (SELECT doc_id, size, source_size, target, least(CAST(floor(target) AS BIGI
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (flow // source_size + CAST(2 * upto - size <= 2 * (flow % source_size) AND flow % source_size > 0 AS INT)) * size END AS BIGINT) AS taken FROM r
 """
 
-ORACLES = {"op1_quality_rules": QUALITY, "op3_benchmark_leaks": LEAKS, "op6_source_mix": MIX}
+LINES = rf"""
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, text, k, list_filter(regexp_split_to_array(regexp_replace(trim(ls[k], ' '), '[^ \t\r]*[0-9][^ \t\r]*', '<*>', 'g'), '[ \t\r]+'), lambda w: w <> '') AS w FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM d)),
+l AS (SELECT *, (len(w), w[1:{lines.LEADING}]) AS leaf FROM p WHERE len(w) > 0),
+u AS (SELECT DISTINCT leaf, w FROM l WHERE leaf IN (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT w) > 1)),
+s AS (SELECT leaf, w, unnest(range(1, len(w) + 1)) AS i FROM u), v AS (SELECT leaf, i, w[i] AS t, count(*) AS n FROM s GROUP BY ALL),
+a AS (SELECT leaf, w, list(CASE WHEN n > 1 THEN t ELSE chr(1) END ORDER BY i) AS form, count_if(n > 1) AS f FROM s JOIN v USING (leaf, i) WHERE t = w[i] GROUP BY leaf, w),
+g AS (SELECT leaf, list(t ORDER BY i) AS win FROM (SELECT leaf, i, max((n, t))[2] AS t FROM v GROUP BY leaf, i) GROUP BY leaf),
+o AS (SELECT leaf, w, form[1:i-1] || [chr(1)] || form[i+1:] AS form FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM a WHERE f - 1 >= {lines.SIMILAR} * len(w)) WHERE form[i] <> chr(1)),
+m AS (SELECT leaf, w, form FROM a WHERE f >= {lines.SIMILAR} * len(w) UNION SELECT leaf, w, form FROM o
+  UNION SELECT leaf, w, ['agreed'] FROM u JOIN g USING (leaf) WHERE len(list_filter(range(1, len(w) + 1), lambda i: w[i] = win[i])) >= {lines.SIMILAR} * len(w)),
+t AS (SELECT doc_id, text, k, (leaf, form) AS template FROM l JOIN m USING (leaf, w) UNION ALL SELECT doc_id, text, k, (leaf, ['exact'] || w) FROM l),
+r AS (SELECT template FROM (SELECT DISTINCT template, doc_id, text FROM t) GROUP BY template HAVING count(*) >= {lines.DOCUMENTS}),
+x AS (SELECT DISTINCT doc_id, text, k FROM t JOIN r USING (template)), y AS (SELECT doc_id, text, list(k) AS gone FROM x GROUP BY doc_id, text),
+z AS (SELECT b.doc_id, b.text, string_split(b.text, chr(10)) AS ls, coalesce(gone, []) AS gone FROM documents b LEFT JOIN y ON b.doc_id IS NOT DISTINCT FROM y.doc_id AND b.text = y.text)
+SELECT doc_id, CASE WHEN len(gone) > 0 THEN array_to_string(list_filter(ls, lambda e, i: NOT list_contains(gone, i)), chr(10)) ELSE text END AS text,
+  CAST(coalesce(len(list_filter(ls, lambda e: translate(e, ' ' || chr(9) || chr(13), '') <> '')), 0) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_dropped FROM z
+"""
+
+_marks = licenses.MARKS.replace("'", "''")
+
+
+def _licensed(text: str) -> str:
+    plain = f"translate(regexp_replace({LOWERED.replace('text', text, 1)}, '(?m){_marks}', ' ', 'g'), '{_quoted(licenses.PUNCTUATION)}', '')"
+    return SPLIT.format(plain)
+
+
+def _shingles(w: str) -> str:
+    n = licenses.WIDTH
+    return f"CASE WHEN len({w}) >= {n} THEN list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i+{n - 1}], ' ')) WHEN len({w}) > 0 THEN [array_to_string({w}, ' ')] ELSE [] END"
+
+
+_rows = ", ".join(f"('{_quoted(name)}', {k}, '{_quoted(text)}')" for name, texts in licenses.TEMPLATES.items() for k, text in enumerate(texts))
+LICENSES = f"""
+WITH t AS (SELECT name, template, list_distinct({_shingles('w')}) AS ss FROM (SELECT name, template, {_licensed('body')} AS w FROM (VALUES {_rows}) v(name, template, body))),
+ts AS (SELECT name, template, len(ss) AS n, unnest(ss) AS s FROM t),
+d AS (SELECT DISTINCT doc_id, text FROM documents), dw AS (SELECT doc_id, text, {_licensed('text')} AS w FROM d), ds AS (SELECT doc_id, text, {_shingles('w')} AS ss FROM dw),
+e AS (SELECT doc_id, text, s, min(i) AS i FROM (SELECT doc_id, text, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM ds) GROUP BY ALL),
+c AS (SELECT doc_id, text, name, template, n, list(s) AS common, min(i) AS first_word FROM e JOIN ts USING (s) GROUP BY doc_id, text, name, template, n HAVING count(*) >= ceil({licenses.THRESHOLD} * n - 1e-9)),
+b AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id IS NOT DISTINCT FROM c.doc_id AND o.text = c.text AND len(o.common) / o.n > len(c.common) / c.n AND list_has_all(o.common, c.common)))
+SELECT x.doc_id, name, template, len(common) / n AS containment, CAST(first_word AS INT) AS first_word FROM documents x JOIN b ON x.doc_id IS NOT DISTINCT FROM b.doc_id AND x.text = b.text
+"""
+
+ORACLES = {"op1_quality_rules": QUALITY, "op3_benchmark_leaks": LEAKS, "op6_source_mix": MIX, "op8_license_scan": LICENSES, "op9_line_templates": LINES}

@@ -336,6 +336,27 @@ def test_licenses(docs, empty):
     assert [(r["doc_id"], r["license"]["name"], r["license"]["containment"]) for r in licenses.licenses(one).collect()] == [(1, "MIT", 1.0)]
 
 
+def test_licenses_by_brute_force(spark):
+    """Any table of templates; whole recall against the containment of all pairs, on texts with words lost and put in."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    templates = {f"L{k}": (" ".join(rng.choice(vocabulary, int(n))),) for k, n in enumerate(rng.integers(2, 120, 150))}
+    rows = []
+    for k in range(120):
+        t = list(templates.values())[int(rng.integers(len(templates)))][0].split()
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(len(t)))
+            t[at : at + int(rng.integers(0, 2))] = ["zz"] * int(rng.integers(0, 2))
+        rows.append((k, " ".join([*rng.choice(vocabulary, int(rng.integers(0, 30))), *t, *rng.choice(vocabulary, int(rng.integers(0, 30)))])))
+    found = {(r["doc_id"], r["license"]["name"]) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=licenses.template_table(spark, templates)).collect()}
+    of = {name: set(shingles(t, 5)) for name, (t,) in templates.items()}
+    held = {k: set(shingles(t, 5)) for k, t in rows}
+    passed = {(k, n): of[n] & held[k] for k in held for n in of if len(of[n] & held[k]) >= 0.8 * len(of[n]) - 1e-9}
+    share = lambda k, n: len(passed[k, n]) / len(of[n])
+    want = {(k, n) for k, n in passed if not any(j == k and share(j, m) > share(k, n) and passed[j, m] >= passed[k, n] for j, m in passed)}
+    assert found == want and len(want) > 60
+
+
 def test_licenses_in_comments(spark):
     import textwrap
 
@@ -354,6 +375,18 @@ def test_line_templates(docs, empty):
     assert lines.deduplicated(empty).count() == 0
 
 
+def test_two_families_in_a_leaf_that_vary_in_two_places(spark):
+    names = ["anna", "bert", "carl", "dora", "emil"]
+    one = [f"one two three red fox {n} jumps over {n}s high fence today again" for n in names]
+    two = [f"one two three some other {n} reads the {n}er book every morning" for n in names[:4]]
+    rows = [(k, line) for k, line in enumerate(one + two)]
+    out = {r["doc_id"]: r for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(one[0].split()) == len(two[0].split()) + 1 and all(out[k]["text"] == "" for k, _ in rows)
+    mixed = [f"one two three red fox {n} jumps over {n}s high fence today" for n in names]
+    out = lines.deduplicated(spark.createDataFrame(list(enumerate(mixed + two)), "doc_id long, text string")).collect()
+    assert len(mixed[0].split()) == len(two[0].split()) and all(r["text"] == "" for r in out)
+
+
 def test_lines_of_two_documents_and_of_several_templates_in_a_leaf(spark):
     passage = "A passage that stands in two documents only. " * 8
     names = ["anna", "bert", "carl", "dora", "emil", "fritz"]
