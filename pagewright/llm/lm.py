@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import mixer
 from .common import dropped, once, written
 
-CHUNK_BYTES, SCORE_BYTES = 24 << 20, 2 << 20
+CHUNK_BYTES, SCORE_BYTES = 16 << 20, 1 << 20
 #: Text of a counting task: at least, and at most where there are over COUNT_TASKS.
 TASK_BYTES, MOST_TASK_BYTES, COUNT_TASKS = 48 << 20, 1 << 30, 64
 #: Blocks of a table, and tables that are added up in one group.

@@ -3,8 +3,8 @@
 A text is its words, A-Z lower-cased, each with a blank after it, and a newline as its end. A byte is coded by the bits of its Huffman code, so that a byte takes as many binary
 decisions as it holds information. For each bit there are predictions of hashed contexts (the last 2, 4 and 6 bytes of the text, across words, with the bits of the byte so far)
 and of the longest match of the last 6 bytes earlier in the text. Predictions are log-odds; the gate, the place of the bit in its byte, selects
-the weights that scale them. A text's mixer multiplies each scaled input by a factor of its own that moves bit by bit by the error of the prediction. A second stage
-maps the mixed probability by a table that moves bit by bit too; what is charged is the mean of both.
+the weights that scale them. A text's mixer multiplies each scaled input by a factor of its own that moves by the errors of the predictions, every TURN bits. A second stage
+maps the mixed probability by a table that moves too; what is charged is a mean of both.
 
 Texts are independent: a mixer starts at the trained state, and again every SEGMENT bits of a long text, so that texts and segments run side by side.
 """
@@ -22,6 +22,8 @@ MOST_DEPTH, GATES = 16, 12
 LEAST_SLOT_BITS, MOST_SLOT_BITS = 16, 22
 PRIOR, CLIP, STEP = 0.4, 8.0, 127 / 8.0
 SEGMENT = 4096
+#: Bits after which the factors and the second stage move.
+TURN = 8
 RATE, SECOND_RATE, SECOND_SHARE, BUCKETS = 0.03, 0.02, 0.25, 33
 END = 10
 #: Bytes of texts whose contexts are made at once: arrays of that size stay in the cache.
@@ -246,12 +248,8 @@ class Model:
         """Bits (minus log2 of the probability) of each text."""
         if not len(lengths):
             return np.zeros(0)
-        ends, parts = np.cumsum(lengths), []
-        for at in pieces(lengths, PIECE):
-            batch = Batch(flat[ends[at[0]] - lengths[at[0]] : ends[at[-1]]], lengths[at], self.code, self.slots)
-            parts.append((np.add.reduceat(batch.size, batch.starts), batch.bit, *self.inputs(batch)))
-        n_bits, bit, *xs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+        ends = np.cumsum(lengths)
+        n_bits = np.add.reduceat(self.code.length.take(flat), ends - lengths)
         segments = -(-n_bits // SEGMENT)
         doc = np.repeat(np.arange(len(lengths)), segments)
         number = np.arange(len(doc)) - np.repeat(np.cumsum(segments) - segments, segments)
@@ -259,35 +257,39 @@ class Model:
         order = np.argsort(-size, kind="stable")
         lane = np.empty(len(order), np.int64)
         lane[order] = np.arange(len(order))
-        longest, lanes = int(size.max()), len(size)
-        row = longest + 24  # rows of a power of two bytes would share few lines of the cache
-        places = np.repeat(lane * row - (np.cumsum(size) - size), size)
-        places += np.arange(len(places))
-
-        table, dealt = np.zeros(lanes * row, np.int16), np.empty((longest, len(xs) + 1, lanes), np.int16)
-        for k, values in enumerate([*xs, bit]):
-            table[places] = values
-            dealt[:, k] = table.reshape(lanes, row)[:, :longest].T
-        cost = _mixed(dealt, np.searchsorted(-size[order], -np.arange(longest), "left"))
+        longest = int(size.max()) + TURN
+        upto, first = np.cumsum(size), np.cumsum(segments) - segments
+        dealt = np.zeros((len(size) * longest, len(ORDERS) + 2), np.int16)
+        for at in pieces(lengths, PIECE):
+            batch = Batch(flat[ends[at[0]] - lengths[at[0]] : ends[at[-1]]], lengths[at], self.code, self.slots)
+            some = slice(int(first[at[0]]), int(first[at[-1]] + segments[at[-1]]))
+            own = size[some]
+            places = np.repeat(lane[some] * longest - (np.cumsum(own) - own), own)
+            places += np.arange(len(places))
+            for k, values in enumerate([*self.inputs(batch), batch.bit]):
+                dealt[places, k] = values
+        cost = _mixed(dealt.reshape(len(size), longest, len(ORDERS) + 2), size[order])
         return np.bincount(doc[order], cost, len(lengths))
 
 
-def _mixed(dealt: np.ndarray, active: np.ndarray) -> np.ndarray:
-    """Bits of each lane. ``dealt[step, input, lane]``: the scaled inputs, and the bit as the last; in a step the first ``active`` lanes take part."""
-    steps, k, lanes = dealt.shape
+def _mixed(dealt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bits of each lane. ``dealt[lane, bit, input]``: the scaled inputs, and the bit as the last; lanes are in descending order of their ``size``."""
+    lanes, _, k = dealt.shape
     k -= 1
     factors = np.full((k, lanes), 1 / FINE, np.float32)
     start = (1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))).astype(np.float32)
     second, base = np.tile(start, lanes), np.arange(lanes) * BUCKETS + BUCKETS // 2
-    limit, rate, second_rate, two = np.float32(BUCKETS // 2), np.float32(RATE / FINE**2), np.float32(SECOND_RATE), np.float32(2)
-    cost, first, refined = np.zeros(lanes), np.zeros((64, lanes), np.float32), np.zeros((64, lanes), np.float32)
+    limit, rate, second_rate, two, share, least = (np.float32(v) for v in (BUCKETS // 2, RATE / FINE**2, SECOND_RATE, 2, SECOND_SHARE, 1e-6))
+    cost = np.zeros(lanes)
     with np.errstate(over="ignore"):
-        for t in range(steps):
-            n, row = int(active[t]), t % 64
-            own = dealt[t, :, :n].astype(np.float32)
-            x, y, f, p = own[:k], own[k], factors[:, :n], first[row, :n]
-            z = np.add.reduce(x * f)
-            np.exp(np.negative(z, out=p), out=p)
+        for t in range(0, int(size[0]), TURN):
+            n = int(np.searchsorted(-size, -t, "left"))
+            own = dealt[:n, t : t + TURN].transpose(2, 1, 0).astype(np.float32, order="C")
+            y, f = own[k], factors[:, :n]
+            z = own[0] * f[0]
+            for j in range(1, k):
+                z += own[j] * f[j]
+            p = np.exp(-z)
             p += 1
             np.reciprocal(p, out=p)
             z *= two
@@ -297,18 +299,18 @@ def _mixed(dealt: np.ndarray, active: np.ndarray) -> np.ndarray:
             at = z.astype(np.int64)
             at += base[:n]
             q = second.take(at)
-            refined[row, :n] = q
-            np.subtract(y, q, out=z)
-            z *= second_rate
-            q += z
-            second[at] = q
+            second[at] = q + (y - q) * second_rate
+            q -= p
+            q *= share
+            q += p
+            q += y
+            q -= 1
+            np.abs(q, out=q)
+            np.maximum(q, least, out=q)
+            q[(t + np.arange(TURN))[:, None] >= size[:n]] = 1
+            cost[:n] -= np.log2(q, out=q).sum(0)
             y -= p
             y *= rate
-            x *= y
-            f += x
-            if row == 63 or t == steps - 1:
-                rows = slice(t - row, t + 1)
-                final = first[: row + 1] + (refined[: row + 1] - first[: row + 1]) * np.float32(SECOND_SHARE)
-                final = np.log2(np.maximum(np.abs(1 - dealt[rows, k] - final), 1e-6, dtype=np.float32))
-                cost -= np.where(np.arange(lanes) < active[rows, None], final, 0).sum(0, dtype=np.float64)
+            for j in range(k):
+                f[j] += (own[j] * y).sum(0)
     return cost

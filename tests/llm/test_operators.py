@@ -445,6 +445,8 @@ def plain_bits(text, trained, code, weights, odds):
         for depth, path, bit in spelled[text[i]]:
             if step % mixer.SEGMENT == 0:
                 factors, second = [1.0] * (len(mixer.ORDERS) + 1), [sigmoid((b - mixer.BUCKETS // 2) / 2) for b in range(mixer.BUCKETS)]
+            if step % mixer.SEGMENT % mixer.TURN == 0:
+                moved, table = list(factors), list(second)
             step += 1
             gate = min(depth, mixer.GATES - 1)
             xs = []
@@ -459,8 +461,10 @@ def plain_bits(text, trained, code, weights, odds):
             z = sum(f * x for f, x in zip(factors, xs))
             p, b = sigmoid(z), int(np.rint(np.clip(2 * z, -(mixer.BUCKETS // 2), mixer.BUCKETS // 2))) + mixer.BUCKETS // 2
             final = p + (second[b] - p) * mixer.SECOND_SHARE
-            second[b] += (bit - second[b]) * mixer.SECOND_RATE
-            factors = [f + mixer.RATE * (bit - p) * x for f, x in zip(factors, xs)]
+            table[b] = second[b] + (bit - second[b]) * mixer.SECOND_RATE
+            moved = [f + mixer.RATE * (bit - p) * x for f, x in zip(moved, xs)]
+            if step % mixer.TURN == 0:
+                factors, second = moved, table
             total -= math.log2(final if bit else 1 - final)
     return total
 
