@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-S = r"[\t\n\f\r ]"
+#: White space as patterns of browsers know it.
+S = r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 # The four patterns, applied in this order, and what replaces them.
 PATTERNS = (
@@ -14,7 +15,7 @@ PATTERNS = (
     (rf"(?i)Basic{S}+[A-Za-z0-9+/]+=*", "Basic REDACTED"),
     (
         rf"(?i)([\"']?(?:password|passwd|pwd|token|secret|api[-_]?key|authorization|cookie|session|credential)[\"']?{S}*[:=]{S}*)"
-        r"(\"[^\"]*\"|'[^']*'|[^\t\n\f\r ,;}]+)",
+        r"(\"[^\"]*\"|'[^']*'|[^\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff},;}]+)",
         "$1REDACTED",
     ),
 )

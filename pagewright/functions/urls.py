@@ -1,7 +1,8 @@
 """URL functions on columns, for http and https URLs, in the manner of browsers.
 
-Spark's parse_url keeps case and empty paths, so it is not used. Not covered: international host names, backslashes as slashes, percent-encoding of
-raw characters, addresses in odd notations. What is not a URL here gives null.
+Spark's parse_url keeps case and empty paths, so it is not used. A URL is taken apart once, into a struct (:func:`parts`); every function takes a URL or
+a :class:`Parts` of such a struct, so that a table with a column of parts is read without parsing anything again. Raw characters of paths and queries are percent-encoded, backslashes are slashes, ports above 65535
+make no URL. Not covered: host names outside ASCII, which give null, and addresses in odd notations.
 """
 
 from __future__ import annotations
@@ -9,7 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+from . import redact
+
+URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]{2}([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+#: Around a URL, control characters and blanks don't count; inside it, tabs and line ends don't.
+AROUND, WITHIN = r"^[\x00-\x20]+|[\x00-\x20]+$", r"[\t\n\r]"
+#: Characters that are percent-encoded in a path, and in a query.
+RAW_PATH, RAW_QUERY = r"[\x00-\x20\"<>`{}^\x7f]|[^\x00-\x7f]", r"[\x00-\x20\"<>'\x7f]|[^\x00-\x7f]"
 
 # Query names that carry secrets, and endings of such names.
 SENSITIVE_NAMES = (
@@ -32,37 +39,81 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
-def _part(url: Column, n: int) -> Column:
-    return F.coalesce(F.regexp_extract(F.trim(url), URL, n), F.lit(""))
+def _encoded(text: Column, raw: str) -> Column:
+    spelled = lambda c: F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")
+    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda c: F.when(c.rlike(raw), spelled(c)).otherwise(c))
+    return F.when(text.rlike(raw), F.array_join(each, "")).otherwise(text)
+
+
+def parts(url: Column) -> Column:
+    """The struct of a URL: scheme and host in lower case, port (empty for the scheme's own), user, path without dot segments, query with its mark, fragment, web; null for null."""
+
+    def taken(u: Column) -> Column:
+        part = lambda n: F.coalesce(F.regexp_extract(u, URL, n), F.lit(""))
+        return let(
+            F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("at"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment")),
+            lambda x: let(F.struct(x.alias("x"), F.regexp_replace(x["at"], "^.*@", "").alias("place")), placed),
+        )
+
+    def placed(y: Column) -> Column:
+        x = y["x"]
+        given = F.regexp_replace(F.regexp_extract(y["place"], ":([0-9]+)$", 1), "^0+(?=[0-9])", "")
+        own = F.when(x["scheme"] == "https", "443").otherwise("80")
+        host = F.lower(F.regexp_extract(y["place"], r"^([^:\x00-\x20<>^|%\x7f-\x{10ffff}]*)(?::[0-9]*)?$", 1))
+        user = F.when(x["at"].contains("@"), F.regexp_extract(x["at"], "^(.*)@", 1))
+        web = x["scheme"].isin("http", "https") & (host != "") & user.isNull() & (F.coalesce(given.try_cast("int"), F.lit(80)) <= 65535)
+        slashed = F.when(x["scheme"].isin("http", "https"), F.translate(x["path"], "\\", "/")).otherwise(x["path"])
+        return F.struct(
+            x["scheme"].alias("scheme"), host.alias("host"), F.when(given == own, "").otherwise(given).alias("port"), user.alias("user"),
+            without_dots(_encoded(slashed, RAW_PATH)).alias("path"), _encoded(x["query"], RAW_QUERY).alias("query"), x["fragment"].alias("fragment"), F.coalesce(web, F.lit(False)).alias("web"),
+        )
+
+    return let(F.regexp_replace(F.regexp_replace(url, AROUND, ""), WITHIN, ""), taken)
+
+
+class Parts:
+    """A column of :func:`parts`; takes the place of a URL in the functions here."""
+
+    def __init__(self, struct: Column):
+        self.struct = struct
+
+    def __getitem__(self, name: str) -> Column:
+        return self.struct[name]
+
+
+def _of(url: Column | Parts, body) -> Column:
+    """``body`` of the URL's parts, which are made once."""
+    return body(url) if isinstance(url, Parts) else let(parts(url), lambda s: body(Parts(s)))
 
 
-def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+def scheme(url: Column | Parts) -> Column:
+    return _of(url, lambda u: u["scheme"])
 
 
-def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(_part(url, 2), r"^(?:[^@]*@)?([^:@]*)(?::[0-9]*)?$", 1))
+def host(url: Column | Parts) -> Column:
+    return _of(url, lambda u: u["host"])
 
 
-def port(url: Column) -> Column:
+def port(url: Column | Parts) -> Column:
     """The port if it is not the scheme's own, else an empty text."""
-    given = F.regexp_extract(_part(url, 2), r":([0-9]+)$", 1)
-    own = F.when(scheme(url) == "https", "443").otherwise("80")
-    return F.when(given == own, "").otherwise(given)
+    return _of(url, lambda u: u["port"])
 
 
-def has_credentials(url: Column) -> Column:
-    return _part(url, 2).contains("@")
+def has_credentials(url: Column | Parts) -> Column:
+    return _of(url, lambda u: u["user"].isNotNull())
 
 
-def is_web(url: Column) -> Column:
+def is_web(url: Column | Parts) -> Column:
     """An http or https URL with a host and without credentials."""
-    return F.coalesce(scheme(url).isin("http", "https") & (host(url) != "") & ~has_credentials(url), F.lit(False))
+    return F.coalesce(_of(url, lambda u: u["web"]), F.lit(False))
 
 
-def origin(url: Column) -> Column:
-    with_port = F.when(port(url) != "", F.concat(F.lit(":"), port(url))).otherwise("")
-    return F.when(is_web(url), F.concat(scheme(url), F.lit("://"), host(url), with_port))
+def _origin(u: Parts) -> Column:
+    return F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(""))
+
+
+def origin(url: Column | Parts) -> Column:
+    return _of(url, lambda u: F.when(u["web"], _origin(u)))
 
 
 def without_dots(path: Column) -> Column:
@@ -78,40 +129,46 @@ def without_dots(path: Column) -> Column:
     return F.when(ends_open & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
-def path(url: Column) -> Column:
-    return without_dots(_part(url, 3))
+def path(url: Column | Parts) -> Column:
+    return _of(url, lambda u: u["path"])
 
 
-def search(url: Column) -> Column:
+def search(url: Column | Parts) -> Column:
     """The query with its question mark; a lone question mark is none."""
-    q = _part(url, 4)
-    return F.when(q == "?", "").otherwise(q)
+    return _of(url, lambda u: F.when(u["query"] == "?", "").otherwise(u["query"]))
 
 
-def fragment(url: Column) -> Column:
-    return _part(url, 5)
+def fragment(url: Column | Parts) -> Column:
+    return _of(url, lambda u: u["fragment"])
 
 
-def canonical(url: Column) -> Column:
+def canonical(url: Column | Parts) -> Column:
     """Lower-case scheme and host, no default port, no dot segments, no fragment; null for anything that is no web URL."""
-    raw = F.regexp_extract(F.trim(url), URL, 4)
-    return F.when(is_web(url), F.concat(origin(url), path(url), raw))
+    return _of(url, lambda u: F.when(u["web"], F.concat(_origin(u), u["path"], u["query"])))
+
+
+def joined(ref: Column, base: Column | Parts) -> Column:
+    """A reference put together with its base, without its fragment and not yet canonical."""
+
+    def put(b: Parts) -> Column:
+        def made(r: Column) -> Column:
+            return (
+                F.when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), r)
+                .when(r.rlike(r"^[/\\]{2}"), F.concat(b["scheme"], F.lit(":"), r))
+                .when(r.rlike(r"^[/\\]"), F.concat(_origin(b), r))
+                .when(r == "", F.concat(_origin(b), b["path"], b["query"]))
+                .when(r.startswith("?"), F.concat(_origin(b), b["path"], r))
+                .otherwise(F.concat(_origin(b), F.regexp_replace(b["path"], "[^/]*$", ""), r))
+            )
+
+        return let(F.regexp_replace(F.regexp_replace(ref, AROUND, ""), "(?s)#.*$", ""), made)
 
+    return _of(base, put)
 
-def resolve(ref: Column, base: Column) -> Column:
+
+def resolve(ref: Column, base: Column | Parts) -> Column:
     """A reference against a base, canonical; null for what is no web URL, such as mailto: or data:."""
-    r = F.regexp_replace(F.trim(ref), "#.*$", "")
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-    absolute = r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-    joined = (
-        F.when(absolute, r)
-        .when(r.startswith("//"), F.concat(scheme(base), F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(origin(base), r))
-        .when(r == "", F.concat(origin(base), path(base), F.regexp_extract(F.trim(base), URL, 4)))
-        .when(r.startswith("?"), F.concat(origin(base), path(base), r))
-        .otherwise(F.concat(origin(base), folder, r))
-    )
-    return canonical(joined)
+    return canonical(joined(ref, base))
 
 
 def decoded(text: Column) -> Column:
@@ -119,7 +176,7 @@ def decoded(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
 
 
-def query_names(url: Column) -> Column:
+def query_names(url: Column | Parts) -> Column:
     pairs = F.filter(F.split(F.regexp_replace(search(url), r"^\?", ""), "&"), lambda p: p != "")
     return F.transform(pairs, lambda p: decoded(F.replace(F.regexp_extract(p, "^([^=]*)", 1), F.lit("+"), F.lit(" "))))
 
@@ -129,28 +186,32 @@ def is_sensitive_name(name: Column) -> Column:
     return plain.isin(SENSITIVE_NAMES) | plain.rlike(SENSITIVE_ENDINGS)
 
 
-def has_sensitive_query(url: Column) -> Column:
+def has_sensitive_query(url: Column | Parts) -> Column:
     return F.exists(query_names(url), is_sensitive_name)
 
 
 def redacted(url: Column) -> Column:
-    """Credentials and the values of sensitive names are REDACTED, in the query and in the fragment; fragment routes stay.
+    """Credentials and the values of sensitive names are REDACTED, in the query and in the fragment; fragment routes stay. What is no URL is redacted as a text.
 
     A query with no sensitive name stays as it is. In one that has some, their second and later values are dropped. Values that stay are not encoded anew.
     """
-    pairs = F.split(F.regexp_replace(search(url), r"^\?", ""), "&")
+    return let(parts(url), lambda s: F.when((s["scheme"] != "") & (s["host"] != ""), _redacted(Parts(s))).otherwise(redact.text(url)))
+
+
+def _redacted(u: Parts) -> Column:
+    pairs = F.split(F.regexp_replace(search(u), r"^\?", ""), "&")
     name = lambda p: decoded(F.replace(F.regexp_extract(p, "^([^=]*)", 1), F.lit("+"), F.lit(" ")))
     kept = F.filter(pairs, lambda p, i: ~is_sensitive_name(name(p)) | (F.array_position(F.transform(pairs, name), name(p)) == i + 1))
     shown = F.transform(kept, lambda p: F.when(is_sensitive_name(name(p)), F.concat(F.regexp_extract(p, "^([^=]*)", 1), F.lit("=REDACTED"))).otherwise(p))
-    query = F.when(search(url) == "", "").when(has_sensitive_query(url), F.concat(F.lit("?"), F.array_join(shown, "&"))).otherwise(search(url))
-    pieces = F.regexp_extract_all(fragment(url), F.lit("(?s)[#?&;][^#?&;]*"), 0)
+    query = F.when(search(u) == "", "").when(has_sensitive_query(u), F.concat(F.lit("?"), F.array_join(shown, "&"))).otherwise(search(u))
+    pieces = F.regexp_extract_all(u["fragment"], F.lit("(?s)[#?&;][^#?&;]*"), 0)
     hidden = F.transform(
         pieces,
         lambda p: F.when(p.rlike("^[#?&;][^=]+=") & is_sensitive_name(decoded(F.regexp_extract(p, "^[#?&;]([^=]*)=", 1))), F.concat(F.regexp_extract(p, "^([^=]*=)", 1), F.lit("REDACTED"))).otherwise(p),
     )
-    user = F.when(_part(url, 2).rlike("^[^@:]+:[^@]+@"), "REDACTED:REDACTED@").when(_part(url, 2).rlike("^[^@:]+:?@"), "REDACTED@").otherwise("")
-    with_port = F.when(port(url) != "", F.concat(F.lit(":"), port(url))).otherwise("")
-    return F.concat(scheme(url), F.lit("://"), user, host(url), with_port, path(url), query, F.array_join(hidden, ""))
+    user = F.when(u["user"].rlike("^[^:]+:.+"), "REDACTED:REDACTED@").when(u["user"].rlike("^[^:]+:?$"), "REDACTED@").otherwise("")
+    with_port = F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise("")
+    return F.concat(u["scheme"], F.lit("://"), user, u["host"], with_port, u["path"], query, F.array_join(hidden, ""))
 
 
 def _digest(text: Column, n: int) -> Column:
@@ -183,7 +244,7 @@ def extension(name: Column) -> Column:
     return F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1)
 
 
-def local_path(url: Column, source_origin: Column, type_extension: Column | None = None) -> Column:
+def local_path(url: Column | Parts, source_origin: Column, type_extension: Column | None = None) -> Column:
     """The relative file path of a resource; ``type_extension`` is the one its content type asks for, null for none."""
     kind = type_extension if type_extension is not None else F.lit(None).cast("string")
 
@@ -200,12 +261,14 @@ def local_path(url: Column, source_origin: Column, type_extension: Column | None
         parts = F.transform(F.filter(F.split(p, "/"), lambda x: x != ""), lambda x: escaped_segment(x))
         return let(parts, lambda a: F.when(p.endswith("/") | (F.size(a) == 0), F.array_append(a, F.lit("index"))).otherwise(a))
 
-    place = F.concat(escaped_segment(host(url)), F.when(port(url) != "", F.concat(F.lit("~p-"), port(url))).otherwise(""))
-    top = F.when(origin(url) == source_origin, F.array(F.lit("site"))).otherwise(F.array(F.lit("site"), F.lit("_external"), scheme(url), place))
-    query = F.when(search(url) == "", "").otherwise(search(redacted(url)))
-    parts = let(path(url), lambda p: F.struct(names(p).alias("names"), p.endswith("/").alias("folder")))
-    known = let(parts, lambda x: F.struct(x["names"].alias("names"), x["folder"].alias("folder"), query.alias("query"), top.alias("top"), kind.alias("kind")))
-    return F.when(is_web(url), let(known, file))
+    def placed(u: Parts) -> Column:
+        place = F.concat(escaped_segment(u["host"]), F.when(u["port"] != "", F.concat(F.lit("~p-"), u["port"])).otherwise(""))
+        top = F.when(_origin(u) == source_origin, F.array(F.lit("site"))).otherwise(F.array(F.lit("site"), F.lit("_external"), u["scheme"], place))
+        query = F.when(search(u) == "", "").otherwise(search(_redacted(u)))
+        known = F.struct(names(u["path"]).alias("names"), u["path"].endswith("/").alias("folder"), query.alias("query"), top.alias("top"), kind.alias("kind"))
+        return F.when(u["web"], let(known, file))
+
+    return _of(url, placed)
 
 
 def is_inside_root(relative: Column) -> Column:

@@ -30,12 +30,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     visible = F.regexp_replace("html", HIDDEN, "")
     tags = pages.select("page_id", "url", F.explode(urls.once(F.regexp_extract_all(visible, F.lit(TAG), 0))).alias("tag"))
     hrefs = tags.select("page_id", "url", urls.once(attribute(F.col("tag"), "href")).alias("href")).where("href is not null")
-    found = hrefs.withColumn("target", urls.once(urls.resolve(F.col("href"), F.col("url"))))
-    made = urls.once(urls.local_path(F.col("target"), F.col("_origin")))
-    found = found.withColumn("_origin", urls.once(urls.origin(F.col("url"))))
-    return found.select(
-        "page_id", "url", "href", "target",
-        (urls.origin(F.col("target")) == F.col("_origin")).alias("same_origin"), made.alias("local_path"),
+    # A page's URL and a reference with its folder are each taken apart once.
+    based = hrefs.withColumn("_base", urls.once(urls.parts(F.col("url"))))
+    base = urls.Parts(F.col("_base"))
+    put = based.withColumn("_to", urls.once(urls.parts(urls.joined(F.col("href"), base)))).withColumn("_origin", urls.once(urls.origin(base)))
+    target = urls.Parts(F.col("_to"))
+    return put.select(
+        "page_id", "url", "href", urls.canonical(target).alias("target"), (urls.origin(target) == F.col("_origin")).alias("same_origin"),
+        urls.once(urls.local_path(target, F.col("_origin"))).alias("local_path"),
     )
 
 

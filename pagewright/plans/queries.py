@@ -51,7 +51,8 @@ WITH {_PARTS},
 a AS (SELECT page_id, url, scheme || '://' || host AS base, replace(replace(replace(replace(replace(unnest(regexp_extract_all(
     regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'),
     '(?is)<a\s+href="([^"]*)"', 1)), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href FROM p),
-s AS (SELECT *, string_split(href, '/') AS parts, row_number() OVER () AS r FROM a),
+q AS (SELECT * REPLACE (base || list_reduce(list_transform(regexp_extract_all(href, '(?s).'), lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]|["<>`{{}}^]') THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') ELSE c END), lambda x, y: x || y) AS base) FROM a),
+s AS (SELECT *, string_split(href, '/') AS parts, row_number() OVER () AS r FROM q),
 e AS (SELECT r, list(CASE WHEN stem IN ('aux','con','nul','prn','clock$') OR regexp_matches(stem, '^(com|lpt)[1-9]$') THEN '~r-' || esc ELSE esc END ORDER BY i) AS segs FROM (
   SELECT r, i, esc, lower(regexp_extract(esc, '^([^.]*)', 1)) AS stem FROM (
     SELECT r, i, list_reduce(list_transform(regexp_extract_all(url_decode(seg), '(?s).'), lambda c:
@@ -61,13 +62,13 @@ e AS (SELECT r, list(CASE WHEN stem IN ('aux','con','nul','prn','clock$') OR reg
 
 
 @query("page_links", _LINKS + """
-SELECT page_id, url, href, base || href AS target, true AS same_origin, 'site/' || array_to_string(segs, '/') AS local_path FROM s JOIN e USING (r)""")
+SELECT page_id, url, href, base AS target, true AS same_origin, 'site/' || array_to_string(segs, '/') AS local_path FROM s JOIN e USING (r)""")
 def page_links(spark, d):
     return links.page_links(pages(spark, d))
 
 
 @query("local_path_collisions", _LINKS + """,
-u AS (SELECT DISTINCT regexp_replace(base, '^.*://', '') AS host, base || href AS target, 'site/' || array_to_string(segs, '/') AS local_path FROM s JOIN e USING (r)),
+u AS (SELECT DISTINCT base AS target, 'site/' || array_to_string(segs, '/') AS local_path FROM s JOIN e USING (r)),
 n AS (SELECT *, row_number() OVER (PARTITION BY lower(local_path) ORDER BY target) AS n FROM u)
 SELECT target, local_path, CASE WHEN n = 1 THEN local_path ELSE
   left(local_path, length(local_path) - length(regexp_extract(local_path, '^.+(\\.[^.]*)$', 1))) || '~u-' || n || regexp_extract(local_path, '^.+(\\.[^.]*)$', 1) END AS unique_path FROM n""".replace("\\\\", "\\"))
@@ -83,7 +84,7 @@ def link_degree(spark, d):
     return found.groupBy("page_id").agg(F.count("href").alias("n_links"), F.count_distinct("href").alias("n_targets"))
 
 
-@query("dangling_links", _LINKS + """SELECT base || href AS target, count(*) AS n FROM s WHERE base || href NOT IN (SELECT regexp_replace(url, '#.*$', '') FROM pages) GROUP BY 1""")
+@query("dangling_links", _LINKS + """SELECT base AS target, count(*) AS n FROM s WHERE base NOT IN (SELECT regexp_replace(url, '#.*$', '') FROM pages) GROUP BY 1""")
 def dangling_links(spark, d):
     known = pages(spark, d).select(urls.canonical(F.col("url")).alias("target")).distinct()
     return links.page_links(pages(spark, d)).join(known, "target", "left_anti").groupBy("target").agg(F.count("*").alias("n"))
@@ -94,7 +95,7 @@ def url_canonical(spark, d):
     return pages(spark, d).select("page_id", urls.canonical(F.col("url")).alias("canonical"), urls.origin(F.col("url")).alias("origin"))
 
 
-@query("url_origin_rollup", rf"WITH {_PARTS} SELECT scheme || '://' || host AS origin, count(*) AS n_pages, count(DISTINCT path) AS n_paths, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM p JOIN pages USING (page_id) GROUP BY 1")
+@query("url_origin_rollup", rf"WITH {_PARTS} SELECT scheme || '://' || host AS origin, count(*) AS n_pages, count(DISTINCT path) AS n_paths, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM p GROUP BY 1")
 def url_origin_rollup(spark, d):
     return pages(spark, d).groupBy(urls.origin(F.col("url")).alias("origin")).agg(
         F.count("*").alias("n_pages"), F.count_distinct(urls.path(F.col("url"))).alias("n_paths"), F.sum(F.octet_length("html")).cast("long").alias("bytes")
@@ -162,7 +163,7 @@ golden("redacted_urls", Literal("url string, result string", (
     ("https://example.com/app#/callback?access_token=fragment-secret&view=summary", "https://example.com/app#/callback?access_token=REDACTED&view=summary"),
     ("https://example.com/#sessionId=abc&panel=2", "https://example.com/#sessionId=REDACTED&panel=2"),
     ("https://example.com/a?token=1&x=2&token=3", "https://example.com/a?token=REDACTED&x=2"), ("https://example.com/a?x=2&y=", "https://example.com/a?x=2&y="),
-    ("HTTPS://Example.COM", "https://example.com/"),
+    ("HTTPS://Example.COM", "https://example.com/"), ("not a url token=abc", "not a url token=REDACTED"), ("/relative?token=abc", "/relative?token=REDACTED"), ("data:text/plain,x", "data:text/plain,x"),
 )), "result", lambda c: urls.redacted(c("url")))
 
 golden("redacted_texts", Literal("value string, result string", (
