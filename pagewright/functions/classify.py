@@ -61,8 +61,8 @@ TEXT_TYPES = (
 any_of = lambda conditions: reduce(lambda a, b: a | b, conditions)
 
 
-def _host(url: Column) -> Column:
-    return F.when(urls.scheme(url).isin("http", "https"), F.regexp_replace(urls.host(url), r"\.$", ""))
+def _host(url: Column | urls.Parts) -> Column:
+    return urls._of(url, lambda u: F.when(u["scheme"].isin("http", "https"), F.regexp_replace(u["host"], r"\.$", "")))
 
 
 def _path(url: Column) -> Column:
@@ -94,8 +94,8 @@ def is_translation(url: Column) -> Column:
     return F.coalesce(any_of([(_host(url) == h) & path.startswith(p) for h, p in TRANSLATION_PREFIXES]) | beacon, F.lit(False))
 
 
-def is_nonessential(url: Column) -> Column:
-    return is_tracking(url) | is_telemetry(url) | is_embed(url) | is_translation(url)
+def is_nonessential(url: Column | urls.Parts) -> Column:
+    return urls._of(url, lambda u: is_tracking(u) | is_telemetry(u) | is_embed(u) | is_translation(u))
 
 
 def media_type(content_type: Column) -> Column:

@@ -518,3 +518,5 @@ _CHECKS = Literal("run string, outcome string", (("a", "match"), ("a", "match"),
 @query("perceptual_rollup", f"""SELECT run, count_if(outcome <> 'error') AS compared, {', '.join(f"count_if(outcome = '{o}') AS {n}" for o, n in (('match', 'matched'), ('partial', 'partial'), ('mismatch', 'mismatched'), ('error', 'errors')))}, bool_and(outcome = 'match') AS passed FROM {_CHECKS.sql()} t GROUP BY run""")
 def perceptual_rollup(spark, _):
     return rollups.perceptual(_CHECKS.frame(spark), "run")
+
+from . import policy  # noqa: E402, F401  (its queries are registered on import)
