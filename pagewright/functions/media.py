@@ -10,7 +10,9 @@ from . import urls
 # Query names that only choose a rendition of an image, and names that only defeat caches.
 RENDITION = ["dpr", "h", "height", "quality", "w", "width"]
 BUSTERS = ["cache", "cachebust", "cachebuster", "cb", "t", "timestamp", "ts", "v", "ver", "version"]
-TIMESTAMP = r"^([A-Za-z0-9]+[_-])?[0-9]{11,}$"
+TIMESTAMP = r"^([A-Za-z][A-Za-z0-9_-]{0,63}[_-])?[0-9]{11,}$"
+# Values that leave a rendition as it is.
+NEUTRAL_CROPS = ["center", "centre"]
 
 
 def pairs(url: Column) -> Column:
@@ -28,20 +30,38 @@ def value(pair: Column) -> Column:
 
 def rendition_identity(url: Column) -> Column:
     """The URL without what only chooses a rendition, its other parameters sorted."""
-    kept = F.filter(pairs(url), lambda p: ~name(p).isin(RENDITION) & (F.lower(p) != "crop=center"))
+    kept = F.filter(pairs(url), lambda p: ~name(p).isin(RENDITION) & ~((name(p) == "crop") & F.lower(F.trim(value(p))).isin(NEUTRAL_CROPS)))
     return F.concat(urls.origin(url), urls.path(url), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(""))
 
 
 def parameter(url: Column, *names: str) -> Column:
-    """The first of the named parameters, as a number; null for none."""
+    """The largest of the named parameters that starts as a positive number; null for none."""
     found = F.filter(pairs(url), lambda p: name(p).isin(list(names)))
-    return F.try_element_at(F.transform(found, lambda p: value(p).try_cast("double")), F.lit(1))
+    numbers = F.transform(found, lambda p: F.regexp_extract(F.trim(value(p)), r"^([+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double"))
+    return F.array_max(F.filter(numbers, lambda n: n > 0))
 
 
 def width(url: Column) -> Column:
     return parameter(url, "w", "width") * F.coalesce(parameter(url, "dpr"), F.lit(1.0))
 
 
+def rendition(url: Column) -> Column:
+    """``{identity, width, height, pixels, largest, quality, transformed}`` of an image's URL; sizes are zero where it names none."""
+    dpr = F.coalesce(parameter(url, "dpr"), F.lit(1.0))
+    w, h = (F.coalesce(parameter(url, *n), F.lit(0.0)) * dpr for n in (("w", "width"), ("h", "height")))
+    changed = F.exists(pairs(url), lambda p: name(p).isin(RENDITION) | ((name(p) == "crop") & F.lower(F.trim(value(p))).isin(NEUTRAL_CROPS)))
+
+    def made(x: Column) -> Column:
+        largest = F.greatest(x["w"], x["h"])
+        pixels = F.when((x["w"] > 0) & (x["h"] > 0), x["w"] * x["h"]).otherwise(largest * largest)
+        return F.struct(
+            rendition_identity(url).alias("identity"), x["w"].alias("width"), x["h"].alias("height"), pixels.alias("pixels"), largest.alias("largest"),
+            F.coalesce(parameter(url, "quality"), F.lit(0.0)).alias("quality"), changed.alias("transformed"),
+        )
+
+    return urls.let(F.struct(w.alias("w"), h.alias("h")), made)
+
+
 def volatile_key(url: Column) -> Column:
     """Equal for URLs that differ in a time stamp's digits only; null if nothing in the query is one or a name in it is sensitive."""
     shown = F.transform(pairs(url), lambda p: F.when(value(p).rlike(TIMESTAMP), F.concat(name(p), F.lit("="), F.regexp_extract(value(p), TIMESTAMP, 1), F.lit("<timestamp>"))).otherwise(p))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import classify, reuse, urls
+
 
 def folded(events: DataFrame) -> DataFrame:
     """One row for each (session, request, redirect hop) of ``events(session_id, request_id, seq, kind, url, status, mime_type, redirect_status)``.
@@ -74,3 +76,80 @@ def sessions(events: DataFrame, quiet: str = "30 minutes", deadline: str | None
         first = F.min("ts").over(Window.partitionBy("user_id", "run"))
         rows = rows.withColumn("first", first).where(F.col("ts") <= F.col("first") + F.expr(f"interval '{deadline}'"))
     return rows.groupBy("user_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n")).drop("run")
+
+
+def privacy(events: DataFrame) -> DataFrame:
+    """``(session, request_id, hop, ...)``: what the extra events of requests and responses tell of each hop, in whatever order they arrive.
+
+    ``events(session_id, request_id, seq, kind, redirect_status, has_cookie, has_authorization, has_set_cookie, private_or_no_store, varies_by_credential, cookie_policy_affected, extra_status)``; kinds
+    request_extra and response_extra carry evidence. What comes before its request is kept for the first hop. Two pieces of evidence of one kind for a hop, or statuses that differ, make it ambiguous. Without a request there is no row.
+    """
+    session = F.coalesce("session_id", F.lit("root"))
+    key = Window.partitionBy(session, "request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.count_if((F.col("kind") == "request") & F.col("redirect_status").isNotNull()).over(key)
+    begun = F.count_if(F.col("kind") == "request").over(key)
+    known = F.count_if(F.col("kind") == "request").over(Window.partitionBy(session, "request_id"))
+    rows = events.select("*", session.alias("session"), opens.alias("hop"), (begun == 0).alias("parked"), known.alias("_k")).where("_k > 0 and kind like '%_extra'")
+    asks, says = F.col("kind") == "request_extra", F.col("kind") == "response_extra"
+    early, late = (lambda k: F.count_if(k & F.col("parked"))), (lambda k: F.count_if(k & ~F.col("parked")))
+    any_ = lambda c: F.coalesce(F.bool_or(F.col(c)), F.lit(False)).alias(c)
+    twice = lambda k: (early(k) > 1) | (F.least(early(k), F.lit(1)) + late(k) > 1)
+    # Of parked statuses the first is kept; it is compared with those that come later.
+    first_early = F.min_by("extra_status", F.when(says & F.col("parked") & F.col("extra_status").isNotNull(), F.col("seq")))
+    differ = F.count_distinct(F.when(says & ~F.col("parked"), F.col("extra_status"))) > 1
+    first_late = F.min_by("extra_status", F.when(says & ~F.col("parked") & F.col("extra_status").isNotNull(), F.col("seq")))
+    return rows.groupBy("session", "request_id", "hop").agg(
+        F.bool_or(asks).alias("request_extra"), F.bool_or(says).alias("response_extra"), *[any_(c) for c in ("has_cookie", "has_authorization", "has_set_cookie", "private_or_no_store", "varies_by_credential", "cookie_policy_affected")],
+        F.coalesce(first_early, first_late).alias("status"), (twice(asks) | twice(says) | differ | F.coalesce(first_early != first_late, F.lit(False))).alias("ambiguous"),
+    )
+
+
+def admitted_requests(requests: DataFrame) -> DataFrame:
+    """``requests(url, resource_type, initiator)`` worth a row: no tracker or the like, no ping, no icon that the browser asks for by itself."""
+    icon = (urls.path(F.col("url")) == "/favicon.ico") & (F.coalesce(F.lower("initiator"), F.lit("other")) == "other")
+    return requests.where(~classify.is_nonessential(F.col("url")) & (F.coalesce("resource_type", F.lit("")) != "Ping") & ~F.coalesce(icon, F.lit(False)))
+
+
+def pending(events: DataFrame) -> DataFrame:
+    """``events(session, request_id, seq, kind, resource_type, worker)`` with ``pending``: requests of the session that are open after each event.
+
+    kind opened or closed; those of workers and long-lived ones hold nothing up. Closing what is not open changes nothing.
+    """
+    counts = ~F.coalesce("worker", F.lit(False)) & ~F.coalesce(F.col("resource_type").isin(reuse.LONG_LIVED), F.lit(False))
+    own = Window.partitionBy("session", "request_id").orderBy("seq")
+    fresh = (F.col("kind") == "opened") & (F.coalesce(F.lag("kind").over(own), F.lit("closed")) == "closed")
+    shut = (F.col("kind") == "closed") & (F.lag("kind").over(own) == "opened")
+    change = F.when(counts & fresh, 1).when(F.coalesce(counts & shut, F.lit(False)), -1).otherwise(0)
+    rows = events.withColumn("_c", change)
+    return rows.withColumn("pending", F.sum("_c").over(Window.partitionBy("session").orderBy("seq"))).drop("_c")
+
+
+def seeded_hints(hints: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
+    """``(url, resource_type)``: static files that the page's timing names and no request does, the first ``most`` by ``seq``. ``hints(url, seq)``, ``known(url)``."""
+    named = hints.select(urls.canonical(F.col("url")).alias("url"), "seq").where("url is not null").groupBy("url").agg(F.min("seq").alias("seq"))
+    typed = named.withColumn("resource_type", reuse.static_resource_type(F.col("url"))).where(F.col("resource_type").isNotNull() & (urls.path(F.col("url")) != "/favicon.ico"))
+    return typed.orderBy("seq", "url").limit(most).join(known.select("url"), "url", "left_anti").select("url", "resource_type")
+
+
+def stored_matches(missing: DataFrame, stored: DataFrame) -> DataFrame:
+    """``(url, sha256)``: bodies of the page's own caches for resources without one. ``missing(url)``, ``stored(cache, entry, url, method, status, vary, cache_control, sha256)``.
+
+    A stored response counts if it is a GET's with a status of 200 to 203, doesn't vary and is not private; of several the first by cache and entry.
+    """
+    usable = (F.upper("method") == "GET") & F.col("status").between(200, 203) & (F.trim(F.coalesce("vary", F.lit(""))) == "") & ~reuse.is_private(F.col("cache_control"))
+    rows = stored.where(usable).select(urls.canonical(F.col("url")).alias("_u"), F.struct("cache", "entry").alias("_at"), "sha256")
+    first = rows.where("_u is not null").groupBy("_u").agg(F.min_by("sha256", "_at").alias("sha256"))
+    return missing.withColumn("_u", urls.canonical(F.col("url"))).join(first, "_u").select("url", "sha256").distinct()
+
+
+def candidates(rows: DataFrame, source: str, reason: str) -> DataFrame:
+    """Of captured ``rows(url, seq, method, status, resource_type, historical, incomplete, body, content_type, size)`` what a mirror is to fetch, one for each URL, with the source page added if none is it.
+
+    Kept are GETs with a response of 200 to 399 that are neither trackers and the like nor long-lived, historical candidates, and, if the capture ended by its maximum duration, incomplete ones.
+    """
+    answered = (F.upper("method") == "GET") & F.col("status").between(200, 399) & ~classify.is_nonessential(F.col("url")) & ~F.coalesce(F.col("resource_type").isin(reuse.LONG_LIVED), F.lit(False))
+    kept = rows.where(F.coalesce(answered, F.lit(False)) | F.coalesce("historical", F.lit(False)) | (F.coalesce("incomplete", F.lit(False)) & F.lit(reason == "maximum_duration")))
+    best = best_evidence(kept.withColumn("url", F.coalesce(urls.canonical(F.col("url")), "url")))
+    entry = rows.sparkSession.createDataFrame([(source,)], "url string").select(urls.canonical(F.col("url")).alias("url"))
+    own = entry.join(best.select("url"), "url", "left_anti").select("url", F.lit(0).cast("long").alias("seq"), *[F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("body", "content_type", "size")])
+    return best.unionByName(own).withColumn("is_entry", F.col("url") == urls.canonical(F.lit(source)))

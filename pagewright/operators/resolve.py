@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import media, urls
 
 
 def unique(pairs: DataFrame, key: str, value: str) -> DataFrame:
@@ -42,3 +42,59 @@ def resolved(refs: DataFrame, known: DataFrame) -> DataFrame:
         .when(F.col("_by_end").isNotNull(), "suffix").when(F.col("_origin") == urls.origin(F.col("base")), "unresolved").otherwise("online")
     )
     return rows.select(*refs.columns, "target", F.coalesce("_exact", "_by_path", "_by_end").alias("local_path"), how.alias("how"))
+
+
+def with_renditions(rows: DataFrame, downloads: DataFrame) -> DataFrame:
+    """``rows`` of :func:`resolved` where those that nothing is known for take another rendition of the same image; ``downloads`` is a plan's download map."""
+    known = downloads.where("kind = 'rendition'").select(F.col("key").alias("_identity"), F.col("local_path").alias("_other"))
+    missed = rows.withColumn("_identity", F.when(F.col("local_path").isNull() & F.col("target").isNotNull(), media.rendition_identity(F.col("target"))))
+    found = missed.join(known, "_identity", "left")
+    return found.select(*[c for c in rows.columns if c not in ("local_path", "how")], F.coalesce("local_path", "_other").alias("local_path"), F.when(F.col("_other").isNotNull(), "rendition").otherwise(F.col("how")).alias("how"))
+
+
+def runtime_suffixes(known: DataFrame) -> DataFrame:
+    """``(suffix, local_path)``: endings of known paths, of two segments or more, that name one file; of URLs without a query only."""
+    plain = known.where(urls.search(F.col("url")) == "")
+    return unique(suffixes(plain).select("suffix", "local_path"), "suffix", "local_path")
+
+
+def volatile_aliases(known: DataFrame) -> DataFrame:
+    """``(key, local_path)``: keys of URLs that differ in time stamps only, where they name one file."""
+    keyed = known.select(media.volatile_key(F.col("url")).alias("key"), "local_path").where("key is not null")
+    return unique(keyed, "key", "local_path")
+
+
+def already_local(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """``refs(ref, here)`` that name a file of the mirror as they stand: from the root, with or without the site folder, or from the folder of ``here``; ``files(local_path)``."""
+    plain = F.regexp_replace("ref", "[?#].*$", "")
+    folder = F.regexp_replace("here", "[^/]*$", "")
+    names = F.array(F.regexp_replace(plain, "^/", "site/"), F.regexp_replace(plain, "^/(?=site/)", ""), urls.let(F.concat(F.lit("/"), folder, plain), lambda p: F.regexp_replace(urls.without_dots(p), "^/", "")))
+    rows = refs.withColumn("_n", F.explode(F.array_distinct(names)))
+    return rows.join(files.select(F.col("local_path").alias("_n")).distinct(), "_n", "left_semi").drop("_n").distinct()
+
+
+def entry(resources: DataFrame, source: str) -> DataFrame:
+    """``(local_path)``: the file of the source page, else the first downloaded page by ``seq``; without the site folder."""
+    got = resources.where("status = 'downloaded' and local_path like 'site/%'").withColumn("_exact", F.col("canonical") == urls.canonical(F.lit(source)))
+    page = F.col("_exact") | F.coalesce(F.lower("content_type").startswith("text/html"), F.lit(False))
+    return got.where(page).agg(F.min_by("local_path", F.struct((~F.col("_exact")).alias("k"), "seq")).alias("p")).select(F.substring("p", 6, 1 << 20).alias("local_path"))
+
+
+def cached(requests: DataFrame, entries: DataFrame, objects: DataFrame) -> DataFrame:
+    """``requests(url)`` with the stored body's ``sha256``: entries are by the hash of the URL, and count if their object has the size that they say.
+
+    ``entries(key, sha256, size, valid)``, ``objects(sha256, size)``.
+    """
+    good = entries.where("valid").select("key", "sha256", F.col("size").alias("_s"))
+    kept = objects.select("sha256", F.col("size").alias("_s")).distinct()
+    found = good.join(kept, ["sha256", "_s"]).select("key", "sha256")
+    return requests.withColumn("key", F.sha2("url", 256)).join(found, "key", "left").select(*requests.columns, "sha256")
+
+
+def attached_bodies(resources: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``resources(body_id, ...)`` with ``sha256`` of their bodies, and ``repeated`` for an id that more than one resource or body has: such an id attaches nothing."""
+    asked = resources.where("body_id is not null").groupBy("body_id").agg(F.count("*").alias("_n"))
+    held = bodies.groupBy("body_id").agg(F.count("*").alias("_m"), F.max("sha256").alias("_sha"))
+    rows = resources.join(asked, "body_id", "left").join(held, "body_id", "left")
+    twice = F.coalesce((F.col("_n") > 1) | (F.col("_m") > 1), F.lit(False))
+    return rows.select(*resources.columns, F.when(~twice, F.col("_sha")).alias("sha256"), twice.alias("repeated"))

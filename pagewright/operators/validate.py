@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import classify, urls
+
 
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
@@ -100,3 +102,114 @@ def illegal_transitions(transitions: DataFrame) -> DataFrame:
     first = rows.where("before is null and state <> 'created'")
     rest = rows.where("before is not null").join(F.broadcast(legal), ["before", "state"], "left_anti")
     return first.select("job_id", "seq", "before", "state").unionByName(rest.select("job_id", "seq", "before", "state"))
+
+
+def progress(rows: DataFrame, key: str, finished: str) -> DataFrame:
+    """Counts of a job's finished resources and their bytes; ``completed`` is what was reported, at most what is finished."""
+    done = F.col("status").isin("downloaded", "failed", "skipped", "cancelled")
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return rows.groupBy(key).agg(
+        F.count("*").alias("total"), F.least(F.max(finished), F.count_if(done)).alias("completed"), *[count(s) for s in ("downloaded", "failed", "skipped", "cancelled")],
+        F.sum(F.when(done, F.coalesce("size", F.lit(0))).otherwise(0)).alias("bytes"),
+    )
+
+
+def job_status(statuses: Column, online: Column) -> Column:
+    """A job's status from its resources' and the number of dependencies that stay online."""
+    some = lambda *s: F.arrays_overlap(statuses, F.array(*[F.lit(x) for x in s]))
+    open_ = (online > 0) | some("failed", "skipped", "pending")
+    return F.when(some("cancelled"), "cancelled").when(~open_, "complete").when(some("downloaded"), "partial").otherwise("failed")
+
+
+def downgraded(status: Column, *counts: Column) -> Column:
+    """complete is partial if anything was warned of or stays online."""
+    return F.when((status == "complete") & (F.greatest(F.lit(0), *counts) > 0), "partial").otherwise(status)
+
+
+def canvases(details: DataFrame, key: str, omitted: str) -> DataFrame:
+    """A run's canvases by outcome; it passed if one has something on it, or if none applies and none was left out."""
+    count = lambda s, name: F.count_if(F.col("outcome") == s).alias(name)
+    out = details.groupBy(key).agg(
+        F.count_if(F.col("outcome") != "skipped").alias("inspected"), count("non-empty", "non_empty"), count("empty", "empty"), count("unreadable", "unreadable"), (F.max(omitted) > 0).alias("truncated")
+    )
+    return out.withColumn("passed", (F.col("non_empty") > 0) | (~F.col("truncated") & (F.col("inspected") == 0)))
+
+
+def finite_sets(rows: DataFrame, key: str, name: str, value: str, most: int = 64) -> DataFrame:
+    """``(key, name, values)``: the first ``most`` distinct values, sorted; a set of more is cut, which ``complete`` says. Values are counted before any is gathered."""
+    distinct = rows.select(key, name, value).where(F.col(value).isNotNull()).distinct()
+    ranked = distinct.withColumn("_n", F.row_number().over(Window.partitionBy(key, name).orderBy(value)))
+    return ranked.where(F.col("_n") <= most + 1).groupBy(key, name).agg(
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col(value)))), " ").alias("values"), (F.max("_n") <= most).alias("complete")
+    )
+
+
+def remote_class(url: Column, local: Column, source: Column, allowed: Column, blocked: Column) -> Column:
+    """``{reason, allowed, blocked}`` of a request to another origin than the preview's; null for one to it, to trackers and the like, and to what is no network.
+
+    ``allowed`` and ``blocked`` are arrays of origins; sockets count as the web origins that they are.
+    """
+    web = F.regexp_replace(F.regexp_replace(url, "(?i)^wss:", "https:"), "(?i)^ws:", "http:")
+
+    def of(u: urls.Parts) -> Column:
+        origin = urls.origin(u)
+        reason = F.when(origin == source, "source-origin").otherwise("unexpected-remote")
+        found = F.struct(reason.alias("reason"), F.array_contains(allowed, origin).alias("allowed"), F.array_contains(blocked, origin).alias("blocked"))
+        return F.when(origin.isNotNull() & (origin != local) & ~classify.is_nonessential(u), found)
+
+    return urls._of(web, of)
+
+
+def ignores_failure(url: Column, method: Column, error: Column, navigation: Column, local: Column, blocked: Column) -> Column:
+    """Whether a failed request says nothing: to trackers, to no network, an aborted read of the preview's own, or another origin's that was blocked on purpose."""
+    web = F.regexp_replace(F.regexp_replace(url, "(?i)^wss:", "https:"), "(?i)^ws:", "http:")
+
+    def of(u: urls.Parts) -> Column:
+        own = F.coalesce(urls.origin(u) == local, F.lit(False))
+        aborted = own & ~F.coalesce(navigation, F.lit(False)) & method.isin("GET", "HEAD") & (F.lower(F.trim(error)) == "net::err_aborted")
+        stopped = u["web"] & ~own & (F.lower(error).contains("blocked_by_client") | F.coalesce(blocked, F.lit(False)))
+        other = (u["scheme"] != "") & ~u["scheme"].isin("http", "https")
+        return classify.is_nonessential(u) | other | aborted | stopped
+
+    return F.coalesce(urls._of(web, of), F.lit(False))
+
+
+# Network errors of a source that pass.
+TRANSIENT_ERRORS = ["CONNECTION_ABORTED", "CONNECTION_CLOSED", "CONNECTION_RESET", "HTTP2_PROTOCOL_ERROR", "NETWORK_CHANGED", "QUIC_PROTOCOL_ERROR", "TIMED_OUT"]
+#: The path that stands for a script which the mirror lacks.
+UNAVAILABLE = "/.webmirror/unavailable.js"
+
+
+def is_transient(message: Column) -> Column:
+    found = F.regexp_extract_all(message, F.lit(r"net::ERR_([A-Z0-9_]+)"), 1)
+    return F.coalesce(F.arrays_overlap(found, F.array(*[F.lit(e) for e in TRANSIENT_ERRORS])), F.lit(False))
+
+
+def loopback_class(url: Column) -> Column:
+    """unavailable (the stand-in for a script), loopback, external, or null for what is no network address."""
+    web = F.regexp_replace(F.regexp_replace(url, "(?i)^wss:", "https:"), "(?i)^ws:", "http:")
+    six = F.lower(url).rlike(r"^(https?|wss?)://\[(::1|0:0:0:0:0:0:0:1)\]")
+
+    def of(u: urls.Parts) -> Column:
+        near = six | (u["host"] == "localhost") | u["host"].endswith(".localhost") | u["host"].rlike(r"^127(\.[0-9]{1,3}){3}$")
+        reaches = six | (u["scheme"].isin("http", "https") & (u["host"] != ""))
+        return F.when(reaches & near & (u["path"] == UNAVAILABLE), "unavailable").when(reaches & near, "loopback").when(reaches, "external")
+
+    return urls._of(web, of)
+
+
+TRANSITIONS = {a: [t for s, t in JOB_EDGES if s == a] for a in dict.fromkeys(s for s, _ in JOB_EDGES)}
+
+
+def accepted_updates(events: DataFrame, key: str) -> DataFrame:
+    """``events(key, seq, state)`` with ``accepted``: whether an update's state follows, or is, that of the last one accepted; a job begins as created. One job's updates are folded in order."""
+    legal = F.create_map(*[x for a, bs in TRANSITIONS.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]).cast("array<string>"))])
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "state")))
+
+    def step(a: Column, e: Column) -> Column:
+        ok = F.coalesce((a["now"] == e["state"]) | F.array_contains(F.try_element_at(legal, a["now"]), e["state"]), F.lit(False))
+        return F.struct(F.when(ok, e["state"]).otherwise(a["now"]).alias("now"), F.when(ok, F.concat(a["seqs"], F.array(e["seq"]))).otherwise(a["seqs"]).alias("seqs"))
+
+    start = F.struct(F.lit("created").alias("now"), F.array().cast("array<bigint>").alias("seqs"))
+    kept = events.groupBy(key).agg(ordered.alias("e")).select(key, F.explode(F.aggregate("e", start, step, lambda a: a["seqs"])).alias("seq"), F.lit(True).alias("_ok"))
+    return events.join(kept, [key, "seq"], "left").select(*events.columns, F.coalesce("_ok", F.lit(False)).alias("accepted"))

@@ -1,0 +1,338 @@
+"""Queries of plans, lookups, capture and validation over small tables, with results worked out by hand, and of links over the pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import classify, media, urls
+from ..operators import capture, links, planning, resolve, validate
+from .fixtures import Literal
+from .queries import golden, pages, query
+
+
+def expected(table: Literal) -> str:
+    return f"SELECT * FROM {table.sql()} t"
+
+
+# --- plans -------------------------------------------------------------------------------------------------------------
+
+_SEEN = Literal("url string, seq long, body string, content_type string, size long", (
+    ("a", 1, None, None, 5), ("a", 2, None, "text/css", None), ("a", 3, "b3", None, 7), ("a", 4, "b4", "text/html", 9), ("b", 5, None, "x", None), ("b", 6, None, "y", 3), ("c", 7, "b7", None, None), ("c", 8, None, "z", 4), ("c", 9, None, "w", 1),
+))
+_MERGED = Literal("url string, seq long, body string, content_type string, size long", (("a", 1, "b3", "text/css", 7), ("b", 5, None, "x", 3), ("c", 7, "b7", "z", 4)))
+
+
+@query("merged_evidence", expected(_MERGED))
+def merged_evidence(spark, _):
+    return planning.merged_evidence(_SEEN.frame(spark))
+
+
+_INPUTS = Literal("seq long, url string, method string, content_type string, resource_type string, initiator string", (
+    (1, "https://e.com/app#x", "GET", "text/html", "Document", None), (2, "https://e.com/App", None, "text/html", None, None), (3, "https://e.com/app", "GET", None, None, None), (4, "https://e.com/api", "post", None, "Fetch", None), (5, "not a url", "GET", None, None, None),
+    (6, "https://www.google-analytics.com/x.js", "GET", None, "Script", None), (7, "https://cdn.net/a.png?w=2", "get", "image/png", "Image", None), (8, "https://e.com/f.woff2", "GET", None, "Font", None), (9, "https://e.com/z.css", "GET", None, "Stylesheet", None),
+))
+_PLAN = Literal("seq long, url string, canonical string, status string, local_path string", (
+    (1, "https://e.com/app#x", "https://e.com/app", "pending", "site/app.html"), (2, "https://e.com/App", "https://e.com/App", "pending", "site/App~u-2.html"), (4, "https://e.com/api", "https://e.com/api", "skipped", None), (5, "not a url", "not a url", "skipped", None),
+    (7, "https://cdn.net/a.png?w=2", "https://cdn.net/a.png?w=2", "pending", "site/_external/https/cdn.net/a~q-7f5bd0a2b2d5.png"), (8, "https://e.com/f.woff2", "https://e.com/f.woff2", "pending", "site/f.woff2"), (9, "https://e.com/z.css", "https://e.com/z.css", "pending", "site/z.css"),
+))
+
+
+@query("download_plan", f"SELECT seq, url, canonical, status, CASE WHEN seq = 7 THEN 'site/_external/https/cdn.net/a~q-' || left(sha256('?w=2'), 12) || '.png' ELSE local_path END AS local_path FROM {_PLAN.sql()} t")
+def download_plan(spark, _):
+    return planning.planned(_INPUTS.frame(spark), F.lit("https://e.com"))
+
+
+_BUCKETS = Literal("seq long, bucket string, place long", ((1, "expandable", 1), (3, "expandable", 2), (2, "expandable", 3), (4, "expandable", 4), (9, "expandable", 5), (8, "required", 1), (7, "rendered", 1), (5, "rejected", 1)))
+
+
+@query("candidate_buckets", f"SELECT bucket, place, CASE WHEN place <= 2 AND bucket = 'expandable' THEN 0 ELSE seq END AS seq FROM {_BUCKETS.sql()} t")
+def candidate_buckets(spark, _):
+    found = planning.bucketed(_INPUTS.frame(spark), F.lit("https://e.com/app"))
+    return found.select("bucket", "place", F.when((F.col("place") <= 2) & (F.col("bucket") == "expandable"), 0).otherwise(F.col("seq")).alias("seq"))
+
+
+_IMAGES = Literal("url string, size long", (
+    ("https://e.com/a.jpg?w=400", 1), ("https://e.com/a.jpg?w=800", 2), ("https://e.com/a.jpg?w=800&dpr=2", 3), ("https://e.com/a.jpg", 9), ("https://e.com/b.jpg?w=10&h=10", 1), ("https://e.com/b.jpg?crop=center&w=10&h=10&quality=80", 1), ("https://e.com/c.jpg?v=1", 1), ("https://e.com/c.jpg?v=2", 1),
+))
+_LARGEST = Literal("identity string, url string", (
+    ("https://e.com/a.jpg", "https://e.com/a.jpg"), ("https://e.com/b.jpg", "https://e.com/b.jpg?crop=center&w=10&h=10&quality=80"), ("https://e.com/c.jpg?v=1", "https://e.com/c.jpg?v=1"), ("https://e.com/c.jpg?v=2", "https://e.com/c.jpg?v=2"),
+))
+_FITTING = Literal("identity string, url string", (
+    ("https://e.com/a.jpg", "https://e.com/a.jpg?w=800"), ("https://e.com/b.jpg", "https://e.com/b.jpg?crop=center&w=10&h=10&quality=80"), ("https://e.com/c.jpg?v=1", "https://e.com/c.jpg?v=1"), ("https://e.com/c.jpg?v=2", "https://e.com/c.jpg?v=2"),
+))
+
+
+@query("largest_renditions", expected(_LARGEST))
+def largest_renditions(spark, _):
+    return planning.best_renditions(_IMAGES.frame(spark)).select("identity", "url")
+
+
+@query("fitting_renditions", expected(_FITTING))
+def fitting_renditions(spark, _):
+    return planning.best_renditions(_IMAGES.frame(spark), 700, 500).select("identity", "url")
+
+
+golden("rendition_sizes", Literal("url string, result string", (
+    ("https://e.com/a.jpg?w=400&h=200&dpr=2&quality=70", "800.0 400.0 320000.0 800.0 70.0 true"), ("https://e.com/a.jpg?width=300px", "300.0 0.0 90000.0 300.0 0.0 true"), ("https://e.com/a.jpg?v=3", "0.0 0.0 0.0 0.0 0.0 false"), ("https://e.com/a.jpg?w=-4&w=2&w=3", "3.0 0.0 9.0 3.0 0.0 true"),
+)), "result", lambda c: urls.let(media.rendition(c("url")), lambda r: F.concat_ws(" ", *[r[n].cast("string") for n in ("width", "height", "pixels", "largest", "quality", "transformed")])))
+
+_FETCHED = Literal("canonical string, final string, status string, local_path string, content_type string, size long, sha256 string", (
+    ("https://e.com/a.png?w=1", None, "downloaded", "site/a1.png", "image/png", 1, "h1"), ("https://e.com/a.png?w=9", None, "downloaded", "site/a9.png", "image/png", 9, "h9"), ("https://e.com/x.js?t=11111111111", None, "downloaded", "site/x1.js", "text/javascript", 1, "h"),
+    ("https://e.com/x.js?t=22222222222", None, "downloaded", "site/x2.js", "text/javascript", 1, "h"), ("https://e.com/y", "https://e.com/y/", "downloaded", "site/y.html", "text/html", 1, None), ("https://e.com/z", None, "failed", "site/z", None, None, None),
+))
+_MAP = Literal("key string, kind string, local_path string", (
+    ("https://e.com/a.png?w=1", "url", "site/a1.png"), ("https://e.com/a.png?w=9", "url", "site/a9.png"), ("https://e.com/x.js?t=11111111111", "url", "site/x1.js"), ("https://e.com/x.js?t=22222222222", "url", "site/x1.js"), ("https://e.com/y", "url", "site/y.html"),
+    ("https://e.com/y/", "url", "site/y.html"), ("https://e.com/a.png", "rendition", "site/a9.png"),
+))
+
+
+@query("download_map", expected(_MAP))
+def download_map(spark, _):
+    return planning.download_map(_FETCHED.frame(spark))
+
+
+_REFS = Literal("ref string, base string, local_path string, how string", (
+    ("a.png?w=4", "https://e.com/", "site/a9.png", "rendition"), ("a.png?w=1", "https://e.com/", "site/a1.png", "exact"), ("b.png?w=4", "https://e.com/", None, "unresolved"), ("https://f.com/q.png", "https://e.com/", None, "online"),
+))
+
+
+@query("rendition_fallback", expected(_REFS))
+def rendition_fallback(spark, _):
+    table = planning.download_map(_FETCHED.frame(spark))
+    known = table.where("kind = 'url'").select(F.col("key").alias("url"), "local_path")
+    found = resolve.resolved(_REFS.frame(spark).select("ref", "base"), known)
+    return resolve.with_renditions(found, table).select("ref", "base", "local_path", "how")
+
+
+_TRIED = Literal("canonical string, local_path string, status string, retryable boolean, recovered boolean", (
+    ("https://e.com/a", "site/a", "downloaded", False, True), ("https://e.com/b", None, "failed", True, False), ("https://e.com/c", "site/c", "downloaded", False, False), ("https://e.com/d", "site/d", "failed", False, False),
+))
+
+
+@query("retry_merge", expected(_TRIED))
+def retry_merge(spark, _):
+    old = spark.createDataFrame([("https://e.com/a", "site/a", "failed", True), ("https://e.com/b", "site/b", "failed", True), ("https://e.com/c", "site/c", "downloaded", False), ("https://e.com/d", "site/d", "failed", False)], "canonical string, local_path string, status string, retryable boolean")
+    new = spark.createDataFrame([("https://e.com/a", "site/a", "downloaded", False), ("https://e.com/b", None, "failed", True)], old.schema)
+    return planning.retried(old, new)
+
+
+@query("retry_inputs", "SELECT * FROM (VALUES ('https://e.com/a?token=s'), ('https://e.com/f')) t(url)")
+def retry_inputs(spark, _):
+    failed = spark.createDataFrame([("site/f", "https://e.com/ff", "https://e.com/ff"), (None, "https://e.com/a?token=REDACTED", "https://e.com/a?token=REDACTED")], "local_path string, url string, canonical string")
+    sources = spark.createDataFrame([("site/f", "https://e.com/f"), ("site/g", "https://e.com/g")], "local_path string, url string")
+    inputs = spark.createDataFrame([("https://e.com/a?token=s",), ("https://e.com/g",)], "url string")
+    return planning.retry_inputs(failed, sources, inputs)
+
+
+golden("body_sources", Literal("captured boolean, fresh boolean, etag string, modified string, result string", (
+    (True, True, None, None, "captured"), (False, True, None, None, "cache"), (None, False, '"e"', None, "revalidate"), (False, False, None, "Mon", "revalidate"), (False, False, "", None, "network"), (False, None, '"e"', None, "network"),
+)), "result", lambda c: planning.body_source(c("captured"), c("fresh"), c("etag"), c("modified")))
+
+
+@query("cache_commits", "SELECT 'a' AS local_path")
+def cache_commits(spark, _):
+    rows = [("downloaded", "network", None, "a"), ("downloaded", "cache", None, "b"), ("downloaded", "network", True, "c"), ("failed", "network", False, "d"), ("downloaded", "network", False, None)]
+    return planning.cache_commits(spark.createDataFrame(rows, "status string, body_source string, redacted boolean, local_path string")).select("local_path")
+
+
+# --- lookups -----------------------------------------------------------------------------------------------------------
+
+_FILES = Literal("url string, local_path string", (
+    ("https://e.com/a/img/x.png", "site/a/img/x.png"), ("https://f.com/b/img/x.png", "site/b/img/x.png"), ("https://e.com/a/img/y.png", "site/a/img/y.png"), ("https://e.com/q/z.js?v=1", "site/q/z.js"), ("https://e.com/v.js?t=11111111111", "site/v1.js"), ("https://e.com/v.js?t=22222222222", "site/v2.js"),
+    ("https://e.com/w.js?t=11111111111", "site/w.js"),
+))
+
+
+@query("runtime_suffixes", "SELECT * FROM (VALUES ('a/img/x.png', 'site/a/img/x.png'), ('b/img/x.png', 'site/b/img/x.png'), ('a/img/y.png', 'site/a/img/y.png'), ('img/y.png', 'site/a/img/y.png')) t(suffix, local_path)")
+def runtime_suffixes(spark, _):
+    return resolve.runtime_suffixes(_FILES.frame(spark))
+
+
+@query("volatile_lookup", "SELECT 'site/w.js' AS local_path")
+def volatile_lookup(spark, _):
+    return resolve.volatile_aliases(_FILES.frame(spark)).select("local_path")
+
+
+@query("already_local", "SELECT * FROM (VALUES ('/a/img/x.png', 'site/p/q.html'), ('../a/img/y.png?v', 'site/p/q.html'), ('site/b/img/x.png', 'site/q.html')) t(ref, here)")
+def already_local(spark, _):
+    refs = [("/a/img/x.png", "site/p/q.html"), ("../a/img/y.png?v", "site/p/q.html"), ("site/b/img/x.png", "site/q.html"), ("img/x.png", "site/p/q.html"), ("https://e.com/a", "site/q.html")]
+    return resolve.already_local(spark.createDataFrame(refs, "ref string, here string"), _FILES.frame(spark))
+
+
+@query("entry_page", "SELECT 'b.html' AS local_path")
+def entry_page(spark, _):
+    rows = [(1, "https://e.com/a", "downloaded", "site/a.html", "text/html"), (2, "https://e.com/b", "downloaded", "site/b.html", None), (3, "https://e.com/b", "failed", "site/c.html", "text/html")]
+    return resolve.entry(spark.createDataFrame(rows, "seq long, canonical string, status string, local_path string, content_type string"), "https://E.com/b#x")
+
+
+@query("cache_lookup", "SELECT * FROM (VALUES ('u1', 'h1'), ('u2', NULL), ('u3', NULL), ('u4', NULL)) t(url, sha256)")
+def cache_lookup(spark, _):
+    requests = spark.createDataFrame([("u1",), ("u2",), ("u3",), ("u4",)], "url string")
+    entries = spark.createDataFrame([("u1", "h1", 5, True), ("u2", "h2", 5, True), ("u3", "h1", 5, False)], "u string, sha256 string, size long, valid boolean").select(F.sha2("u", 256).alias("key"), "sha256", "size", "valid")
+    return resolve.cached(requests, entries, spark.createDataFrame([("h1", 5), ("h2", 6)], "sha256 string, size long"))
+
+
+@query("attached_bodies", "SELECT * FROM (VALUES (1::BIGINT, 'b1', 'h1', false), (2, 'b2', NULL, true), (3, 'b2', NULL, true), (4, NULL, NULL, false), (5, 'b5', NULL, true), (6, 'b6', NULL, false)) t(id, body_id, sha256, repeated)")
+def attached_bodies(spark, _):
+    resources = spark.createDataFrame([(1, "b1"), (2, "b2"), (3, "b2"), (4, None), (5, "b5"), (6, "b6")], "id long, body_id string")
+    return resolve.attached_bodies(resources, spark.createDataFrame([("b1", "h1"), ("b2", "h2"), ("b5", "x"), ("b5", "y")], "body_id string, sha256 string"))
+
+
+# --- capture -----------------------------------------------------------------------------------------------------------
+
+_FLAGS = "has_cookie has_authorization has_set_cookie private_or_no_store varies_by_credential cookie_policy_affected".split()
+_EXTRA = Literal("session_id string, request_id string, seq long, kind string, redirect_status long, " + ", ".join(f"{f} boolean" for f in _FLAGS) + ", extra_status long", tuple(
+    (s, r, n, k, red, *[f in flags for f in _FLAGS], st) for s, r, n, k, red, flags, st in (
+        (None, "1", 1, "request_extra", None, ["has_cookie"], None), (None, "1", 2, "request", None, [], None), (None, "1", 3, "response_extra", None, ["has_set_cookie"], 200), ("s", "2", 4, "request_extra", None, [], None), ("s", "2", 5, "request_extra", None, [], None),
+        ("s", "2", 6, "request", None, [], None), ("s", "3", 7, "request", None, [], None), ("s", "3", 8, "request_extra", None, [], None), ("s", "3", 9, "request", 302, [], None), ("s", "3", 10, "request_extra", None, ["has_authorization"], None), ("s", "3", 11, "response_extra", None, [], 302),
+        ("s", "3", 12, "response_extra", None, [], 200), ("s", "4", 13, "request_extra", None, [], None), ("s", "5", 14, "request", None, [], None), ("s", "5", 15, "response", None, [], None),
+    )))
+_TOLD = Literal("session string, request_id string, hop long, request_extra boolean, response_extra boolean, has_cookie boolean, has_authorization boolean, has_set_cookie boolean, status long, ambiguous boolean", (
+    ("root", "1", 0, True, True, True, False, True, 200, False), ("s", "2", 0, True, False, False, False, False, None, True), ("s", "3", 0, True, False, False, False, False, None, False), ("s", "3", 1, True, True, False, True, False, 302, True),
+))
+
+
+@query("privacy_evidence", expected(_TOLD))
+def privacy_evidence(spark, _):
+    return capture.privacy(_EXTRA.frame(spark)).select("session", "request_id", "hop", "request_extra", "response_extra", "has_cookie", "has_authorization", "has_set_cookie", "status", "ambiguous")
+
+
+@query("admitted_requests", "SELECT * FROM (VALUES ('https://e.com/favicon.ico', 'parser'), ('https://e.com/a.js', 'other')) t(url, initiator)")
+def admitted_requests(spark, _):
+    rows = [("https://e.com/favicon.ico", "Other", "other"), ("https://e.com/favicon.ico", "Image", "parser"), ("https://e.com/a.js", None, "other"), ("https://e.com/b", "Ping", "script"), ("https://www.googletagmanager.com/x.js", "Script", "parser")]
+    return capture.admitted_requests(spark.createDataFrame(rows, "url string, resource_type string, initiator string")).select("url", "initiator")
+
+
+_OPEN = Literal("session string, request_id string, seq long, kind string, resource_type string, worker boolean, pending long", (
+    ("s", "1", 1, "opened", "Script", False, 1), ("s", "2", 2, "opened", "Image", None, 2), ("s", "w", 3, "opened", "Script", True, 2), ("s", "1", 4, "opened", "Script", False, 2), ("s", "e", 5, "opened", "EventSource", False, 2), ("s", "1", 6, "closed", "Script", False, 1),
+    ("s", "1", 7, "closed", "Script", False, 1), ("s", "9", 8, "closed", "Script", False, 1), ("s", "2", 9, "closed", "Image", None, 0), ("t", "1", 10, "opened", None, None, 1),
+))
+
+
+@query("pending_requests", expected(_OPEN))
+def pending_requests(spark, _):
+    return capture.pending(_OPEN.frame(spark).drop("pending"))
+
+
+@query("seeded_hints", "SELECT * FROM (VALUES ('https://e.com/a.js', 'Script'), ('https://e.com/b.png', 'Image')) t(url, resource_type)")
+def seeded_hints(spark, _):
+    hints = [("https://e.com/a.js#x", 1), ("https://e.com/a.js", 2), ("https://e.com/favicon.ico", 3), ("https://e.com/page", 4), ("https://e.com/b.png", 5), ("https://e.com/k.css", 6), ("data:x", 7)]
+    return capture.seeded_hints(spark.createDataFrame(hints, "url string, seq long"), spark.createDataFrame([("https://e.com/k.css",)], "url string"))
+
+
+@query("stored_matches", "SELECT * FROM (VALUES ('https://e.com/a.js', 'h2'), ('https://E.com/a.js#f', 'h2')) t(url, sha256)")
+def stored_matches(spark, _):
+    stored = [(1, 1, "https://e.com/a.js", "GET", 200, "Accept", None, "h1"), (1, 2, "https://e.com/a.js", "get", 203, None, "max-age=1", "h2"), (2, 1, "https://e.com/a.js", "GET", 200, "", None, "h3"), (1, 3, "https://e.com/b", "GET", 200, None, "private", "h4"), (1, 4, "https://e.com/c", "GET", 404, None, None, "h5")]
+    table = spark.createDataFrame(stored, "cache long, entry long, url string, method string, status long, vary string, cache_control string, sha256 string")
+    return capture.stored_matches(spark.createDataFrame([("https://e.com/a.js",), ("https://E.com/a.js#f",), ("https://e.com/b",), ("https://e.com/c",)], "url string"), table)
+
+
+_CAUGHT = Literal("url string, seq long, method string, status long, resource_type string, historical boolean, incomplete boolean, body string, content_type string, size long", (
+    ("https://e.com/a#1", 1, "GET", 200, "Document", False, False, None, "text/html", None), ("https://e.com/a", 2, "GET", 200, "Document", False, False, "b", None, None), ("https://e.com/p", 3, "POST", 200, "Fetch", False, False, None, None, None), ("https://e.com/h.js", 4, "GET", None, "Script", True, False, None, None, None),
+    ("https://e.com/i.js", 5, "GET", None, "Script", False, True, None, None, None), ("https://e.com/ws", 6, "GET", 200, "WebSocket", False, False, None, None, None), ("https://e.com/404", 7, "GET", 404, "Image", False, False, None, None, None),
+))
+
+
+@query("mirror_candidates", "SELECT * FROM (VALUES ('https://e.com/a', 2::BIGINT, 'b', 'text/html', false), ('https://e.com/h.js', 4, NULL, NULL, false), ('https://e.com/i.js', 5, NULL, NULL, false), ('https://e.com/', 0, NULL, NULL, true)) t(url, seq, body, content_type, is_entry)")
+def mirror_candidates(spark, _):
+    return capture.candidates(_CAUGHT.frame(spark), "https://e.com", "maximum_duration").select("url", "seq", "body", "content_type", "is_entry")
+
+
+# --- validation --------------------------------------------------------------------------------------------------------
+
+_DONE = Literal("job string, status string, size long, reported long", (("a", "downloaded", 5, 3), ("a", "pending", 9, 3), ("a", "failed", None, 3), ("b", "skipped", None, 1), ("b", "downloaded", 2, 0)))
+
+
+@query("progress", f"""SELECT job, count(*) AS total, least(max(reported), count_if(status <> 'pending')) AS completed, {', '.join(f"count_if(status = '{s}') AS {s}" for s in ('downloaded', 'failed', 'skipped', 'cancelled'))}, CAST(sum(CASE WHEN status <> 'pending' THEN coalesce(size, 0) ELSE 0 END) AS BIGINT) AS bytes FROM {_DONE.sql()} t GROUP BY job""")
+def progress(spark, _):
+    return validate.progress(_DONE.frame(spark), "job", "reported")
+
+
+golden("job_statuses", Literal("statuses string, online long, warnings long, result string", (
+    ("downloaded", 0, 0, "complete"), ("downloaded", 0, 2, "partial"), ("downloaded", 1, 0, "partial"), ("failed", 0, 0, "failed"), ("downloaded failed", 0, 0, "partial"), ("cancelled downloaded", 0, 0, "cancelled"), ("", 0, 0, "complete"), ("", 1, 0, "failed"),
+)), "result", lambda c: validate.downgraded(validate.job_status(F.split(c("statuses"), " "), c("online")), c("warnings")))
+
+_CANVASES = Literal("run string, outcome string, omitted long", (("a", "non-empty", 0), ("a", "empty", 0), ("a", "skipped", 0), ("b", "unreadable", 2), ("c", "skipped", 0), ("d", "empty", 0)))
+
+
+@query("canvas_rollup", f"""SELECT run, count_if(outcome <> 'skipped') AS inspected, count_if(outcome = 'non-empty') AS non_empty, count_if(outcome = 'empty') AS empty, count_if(outcome = 'unreadable') AS unreadable, max(omitted) > 0 AS truncated,
+count_if(outcome = 'non-empty') > 0 OR (max(omitted) = 0 AND count_if(outcome <> 'skipped') = 0) AS passed FROM {_CANVASES.sql()} t GROUP BY run""")
+def canvas_rollup(spark, _):
+    return validate.canvases(_CANVASES.frame(spark), "run", "omitted")
+
+
+_VALUES = Literal("template string, name string, value string", tuple(("t", "size", v) for v in "sml") + (("t", "lang", "en"), ("t", "lang", "en"), ("t", "lang", None)))
+
+
+@query("finite_sets", "SELECT * FROM (VALUES ('t', 'size', 'l m', false), ('t', 'lang', 'en', true)) t(template, name, \"values\", complete)")
+def finite_sets(spark, _):
+    return validate.finite_sets(_VALUES.frame(spark), "template", "name", "value", 2)
+
+
+golden("remote_classes", Literal("url string, result string", (
+    ("https://e.com/a", "source-origin false true"), ("http://127.0.0.1:8000/x", None), ("wss://f.com/s", "unexpected-remote true false"), ("https://www.google-analytics.com/c", None), ("data:text/plain,x", None), ("https://g.com", "unexpected-remote false false"),
+)), "result", lambda c: urls.let(validate.remote_class(c("url"), F.lit("http://127.0.0.1:8000"), F.lit("https://e.com"), F.array(F.lit("https://f.com")), F.array(F.lit("https://e.com"))), lambda r: F.when(r.isNotNull(), F.concat_ws(" ", r["reason"], r["allowed"].cast("string"), r["blocked"].cast("string")))))
+
+golden("ignored_failures", Literal("url string, method string, error string, navigation boolean, blocked boolean, result boolean", (
+    ("http://127.0.0.1:8000/x", "GET", "net::ERR_ABORTED", False, False, True), ("http://127.0.0.1:8000/x", "GET", "net::ERR_ABORTED", True, False, False), ("http://127.0.0.1:8000/x", "POST", "net::ERR_ABORTED", False, False, False), ("http://127.0.0.1:8000/x", "GET", "net::ERR_FAILED", False, False, False),
+    ("https://e.com/x", "GET", "net::ERR_BLOCKED_BY_CLIENT", False, False, True), ("https://e.com/x", "GET", "net::ERR_FAILED", False, True, True), ("https://e.com/x", "GET", "net::ERR_FAILED", False, False, False), ("blob:x", "GET", "x", False, False, False), ("ftp://e.com/x", "GET", "x", False, False, True),
+)), "result", lambda c: validate.ignores_failure(c("url"), c("method"), c("error"), c("navigation"), F.lit("http://127.0.0.1:8000"), c("blocked")))
+
+golden("transient_errors", Literal("message string, result boolean", (
+    ("page.goto: net::ERR_CONNECTION_RESET at https://e.com", True), ("net::ERR_TIMED_OUT", True), ("net::ERR_TIMED_OUT_X", False), ("net::ERR_FAILED", False), (None, False),
+)), "result", lambda c: validate.is_transient(c("message")))
+
+golden("loopback_classes", Literal("url string, result string", (
+    ("http://localhost:3000/a", "loopback"), ("ws://127.0.0.1/x", "loopback"), ("http://[::1]:80/", "loopback"), ("https://a.localhost/.webmirror/unavailable.js", "unavailable"), ("https://e.com/.webmirror/unavailable.js", "external"), ("mailto:x@localhost", None), ("x", None),
+)), "result", lambda c: validate.loopback_class(c("url")))
+
+_UPDATES = Literal("job string, seq long, state string, accepted boolean", (
+    ("a", 1, "preflight", True), ("a", 2, "attaching", True), ("a", 3, "preflight", False), ("a", 4, "discovering", True), ("a", 5, "ready", False), ("a", 6, "failed", True), ("a", 7, "downloading", False), ("a", 8, "failed", True), ("b", 1, "created", True), ("b", 2, "complete", False),
+))
+
+
+@query("accepted_updates", expected(_UPDATES))
+def accepted_updates(spark, _):
+    return validate.accepted_updates(_UPDATES.frame(spark).drop("accepted"), "job")
+
+
+# --- pages -------------------------------------------------------------------------------------------------------------
+
+
+@query("navigation_links", r"""WITH a AS (SELECT page_id, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)<(?:a|area)\s[^>]*>')) AS tag FROM pages),
+h AS (SELECT page_id, base, tag, replace(replace(replace(replace(replace(regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1), '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href FROM a),
+u AS (SELECT page_id, base || list_reduce(list_transform(regexp_extract_all(regexp_replace(href, '#.*$', ''), '(?s).'), lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]|["<>`{}^]') THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') ELSE c END), lambda x, y: x || y) AS target, tag FROM h WHERE href LIKE '/%' AND href NOT LIKE '//%')
+SELECT DISTINCT page_id, target FROM u WHERE NOT regexp_matches(tag, '(?is)\srel="[^"]*(external|nofollow)|\sdownload') AND lower(regexp_extract(regexp_replace(target, '^[^:]+://[^/]+|[?].*$', '', 'g'), '[^/](\.[^./]*)$', 1)) IN ('', '.htm', '.html') AND NOT regexp_matches(target, '[?&](token|key|auth|code|session|sid|sig|password|secret|jwt)=')""")
+def navigation_links(spark, d):
+    return links.navigation_links(pages(spark, d))
+
+
+@query("mirrored_pages", r"""SELECT page_id AS file, len(regexp_extract_all(html, '(?i)\s(?:href|src|poster)="([^"]*)"')) AS n, regexp_replace(html, '(?i)(\s(?:href|src|poster)=")[^"]*(")', '\1\2', 'g') AS rest FROM pages""")
+def mirrored_pages(spark, d):
+    """Pages with their references rewritten to the mirror of all pages; what stands around the references is as it was."""
+    rows = pages(spark, d).select(F.col("page_id").alias("file"), "url", urls.local_path(F.col("url"), urls.origin(F.col("url"))).alias("local_path"), F.col("html").alias("text"))
+    known = rows.groupBy(urls.canonical(F.col("url")).alias("target")).agg(F.min("local_path").alias("to"))
+    done = links.rewritten(rows, known, links.HTML_REFERENCE)
+    return done.select("file", (F.col("n_local") + F.col("n_other")).alias("n"), F.regexp_replace("text", r"(?i)(\s(?:href|src|poster)=\")[^\"]*(\")", "$1$2").alias("rest"))
+
+
+_CSS = Literal("file long, url string, local_path string, text string, n_local long, n_other long", (
+    (1, "https://e.com/css/a.css", "site/css/a.css", "@import 'b.css'; a{background:url(../img/x.png#f)} b{src:url(\"none.woff\")}", 2, 1), (2, "https://e.com/c.css", "site/c.css", "p{}", 0, 0),
+))
+
+
+@query("mirrored_styles", "SELECT * FROM (VALUES (1::BIGINT, '@import ' || chr(39) || 'b.css' || chr(39) || '; a{background:url(../img/x.png#f)} b{src:url(\"none.woff\")}', 2::BIGINT, 1::BIGINT), (2, 'p{}', 0, 0)) t(file, text, n_local, n_other)")
+def mirrored_styles(spark, _):
+    known = spark.createDataFrame([("https://e.com/css/b.css", "site/css/b.css"), ("https://e.com/img/x.png", "site/img/x.png")], "target string, to string")
+    return links.rewritten(_CSS.frame(spark).drop("n_local", "n_other"), known, links.CSS_REFERENCE).select("file", "text", "n_local", "n_other")
+
+
+@query("meta_refreshes", "SELECT * FROM (VALUES (1::BIGINT, 5::BIGINT, 'https://e.com/next'), (2, 0, 'https://e.com/a/b?c'), (3, 1, 'https://f.com/')) t(page_id, seconds, target)")
+def meta_refreshes(spark, _):
+    rows = [(1, "https://e.com/x", '<meta http-equiv="refresh" content="5; url=/next">'), (2, "https://e.com/a/", "<META content='0;URL=b?c' HTTP-EQUIV=Refresh>"), (3, "https://e.com/", "<meta http-equiv=refresh content=\"1, 'https://f.com'\">"), (4, "https://e.com/", '<meta http-equiv="refresh" content="30">'), (5, "https://e.com/", "<!-- <meta http-equiv=refresh content='1;url=x'> -->")]
+    return links.meta_refresh(spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+@query("page_priorities", "SELECT page_id, 0 AS priority, false AS nonessential FROM pages")
+def page_priorities(spark, d):
+    return pages(spark, d).select("page_id", classify.priority(F.col("url"), F.lit("Document"), F.lit(None).cast("string"), F.lit("text/html")).alias("priority"), classify.is_nonessential(F.col("url")).alias("nonessential"))

@@ -519,4 +519,4 @@ _CHECKS = Literal("run string, outcome string", (("a", "match"), ("a", "match"),
 def perceptual_rollup(spark, _):
     return rollups.perceptual(_CHECKS.frame(spark), "run")
 
-from . import policy  # noqa: E402, F401  (its queries are registered on import)
+from . import planning, policy  # noqa: E402, F401  (its queries are registered on import)
