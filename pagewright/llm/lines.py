@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from .common import let, once, small, written
 
 LEADING, SIMILAR, DOCUMENTS = 3, 0.8, 2
-SPACE = "[ \\t\\r]+"
-
 
 def _tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit as the variable field."""
-    masked = F.regexp_replace(F.trim(line), r"[^ \t\r]*[0-9][^ \t\r]*", "<*>")
-    return F.array_remove(F.split(masked, SPACE), "")
+    plain = F.translate(line, "\t\r", "  ")
+    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+    return F.array_remove(F.split(masked, " "), "")
 
 
 def _key(*parts: Column) -> Column:
@@ -46,21 +45,24 @@ def _merged(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
     lines = _parsed(rows).join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
     lines = written(lines, "forked-lines")
 
-    places = lines.select("leaf", "exact", F.size("tokens").alias("of"), F.posexplode("tokens").alias("place", "token"))
+    # The leading tokens are those of all lines of a leaf: nothing to count there.
+    n_tokens = F.size("tokens")
+    rest = F.when(n_tokens > LEADING, F.slice("tokens", F.lit(LEADING + 1), n_tokens)).otherwise(F.array().cast("array<string>"))
+    places = lines.select("leaf", "exact", n_tokens.cast("short").alias("of"), F.posexplode(rest).alias("place", "token"))
     votes = written(places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n")), "votes")
-    hashed = F.struct(F.xxhash64("place", "token").alias("h"), F.hash("place", "token").alias("g"))
-    again = places.join(votes.where("n > 1").drop("n"), ["leaf", "place", "token"]).select("leaf", "exact", "of", hashed.alias("t")).groupBy("leaf", "exact", "of").agg(
-        F.count("*").alias("n"), F.bit_xor("t.h").alias("h"), F.bit_xor("t.g").alias("g"), F.collect_list("t").alias("parts")  # at most a line's tokens
+    vote = _key("leaf", "place", "token")
+    again = places.select("exact", "of", vote.alias("v")).join(votes.where("n > 1").select(vote.alias("v")), "v").groupBy("exact", "of").agg(
+        (F.count("*") + F.least(F.lit(LEADING), F.first("of"))).alias("n"), F.bit_xor("v.h").alias("h"), F.bit_xor("v.g").alias("g"), F.collect_list("v").alias("parts")  # at most a line's tokens
     )
     none = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("g"))
     freed = F.when(F.col("n") - 1 >= similar * F.col("of"), F.concat(F.array(none), "parts")).otherwise(F.array(none))
-    forms = again.where(F.col("n") >= similar * F.col("of")).select("leaf", "exact", "h", "g", F.explode(freed).alias("p"))
-    forms = forms.select("exact", _key("leaf", F.col("h").bitwiseXOR(F.col("p.h")), F.col("g").bitwiseXOR(F.col("p.g"))).alias("template"))
+    forms = again.where(F.col("n") >= similar * F.col("of")).select("exact", "h", "g", F.explode(freed).alias("p"))
+    forms = forms.select("exact", _key(F.lit("form"), F.col("h").bitwiseXOR(F.col("p.h")), F.col("g").bitwiseXOR(F.col("p.g"))).alias("template"))
     shared = forms.groupBy("template").agg(F.min("exact.h").alias("a"), F.max("exact.h").alias("b")).where("a <> b").select("template")
 
     winner = votes.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
     winner = winner.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda p: p["token"]).alias("agreed"))
-    same = F.size(F.filter(F.zip_with("tokens", "agreed", lambda a, b: a == b), lambda x: x))
+    same = F.size(F.filter(F.zip_with(rest, "agreed", lambda a, b: a == b), lambda x: x)) + F.least(F.lit(LEADING), n_tokens)
     agreed = lines.join(winner, "leaf").where(same >= similar * F.size("tokens")).select("exact", _key("leaf", F.lit("agreed")).alias("template"))
 
     return agreed.union(forms.join(shared, "template").select("exact", "template"))
