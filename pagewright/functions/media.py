@@ -29,9 +29,9 @@ def value(pair: Column) -> Column:
 
 
 def rendition_identity(url: Column) -> Column:
-    """The URL without what only chooses a rendition, its other parameters sorted."""
+    """The URL without what only chooses a rendition; its other parameters stay in order."""
     kept = F.filter(pairs(url), lambda p: ~name(p).isin(RENDITION) & ~((name(p) == "crop") & F.lower(F.trim(value(p))).isin(NEUTRAL_CROPS)))
-    return F.concat(urls.origin(url), urls.path(url), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(""))
+    return F.concat(urls.origin(url), urls.path(url), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
 def parameter(url: Column, *names: str) -> Column:

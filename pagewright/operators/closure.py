@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that all executors share."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
@@ -25,14 +25,14 @@ def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 8, most: int | Non
     """
     if not 0 <= rounds <= 10 or most is not None and not 1 <= most <= 10_000:
         raise ValueError("rounds from 0 to 10, resources from 1 to 10000")
-    new = _kept(seeds.select("url").distinct().withColumn("round", F.lit(0)))
+    new = kept(seeds.select("url").distinct().withColumn("round", F.lit(0)))
     seen, total = new, new.count()
     for n in range(1, rounds + 1):
         reached = edges.join(new.select(F.col("url").alias("from_url")), "from_url").select(F.col("to_url").alias("url")).distinct()
         fresh = reached.join(seen.select("url"), "url", "left_anti").withColumn("round", F.lit(n))
         if most is not None:
             fresh = fresh.orderBy("url").limit(max(most - total, 0))
-        new = _kept(fresh)
+        new = kept(fresh)
         count = new.count()
         if not count:
             break

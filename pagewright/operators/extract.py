@@ -2,83 +2,61 @@
 
 from __future__ import annotations
 
-import json
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+
+from ..functions import urls
+from .closure import kept
+from .links import attribute
 
 # Relations of link tags that fetch something; keys of JSON that hold assets.
-RESOURCE_RELS = {"apple-touch-icon", "icon", "manifest", "mask-icon", "modulepreload", "preload", "stylesheet"}
-ASSET_KEYS = set(
+RESOURCE_RELS = ["apple-touch-icon", "icon", "manifest", "mask-icon", "modulepreload", "preload", "stylesheet"]
+ASSET_KEYS = (
     "asset assets audio audios buffer buffers file files font fonts image images manifest model models resource resources sound sounds source sources "
-    "src texture textures uri video videos wasm worker workers".split()
-)
+    "src texture textures uri video videos wasm worker workers"
+).split()
 MOST_DEPTH = 256
-
-
-class _References(HTMLParser):
-    """Start tags and their attributes, scripts and styles skipped by the parser itself."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, str, bool]] = []
-
-    def handle_starttag(self, tag, attrs):
-        values = {k: v or "" for k, v in attrs}
-        for name in ("src", "poster", "data"):
-            if values.get(name):
-                self.found.append((tag, name, values[name], True))
-        if values.get("srcset"):
-            self.found.append((tag, "srcset", values["srcset"], True))
-        if "href" in values:
-            fetched = tag in ("image", "use") or tag == "link" and bool(RESOURCE_RELS & set(values.get("rel", "").lower().split()))
-            self.found.append((tag, "href", values["href"], fetched))
-
-
-@udtf(returnType="tag: string, attribute: string, value: string, fetched: boolean")
-class HtmlReferences:
-    def eval(self, html: str):
-        parser = _References()
-        parser.feed(html or "")
-        parser.close()
-        yield from parser.found
-
-
-@udtf(returnType="path: string, value: string")
-class JsonAssets:
-    """Texts below asset keys, at most MOST_DEPTH deep; nothing of a text that is no JSON."""
-
-    def eval(self, text: str):
-        try:
-            todo = [("$", json.loads(text or "null"), False, 0)]
-        except (ValueError, RecursionError):
-            return
-        while todo:
-            path, value, is_asset, depth = todo.pop()
-            if depth > MOST_DEPTH:
-                continue
-            if isinstance(value, dict):
-                todo += [(f"{path}.{k}", v, is_asset or k.lower() in ASSET_KEYS or k.lower().endswith("url"), depth + 1) for k, v in reversed(value.items())]
-            elif isinstance(value, list):
-                todo += [(f"{path}[{i}]", v, is_asset, depth + 1) for i, v in reversed(list(enumerate(value)))]
-            elif isinstance(value, str) and is_asset:
-                yield path, value
+COMMENT, RAW = r"(?is)<!--.*?-->", r"(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>"
+TAG = r"(?is)<[a-z][^\s/>]*\s[^>]*>"
 
 
 def html_references(pages: DataFrame) -> DataFrame:
-    """``(page_id, tag, attribute, value, fetched)`` of each reference of ``pages(page_id, html)``; the parser runs on each row by itself."""
-    spark = pages.sparkSession
-    spark.udtf.register("html_references", HtmlReferences)
-    return spark.sql("SELECT page_id, r.* FROM {pages}, LATERAL html_references(html) r", pages=pages)
+    """``(page_id, tag, attribute, value, fetched)`` of each reference of ``pages(page_id, html)``: src, poster, data, srcset and href of start tags outside comments, scripts and styles.
+
+    fetched: the page loads it. An href is that in image and use, and in link for some relations. A quoted value may hold no ``>``.
+    """
+    visible = F.regexp_replace(F.regexp_replace("html", COMMENT, ""), RAW, "$1")
+    tags = pages.select("page_id", F.explode(urls.once(F.regexp_extract_all(visible, F.lit(TAG), 0))).alias("t"))
+    tags = tags.withColumn("tag", F.lower(F.regexp_extract("t", r"(?is)^<([a-z][^\s/>]*)", 1)))
+    relation = F.split(F.lower(F.coalesce(attribute(F.col("t"), "rel"), F.lit(""))), r"[\t\n\f\r ]+")
+    loads = F.col("tag").isin("image", "use") | ((F.col("tag") == "link") & F.arrays_overlap(relation, F.array(*[F.lit(r) for r in RESOURCE_RELS])))
+    each = F.array(*[F.struct(F.lit(a).alias("attribute"), attribute(F.col("t"), a).alias("value"), (loads if a == "href" else F.lit(True)).alias("fetched")) for a in ("src", "poster", "data", "srcset", "href")])
+    found = tags.select("page_id", "tag", F.explode(F.filter(each, lambda r: r["value"].isNotNull())).alias("r"))
+    return found.select("page_id", "tag", "r.*")
 
 
 def json_assets(texts: DataFrame) -> DataFrame:
-    """``(id, path, value)`` of each asset in ``texts(id, json)``."""
-    spark = texts.sparkSession
-    spark.udtf.register("json_assets", JsonAssets)
-    return spark.sql("SELECT id, r.* FROM {texts}, LATERAL json_assets(json) r", texts=texts)
+    """``(id, path, value)`` of each text below an asset key in ``texts(id, json)``, at most MOST_DEPTH deep; nothing of a text that is no JSON.
+
+    A level at a time: the members of all objects and arrays become rows of the next one, which is written, so that plans stay short.
+    """
+    rows = texts.select("id", F.lit("$").alias("path"), F.lit(False).alias("asset"), F.try_parse_json("json").alias("v")).where("v is not null")
+    out, session = [], texts.sparkSession
+    for _ in range(MOST_DEPTH + 1):
+        kind = F.schema_of_variant("v")
+        found = kept(rows.where(F.col("asset") & (kind == "STRING")).select("id", "path", F.try_variant_get("v", "$", "string").alias("value")))
+        out.append(found)
+        inner = rows.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        members = session.sql("SELECT id, path, asset, m.pos, m.key, m.value AS v FROM {inner}, LATERAL variant_explode(v) AS m", inner=inner)
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        named = F.coalesce(F.lower("key").isin(ASSET_KEYS) | F.lower("key").endswith("url"), F.lit(False))
+        rows = kept(members.select("id", F.concat("path", step).alias("path"), (F.col("asset") | named).alias("asset"), "v"))
+        if rows.limit(1).count() == 0:
+            break
+    all_ = out[0]
+    for found in out[1:]:
+        all_ = all_.unionByName(found)
+    return all_
 
 
 def css_urls(text: Column) -> Column:

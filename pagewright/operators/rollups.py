@@ -24,8 +24,8 @@ def best_base(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def latest(records: DataFrame, key: str, order: str) -> DataFrame:
-    """Each key's last record by ``order``, with all its columns."""
-    return records.groupBy(key).agg(F.max_by(F.struct(*records.columns), order).alias("_r")).select("_r.*")
+    """Each key's last record by ``order``, with all its columns; of several last ones that with the largest hash of its columns."""
+    return records.groupBy(key).agg(F.max_by(F.struct(*records.columns), F.struct(order, F.xxhash64(*records.columns))).alias("_r")).select("_r.*")
 
 
 def online_dependencies(rows: DataFrame, key: str, url: str) -> DataFrame:

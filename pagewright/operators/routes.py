@@ -32,21 +32,22 @@ def resolved(requests: DataFrame, files: DataFrame, aliases: DataFrame, unavaila
     return rows.select(*requests.columns, status.cast("long").alias("status"), F.when(F.col("_file").isNotNull(), place).alias("local_path"))
 
 
-def admitted(rows: DataFrame, most_bytes: int) -> DataFrame:
-    """``rows(job, seq, size)`` with ``admitted``: in order, each that still fits in what the job's admitted ones left of ``most_bytes``; an unknown size is none.
+def admitted(rows: DataFrame, most_bytes: int, most_each: int | None = None) -> DataFrame:
+    """``rows(job, seq, size)`` with ``admitted``: in order, each that still fits in what the job's admitted ones left of ``most_bytes``; an unknown size is none, one over ``most_each`` is out.
 
-    One that doesn't fit is passed over and later smaller ones may be taken, so a running sum is not enough. The fold is over one job's resources, which the
-    resource limit bounds.
+    One that doesn't fit is passed over and later smaller ones may be taken, so a running sum is not enough: a job's rows, whose number its resource limit
+    bounds, are gone through in order by one task.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("size", F.lit(0)).cast("long").alias("size"))))
-    fold = F.aggregate(
-        F.col("r"),
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<seq:bigint,admitted:boolean>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when(a["used"] + x["size"] <= most_bytes, a["used"] + x["size"]).otherwise(a["used"]).alias("used"),
-            F.array_append(a["out"], F.struct(x["seq"].alias("seq"), (a["used"] + x["size"] <= most_bytes).alias("admitted"))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    found = rows.groupBy("job").agg(ordered.alias("r")).select("job", F.inline(fold))
+    import pandas as pd
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part, used, out = part.sort_values("seq", kind="stable"), 0, []
+        for size in part["size"].fillna(0).astype("int64"):
+            fits = used + size <= most_bytes and (most_each is None or size <= most_each)
+            used += size if fits else 0
+            out.append(bool(fits))
+        return pd.DataFrame({"job": part["job"], "seq": part["seq"], "admitted": out})
+
+    own = rows.select("job", "seq", F.col("size").cast("long").alias("size"))
+    found = own.groupBy("job").applyInPandas(fold, f"job {own.schema['job'].dataType.simpleString()}, seq {own.schema['seq'].dataType.simpleString()}, admitted boolean")
     return rows.join(found, ["job", "seq"])

@@ -378,7 +378,7 @@ golden("volatile_aliases", Literal("url string, result string", (
 )), "result", lambda c: media.volatile_key(c("url")))
 
 golden("rendition_identities", Literal("url string, result string", (
-    ("https://e.com/i.jpg?width=300&v=2&dpr=2", "https://e.com/i.jpg?v=2"), ("https://e.com/i.jpg?crop=center&w=5", "https://e.com/i.jpg"), ("https://e.com/i.jpg?b=2&a=1&crop=top", "https://e.com/i.jpg?a=1&b=2&crop=top"),
+    ("https://e.com/i.jpg?width=300&v=2&dpr=2", "https://e.com/i.jpg?v=2"), ("https://e.com/i.jpg?crop=center&w=5", "https://e.com/i.jpg"), ("https://e.com/i.jpg?b=2&a=1&crop=top", "https://e.com/i.jpg?b=2&a=1&crop=top"), ("https://e.com/i.jpg?crop=centre&v=", "https://e.com/i.jpg?v="),
 )), "result", lambda c: media.rendition_identity(c("url")))
 
 golden("css_references", Literal("css string, result string", (
@@ -404,10 +404,22 @@ def rendition_pick(spark, _):
     return rows.groupBy(media.rendition_identity(F.col("url")).alias("identity")).agg(F.min_by("url", order).alias("url"))
 
 
-@query("html_tag_references", r"""SELECT page_id, count(*) AS n, count_if(h LIKE '/%') AS n_rooted FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)<a\s+href="([^"]*)"', 1)) AS h FROM pages) GROUP BY page_id""")
+@query("html_tag_references", r"""WITH v AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>', '\1', 'g') AS h FROM pages),
+t AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<[a-z][^\s/>]*\s[^>]*>')) AS tag FROM v),
+a AS (SELECT page_id, lower(regexp_extract(tag, '(?is)^<([a-z][^\s/>]*)', 1)) AS tag, a, regexp_extract(tag, '(?is)\s' || a || '\s*=\s*"([^"]*)"', 1) AS value FROM t, (VALUES ('src'), ('poster'), ('data'), ('srcset'), ('href')) n(a) WHERE regexp_matches(tag, '(?is)\s' || a || '\s*=\s*"'))
+SELECT page_id, tag, a AS attribute, count(*) AS n, count_if(value LIKE '/%') AS n_rooted FROM a GROUP BY ALL""")
 def html_tag_references(spark, d):
-    rows = extract.html_references(pages(spark, d).select("page_id", "html")).where("tag = 'a'")
-    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith("/")).alias("n_rooted"))
+    rows = extract.html_references(pages(spark, d).select("page_id", "html"))
+    return rows.groupBy("page_id", "tag", "attribute").agg(F.count("*").alias("n"), F.count_if(F.col("value").startswith("/")).alias("n_rooted"))
+
+
+_TAGS = '<link rel="Icon stylesheet" href=a.css><link rel=canonical href="/c"><image href=\'i.svg\'/><img src="a.png" srcset="b.png 2x"><!-- <img src="no.png"> --><script src=s.js>var a = "<img src=\\"no.png\\">"</script><video poster="p.jpg"><object data="d.swf"><a href="/x?a=1&amp;b=2">x</a>'
+
+
+@query("html_reference_kinds", """SELECT * FROM (VALUES ('link', 'href', 'a.css', true), ('link', 'href', '/c', false), ('image', 'href', 'i.svg', true), ('img', 'src', 'a.png', true), ('img', 'srcset', 'b.png 2x', true), ('script', 'src', 's.js', true),
+('video', 'poster', 'p.jpg', true), ('object', 'data', 'd.swf', true), ('a', 'href', '/x?a=1&b=2', false)) t(tag, attribute, value, fetched)""")
+def html_reference_kinds(spark, _):
+    return extract.html_references(spark.createDataFrame([(1, _TAGS)], "page_id long, html string")).drop("page_id")
 
 
 _JSON = (("a", '{"model":{"uri":"m.bin","name":"x"},"images":["a.png",{"b":"c.png"}],"title":"t","posterUrl":"p.jpg"}'), ("b", "not json"), ("c", '["x"]'), ("d", None))

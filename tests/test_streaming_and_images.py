@@ -1,10 +1,7 @@
-"""The streaming fold gives what the batch fold gives; images are read strictly."""
-
-import struct
-import zlib
+"""The streaming fold gives what the batch fold gives; images are compared as tables of pixels."""
 
 import numpy as np
-import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators import capture, images
@@ -26,30 +23,65 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(last.values()) == sorted(tuple(r) for r in capture.folded(events).select("id", "url", "state", "status", "mime_type").collect())
 
 
-def png(pixels: np.ndarray, kind: int = 0) -> bytes:
-    high, wide, _ = pixels.shape
-    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
-    raw = b""
-    for row in pixels:
-        flat = row.astype(np.int16)
-        left = np.vstack([np.zeros((1, 4), np.int16), flat[:-1]])
-        raw += bytes([kind]) + ((flat - left) % 256 if kind == 1 else flat).astype(np.uint8).tobytes()
-    return images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+def run(stream, name, path, mode="append"):
+    job = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(path)).start()
+    assert job.awaitTermination(120)
+    return job
+
+
+def test_stream_with_time_equals_batch_and_drops_state(spark, tmp_path):
+    events = _NET.frame(spark).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    later = events.where("seq = 7").withColumn("ts", F.col("ts") + F.expr("interval 3 hours")).withColumn("request_id", F.lit("9"))
+    for part in (events.where("seq <= 4"), events.where("seq > 4"), later, later.withColumn("request_id", F.lit("10"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    job = run(fold.folded(stream, late="1 minute", idle="10 minutes"), "timed", tmp_path / "c", "update")
+    last = {r["id"]: tuple(r) for r in spark.table("timed").collect()}
+    want = capture.folded(events.unionByName(later).unionByName(later.withColumn("request_id", F.lit("10"))).drop("ts")).select("id", "url", "state", "status", "mime_type")
+    assert sorted(last.values()) == sorted(tuple(r) for r in want.collect())
+    assert job.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_quiet_windows_equal_batch_sessions(spark, tmp_path):
+    rows = [(u, k, 1_700_000_000 + 60 * m) for u, ms in ((1, (0, 10, 50, 51)), (2, (5,))) for k, m in enumerate(ms)]
+    end = [(9, 0, 1_700_000_000 + 864_000)]  # moves the watermark on
+    make = lambda r: spark.createDataFrame(r, "user_id long, event_id long, s long").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"))
+    for part in (rows, end):
+        make(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(make(end).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(fold.quiet_windows(stream), "quiet", tmp_path / "c")
+    found = sorted((r["user_id"], r["start"], r["n"]) for r in spark.table("quiet").collect())
+    assert found == sorted((r["user_id"], r["start"], r["n"]) for r in capture.sessions(make(rows)).collect())
+
+
+def test_late_bodies_and_quiet_network(spark, tmp_path):
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    asked = spark.createDataFrame([("s", "1", "u1", 0), ("s", "2", "u2", 0)], "session string, request_id string, url string, n int").withColumn("ts", at(F.col("n"))).drop("n")
+    got = spark.createDataFrame([("s", "1", "h1", 100), ("s", "2", "h2", 400)], "session string, request_id string, sha256 string, n int").withColumn("body_ts", at(F.col("n"))).drop("n")
+    seen = spark.createDataFrame([("s", "opened", 0), ("s", "closed", 5), ("s", "opened", 70), ("t", "opened", 100_000)], "session string, kind string, n int").withColumn("ts", at(F.col("n"))).drop("n")
+    for df, name in ((asked, "a"), (got, "b"), (seen, "e")):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    read = lambda df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    run(fold.late_bodies(read(asked, "a"), read(got, "b")), "bodies", tmp_path / "cb")
+    assert [tuple(r) for r in spark.table("bodies").collect()] == [("s", "1", "u1", "h1")]
+    run(fold.quiet_network(read(seen, "e")), "network", tmp_path / "ce")
+    assert sorted((r["session"], r["opened"], r["closed"], r["quiet"]) for r in spark.table("network").where("session = 's'").collect()) == [("s", 1, 0, False), ("s", 1, 1, True)]
+
+
+def pixels(spark, shown: dict) -> DataFrame:
+    rows = [(name, x, y, *map(int, p)) for name, a in shown.items() for y, row in enumerate(a) for x, p in enumerate(row)]
+    return spark.createDataFrame(rows, "image string, x int, y int, r int, g int, b int, a int")
 
 
 def test_images(spark):
     white = np.full((20, 20, 4), 255, np.uint8)
-    few, many = white.copy(), white.copy()
+    few, many, clear = white.copy(), white.copy(), white.copy()
     few[0, :10, :3] = 0
     many[:10, :, :3] = 0
-    noise = np.random.default_rng(1).integers(0, 256, (9, 7, 4), np.uint8)
-    assert (images.decode(png(noise, 1)) == noise).all() and (images.decode(png(noise)) == noise).all()
-    pairs = [(png(white), png(white)), (png(white), png(few)), (png(white), png(many)), (png(white), png(noise)), (b"GIF", png(white)), (None, png(white))]
-    rows = spark.createDataFrame([(i, bytearray(a) if a else None, bytearray(b)) for i, (a, b) in enumerate(pairs)], "i int, a binary, b binary")
-    found = [tuple(r["x"]) for r in rows.select("i", images.compared("a", "b").alias("x")).orderBy("i").collect()]
-    assert found[:3] == [("match", 0, 400, 0.0, 1.0), ("partial", 10, 400, 0.025, 0.975), ("mismatch", 200, 400, 0.5, 0.5)]
-    assert [f[0] for f in found[3:]] == ["error"] * 3
-    for bad in (png(white)[:-1], png(white) + b"x", images.SIGNATURE + png(white)[33:]):
-        with pytest.raises(ValueError):
-            images.decode(bad)
+    clear[..., :3], clear[..., 3] = 0, 0  # nothing but the white below it
+    reference = pixels(spark, {k: white for k in ("same", "few", "many", "clear")} | {"size": white[:9], "lost": white[:2]})
+    actual = pixels(spark, {"same": white, "few": few, "many": many, "clear": clear, "size": white[:8]})
+    found = {r["image"]: tuple(r)[1:] for r in images.compared(actual, reference).collect()}
+    assert found["same"] == found["clear"] == ("match", 0, 400, 0.0, 1.0) and found["few"] == ("partial", 10, 400, 0.025, 0.975) and found["many"] == ("mismatch", 200, 400, 0.5, 0.5)
+    assert found["size"] == found["lost"] == ("error", None, None, None, None)
     assert [r[0] for r in spark.createDataFrame([(0.02,), (0.15,), (0.16,)], "r double").select(images.outcome(F.col("r"))).collect()] == ["match", "partial", "mismatch"]
