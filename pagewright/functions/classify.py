@@ -135,3 +135,23 @@ def priority(url: Column, resource_type: Column, initiator: Column, content_type
         .when(ext.isin(IMAGE), 4)
         .otherwise(0)
     )
+
+
+# What marks a tracker's script that stands on its own, and one within a page.
+RUM_PATH, RUM_SIGNS = "/cdn-cgi/rum", ["sendBeacon", "PerformanceObserver", "cf-beacon"]
+TAG_RUNTIME = r"^\s*// Copyright \d{4} Google Inc\. All rights reserved\.\s*\(function\(\)\s*\{\s*var data\s*=\s*\{\s*\"resource\""
+TAG_SIGNS = ["gtmOnSuccess", "www.googletagmanager.com", "google-analytics.com"]
+SNIPPETS = [r"\bGoogleAnalyticsObject\b", r"(?i)google-analytics\.com/analytics\.js", r"(?i)googletagmanager\.com/gtag/js"]
+MOST_SNIPPET = 10_000
+
+
+def is_tracking_script(source: Column) -> Column:
+    """Whether a script file is a tracker's and nothing else."""
+    rum = source.contains(RUM_PATH) & any_of([source.contains(x) for x in RUM_SIGNS])
+    tag = F.substring(source, 1, 512).rlike(TAG_RUNTIME) & reduce(lambda a, b: a & b, [source.contains(x) for x in TAG_SIGNS])
+    return F.coalesce(rum | tag, F.lit(False))
+
+
+def is_tracking_snippet(source: Column) -> Column:
+    """Whether a page's own script only starts a tracker."""
+    return F.coalesce((F.length(source) <= MOST_SNIPPET) & any_of([source.rlike(p) for p in SNIPPETS]), F.lit(False))

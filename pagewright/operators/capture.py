@@ -153,3 +153,20 @@ def candidates(rows: DataFrame, source: str, reason: str) -> DataFrame:
     entry = rows.sparkSession.createDataFrame([(source,)], "url string").select(urls.canonical(F.col("url")).alias("url"))
     own = entry.join(best.select("url"), "url", "left_anti").select("url", F.lit(0).cast("long").alias("seq"), *[F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("body", "content_type", "size")])
     return best.unionByName(own).withColumn("is_entry", F.col("url") == urls.canonical(F.lit(source)))
+
+
+def worker_tagged(resources: DataFrame, sessions: DataFrame, targets: DataFrame) -> DataFrame:
+    """``resources(session, url, ...)`` with ``worker``: whether their session is a worker's or a worker was started from their URL. ``sessions(session)``, ``targets(url)``."""
+    by_session = sessions.select(F.col("session").alias("_s")).distinct()
+    by_url = targets.select(urls.canonical(F.col("url")).alias("_u")).where("_u is not null").distinct()
+    rows = resources.withColumn("_c", urls.canonical(F.col("url")))
+    rows = rows.join(by_session, rows["session"] == by_session["_s"], "left").join(by_url, rows["_c"] == by_url["_u"], "left")
+    return rows.select(*resources.columns, (F.col("_s").isNotNull() | F.col("_u").isNotNull()).alias("worker"))
+
+
+def preflight_warnings(resources, transferred, controlled, media_elements):
+    """What a page's first look gives reason to warn of: slow, service_worker, media; missing or negative counts are zero."""
+    count = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    slow = (count(resources) > 500) | (count(transferred) > 100 * 1024 * 1024)
+    named = F.array(F.when(slow, F.lit("slow")), F.when(F.coalesce(controlled, F.lit(False)), F.lit("service_worker")), F.when(count(media_elements) > 0, F.lit("media")))
+    return F.filter(named, lambda w: w.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import kinds, types, urls
+from ..functions import classify, kinds, types, urls
 
 #: Start tags of links outside comments, scripts and styles, with their attributes.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -101,3 +101,28 @@ def rewritten(files: DataFrame, known: DataFrame, pattern: str) -> DataFrame:
 #: References of pages and of style sheets for :func:`rewritten`.
 HTML_REFERENCE = r"(?i)(\s(?:href|src|poster)=\")([^\"]*)(\")"
 CSS_REFERENCE = r"(?i)((?:url\(\s*|@import\s+)[\"']?)([^\"'()\s;]+)([\"']?\s*\)?)"
+
+
+def inert(html: Column) -> Column:
+    """A page whose base has no address, whose elements have no integrity, whose images of nothing have a source that loads, and whose tracking scripts do nothing."""
+    text = F.regexp_replace(html, r"(?i)(<base\b[^>]*\shref=)(\"[^\"]*\"|'[^']*')", '$1""')
+    text = F.regexp_replace(text, r"(?i)(<(?:script|link)\b[^>]*?)\sintegrity=(?:\"[^\"]*\"|'[^']*')", "$1")
+    text = F.regexp_replace(text, r"(?i)(<img\b[^>]*?\ssrc=)([\"'])\s*about:blank\s*\2", "$1$2data:,$2")
+    pieces = F.arrays_zip(F.split(text, SCRIPT, -1).alias("plain"), F.regexp_extract_all(text, F.lit(SCRIPT), 0).alias("script"))
+
+    def kept(p: Column) -> Column:
+        start, body = F.regexp_extract(p["script"], SCRIPT, 1), F.regexp_extract(p["script"], SCRIPT, 2)
+        source = attribute(start, "src")
+        tracks = F.when(source.isNotNull(), classify.is_nonessential(source)).otherwise(classify.is_tracking_snippet(body))
+        return F.concat(F.coalesce(p["plain"], F.lit("")), F.when(p["script"].isNull(), "").when(tracks, F.lit(f"<script {DISABLED}=\"tracking\"></script>")).otherwise(p["script"]))
+
+    return F.array_join(F.transform(pieces, kept), "")
+
+
+def actions_disabled(html: Column) -> Column:
+    """A page whose forms lead nowhere, but for those to a place in it."""
+    return F.regexp_replace(html, r"(?i)(<form\b[^>]*?\saction=)(?:\"(?![\"#])[^\"]*\"|'(?!['#])[^']*')", f'$1"#" {DISABLED}-action="online"')
+
+
+SCRIPT = r"(?is)(<script\b[^>]*>)(.*?)</script\s*>"
+DISABLED = "data-disabled"

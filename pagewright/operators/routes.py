@@ -51,3 +51,24 @@ def admitted(rows: DataFrame, most_bytes: int, most_each: int | None = None) ->
     own = rows.select("job", "seq", F.col("size").cast("long").alias("size"))
     found = own.groupBy("job").applyInPandas(fold, f"job {own.schema['job'].dataType.simpleString()}, seq {own.schema['seq'].dataType.simpleString()}, admitted boolean")
     return rows.join(found, ["job", "seq"])
+
+
+MOST_MARKS = 4
+
+
+def escaped_variants(path):
+    """The spellings of a mirror's path by which a page may ask for it: each subset of its escape marks dropped; of more than MOST_MARKS marks, none or one of the first."""
+    pieces = F.split(path, "~(?=[0-9a-fA-F]{2})", -1)
+    n = F.size(pieces) - 1
+    few = F.sequence(F.lit(0), F.pow(F.lit(2), F.least(n, F.lit(MOST_MARKS))).cast("int") - 1)
+    masks = F.when(n <= MOST_MARKS, few).otherwise(F.array(*[F.lit(m) for m in (0, *(1 << i for i in range(MOST_MARKS)))]))
+    dropped = lambda mask, i: (F.floor(mask / F.pow(F.lit(2), i - 1)) % 2) == 1
+    spelled = lambda mask: F.array_join(F.transform(pieces, lambda p, i: F.when((i == 0) | dropped(mask, i), p).otherwise(F.concat(F.lit("~"), p))), "")
+    return F.array_distinct(F.transform(masks, spelled))
+
+
+def own_routes(local_path):
+    """The routes of a file of the mirror's own origin; none for others."""
+    inner = F.regexp_replace(local_path, "^site/", "")
+    own = local_path.startswith("site/") & ~local_path.startswith("site/_external/") & (inner != "")
+    return F.when(own, F.transform(escaped_variants(inner), lambda v: F.concat(F.lit("/"), v))).otherwise(F.array().cast("array<string>"))

@@ -177,7 +177,7 @@ def ignores_failure(url: Column, method: Column, error: Column, navigation: Colu
 # Network errors of a source that pass.
 TRANSIENT_ERRORS = ["CONNECTION_ABORTED", "CONNECTION_CLOSED", "CONNECTION_RESET", "HTTP2_PROTOCOL_ERROR", "NETWORK_CHANGED", "QUIC_PROTOCOL_ERROR", "TIMED_OUT"]
 #: The path that stands for a script which the mirror lacks.
-UNAVAILABLE = "/.webmirror/unavailable.js"
+UNAVAILABLE = "/.preview/unavailable.js"
 
 
 def is_transient(message: Column) -> Column:
@@ -213,3 +213,28 @@ def accepted_updates(events: DataFrame, key: str) -> DataFrame:
     start = F.struct(F.lit("created").alias("now"), F.array().cast("array<bigint>").alias("seqs"))
     kept = events.groupBy(key).agg(ordered.alias("e")).select(key, F.explode(F.aggregate("e", start, step, lambda a: a["seqs"])).alias("seq"), F.lit(True).alias("_ok"))
     return events.join(kept, [key, "seq"], "left").select(*events.columns, F.coalesce("_ok", F.lit(False)).alias("accepted"))
+
+
+MOST_EVENTS, MOST_EVENT_BYTES, EVENT_OVERHEAD = 64, 64 * 1024, 24
+
+
+def recorded_events(events: DataFrame) -> DataFrame:
+    """``events(run, seq, category, text)`` with ``recorded``: the first MOST_EVENTS of a category, as long as a run's texts and their overhead fit in MOST_EVENT_BYTES.
+
+    One that is too long is passed over and later ones may fit, so a run's events are gone through in order by one task; those beyond a category's limit by
+    number are out before.
+    """
+    import pandas as pd
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part, used, n, out = part.sort_values("seq", kind="stable"), 0, {}, []
+        for category, size in zip(part["category"], part["size"], strict=True):
+            fits = n.get(category, 0) < MOST_EVENTS and used < MOST_EVENT_BYTES and size <= MOST_EVENT_BYTES - used
+            if fits:
+                used, n[category] = used + size, n.get(category, 0) + 1
+            out.append(bool(fits))
+        return pd.DataFrame({"run": part["run"], "seq": part["seq"], "recorded": out})
+
+    sized = events.select("run", "seq", "category", (F.octet_length("text") + EVENT_OVERHEAD).cast("long").alias("size"))
+    kinds_ = f"run {events.schema['run'].dataType.simpleString()}, seq {events.schema['seq'].dataType.simpleString()}, recorded boolean"
+    return events.join(sized.groupBy("run").applyInPandas(fold, kinds_), ["run", "seq"])
