@@ -153,8 +153,10 @@ def _same(a: Column, b: Column) -> Column:
     return F.to_json(F.struct(a)) == F.to_json(F.struct(b))
 
 
-def selected(docs: DataFrame, **how) -> DataFrame:
-    """The mix as rows of ``docs``: each document as often as the mix takes it."""
-    mix = mixed(docs, **how)
+def selected(docs: DataFrame, id: str = "doc_id", text: str = "text", sources: Column | None = None, **how) -> DataFrame:
+    """The mix as rows of ``docs``, with all their columns: each document as often as the mix takes it."""
+    of = sources if sources is not None else F.array(docs["source"])
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"), of.alias("_sources"))
+    mix = mixed(rows, "_id", "_text", F.col("_sources"), **how)
     times = F.when(F.col("mix.size") > 0, F.floor(F.col("mix.taken") / F.col("mix.size"))).otherwise(F.lit(0)).cast("int")
-    return mix.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select(*docs.columns)
+    return mix.select("_row", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).select("_row.*")

@@ -255,7 +255,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     judged = rooted.join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
     fate = judged.where("n > 1 or not stays").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "stays")
     fate = small(written(fate, "dropped-copies"))
-    rows = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col(id).alias("_of"), mark.alias("_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).alias("_of"), mark.alias("_hash"))
     told = rows.join(fate, rows["_of"].eqNullSafe(fate["_id"]) & (rows["_hash"] == fate["_mark"]), "left")
     once_only = told.where("stays").groupBy("_id", "_mark").agg(F.first("_row").alias("_row"))  # equal rows only
     return told.where("stays is null").select("_row.*").unionByName(once_only.select("_row.*"))

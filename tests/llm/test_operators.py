@@ -497,3 +497,22 @@ def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
     again = {str(tuple(r)[:3]): r["score"] for r in lm.scores(docs.repartition(5)).collect()}
     # The weights are learned while the counts grow, so they follow the order of the documents a little.
     assert first.keys() == again.keys() and all(math.isclose(first[k], again[k], rel_tol=0.2) for k in first)
+
+
+def test_very_long_texts_lines_and_words(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40_000))
+    texts = [long, long.replace(" ", "\n", 20_000), "x" * 300_000, "1" * 50_000, "a@" * 20_000, ("word " * 30 + "\n") * 500, long + " ends " + ITEM, "。" * 30_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))
+    n = len(texts)
+    assert [r["quality"]["n_words"] for r in quality.quality(rows).orderBy("doc_id").collect()] == [len(words(t)) for t in texts]
+    assert [r["fp"] % (1 << 64) for r in simhash.near_duplicates(rows).orderBy("doc_id").collect()] == [fingerprint(t) for t in texts]
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [r["doc"] for r in decontaminate.contained(rows, items).collect()] == [6]
+    assert pii.pseudonymised(rows, "k").count() == n and lines.deduplicated(rows).count() == n and licenses.licenses(rows).count() == 0 and mixing.mixed(rows).count() == n
+    out = {r["id"]: r for r in lm.scores(rows).collect()}
+    assert len(out) == n and all(math.isfinite(r["score"]) and r["n_tokens"] == len(words(texts[k])) + 1 for k, r in out.items())
+    tokenizer = Encoder(vocabulary_file()).tokenizer
+    sizes = [len(ids_of(tokenizer, t)) for t in texts]
+    assert [r["n_tokens"] for r in huffman.round_trip(rows).orderBy("id").collect()] == sizes
+    assert [r["n_tokens"] for r in tokencount.document_counts(rows).orderBy("doc_id").collect()] == sizes
