@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import kinds, reuse, shapes, texts, types, urls
+from ..functions import guards, kinds, reuse, shapes, texts, types, urls
 from .fixtures import Literal
 from .queries import golden, pages, query
 
@@ -158,3 +158,15 @@ def page_scopes(spark, d):
 @query("page_kinds", """SELECT page_id, 'document' AS kind, regexp_matches(substr(html, 1, 8192), '(?is)^\\s*(?:<!--.{0,512}?-->\\s*)*<(?:!doctype\\s+html|html|head|body)\\b') AS is_page FROM pages""".replace("\\\\", "\\"))
 def page_kinds(spark, d):
     return pages(spark, d).select("page_id", types.expected_kind(F.lit("Document"), urls.path(F.col("url")), F.lit("text/html")).alias("kind"), kinds.starts_with_html(F.col("html")).alias("is_page"))
+
+
+_GUARD = {"jobId": guards.Field("string", r"^[a-z0-9-]{1,64}$"), "count": guards.Field("long", least=0, most=1500), "deep": guards.Field("boolean", required=False)}
+golden("guarded_messages", Literal("json string, result string", (
+    ('{"jobId":"a-1","count":3}', ""), ('{"jobId":"a-1","count":3,"deep":true}', ""), ('{"jobId":"A","count":1501,"x":1}', "invalid:count invalid:jobId unknown:x"), ('{"deep":"yes"}', "invalid:deep missing:count missing:jobId"), ("[1]", "not_an_object"), ("no json", "not_an_object"), (None, "not_an_object"),
+    ('{"jobId":1,"count":"3"}', "invalid:count invalid:jobId"), ('{"jobId":"a","count":1.5}', "invalid:count"),
+)), "result", lambda c: F.array_join(guards.problems(c("json"), _GUARD), " "))
+
+golden("guarded_actions", Literal("json string, result string", (
+    ('[{"id":"a","type":"click","selector":"#x"},{"id":"b","type":"wait","ms":5}]', ""), ('[{"id":"a","type":"click"},{"id":"a","type":"fly"}]', "repeated_id unknown_type missing_field"), ("{}", "not_a_list"), ("[]", ""),
+    ("[" + ",".join('{"id":"%d","type":"scroll","y":1}' % k for k in range(33)) + "]", "too_many"),
+)), "result", lambda c: F.array_join(guards.action_list_problems(c("json")), " "))
