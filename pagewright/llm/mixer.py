@@ -150,15 +150,19 @@ class Batch:
 
 
 def stretched(counts: np.ndarray) -> np.ndarray:
-    """Log-odds of the bit for counts ``[..., bit]``, in steps of 1 / STEP."""
-    n = counts.reshape(-1, 2).astype(np.float32)
-    return np.rint(np.clip(np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)), -CLIP, CLIP) * STEP).astype(np.int8)
+    """Log-odds of the bit for counts ``[..., bit]``, in steps of 1 / STEP; zero where nothing was counted."""
+    n = counts.reshape(-1, 2)
+    used = np.flatnonzero(n[:, 0] | n[:, 1])
+    some = n[used].astype(np.float32)
+    out = np.zeros(len(n), np.int8)
+    out[used] = np.rint(np.clip(np.log((some[:, 1] + PRIOR) / (some[:, 0] + PRIOR)), -CLIP, CLIP) * STEP)
+    return out
 
 
 class Learner:
     """Counts of the contexts of training texts, and the histogram of inputs and bits that the gates' weights are fitted on.
 
-    The inputs of a batch come from the counts of the batches before it, as they stood at the last doubling of the bytes seen.
+    The inputs of a batch come from the counts of the batches before it, as they stood when a quarter of the bytes or more had been seen.
     """
 
     def __init__(self, code: Code, slots: int):
@@ -189,7 +193,7 @@ class Learner:
         self.seen += len(flat)
         if self.seen >= self.due:
             self.levels = [((stretched(c).astype(np.int16) + 128) >> 4).astype(np.uint8) for c in self.counts]
-            self.due = 2 * self.seen
+            self.due = 4 * self.seen
 
 
 def match_odds(matches: np.ndarray) -> np.ndarray:
