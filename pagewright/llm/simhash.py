@@ -222,7 +222,7 @@ def _groups(prints: DataFrame) -> DataFrame:
     values = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     roots = components(links(values.select("fp")))
     parts = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = parts.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = small(written(parts.groupBy("root").agg(F.min("first").alias("component_id")), "components"))
     return parts.join(named, "root").select("fp", "root", "component_id")
 
 
@@ -252,6 +252,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     keys = prints.groupBy("id", "mark", "fp").agg(F.count("*").alias("n"))
     rooted = written(keys.join(_groups(prints.select("id", "fp")).select("fp", "root"), "fp").select("id", "mark", "n", "root"), "rooted")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
+    first = small(written(first, "survivors"))
     judged = rooted.join(first, "root").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
     fate = judged.where("n > 1 or not stays").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "stays")
     fate = small(written(fate, "dropped-copies"))
