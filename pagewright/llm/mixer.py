@@ -30,6 +30,8 @@ END = 10
 PIECE = 1 << 17
 #: Steps of a mixed input.
 FINE = 128
+#: Bytes up to which a task renews its inputs at each doubling.
+OFTEN_BYTES = 8 << 20
 #: Levels of an input in the histogram that the gates' weights are fitted on.
 LEVELS, MATCH_LEVELS = 16, 16
 CELLS = GATES * LEVELS ** len(ORDERS) * MATCH_LEVELS * 4
@@ -162,7 +164,7 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 class Learner:
     """Counts of the contexts of training texts, and the histogram of inputs and bits that the gates' weights are fitted on.
 
-    The inputs of a batch come from the counts of the batches before it, as they stood when a quarter of the bytes or more had been seen.
+    The inputs of a batch come from the counts of the batches before it, as they stood when half of the bytes or more had been seen, a quarter after OFTEN_BYTES.
     """
 
     def __init__(self, code: Code, slots: int):
@@ -193,7 +195,7 @@ class Learner:
         self.seen += len(flat)
         if self.seen >= self.due:
             self.levels = [((stretched(c).astype(np.int16) + 128) >> 4).astype(np.uint8) for c in self.counts]
-            self.due = 4 * self.seen
+            self.due = self.seen * (2 if self.seen < OFTEN_BYTES else 4)
 
 
 def match_odds(matches: np.ndarray) -> np.ndarray:
