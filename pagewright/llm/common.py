@@ -50,10 +50,13 @@ def shingles(w: Column, width: int, make) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset one below the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset one below the warehouse; a cluster with neither shared is refused."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local") and (warehouse.startswith(("file:", "/"))):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = warehouse + "/_work"
     return f"{shared.rstrip('/')}/pagewright"
 
 

@@ -8,7 +8,6 @@ table look-up for each run and step.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
