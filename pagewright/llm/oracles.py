@@ -1,6 +1,6 @@
 """DuckDB SQL with the rows of the queries that SQL can express."""
 
-from . import decontaminate, licenses, lines, mixing, quality
+from . import decontaminate, fim, licenses, lines, mixing, quality
 
 SPLIT = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,4 +97,45 @@ b AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id IS NOT
 SELECT x.doc_id, name, template, len(common) / n AS containment, CAST(first_word AS INT) AS first_word FROM documents x JOIN b ON x.doc_id IS NOT DISTINCT FROM b.doc_id AND x.text = b.text
 """
 
-ORACLES = {"op1_quality_rules": QUALITY, "op3_benchmark_leaks": LEAKS, "op6_source_mix": MIX, "op8_license_scan": LICENSES, "op9_line_templates": LINES}
+FILL_IN_MIDDLE = f"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+h AS (SELECT *, len(u) AS n, {', '.join(f"CAST('0x' || substr(k, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '{fim.PREFIX}') OR contains(t, '{fim.SUFFIX}') OR contains(t, '{fim.MIDDLE}') OR h3 % 100 >= {fim.CHANGED} THEN 'plain' WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a+1:b], '') AS m, array_to_string(u[b+1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{fim.PREFIX}' || p || '{fim.SUFFIX}' || s || '{fim.MIDDLE}' || m ELSE '{fim.SUFFIX}' || s || '{fim.PREFIX}' || p || '{fim.MIDDLE}' || m END) AS output_sha256,
+  sha256(p || m || s) AS restored_sha256 FROM p
+"""
+
+
+def _field(value: str) -> str:
+    shown = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(octet_length(encode({shown})) AS VARCHAR) || ':' || {shown}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: The crc32 of a decimal doc_id: each byte, then eight shifts.
+_CRC32 = "xor(list_reduce(flatten([[4294967295], flatten(list_transform(regexp_extract_all(CAST(doc_id AS VARCHAR), '.'), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))]), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+_LOST = "replace(text, chr(10), '')"
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf(_LOST)} AS lost FROM documents)),
+t AS (SELECT CAST(0 AS BIGINT) AS l, source, k, n, leaf AS h FROM d UNION ALL
+  SELECT l + 1, source, k // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY k)) FROM t WHERE n > 1 GROUP BY l, source, k // 3, (n + 2) // 3),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT CAST(0 AS BIGINT) AS l, k, n, subroot AS h FROM s UNION ALL SELECT l + 1, k // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY k)) FROM u WHERE n > 1 GROUP BY l, k // 3, (n + 2) // 3),
+o AS (SELECT r, t.l AS l, CAST(0 AS BIGINT) AS above, t.k < d.k // CAST(pow(3, t.l) AS BIGINT) AS is_left, t.k, t.h FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source AND t.n > 1 AND t.k // 3 = d.k // CAST(pow(3, t.l + 1) AS BIGINT) AND t.k <> d.k // CAST(pow(3, t.l) AS BIGINT)
+  UNION ALL SELECT r, u.l, 1, u.k < s.k // CAST(pow(3, u.l) AS BIGINT), u.k, u.h FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN u ON u.n > 1 AND u.k // 3 = s.k // CAST(pow(3, u.l + 1) AS BIGINT) AND u.k <> s.k // CAST(pow(3, u.l) AS BIGINT)),
+v AS (SELECT r, d.source, l, CAST(0 AS BIGINT) AS above FROM d JOIN (SELECT DISTINCT source, l FROM t WHERE n > 1) x ON d.source IS NOT DISTINCT FROM x.source UNION ALL SELECT r, d.source, l, 1 FROM d CROSS JOIN (SELECT DISTINCT l FROM u WHERE n > 1)),
+g AS (SELECT v.r, row_number() OVER (PARTITION BY v.r ORDER BY v.above, v.l) AS i, coalesce(a, '') AS a, coalesce(b, '') AS b FROM v
+  LEFT JOIN (SELECT r, l, above, string_agg(h, '' ORDER BY k) FILTER (is_left) AS a, string_agg(h, '' ORDER BY k) FILTER (NOT is_left) AS b FROM o GROUP BY ALL) q ON v.r = q.r AND v.l = q.l AND v.above = q.above),
+f AS (SELECT r, CAST(0 AS BIGINT) AS i, CASE WHEN {_CRC32} % 2 = 0 THEN lost ELSE leaf END AS h FROM d UNION ALL SELECT f.r, g.i, sha256(a || f.h || b) FROM f JOIN g ON g.r = f.r AND g.i = f.i + 1),
+e AS (SELECT r, arg_max(h, i) AS folded_root FROM f GROUP BY r), p AS (SELECT r, sha256(string_agg(a || b, '' ORDER BY i)) AS proof FROM g GROUP BY r), z AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN e USING (r) LEFT JOIN p USING (r) CROSS JOIN z
+"""
+
+ORACLES = {"op1_quality_rules": QUALITY, "op3_benchmark_leaks": LEAKS, "op6_source_mix": MIX, "op8_license_scan": LICENSES, "op9_line_templates": LINES, "op11_fill_in_middle": FILL_IN_MIDDLE, "op12_merkle_manifest": MANIFEST}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, licenses, lines, lm, mixing, pii, quality, simhash, tokencount
+from . import decontaminate, fim, huffman, language, licenses, lines, lm, merkle, mixing, pii, quality, simhash, tokencount
 from .oracles import ORACLES  # noqa: F401  (read by the registry)
 
 #: Key of the pseudonyms in the registered query; a real run has a secret one.
@@ -71,11 +71,35 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transformed(_documents(spark, sf_dir).select("doc_id", "text"))
+    hashed = lambda text: F.sha2(text, 256)
+    back = fim.restored(F.col("fim.output"), F.col("fim.form"))
+    return made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", hashed(F.col("fim.output")).alias("output_sha256"), hashed(back).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n")), merkle.leaf(*[F.col(c) for c in columns[:-1]], F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = merkle.manifest(docs, columns, more=tampered)
+    again = merkle.folded(F.coalesce("more", "node"), F.col("path"))
+    found = rows.select(F.col("id").alias("doc_id"), F.col("node").alias("leaf"), "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = language.predicted(docs.select("doc_id", "text"), language.fitted(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_simhash_groups, op3_benchmark_leaks, op4_pseudonyms, op5_token_files,
         op6_source_mix, op7_token_counts, op8_license_scan, op9_line_templates, op10_context_mixing,
+        op11_fill_in_middle, op12_merkle_manifest, op13_language_id,
     )
 }
 
