@@ -8,6 +8,7 @@ all blocks of a batch's texts at once.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -50,12 +51,29 @@ def classes_of(texts: list[str]) -> np.ndarray:
     return out
 
 
-def automaton(found: np.ndarray, width: int) -> np.ndarray:
-    """The suffix automaton of symbols, as a table of walks that parse.
+@dataclass(frozen=True)
+class Automaton:
+    """A suffix automaton's transitions, in no order, and how many states it has; state 0 is the start."""
 
-    The entry of a state and a symbol is twice the next state's row, plus one if no such substring goes on and the symbol begins a new phrase. The last
-    row is the state before a text and after a symbol that never occurs.
-    """
+    states: int
+    state: np.ndarray
+    symbol: np.ndarray
+    target: np.ndarray
+
+    def table(self, width: int) -> np.ndarray:
+        """The walks that parse, for symbols below ``width``.
+
+        The entry of a state and a symbol is twice the next state's row, plus one if no such substring goes on and the symbol begins a new phrase. The last
+        row is the state before a text and after a symbol that never occurs.
+        """
+        table = np.full((self.states + 1, width), -1, np.int32)
+        table[self.state, self.symbol] = self.target
+        anew = np.where(table[0] < 0, self.states, table[0])
+        return np.where(table < 0, 2 * width * anew + 1, 2 * width * table).astype(np.int32).ravel()
+
+
+def automaton(found: np.ndarray) -> Automaton:
+    """The suffix automaton of symbols."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in found.tolist():
@@ -81,11 +99,10 @@ def automaton(found: np.ndarray, width: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    table = np.full((len(follow) + 1, width), -1, np.int64)
-    state = np.repeat(np.arange(len(follow)), [len(f) for f in follow])
-    table[state, np.fromiter((c for f in follow for c in f), np.int64, len(state))] = np.fromiter((t for f in follow for t in f.values()), np.int64, len(state))
-    anew = np.where(table[0] < 0, len(follow), table[0])
-    return np.where(table < 0, 2 * width * anew + 1, 2 * width * table).astype(np.int32).ravel()
+    many = [len(f) for f in follow]
+    return Automaton(
+        len(follow), np.repeat(np.arange(len(follow), dtype=np.int32), many), np.fromiter((c for f in follow for c in f), np.uint8, sum(many)), np.fromiter((t for f in follow for t in f.values()), np.int32, sum(many))
+    )
 
 
 def phrases(found: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray], width: int, block: int = BLOCK) -> np.ndarray:
@@ -112,14 +129,18 @@ def phrases(found: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray], wi
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in the order of their code points, with the automaton of each and the bits of a phrase of it."""
+    """Languages in the order of their code points, with the automaton of each and the bits of a phrase of it. What is sent to tasks are transitions; a task makes tables of them once."""
 
     languages: list[str]
     classes: np.ndarray
-    tables: list[np.ndarray]
+    automata: list[Automaton]
     bits: np.ndarray
     width: int
 
+    @cached_property
+    def tables(self) -> list[np.ndarray]:
+        return [a.table(self.width) for a in self.automata]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language and how far it stands out, 0 to 1, of each text."""
         out = [(UNDETERMINED, 0.0)] * len(texts)
@@ -146,15 +167,15 @@ def learned(pieces: dict[str, list[str]], sample: int = SAMPLE) -> Model:
     languages = sorted(pieces, key=str.encode)
     classes = classes_of([t for lang in languages for t in pieces[lang]])
     width = int(classes.max()) + 2  # the last symbol parts the pieces; no text holds it
-    tables, bits = [], []
+    automata, bits = [], []
     for lang in languages:
         found, lengths = symbols(pieces[lang], classes)
         ends = np.cumsum(lengths)
         n = int(ends[min(np.searchsorted(ends, sample), len(ends) - 1)])
         found = np.insert(found[: min(n, sample)], ends[ends < min(n, sample)], width - 1)
-        tables.append(automaton(found, width))
+        automata.append(automaton(found))
         bits.append(np.log2(len(found) + 1))
-    return Model(languages, classes, tables, np.array(bits), width)
+    return Model(languages, classes, automata, np.array(bits), width)
 
 
 def fitted(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, piece: int = PIECE) -> Model:
