@@ -38,6 +38,49 @@ def folded(events: DataFrame) -> DataFrame:
     )
 
 
+#: What extra events and responses tell of credentials and caching.
+EVIDENCE = ["has_cookie", "has_authorization", "has_set_cookie", "private_or_no_store", "varies_by_credential", "cookie_policy_affected"]
+DEFAULT_TYPE = "application/octet-stream"
+
+
+def resources(events: DataFrame) -> DataFrame:
+    """``(session, request_id, hop, url, state, status, mime_type, request_extra, response_extra, <EVIDENCE>, extra_status, ambiguous)``, one row for each redirect hop of a request.
+
+    ``events(session_id, request_id, seq, kind, url, status, mime_type, redirect_status, <EVIDENCE>, extra_status)``; kinds request, response, finished, failed, request_extra and response_extra. A request with a redirect_status
+    completes the hop before it and opens the next; any request begins its hop anew. Extra events before the first request wait for it, other events before it are
+    left out. Two extra events of one kind for a hop, statuses that differ, and every hop after a redirect are ambiguous. A null session is root; defaults are the status 0 and DEFAULT_TYPE. One shuffle, by
+    request; all that follows stays in its partitions.
+    """
+    keyed = events.withColumn("session", F.coalesce("session_id", F.lit("root")))
+    whole = Window.partitionBy("session", "request_id")
+    running = whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    asks, extra = F.col("kind") == "request", F.col("kind").endswith("_extra")
+    opens = asks & F.col("redirect_status").isNotNull()
+    placed = keyed.withColumns({"life": F.count_if(asks).over(running), "hop": F.count_if(opens).over(running), "first": F.min_by(opens.cast("long"), F.when(asks, F.col("seq"))).over(whole)})
+    placed = placed.where(F.col("first").isNotNull() & ((F.col("life") > 0) | extra))
+    early = F.col("life") == 0
+    own = F.struct(F.when(early, 1).otherwise(F.col("life")).alias("life"), F.when(early, F.col("first")).otherwise(F.col("hop")).alias("hop"), F.col("kind").alias("what"), F.col("status").alias("code"), F.col("mime_type").alias("type"))
+    shut = F.struct((F.col("life") - 1).alias("life"), (F.col("hop") - 1).alias("hop"), F.lit("closed").alias("what"), F.col("redirect_status").alias("code"), F.lit(None).cast("string").alias("type"))
+    parted = placed.select("session", "request_id", "seq", "url", *EVIDENCE, "extra_status", F.inline(F.when(opens & (F.col("life") > 1), F.array(own, shut)).otherwise(F.array(own))))
+    what = F.col("what")
+    state = F.when(what == "request", "discovered").when(what.isin("finished", "closed"), "complete").otherwise(what)
+    answers = F.when(what.isin("response", "closed"), F.col("seq"))
+    told = [
+        F.coalesce(F.bool_or(F.col(c) & (what.endswith("_extra") | ((what == "response") & F.lit(c in ("has_set_cookie", "private_or_no_store", "varies_by_credential"))))), F.lit(False)).alias(c)
+        for c in EVIDENCE
+    ]
+    asked, said = F.count_if(what == "request_extra"), F.count_if(what == "response_extra")
+    codes = F.when(what == "response_extra", F.col("extra_status"))
+    lives = parted.groupBy("session", "request_id", "hop", "life").agg(
+        F.max_by(F.when(what == "request", F.col("url")), F.when(what == "request", F.col("seq"))).alias("url"), F.max_by(F.when(~what.endswith("_extra"), state), F.when(~what.endswith("_extra"), F.col("seq"))).alias("state"),
+        F.coalesce(F.max_by("code", answers), F.lit(0)).cast("long").alias("status"), F.coalesce(F.max_by("type", answers), F.lit(DEFAULT_TYPE)).alias("mime_type"), (asked > 0).alias("request_extra"), (said > 0).alias("response_extra"), *told,
+        F.min_by(codes, F.when(codes.isNotNull(), F.col("seq"))).cast("long").alias("extra_status"), ((F.col("hop") > 0) | (asked > 1) | (said > 1) | (F.count_distinct(codes) > 1)).alias("ambiguous"),
+    )
+    fields = [c for c in lives.columns if c not in ("session", "request_id", "hop", "life")]
+    last = lives.groupBy("session", "request_id", "hop").agg(F.max_by(F.struct(*fields), "life").alias("r"))
+    return last.select("session", "request_id", F.col("hop").cast("long").alias("hop"), "r.*")
+
+
 def evidence_score(body, content_type, size):
     """4 for a body, 2 for a type, 1 for a size."""
     return body.isNotNull().cast("int") * 4 + content_type.isNotNull().cast("int") * 2 + size.isNotNull().cast("int")
