@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from .work import written
 
 def target(path):
     """The file that a request's path names; null for one that leaves the root."""
@@ -72,3 +74,78 @@ def own_routes(local_path):
     inner = F.regexp_replace(local_path, "^site/", "")
     own = local_path.startswith("site/") & ~local_path.startswith("site/_external/") & (inner != "")
     return F.when(own, F.transform(escaped_variants(inner), lambda v: F.concat(F.lit("/"), v))).otherwise(F.array().cast("array<string>"))
+
+
+def _rest(path):
+    """A path without its first segment, if that has a dot and others follow; null otherwise."""
+    names = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.when((F.size(names) > 1) & F.get(names, F.lit(0)).contains("."), F.array_join(F.slice(names, F.lit(2), F.size(names)), "/"))
+
+
+def _routed(resources: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each resource with the routes that its URL and its file give: ``own`` for the source's origin, ``local`` for its file there (the file's own spelling first), ``other`` for other origins."""
+    start = sources.select("job", urls.once(urls.parts(F.col("url"))).alias("s"))
+    s = urls.Parts(F.col("s"))
+    start = start.select(F.col("job").alias("_job"), urls.once(urls.origin(s)).alias("origin"), F.nullif(F.regexp_replace(s["path"], "/+$", ""), F.lit("")).alias("prefix"))
+    rows = resources.join(start, resources["job"] == start["_job"]).drop("_job").withColumn("_u", urls.once(urls.parts(F.col("url"))))
+    u = urls.Parts(F.col("_u"))
+    route = lambda path: F.concat(F.lit("/"), F.regexp_replace(path, "^/+", ""), urls.search(u))
+    inner = F.regexp_extract("local_path", r"^site/_external/https?/[^/]+/(.+)$", 1)
+    spelled = lambda p: F.transform(escaped_variants(p), lambda v: F.concat(F.lit("/"), v))
+    none = F.array().cast("array<string>")
+    outside = F.when(inner == "", none).otherwise(F.concat(spelled(inner), F.when(_rest(inner).isNotNull(), spelled(_rest(inner))).otherwise(none)))
+    rows = rows.where(u["web"]).withColumn("same", urls.once(urls.origin(u) == F.col("origin")))
+    rows = rows.select(*resources.columns, "prefix", "same", urls.once(route(u["path"])).alias("route"), urls.once(F.when(_rest(u["path"]).isNotNull(), route(_rest(u["path"])))).alias("shorter"), F.coalesce(own_routes(F.col("local_path")), none).alias("local"), F.coalesce(outside, none).alias("outside"))
+    return rows.withColumn("other", F.array_compact(F.concat(F.array("route", "shorter"), "outside")))
+
+
+def _unique(candidates: DataFrame) -> DataFrame:
+    """``(job, route, path, n)`` of ``(job, route, path)``: how many files a route has, and one of them."""
+    return candidates.groupBy("job", "route").agg(F.min("path").alias("path"), F.count_distinct("path").alias("n"))
+
+
+def aliases(resources: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``(job, route, path, kind)``, the routes beside the mirror's own paths by which its files are served, and ``(job, kind, n)``, how many routes were dropped since several files claim them.
+
+    ``resources(job, seq, url, local_path, status, html)``, ``sources(job, url)``. Only downloaded files count; ``path`` is below ``site/``. Kinds, of which an earlier one wins a route:
+    page (pages of the source's origin by their URLs, the first by seq), external (other origins' files by their paths there, with and without a leading segment with a dot; none that the source's origin has), spelling (other spellings of escaped names),
+    prefixed (files asked for below the source page's path; none that the source's origin has). All but pages need one file. Routes are joined by job and route, so no job is one task's work.
+    """
+    rows = written(_routed(resources, sources), "routed")
+    served = rows.where((F.col("status") == "downloaded") & F.startswith("local_path", F.lit("site/"))).withColumn("path", F.regexp_replace("local_path", "^site/", ""))
+    known = rows.where("same").select("job", F.explode(F.concat(F.array("route"), "local")).alias("route")).distinct()
+    page = served.where("same and html").groupBy("job", "route").agg(F.min_by("path", F.struct("seq", "path")).alias("path"))
+    external = _unique(served.where("not same and not html").select("job", F.explode("other").alias("route"), "path"))
+    files = served.where("same and not html")
+    spelling = _unique(files.select("job", F.explode(F.slice("local", F.lit(2), F.greatest(F.size("local"), F.lit(1)))).alias("route"), "path"))
+    free = external.where("n = 1").join(known, ["job", "route"], "left_anti").join(page, ["job", "route"], "left_anti").select("job", "route", "path")
+    below = _unique(files.select("job", F.explode(F.concat(F.array("route"), "local")).alias("route"), "path").unionByName(free))
+    start = sources.select("job", F.nullif(F.regexp_replace(urls.path(F.col("url")), "/+$", ""), F.lit("")).alias("prefix")).where("prefix is not null")
+    bare = F.regexp_replace("route", r"\?.*$", "")
+    below = below.join(start, "job").where((bare != F.col("prefix")) & ~F.startswith(bare, F.concat("prefix", F.lit("/"))))
+    prefixed = below.select("job", F.concat("prefix", "route").alias("route"), "path", "n").join(known, ["job", "route"], "left_anti")
+    ranked = [page.withColumn("n", F.lit(1)), free.withColumn("n", F.lit(1)), spelling, prefixed]
+    all_ = None
+    for k, (kind, df) in enumerate(zip(("page", "external", "spelling", "prefixed"), ranked, strict=True)):
+        df = df.where("n = 1").select("job", "route", F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), "path").alias("c"))
+        all_ = df if all_ is None else all_.unionByName(df)
+    found = all_.groupBy("job", "route").agg(F.min("c").alias("c")).select("job", "route", "c.path", "c.kind")
+    lost = None
+    for kind, df in (("external", external), ("spelling", spelling), ("prefixed", prefixed)):
+        df = df.where("n > 1").groupBy("job").agg(F.count("*").alias("n")).select("job", F.lit(kind).alias("kind"), "n")
+        lost = df if lost is None else lost.unionByName(df)
+    return found, lost
+
+
+def unavailable_routes(resources: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(job, route)``: routes of resources that failed, were skipped or are pending, unless a downloaded one serves them and none of the source's origin is missing there; each also below the source page's path."""
+    rows = _routed(resources, sources)
+    routes_ = F.concat(F.when(F.col("same"), F.concat(F.array("route"), "local")).otherwise(F.col("other")))
+    each = rows.select("job", "prefix", "same", "status", F.startswith("local_path", F.lit("site/")).alias("kept"), F.explode(F.array_distinct(routes_)).alias("route"))
+    have = (F.col("status") == "downloaded") & F.coalesce("kept", F.lit(False))
+    lacks = F.col("status").isin("failed", "skipped", "pending")
+    told = each.groupBy("job", "prefix", "route").agg(F.bool_or(have).alias("have"), F.bool_or(lacks).alias("lacks"), F.bool_or(lacks & F.col("same")).alias("own"))
+    gone = told.where("lacks and (not have or own)")
+    bare = F.regexp_replace("route", r"\?.*$", "")
+    outside = F.col("prefix").isNotNull() & (bare != F.col("prefix")) & ~F.startswith(bare, F.concat("prefix", F.lit("/")))
+    return gone.select("job", F.explode(F.when(outside, F.array(F.col("route"), F.concat("prefix", "route"))).otherwise(F.array("route"))).alias("route")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import links, localise, templates
+from ..operators import links, localise, routes, templates
 from .queries import _LINKS, _PARTS, pages, query
 
 # --- templates and inventories ------------------------------------------------------------------------------------------
@@ -150,3 +150,49 @@ def discovered_urls(spark, d):
     more = page.where(n % 2 == 0).select((1_000_000_000 + n).alias("file"), "url", F.lit("javascript").alias("type"), script.alias("text")).union(page.select(2_000_000_000 + n, "url", F.lit("json"), data))
     files = _files(spark, d).unionByName(more.withColumn("local_path", F.lit("site/x")))
     return localise.discovered(files, page.select(urls.canonical(F.col("url")).alias("url")), _named)[0]
+
+
+# --- routes -------------------------------------------------------------------------------------------------------------
+
+#: The links of ten groups of pages as the resources of ten jobs; a job's source is its first page.
+_ROUTES = _LINKS + """,
+j AS (SELECT page_id % 10 AS job, min(page_id) AS source FROM pages GROUP BY ALL), o AS (SELECT job, scheme || '://' || host AS origin, rtrim(path, '/') AS prefix FROM j JOIN p ON page_id = source),
+m AS (SELECT DISTINCT page_id % 10 AS job, page_id AS seq, href, base AS url, array_to_string(segs, '/') AS file, regexp_replace(base, '/[^/]*$', '') AS org FROM s JOIN e USING (r) WHERE length(href) > 2),
+c AS (SELECT m.*, prefix, org = origin AS same, length(href) % 3 = 0 AS html, CASE seq % 4 WHEN 3 THEN 'failed' ELSE 'downloaded' END AS status, replace(url, org, '') AS route,
+  CASE WHEN org = origin THEN 'site/' ELSE 'site/_external/' || replace(org, '://', '/') || '/' END || file AS local_path, string_split(regexp_replace(file, '~([0-9a-f]{2})', chr(1) || '\\1', 'g'), chr(1)) AS pc FROM m JOIN o USING (job)),
+v AS (SELECT *, list_transform(CASE WHEN len(pc) <= 5 THEN range(CAST(pow(2, len(pc) - 1) AS BIGINT)) ELSE [0, 1, 2, 4, 8] END, lambda k: '/' || array_to_string(list_transform(range(1, len(pc) + 1), lambda i: CASE WHEN i = 1 OR (k >> (i - 2)) & 1 = 1 THEN pc[i] ELSE '~' || pc[i] END), '')) AS spelled FROM c),
+d AS (SELECT *, substr(local_path, 6) AS path FROM v WHERE status = 'downloaded'),
+known AS (SELECT DISTINCT job, unnest([route] || spelled) AS route FROM v WHERE same),
+pg AS (SELECT job, route, arg_min(path, (seq, path)) AS path FROM d WHERE same AND html GROUP BY ALL),
+b0 AS (SELECT job, route, min(path) AS path, count(DISTINCT path) AS n FROM (SELECT job, unnest([route] || spelled) AS route, path FROM d WHERE NOT same AND NOT html) GROUP BY ALL),
+b AS (SELECT job, route, path FROM b0 WHERE n = 1 AND (job, route) NOT IN (SELECT (job, route) FROM known) AND (job, route) NOT IN (SELECT (job, route) FROM pg)),
+c0 AS (SELECT job, route, min(path) AS path, count(DISTINCT path) AS n FROM (SELECT job, unnest(spelled[2:]) AS route, path FROM d WHERE same AND NOT html) GROUP BY ALL),
+d0 AS (SELECT job, prefix || route AS route, min(path) AS path, count(DISTINCT path) AS n FROM (SELECT job, unnest([route] || spelled) AS route, path FROM d WHERE same AND NOT html UNION ALL SELECT * FROM b) JOIN o USING (job)
+  WHERE prefix <> '' AND route <> prefix AND NOT starts_with(route, prefix || '/') AND (job, prefix || route) NOT IN (SELECT (job, route) FROM known) GROUP BY ALL),
+f AS (SELECT job, route, path, 0 AS k, 'page' AS kind FROM pg UNION ALL SELECT job, route, path, 1, 'external' FROM b UNION ALL SELECT job, route, path, 2, 'spelling' FROM c0 WHERE n = 1 UNION ALL SELECT job, route, path, 3, 'prefixed' FROM d0 WHERE n = 1)
+"""
+
+
+def _manifest(spark, d):
+    page = pages(spark, d)
+    found = links.page_links(page).where(F.length("href") > 2).select((F.col("page_id") % 10).alias("job"), F.col("page_id").alias("seq"), "href", F.col("target").alias("url")).distinct()
+    sources = page.groupBy((F.col("page_id") % 10).alias("job")).agg(F.min_by("url", "page_id").alias("url"))
+    rows = found.join(sources.select("job", urls.origin(F.col("url")).alias("o")), "job")
+    kept = rows.select("job", "seq", "url", urls.local_path(F.col("url"), F.col("o")).alias("local_path"), F.when(F.col("seq") % 4 == 3, "failed").otherwise("downloaded").alias("status"), (F.length("href") % 3 == 0).alias("html"))
+    return kept, sources
+
+
+@query("route_aliases", _ROUTES + "SELECT job, route, arg_min(path, k) AS path, arg_min(kind, k) AS kind FROM f GROUP BY job, route")
+def route_aliases(spark, d):
+    return routes.aliases(*_manifest(spark, d))[0]
+
+
+@query("ambiguous_routes", _ROUTES + "SELECT job, kind, count(*) AS n FROM (SELECT job, 'external' AS kind, n FROM b0 UNION ALL SELECT job, 'spelling', n FROM c0 UNION ALL SELECT job, 'prefixed', n FROM d0) WHERE n > 1 GROUP BY ALL")
+def ambiguous_routes(spark, d):
+    return routes.aliases(*_manifest(spark, d))[1]
+
+
+@query("unavailable_routes", _ROUTES + """, u AS (SELECT job, prefix, route, bool_or(status = 'downloaded') AS have, bool_or(status = 'failed') AS lacks, bool_or(status = 'failed' AND same) AS own FROM (SELECT job, prefix, status, same, unnest(list_distinct([route] || spelled)) AS route FROM v) GROUP BY ALL)
+SELECT DISTINCT job, unnest(CASE WHEN prefix <> '' AND route <> prefix AND NOT starts_with(route, prefix || '/') THEN [route, prefix || route] ELSE [route] END) AS route FROM u WHERE lacks AND (NOT have OR own)""")
+def unavailable_routes(spark, d):
+    return routes.unavailable_routes(*_manifest(spark, d))
