@@ -1,40 +1,112 @@
-"""Dependency closure: what can be reached from the seeds, round by round."""
+"""What can be reached: the dependency closure of resources, round by round, and the crawl of pages, best first."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import shapes
+from .work import dropped, written
 
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows as a table in the folder that all executors share."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    path = f"{shared.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "kept")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 8, most: int | None = 1500) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
     """``(url, round)``: seeds in round 0, and in round n what the new ones of round n - 1 link to and no earlier round had.
 
-    ``seeds(url)``, ``edges(from_url, to_url)``. At most ``rounds`` rounds, and ``most`` resources, those of the last round by URL. Each round joins the new
+    ``seeds(url)``, ``edges(from_url, to_url)``. At most ``rounds`` rounds. Each round joins the new
     resources alone with the edges, and is written, so that the plan stays short and lost executors cost one round.
     """
-    if not 0 <= rounds <= 10 or most is not None and not 1 <= most <= 10_000:
-        raise ValueError("rounds from 0 to 10, resources from 1 to 10000")
-    new = kept(seeds.select("url").distinct().withColumn("round", F.lit(0)))
+    return bounded_closure(seeds, edges.withColumn("leaf", F.lit(False)), rounds, None)[0].select("url", "round")
+
+
+def bounded_closure(seeds: DataFrame, edges: DataFrame, rounds: int = 8, most: int | None = 1500) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``(url, round, leaf)``, as :func:`closure`, of at most ``most`` resources, and ``(reason, n)``, how many others there were.
+
+    ``edges(from_url, to_url, leaf)``; a leaf (an image, say) links to nothing and is put off: leaves take what room the rounds leave, by the round that first names them and by URL. A URL that some edge takes for more than a leaf is none.
+    Within a round resources are taken by URL. Reasons: limit (the rounds' resources for which there was no room), deferred (such leaves) and rounds (what only a further round would reach). All are counted, none is dropped without a row.
+    """
+    if not 0 <= rounds <= 10 or most is not None and most < 1:
+        raise ValueError("rounds from 0 to 10, at least one resource")
+    room = (lambda df, n: df) if most is None else (lambda df, n: df.orderBy("url").limit(max(most - n, 0)))
+    new = written(room(seeds.select("url").where("url is not null").distinct(), 0).withColumn("round", F.lit(0)), "round")
     seen, total = new, new.count()
+    reached = lambda frontier: edges.join(frontier.select(F.col("url").alias("from_url")), "from_url").groupBy(F.col("to_url").alias("url")).agg(F.min("leaf").alias("leaf")).where("url is not null")
+    leaves, over, n = None, 0, 0
     for n in range(1, rounds + 1):
-        reached = edges.join(new.select(F.col("url").alias("from_url")), "from_url").select(F.col("to_url").alias("url")).distinct()
-        fresh = reached.join(seen.select("url"), "url", "left_anti").withColumn("round", F.lit(n))
+        found = written(reached(new).join(seen.select("url"), "url", "left_anti"), "reached")
+        own = found.where("leaf").select("url", F.lit(n).alias("round"))
+        leaves = own if leaves is None else leaves.unionByName(own)
+        new = found.where("not leaf").select("url").withColumn("round", F.lit(n))
         if most is not None:
-            fresh = fresh.orderBy("url").limit(max(most - total, 0))
-        new = kept(fresh)
+            every, new = new, written(room(new, total), "round")
+            over += every.count() - new.count()
         count = new.count()
         if not count:
             break
         seen, total = seen.unionByName(new), total + count
-    return seen
+    last = reached(new).join(seen.select("url"), "url", "left_anti").where("not leaf") if n == rounds else seen.where("false")
+    beyond = last.count()
+    out, deferred = seen.select("url", "round", F.lit(False).alias("leaf")), 0
+    if leaves is not None:
+        first = written(leaves.groupBy("url").agg(F.min("round").alias("round")).join(seen.select("url"), "url", "left_anti"), "leaves")
+        taken = first if most is None else first.orderBy("round", "url").limit(max(most - total, 0))
+        deferred = 0 if most is None else max(first.count() - max(most - total, 0), 0)
+        out = out.unionByName(taken.select("url", "round", F.lit(True).alias("leaf")))
+    counted = [("limit", over), ("deferred", deferred), ("rounds", beyond)]
+    return out, edges.sparkSession.createDataFrame(counted, "reason string, n long")
+
+
+def crawl(sources: DataFrame, links: DataFrame, pages: int = 100, width: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``(job, url, place)``, the pages that a crawl of each job visits after its source, in order, and ``(job, n_waiting, n_excluded)``, the pages that waited when it ended and the distinct ones outside its scope.
+
+    ``sources(job, url)``, one each; ``links(from_url, to_url)``. A job always goes on with the first of its waiting URLs, until it has visited ``pages``; what a page links to waits if it is in the source's scope and was not seen before.
+
+    A round looks at the first ``width`` waiting URLs of every job at once and takes those that come before anything the ones ahead of them link to, which is what one at a time would take. So rounds are few, all jobs share
+    them, and only the frontier is joined with the links. Rounds are written.
+    """
+    spark = sources.sparkSession
+    edges = links.select("from_url", "to_url").where("from_url <> to_url").distinct()
+    start = written(sources.select("job", F.col("url").alias("source")), "sources")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        to = rows.join(edges, rows["url"] == edges["from_url"]).join(start, "job").select("job", "url", "to_url", "source")
+        return to.withColumn("inside", shapes.is_in_scope(F.col("to_url"), F.col("source")))
+
+    first = written(linked(start.select("job", F.col("source").alias("url"))), "linked")
+    outside = first.where("not inside").select("job", "to_url")
+    seen = start.select("job", F.col("source").alias("url"))
+    waiting = written(first.where("inside").select("job", F.col("to_url").alias("url")).distinct().join(seen, ["job", "url"], "left_anti"), "waiting")
+    seen = seen.unionByName(waiting)
+    done = start.select("job", F.lit(0).cast("long").alias("n"))
+    visited = None
+    while pages > 0:
+        place = F.row_number().over(Window.partitionBy("job").orderBy("url"))
+        ahead = waiting.withColumn("k", place).where(F.col("k") <= width).join(done, "job").where(F.col("n") + F.col("k") <= pages)
+        ahead = written(ahead, "ahead")
+        if not ahead.limit(1).count():
+            break
+        found = written(linked(ahead), "linked")
+        new = found.where("inside").select("job", "url", "to_url").distinct().join(seen.select("job", F.col("url").alias("to_url")), ["job", "to_url"], "left_anti")
+        least = new.groupBy("job", "url").agg(F.min("to_url").alias("least"))
+        before = Window.partitionBy("job").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+        judged = ahead.join(least, ["job", "url"], "left").withColumn("limit", F.min("least").over(before))
+        taken = written(judged.where("limit is null or limit > url").select("job", "url", (F.col("n") + F.col("k")).alias("place")), "taken")
+        added = written(new.join(taken.select("job", "url"), ["job", "url"], "left_semi").select("job", F.col("to_url").alias("url")).distinct(), "added")
+        outside = outside.unionByName(found.join(taken.select("job", "url"), ["job", "url"], "left_semi").where("not inside").select("job", "to_url"))
+        visited = taken if visited is None else visited.unionByName(taken)
+        seen = seen.unionByName(added)
+        old, waiting = waiting, written(waiting.join(taken.select("job", "url"), ["job", "url"], "left_anti").unionByName(added), "waiting")
+        done = start.select("job").join(visited.groupBy("job").agg(F.max("place").alias("n")), "job", "left").select("job", F.coalesce("n", F.lit(0)).alias("n"))
+        dropped(ahead)
+        del old
+    if visited is None:
+        visited = spark.createDataFrame([], f"job {start.schema['job'].dataType.simpleString()}, url string, place long")
+    shut = outside.distinct().groupBy("job").agg(F.count("*").alias("n_excluded"))
+    left = waiting.groupBy("job").agg(F.count("*").alias("n_waiting"))
+    told = start.select("job").join(left, "job", "left").join(shut, "job", "left")
+    return visited, told.select("job", F.coalesce("n_waiting", F.lit(0)).alias("n_waiting"), F.coalesce("n_excluded", F.lit(0)).alias("n_excluded"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..operators import links, localise, routes, templates
+from ..operators import closure, links, localise, routes, templates
+from ..operators.work import written
 from .queries import _LINKS, _PARTS, pages, query
 
 # --- templates and inventories ------------------------------------------------------------------------------------------
@@ -196,3 +198,68 @@ def ambiguous_routes(spark, d):
 SELECT DISTINCT job, unnest(CASE WHEN prefix <> '' AND route <> prefix AND NOT starts_with(route, prefix || '/') THEN [route, prefix || route] ELSE [route] END) AS route FROM u WHERE lacks AND (NOT have OR own)""")
 def unavailable_routes(spark, d):
     return routes.unavailable_routes(*_manifest(spark, d))
+
+
+# --- closures and crawls ------------------------------------------------------------------------------------------------
+
+#: A graph of the pages: those of a host by URL link to their children of a heap, every fifth back to the first, and to the first page of the host three before; the links in their texts are leaves.
+_GRAPH = _LINKS + """,
+h AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url) AS i, dense_rank() OVER (ORDER BY host) AS h FROM (SELECT DISTINCT host, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || search AS url FROM p)),
+l AS (SELECT DISTINCT from_url, to_url FROM (SELECT x.url AS from_url, y.url AS to_url FROM h x JOIN h y ON x.h = y.h AND (y.i = 2 * x.i OR y.i = 2 * x.i + 1 OR y.i = 1 AND x.i % 5 = 0) UNION ALL SELECT x.url, y.url FROM h x JOIN h y ON y.h = x.h - 3 AND y.i = 1)),
+f AS (SELECT DISTINCT scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || search AS from_url, base AS to_url FROM s JOIN p USING (page_id))
+"""
+
+
+def _graph(spark, d):
+    page = pages(spark, d).select(urls.once(urls.canonical(F.col("url"))).alias("url"), urls.once(urls.host(F.col("url"))).alias("host")).distinct()
+    first = page.groupBy("host").agg(F.count("*").alias("n"))
+    ranks = first.select("host", F.dense_rank().over(Window.orderBy("host")).alias("h"))
+    placed = page.withColumn("i", F.row_number().over(Window.partitionBy("host").orderBy("url"))).join(ranks, "host")
+    placed = placed.select("url", "h", "i")
+    asks = F.array(2 * F.col("i"), 2 * F.col("i") + 1, F.when(F.col("i") % 5 == 0, 1))
+    x = placed.select(F.col("url").alias("from_url"), F.col("h").alias("xh"), F.explode(asks).alias("to")).where("to is not null")
+    inside = x.join(placed, (F.col("xh") == F.col("h")) & (F.col("to") == F.col("i"))).select("from_url", F.col("url").alias("to_url"))
+    across = placed.select(F.col("url").alias("from_url"), (F.col("h") - 3).alias("xh")).join(placed.where("i = 1"), F.col("xh") == F.col("h")).select("from_url", F.col("url").alias("to_url"))
+    return placed, inside.union(across).distinct()
+
+
+@query("crawled_pages", _GRAPH.replace("WITH", "WITH RECURSIVE", 1) + """,
+o AS (SELECT h AS job, regexp_extract(url, '^[^:]+://[^/]+', 0) || '/' AS source, url AS first FROM h WHERE i = 1), e1 AS (SELECT from_url, to_url FROM l UNION SELECT source, first FROM o),
+ad AS (SELECT job, from_url, list(to_url) AS tos FROM e1 CROSS JOIN o WHERE starts_with(to_url, source) AND from_url <> to_url GROUP BY ALL),
+w AS (SELECT job, source, CAST(0 AS BIGINT) AS place, source AS url, [source] AS seen, list_sort(tos) AS queue FROM o JOIN ad USING (job) WHERE from_url = source
+  UNION ALL SELECT job, source, place + 1, queue[1], list_concat(seen, [queue[1]]), list_sort(list_concat(queue[2:], list_filter(coalesce(tos, []), lambda t: NOT list_contains(seen, t) AND NOT list_contains(queue, t))))
+  FROM (SELECT w.*, tos FROM w LEFT JOIN ad ON ad.job = w.job AND ad.from_url = w.queue[1]) WHERE len(queue) > 0 AND place < 6)
+SELECT job, url, place FROM w WHERE place > 0""")
+def crawled_pages(spark, d):
+    return closure.crawl(*_crawl(spark, d), pages=6, width=4)[0]
+
+
+def _crawl(spark, d):
+    placed, found = _graph(spark, d)
+    one = placed.where("i = 1").select(F.col("h").cast("long").alias("job"), F.concat(F.regexp_extract("url", "^[^:]+://[^/]+", 0), F.lit("/")).alias("source"), F.col("url").alias("first"))
+    return one.select("job", F.col("source").alias("url")), found.unionByName(one.select(F.col("source").alias("from_url"), F.col("first").alias("to_url")))
+
+
+_REACHED = _GRAPH.replace("WITH", "WITH RECURSIVE", 1) + """,
+z AS (SELECT url FROM h WHERE i = 1 AND h % 2 = 0), c(url, round) AS (SELECT url, 0 FROM z UNION ALL SELECT to_url, round + 1 FROM c JOIN l ON url = from_url WHERE round < 3),
+m AS (SELECT url, min(round) AS round FROM c GROUP BY url), n AS (SELECT count(*) AS n FROM m),
+v AS (SELECT to_url AS url, min(round) + 1 AS round FROM m JOIN f ON url = from_url WHERE round < 3 AND to_url NOT IN (SELECT url FROM m) GROUP BY to_url),
+k AS (SELECT *, row_number() OVER (ORDER BY round, url) AS k FROM v)"""
+
+
+@query("bounded_closure", _REACHED + " SELECT url, CAST(round AS INT) AS round, false AS leaf FROM m UNION ALL SELECT url, CAST(round AS INT), true FROM k, n WHERE k <= 250 - n")
+def bounded_closure(spark, d):
+    return _bounded(spark, d)[0]
+
+
+@query("omitted_resources", _REACHED + """ SELECT 'limit' AS reason, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'deferred', greatest((SELECT count(*) FROM v) - (250 - n), 0) FROM n
+UNION ALL SELECT 'rounds', (SELECT count(DISTINCT to_url) FROM m JOIN l ON url = from_url WHERE round = 3 AND to_url NOT IN (SELECT url FROM m)) FROM n""")
+def omitted_resources(spark, d):
+    return _bounded(spark, d)[1]
+
+
+def _bounded(spark, d):
+    placed, found = _graph(spark, d)
+    leaves = links.page_links(pages(spark, d)).select(urls.canonical(F.col("url")).alias("from_url"), F.col("target").alias("to_url")).distinct()
+    edges = written(found.withColumn("leaf", F.lit(False)).unionByName(leaves.withColumn("leaf", F.lit(True))), "edges")
+    return closure.bounded_closure(placed.where("i = 1 and h % 2 = 0").select("url"), edges, 3, 250)
