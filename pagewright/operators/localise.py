@@ -35,8 +35,12 @@ def _piece(before: Column, raw: Column | None = None, ref: Column | None = None,
 
 def _cut(text: Column, pattern: str, make) -> Column:
     """The pieces of what a pattern finds, with the text between them."""
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("plain"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
-    return F.flatten(F.transform(zipped, lambda p: F.when(p["found"].isNull(), F.array(_piece(p["plain"]))).otherwise(F.concat(F.array(_piece(p["plain"])), make(p["found"])))))
+
+    def pieces(t: Column) -> Column:
+        zipped = F.arrays_zip(F.split(t, pattern, -1).alias("plain"), F.regexp_extract_all(t, F.lit(pattern), 0).alias("found"))
+        return F.flatten(F.transform(zipped, lambda p: F.when(p["found"].isNull(), F.array(_piece(p["plain"]))).otherwise(F.concat(F.array(_piece(p["plain"])), make(p["found"])))))
+
+    return urls.let(text, pieces)
 
 
 def _decoded(text: Column) -> Column:
@@ -48,11 +52,13 @@ def _decoded(text: Column) -> Column:
 def style_pieces(text: Column, style: str) -> Column:
     """The pieces of style text."""
 
+    def split(x: Column) -> Column:
+        raw = F.substring(x["found"], F.length(x["opening"]) + 1, F.length(x["found"]) - F.length(x["opening"]) - F.length(x["closing"]))
+        return urls.let(raw, lambda r: F.array(_piece(x["opening"], r, F.regexp_replace(F.regexp_replace(_decoded(r), r"(?s)\\\r?\n", ""), r"(?s)\\(.)", "$1"), style), _piece(x["closing"])))
+
     def made(found: Column) -> Column:
-        opening, closing = F.regexp_extract(found, _OPENING, 1), F.regexp_extract(found, _CLOSING, 1)
-        raw = F.substring(found, F.length(opening) + 1, F.length(found) - F.length(opening) - F.length(closing))
-        ref = F.regexp_replace(F.regexp_replace(_decoded(raw), r"(?s)\\\r?\n", ""), r"(?s)\\(.)", "$1")
-        return F.when(found.rlike(r"(?i)^(?:@import|url\()"), F.array(_piece(opening, raw, ref, style), _piece(closing))).otherwise(F.array(_piece(found)))
+        ends = F.struct(found.alias("found"), F.regexp_extract(found, _OPENING, 1).alias("opening"), F.regexp_extract(found, _CLOSING, 1).alias("closing"))
+        return F.when(found.rlike(r"(?i)^(?:@import|url\()"), urls.let(ends, split)).otherwise(F.array(_piece(found)))
 
     return _cut(text, STYLE, made)
 
@@ -60,41 +66,52 @@ def style_pieces(text: Column, style: str) -> Column:
 def _attribute_pieces(tag: Column, name: Column, style: str) -> Column:
     refreshes = (name == "meta") & tag.rlike(r"(?is)\shttp-equiv\s*=\s*[\"']?\s*refresh\b")
 
-    def made(found: Column) -> Column:
-        called = F.lower(F.regexp_extract(found, r"(?s)^\s([^\s=]*)", 1))
-        opening = F.regexp_extract(found, r"(?s)^(\s[^=]*=\s*[\"']?)", 1)
-        closing = F.when(F.substring(opening, -1, 1).isin('"', "'"), F.substring(opening, -1, 1)).otherwise("")
-        raw = F.substring(found, F.length(opening) + 1, F.length(found) - F.length(opening) - F.length(closing))
-        whole = F.array(_piece(found))
-        around = lambda inner: F.concat(F.array(_piece(opening)), inner, F.array(_piece(closing)))
-
-        def candidate(c: Column) -> Column:
-            url = F.regexp_extract(c, r"(?s)^(\S*?),*(?:\s|$)", 1)
-            return F.array(_piece(F.lit(""), url, _decoded(url), style), _piece(F.substring(c, F.length(url) + 1, F.length(c))))
-
-        before, to = F.regexp_extract(raw, REFRESH, 1), F.regexp_extract(raw, REFRESH, 2)
-        refresh = F.array(_piece(before, to, _decoded(to), style), _piece(F.substring(raw, F.length(before) + F.length(to) + 1, F.length(raw))))
-        named = called.isin("src", "poster", "xlink:href") | ((called == "href") & name.isin(*HREF_TAGS)) | ((called == "data") & (name == "object"))
+    def candidate(c: Column) -> Column:
+        split = lambda url: F.array(_piece(F.lit(""), url, _decoded(url), style), _piece(F.substring(c, F.length(url) + 1, F.length(c))))
+        return urls.let(F.regexp_extract(c, r"(?s)^(\S*?),*(?:\s|$)", 1), split)
+
+    def refreshed(raw: Column) -> Column:
+        ends = F.struct(F.regexp_extract(raw, REFRESH, 1).alias("before"), F.regexp_extract(raw, REFRESH, 2).alias("to"))
+        rest = lambda x: F.substring(raw, F.length(x["before"]) + F.length(x["to"]) + 1, F.length(raw))
+        return urls.let(ends, lambda x: F.array(_piece(x["before"], x["to"], _decoded(x["to"]), style), _piece(rest(x))))
+
+    def valued(x: Column) -> Column:
+        """x: an attribute's text, its name, what stands before its value, and the quote after it."""
+        called, raw = x["called"], F.substring(x["found"], F.length(x["opening"]) + 1, F.length(x["found"]) - F.length(x["opening"]) - F.length(x["closing"]))
+        around = lambda inner: F.concat(F.array(_piece(x["opening"])), inner, F.array(_piece(x["closing"])))
         gone = ((called == "href") & (name == "base")) | ((called == "integrity") & name.isin("script", "link"))
+        named = called.isin("src", "poster", "xlink:href") | ((called == "href") & name.isin(*HREF_TAGS)) | ((called == "data") & (name == "object"))
         return (
-            F.when(opening == "", whole).when(gone, F.array().cast(PIECE)).when(named, around(F.array(_piece(F.lit(""), raw, F.trim(_decoded(raw)), style))))
+            F.when(gone, F.array().cast(PIECE)).when(named, around(urls.let(raw, lambda r: F.array(_piece(F.lit(""), r, F.trim(_decoded(r)), style)))))
             .when(called.isin("srcset", "imagesrcset"), around(_cut(raw, SRCSET, candidate))).when((called == "style") & raw.rlike(r"(?i)url\("), around(style_pieces(raw, "site-root-url")))
-            .when(refreshes & (called == "content") & raw.rlike(REFRESH), around(refresh)).otherwise(whole)
+            .when((called == "content") & raw.rlike(REFRESH) & refreshes, around(urls.let(raw, refreshed))).otherwise(F.array(_piece(x["found"])))
         )
 
+    def made(found: Column) -> Column:
+        quote = lambda o: F.when(F.substring(o, -1, 1).isin('"', "'"), F.substring(o, -1, 1)).otherwise("")
+        ends = lambda o: F.struct(found.alias("found"), F.lower(F.regexp_extract(found, r"(?s)^\s([^\s=]*)", 1)).alias("called"), o.alias("opening"), quote(o).alias("closing"))
+        split = lambda o: F.when(o == "", F.array(_piece(found))).otherwise(urls.let(ends(o), valued))
+        matters = found.rlike(r"(?i)^\s(?:src|href|poster|xlink:href|data|srcset|imagesrcset|style|content|integrity)\s*=")
+        return F.when(matters, urls.let(F.regexp_extract(found, r"(?s)^(\s[^=]*=\s*[\"']?)", 1), split)).otherwise(F.array(_piece(found)))
+
     return _cut(tag, ATTRIBUTE, made)
 
 
 def markup_pieces(html: Column, style: str = "url") -> Column:
     """The pieces of a page: references of attributes, image candidates, refreshes, and style text in attributes and elements. Addresses of bases and integrities are left out."""
 
+    def parted(x: Column) -> Column:
+        """x: what was found, its tag's name, its start tag and its end tag."""
+        body = F.substring(x["found"], F.length(x["start"]) + 1, F.length(x["found"]) - F.length(x["start"]) - F.length(x["end"]))
+        inner = F.when(x["name"] == "style", style_pieces(body, "site-root-url")).otherwise(F.array(_piece(body)))
+        tag = F.when(x["start"].rlike(r"\s"), _attribute_pieces(x["start"], x["name"], style)).otherwise(F.array(_piece(x["start"])))
+        return F.concat(tag, inner, F.array(_piece(x["end"])))
+
     def made(found: Column) -> Column:
         name = F.lower(F.regexp_extract(found, r"(?s)^<([A-Za-z][^\s/>]*)", 1))
-        start = F.regexp_extract(found, rf"(?is)^(<[a-z]{_TAG})", 1)
-        end = F.regexp_extract(found, r"(?is)(</[a-z]+\s*>)$", 1)
-        body = F.substring(found, F.length(start) + 1, F.length(found) - F.length(start) - F.length(end))
-        inner = F.when(name == "style", style_pieces(body, "site-root-url")).otherwise(F.array(_piece(body)))
-        return F.when(name == "", F.array(_piece(found))).otherwise(F.concat(_attribute_pieces(start, name, style), inner, F.array(_piece(end))))
+        ends = F.struct(found.alias("found"), name.alias("name"), F.regexp_extract(found, rf"(?is)^(<[a-z]{_TAG})", 1).alias("start"), F.regexp_extract(found, r"(?is)(</[a-z]+\s*>)$", 1).alias("end"))
+        plain = F.startswith(found, F.lit("<!")) | found.rlike(r"^<[A-Za-z0-9]+>$")
+        return F.when(plain, F.array(_piece(found))).otherwise(urls.let(ends, parted))
 
     return _cut(html, MARKUP, made)
 
