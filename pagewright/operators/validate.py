@@ -198,6 +198,7 @@ def loopback_class(url: Column) -> Column:
     return urls._of(web, of)
 
 
+JOB_START = "created"
 TRANSITIONS = {a: [t for s, t in JOB_EDGES if s == a] for a in dict.fromkeys(s for s, _ in JOB_EDGES)}
 
 
@@ -238,3 +239,39 @@ def recorded_events(events: DataFrame) -> DataFrame:
     sized = events.select("run", "seq", "category", (F.octet_length("text") + EVENT_OVERHEAD).cast("long").alias("size"))
     kinds_ = f"run {events.schema['run'].dataType.simpleString()}, seq {events.schema['seq'].dataType.simpleString()}, recorded boolean"
     return events.join(sized.groupBy("run").applyInPandas(fold, kinds_), ["run", "seq"])
+
+
+def blocks(events: DataFrame) -> DataFrame:
+    """``(run, origin, seq, url, what, blocked)``: the dependencies of a run, and the failures that count.
+
+    ``events(run, origin, seq, kind, url, status)``; kinds dependency, block and response. A block changes all dependencies of its origin, those before it too. A response of 400 or more is a failure unless its URL was already that of a blocked
+    dependency; its ``blocked`` tells whether the origin was by then. Rows without an origin are left out. Origins' blocks are aggregated and joined back, so an origin of any number of rows is no one task's work.
+    """
+    known = events.where("origin is not null")
+    first = known.where("kind = 'block'").groupBy("run", "origin").agg(F.min("seq").alias("b"))
+    rows = known.where("kind <> 'block'").join(first, ["run", "origin"], "left")
+    asked = rows.where("kind = 'dependency'")
+    ignored = asked.where("b is not null").groupBy("run", "origin", "url").agg(F.min(F.greatest("seq", "b")).alias("since"))
+    failed = rows.where("kind = 'response' and status >= 400").join(ignored, ["run", "origin", "url"], "left").where("since is null or since > seq")
+    out = asked.select("run", "origin", "seq", "url", F.lit("dependency").alias("what"), F.col("b").isNotNull().alias("blocked"))
+    return out.unionByName(failed.select("run", "origin", "seq", "url", F.lit("failure").alias("what"), F.coalesce(F.col("b") < F.col("seq"), F.lit(False)).alias("blocked")))
+
+
+def waits(updates: DataFrame, terminal: tuple, closing: tuple, timeout: str, grace: str) -> DataFrame:
+    """``(job, outcome, state, waited_ms)``: what waiting for each job from its first update on comes to.
+
+    done: its first terminal state within ``timeout``. Otherwise, if its last state by then is one of ``closing``, late: its first terminal state within ``grace`` more. Otherwise timeout, with its last state.
+    ``updates(job, seq, ts, state)``; updates of one millisecond stand by seq.
+    """
+    span = lambda text: F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval '{text}'"))
+    rows = updates.withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    rows = rows.withColumn("since", F.min("at").over(Window.partitionBy("job"))).withColumns({"deadline": F.col("since") + span(timeout), "end": F.col("since") + span(timeout) + span(grace)})
+    inside, over = F.col("at") <= F.col("deadline"), F.col("at").between(F.col("deadline") + 1, F.col("end"))
+    ends, order = F.col("state").isin(*terminal), F.struct("at", "seq")
+    first = lambda on: F.min_by(F.struct("state", "at"), F.when(on, order))
+    told = rows.groupBy("job", "since", "deadline", "end").agg(first(inside & ends).alias("done"), F.max_by("state", F.when(inside, order)).alias("last"), first(over & ends).alias("late"), F.max_by("state", F.when(inside | over, order)).alias("then"))
+    waits_on = F.coalesce(F.col("last").isin(*closing), F.lit(False))
+    outcome = F.when(F.col("done").isNotNull(), "done").when(waits_on & F.col("late").isNotNull(), "late").otherwise("timeout")
+    state = F.when(outcome == "done", F.col("done.state")).when(outcome == "late", F.col("late.state")).when(waits_on, F.col("then")).otherwise(F.col("last"))
+    until = F.when(outcome == "done", F.col("done.at")).when(outcome == "late", F.col("late.at")).when(waits_on, F.col("end")).otherwise(F.col("deadline"))
+    return told.select(F.col("job").cast("string").alias("job"), outcome.alias("outcome"), state.alias("state"), (until - F.col("since")).alias("waited_ms"))
