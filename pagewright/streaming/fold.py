@@ -64,13 +64,13 @@ def folded(events: DataFrame, late: str | None = None, idle: str = "1 hour") ->
 
 
 def late_bodies(requests: DataFrame, bodies: DataFrame, late: str = "10 minutes", within: str = "5 minutes") -> DataFrame:
-    """``(session, request_id, url, sha256)``: bodies that arrive after their response, within ``within`` of it; a stream-stream join whose state both watermarks bound.
+    """``(session, request_id, url, sha256)``: requests with the bodies that arrive after them, within ``within``; a request whose body doesn't come has a null, once the watermarks have passed its time. A stream-stream join whose state both watermarks bound.
 
     ``requests(session, request_id, url, ts)``, ``bodies(session, request_id, sha256, body_ts)``.
     """
     a, b = requests.withWatermark("ts", late).alias("a"), bodies.withWatermark("body_ts", late).alias("b")
     on = F.expr(f"a.session = b.session and a.request_id = b.request_id and b.body_ts >= a.ts and b.body_ts <= a.ts + interval '{within}'")
-    return a.join(b, on).select("a.session", "a.request_id", "a.url", "b.sha256")
+    return a.join(b, on, "leftOuter").select("a.session", "a.request_id", "a.url", "b.sha256")
 
 
 def quiet_network(events: DataFrame, late: str = "1 minute", window: str = "1 minute") -> DataFrame:

@@ -59,11 +59,14 @@ def test_late_bodies_and_quiet_network(spark, tmp_path):
     asked = spark.createDataFrame([("s", "1", "u1", 0), ("s", "2", "u2", 0)], "session string, request_id string, url string, n int").withColumn("ts", at(F.col("n"))).drop("n")
     got = spark.createDataFrame([("s", "1", "h1", 100), ("s", "2", "h2", 400)], "session string, request_id string, sha256 string, n int").withColumn("body_ts", at(F.col("n"))).drop("n")
     seen = spark.createDataFrame([("s", "opened", 0), ("s", "closed", 5), ("s", "opened", 70), ("t", "opened", 100_000)], "session string, kind string, n int").withColumn("ts", at(F.col("n"))).drop("n")
-    for df, name in ((asked, "a"), (got, "b"), (seen, "e")):
-        df.coalesce(1).write.parquet(str(tmp_path / name))
-    read = lambda df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    later = F.expr("interval 3 hours")  # moves both watermarks on, in two steps
+    ahead = lambda df, c: [df.limit(1).withColumns({"request_id": F.lit("end"), c: F.col(c) + k * later}) for k in (1, 2)]
+    for parts, name in (([asked, *ahead(asked, "ts")], "a"), ([got, *ahead(got, "body_ts")], "b"), ([seen], "e")):
+        for df in parts:
+            df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda df, name: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
     run(fold.late_bodies(read(asked, "a"), read(got, "b")), "bodies", tmp_path / "cb")
-    assert [tuple(r) for r in spark.table("bodies").collect()] == [("s", "1", "u1", "h1")]
+    assert sorted(tuple(r) for r in spark.table("bodies").where("request_id <> 'end'").collect()) == [("s", "1", "u1", "h1"), ("s", "2", "u2", None)]
     run(fold.quiet_network(read(seen, "e")), "network", tmp_path / "ce")
     assert sorted((r["session"], r["opened"], r["closed"], r["quiet"]) for r in spark.table("network").where("session = 's'").collect()) == [("s", 1, 0, False), ("s", 1, 1, True)]
 
