@@ -531,4 +531,4 @@ _CHECKS = Literal("run string, outcome string", (("a", "match"), ("a", "match"),
 def perceptual_rollup(spark, _):
     return rollups.perceptual(_CHECKS.frame(spark), "run")
 
-from . import planning, policy, site, streams  # noqa: E402, F401  (their queries are registered on import)
+from . import planning, policy, site, streams, tables  # noqa: E402, F401  (their queries are registered on import)
