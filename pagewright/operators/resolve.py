@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import media, urls
+from ..functions import media, shapes, urls
 
 
 def unique(pairs: DataFrame, key: str, value: str) -> DataFrame:
@@ -98,3 +98,62 @@ def attached_bodies(resources: DataFrame, bodies: DataFrame) -> DataFrame:
     rows = resources.join(asked, "body_id", "left").join(held, "body_id", "left")
     twice = F.coalesce((F.col("_n") > 1) | (F.col("_m") > 1), F.lit(False))
     return rows.select(*resources.columns, F.when(~twice, F.col("_sha")).alias("sha256"), twice.alias("repeated"))
+
+
+def known_references(refs: DataFrame, known: DataFrame, by_name: bool = False) -> DataFrame:
+    """``refs(ref, base)`` with ``found``, ``how`` and ``search``: the one known URL that a bare reference of two segments or more means, whatever folder it is written in.
+
+    suffix: the reference's path ends that of one known URL of the base's origin. name, with ``by_name``: no path does, and one known URL has the same file name. The queries must be equal; a reference whose query only defeats caches
+    may also mean a known URL without one, and keeps its query, which ``search`` is then. Several answers are none; so is the URL that the reference names anyway. ``known(url)``. Lookups are by equality on all tails of the known
+    paths, so a tail that many share costs rows only where it is asked for.
+    """
+    rows = refs.distinct().withColumn("_b", urls.once(urls.parts(F.col("base"))))
+    base = urls.Parts(F.col("_b"))
+    rows = rows.where(shapes.is_bare_path(F.trim("ref"))).withColumn("_o", urls.once(urls.origin(base)))
+    rows = rows.withColumn("_r", urls.once(urls.parts(F.concat("_o", F.lit("/"), F.regexp_replace(F.trim("ref"), "#.*$", ""))))).withColumn("_own", urls.once(urls.resolve(F.col("ref"), F.col("base"))))
+    ref = urls.Parts(F.col("_r"))
+    path = F.regexp_replace(ref["path"], "^/+", "")
+    rows = rows.where(ref["web"] & ~F.coalesce(urls.has_sensitive_query(F.col("_own")), F.lit(False)))
+    rows = rows.select(*refs.columns, "_o", "_own", urls.once(path).alias("_path"), urls.once(urls.search(ref)).alias("_search"), F.when(media.is_cache_like(F.concat("_o", F.lit("/x"), urls.search(ref))), "").alias("_bare"))
+    rows = rows.where(F.size(F.filter(F.split("_path", "/"), lambda s: s != "")) >= 2)
+    searches = F.array_distinct(F.array_compact(F.array("_search", "_bare")))
+    asked = rows.select(*refs.columns, "_o", "_own", "_path", F.col("_search").alias("_s"), F.explode(searches).alias("_q"))
+    have = known.select(urls.canonical(F.col("url")).alias("found")).where("found is not null").distinct().withColumn("_k", urls.once(urls.parts(F.col("found"))))
+    k = urls.Parts(F.col("_k"))
+    have = have.select("found", urls.origin(k).alias("_o"), urls.search(k).alias("_q"), F.split(F.regexp_replace(k["path"], "^/+", ""), "/").alias("_p"))
+    ends = have.select("found", "_o", "_q", F.explode(F.transform(F.sequence(F.lit(1), F.size("_p")), lambda i: F.array_join(F.slice("_p", i, F.size("_p")), "/"))).alias("_path"))
+    hits = asked.join(ends, ["_o", "_q", "_path"]).select(*refs.columns, "_own", "found", F.lit("suffix").alias("how"), F.when(F.col("_q") != F.col("_s"), F.col("_s")).otherwise("").alias("search"))
+    if by_name:
+        names = have.select("found", "_o", "_q", F.element_at("_p", -1).alias("_name")).where("_name <> ''")
+        more = asked.withColumn("_name", F.element_at(F.split("_path", "/"), -1)).join(names, ["_o", "_q", "_name"])
+        hits = hits.unionByName(more.select(*refs.columns, "_own", "found", F.lit("name").alias("how"), F.when(F.col("_q") != F.col("_s"), F.col("_s")).otherwise("").alias("search")))
+    counted = hits.groupBy(*refs.columns, "_own", F.col("how")).agg(F.count_distinct("found").alias("_n"), F.min(F.struct("found", "search")).alias("_f"))
+    first = counted.groupBy(*refs.columns, "_own").agg(F.max(F.struct("how", "_n", "_f")).alias("_w"))  # suffix comes after name
+    one = first.where((F.col("_w._n") == 1) & ~((F.col("_w._f.found") == F.coalesce("_own", F.lit(""))) & (F.col("_w._f.search") == "")))
+    return one.select(*refs.columns, F.col("_w._f.found").alias("found"), "_w.how", F.col("_w._f.search").alias("search"))
+
+
+def placed_references(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """``refs(ref, base)``, names that a manifest gives, with ``target``, ``place`` and ``mapped``: relative (to the file), root (of its origin) or kept (no reference).
+
+    A name that begins with a slash is from the root; one with a scheme, two slashes or dots is relative; both need to look like an asset or to be known. Of a bare one the reading counts that is known, the relative one if both are. If neither is, it
+    must look like an asset, and is from the root if it shares two leading segments or more with the file's own folder. ``known(url)``.
+    """
+    trimmed = F.trim("ref")
+    rows = refs.distinct().withColumns({"_rel": urls.once(urls.resolve(trimmed, F.col("base"))), "_root": urls.once(urls.resolve(F.concat(F.lit("/"), F.regexp_replace(trimmed, "^/", "")), F.col("base")))})
+    have = known.select(urls.canonical(F.col("url")).alias("_url")).where("_url is not null").distinct()
+    rows = rows.join(have.select(F.col("_url").alias("_rel"), F.lit(True).alias("_has_rel")), "_rel", "left").join(have.select(F.col("_url").alias("_root"), F.lit(True).alias("_has_root")), "_root", "left")
+    rel, root = F.coalesce("_has_rel", F.lit(False)), F.coalesce("_has_root", F.lit(False))
+    asset = F.coalesce(shapes.is_asset(F.col("ref")), F.lit(False))
+    named = lambda t: F.filter(F.split(t, "/"), lambda s: s != "")
+    mine, folder = named(F.regexp_replace(trimmed, "[?#].*$", "")), named(F.regexp_replace(urls.path(F.col("base")), "[^/]*$", ""))
+    shares = (F.size(mine) >= 2) & (F.size(folder) >= 2) & (F.slice(mine, 1, 2) == F.slice(folder, 1, 2))
+    plain = trimmed.rlike(r"^(?:https?:)?//|^\.\.?/")
+    place = (
+        F.when(plain, F.when(asset | rel, "relative").otherwise("kept")).when(trimmed.startswith("/"), F.when(asset | rel, "root").otherwise("kept"))
+        .when(rel, "relative").when(root, "root").when(~asset, "kept").when(shares, "root").otherwise("relative")
+    )
+    out = rows.withColumn("place", place)
+    target = F.when((F.col("place") == "root") & ~trimmed.startswith("/"), F.col("_root")).when(F.col("place") != "kept", F.col("_rel"))
+    mapped = F.when(F.col("place") == "root", F.when(trimmed.startswith("/"), rel).otherwise(root)).when(F.col("place") == "relative", rel).otherwise(False)
+    return out.select(*refs.columns, target.alias("target"), "place", mapped.alias("mapped"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..operators import closure, links, localise, routes, templates
+from ..operators import closure, links, localise, resolve, routes, templates
 from ..operators.work import written
 from .queries import _LINKS, _PARTS, pages, query
 
@@ -263,3 +263,49 @@ def _bounded(spark, d):
     leaves = links.page_links(pages(spark, d)).select(urls.canonical(F.col("url")).alias("from_url"), F.col("target").alias("to_url")).distinct()
     edges = written(found.withColumn("leaf", F.lit(False)).unionByName(leaves.withColumn("leaf", F.lit(True))), "edges")
     return closure.bounded_closure(placed.where("i = 1 and h % 2 = 0").select("url"), edges, 3, 250)
+
+
+# --- lookups by tails and names -------------------------------------------------------------------------------------------
+
+#: Names that the pages' manifests give: an own one, one from the root, one with the folder in it, and words.
+_NAMES = f"""WITH {_PARTS}, o AS (SELECT page_id, scheme || '://' || host AS o, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || search AS base, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM p),
+r AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS folder, CASE page_id % 6 WHEN 0 THEN 'img/' || page_id % 9 || '.png' WHEN 1 THEN ltrim(path, '/') || CASE WHEN path LIKE '%/' THEN '' ELSE '/' END || page_id % 4 || '.png' WHEN 2 THEN '/abs/' || page_id % 5 || '.webp' WHEN 3 THEN './rel' || page_id || '.json' WHEN 4 THEN 'word' || page_id ELSE o || '/img/' || page_id % 9 || '.png' END AS ref FROM o),
+k AS (SELECT o || folder || 'img/' || page_id % 9 || '.png' AS url FROM r WHERE page_id % 4 = 0 UNION SELECT o || '/img/' || page_id % 9 || '.png' FROM r WHERE page_id % 5 < 2 UNION SELECT o || '/abs/1.webp' FROM r)"""
+
+
+def _names(spark, d):
+    n = F.col("page_id")
+    page = pages(spark, d).select("page_id", urls.once(urls.canonical(F.col("url"))).alias("base"))
+    page = page.select("page_id", "base", F.regexp_extract("base", "^[^:]+://[^/]+", 0).alias("o"), F.regexp_extract("base", r"^[^:]+://[^/]+([^?]*)", 1).alias("path")).withColumn("folder", F.regexp_replace("path", "[^/]*$", ""))
+    shown = lambda x: x.cast("string")
+    image = F.concat(F.lit("img/"), shown(n % 9), F.lit(".png"))
+    inner = F.concat(F.ltrim("path", F.lit("/")), F.when(F.endswith("path", F.lit("/")), "").otherwise("/"), shown(n % 4), F.lit(".png"))
+    ref = F.when(n % 6 == 0, image).when(n % 6 == 1, inner).when(n % 6 == 2, F.concat(F.lit("/abs/"), shown(n % 5), F.lit(".webp"))).when(n % 6 == 3, F.concat(F.lit("./rel"), shown(n), F.lit(".json"))).when(n % 6 == 4, F.concat(F.lit("word"), shown(n))).otherwise(F.concat("o", F.lit("/"), image))
+    known = page.where(n % 4 == 0).select(F.concat("o", "folder", image).alias("url")).union(page.where(n % 5 < 2).select(F.concat("o", F.lit("/"), image))).union(page.select(F.concat("o", F.lit("/abs/1.webp"))))
+    return page.select(ref.alias("ref"), "base"), known.distinct()
+
+
+@query("placed_names", _NAMES + """, t AS (SELECT DISTINCT ref, base, o, folder, CASE WHEN ref LIKE 'http%' THEN ref WHEN ref LIKE './%' THEN o || folder || substr(ref, 3) WHEN ref LIKE '/%' THEN o || ref ELSE o || folder || ref END AS rel, o || '/' || ltrim(ref, '/') AS root FROM r),
+m AS (SELECT *, rel IN (SELECT url FROM k) AS has_rel, root IN (SELECT url FROM k) AS has_root, ref LIKE '%.png' OR ref LIKE '%.webp' OR ref LIKE '%.json' AS asset, list_filter(string_split(ref, '/'), lambda x: x <> '')[1:2] AS a, list_filter(string_split(folder, '/'), lambda x: x <> '')[1:2] AS b FROM t),
+c AS (SELECT *, CASE WHEN ref LIKE 'http%' OR ref LIKE './%' THEN CASE WHEN asset OR has_rel THEN 'relative' ELSE 'kept' END WHEN ref LIKE '/%' THEN 'root' WHEN has_rel THEN 'relative' WHEN has_root THEN 'root' WHEN NOT asset THEN 'kept' WHEN len(a) = 2 AND a = b THEN 'root' ELSE 'relative' END AS place FROM m)
+SELECT ref, base, CASE place WHEN 'relative' THEN rel WHEN 'root' THEN CASE WHEN ref LIKE '/%' THEN rel ELSE root END END AS target, place, CASE place WHEN 'relative' THEN has_rel WHEN 'root' THEN has_root ELSE false END AS mapped FROM c""")
+def placed_names(spark, d):
+    return resolve.placed_references(*_names(spark, d))
+
+
+_TAILED = f"""WITH {_PARTS}, o AS (SELECT page_id, scheme || '://' || host AS o, CASE WHEN path = '' THEN '/' ELSE path END AS path, search FROM p), k AS (SELECT DISTINCT o, path, search, o || path || search AS url FROM o),
+r AS (SELECT DISTINCT o || '/zz/' AS base, o, CASE WHEN page_id % 3 = 0 THEN 'nowhere/' || ltrim(regexp_extract(path, '(/[^/]+/?)$', 1), '/') ELSE ltrim(path, '/') END || CASE WHEN page_id % 4 = 0 AND search = '' THEN '?_=1700000000000' ELSE search END AS ref FROM o),
+q AS (SELECT *, regexp_extract(ref, '^[^?]*', 0) AS path, regexp_extract(ref, '(\\?.*)$', 1) AS search FROM r),
+h AS (SELECT q.ref, q.base, k.url AS found, CASE WHEN k.path = '/' || q.path OR ends_with(k.path, '/' || q.path) THEN 'suffix' ELSE 'name' END AS how, CASE WHEN k.search = q.search THEN '' ELSE q.search END AS kept FROM q JOIN k ON k.o = q.o AND (k.search = q.search OR k.search = '' AND q.search LIKE '?\\_=%' ESCAPE '\\')
+  AND (k.path = '/' || q.path OR ends_with(k.path, '/' || q.path) OR split_part(k.path, '/', -1) = split_part(q.path, '/', -1) AND split_part(k.path, '/', -1) <> '')),
+w AS (SELECT ref, base, max(how) AS how FROM h GROUP BY ALL), u AS (SELECT ref, base, how, min(found) AS found, min(kept) AS kept, count(DISTINCT found) AS n FROM h JOIN w USING (ref, base, how) GROUP BY ALL)
+SELECT ref, base, found, how, kept AS "search" FROM u WHERE n = 1"""
+
+
+@query("tailed_references", _TAILED.replace("\\\\", "\\"))
+def tailed_references(spark, d):
+    page = pages(spark, d).select("page_id", urls.once(urls.canonical(F.col("url"))).alias("url"))
+    page = page.select("page_id", "url", F.regexp_extract("url", "^[^:]+://[^/]+", 0).alias("o"), F.regexp_extract("url", r"^[^:]+://[^/]+([^?]*)", 1).alias("path"), F.regexp_extract("url", r"(\?.*)$", 1).alias("search"))
+    name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("nowhere/"), F.ltrim(F.regexp_extract("path", "(/[^/]+/?)$", 1), F.lit("/")))).otherwise(F.ltrim("path", F.lit("/")))
+    query_ = F.when((F.col("page_id") % 4 == 0) & (F.col("search") == ""), "?_=1700000000000").otherwise(F.col("search"))
+    return resolve.known_references(page.select(F.concat(name, query_).alias("ref"), F.concat("o", F.lit("/zz/")).alias("base")), page.select("url"), by_name=True)
