@@ -90,15 +90,16 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", simila
     All lines of such a template are dropped, in every document. Null texts stay null with zero counts; texts that lose nothing stay as they are, and
     a text that loses all its lines is left with its blank ones. Columns n_lines and n_dropped are replaced, others kept.
     """
-    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "_key", "_lines", "_id")]
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     gone = written(dropped_lines(docs, id, text, similar, documents), "dropped-lines")
-    gone = gone.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines")).hint("merge")  # as many rows as documents
-    rows = docs.select(*own)
-    joined = rows.join(gone, rows[id].eqNullSafe(gone["_id"]) & (F.xxhash64(rows[text]) == gone["_key"]), "left").select(*own, "_lines")
-    lines = F.split(F.col(text), "\n", -1)
-    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_lines"))
+    gone = gone.hint("merge")  # as many rows as documents
+    # The docs' own columns wait in a struct, so that none of their names meets one of those made here.
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in own]).alias("row"), docs[id].alias("of"), docs[text].alias("body"))
+    joined = rows.join(gone, F.col("of").eqNullSafe(F.col("id")) & (F.xxhash64("body") == F.col("key")), "left").select("row", "body", "lines")
+    lines = F.split("body", "\n", -1)
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lines"))
     left = let(lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
     n = F.coalesce(F.size(F.filter(lines, lambda x: F.trim(F.translate(x, "\t\r", "")) != "")), F.lit(0)).cast("long")
-    dropped = F.when(F.col(text).isNull() | F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    new = F.when(dropped > 0, left).otherwise(F.col(text))
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in own], n.alias("n_lines"), dropped.alias("n_dropped"))
+    dropped = F.when(F.col("body").isNull() | F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    new = F.when(dropped > 0, left).otherwise(F.col("body"))
+    return joined.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in own], n.alias("n_lines"), dropped.alias("n_dropped"))

@@ -264,21 +264,22 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     results. Columns of the docs named like the counts are replaced, others are kept.
     """
     counts = [f"n_{k}" for k in KINDS]
-    own = [c for c in docs.columns if c.lower() not in (*counts, "_found", "_parts", "_changed", "_new")]
+    own = [c for c in docs.columns if c.lower() not in counts]
     body = docs[text]
-    row = docs.select(*own, once(F.when(body.rlike("[0-9@]") | body.rlike(LABEL), F.regexp_extract_all(body, F.lit(FOUND), 0))).alias("_found"))
-    parts = F.transform("_found", lambda v: F.when(v.rlike("^[0-9][0-9 -]+$"), _parts(v)).otherwise(F.array(v)))
-    row = row.withColumn("_parts", once(parts))
-    row = row.withColumn("_changed", once(F.transform("_parts", lambda p: F.transform(p, lambda v: F.struct(v.alias("_found"), pseudonym(v, key).alias("_new"))))))
-    row = row.withColumn("_new", F.transform("_changed", lambda p: F.array_join(p["_new"], "")))
-    rest = F.split(F.col(text), FOUND, -1)
-    joined = F.array_join(F.flatten(F.zip_with(rest, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    changed = F.filter(F.flatten("_changed"), lambda p: p["_found"] != p["_new"])
-    row = row.select(*[(F.when(F.size("_found") > 0, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(c)) for c in own], once(changed).alias("_changed"))
+    # The docs' own columns wait in a struct, so that none of their names meets one of those made here.
+    row = docs.select(F.struct(*[docs[c].alias(c) for c in own]).alias("row"), body.alias("body"), once(F.when(body.rlike("[0-9@]") | body.rlike(LABEL), F.regexp_extract_all(body, F.lit(FOUND), 0))).alias("found"))
+    parts = F.transform("found", lambda v: F.when(v.rlike("^[0-9][0-9 -]+$"), _parts(v)).otherwise(F.array(v)))
+    row = row.withColumn("parts", once(parts))
+    row = row.withColumn("changed", once(F.transform("parts", lambda p: F.transform(p, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))))
+    row = row.withColumn("new", F.transform("changed", lambda p: F.array_join(p["new"], "")))
+    rest = F.split(F.col("body"), FOUND, -1)
+    joined = F.array_join(F.flatten(F.zip_with(rest, F.col("new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    changed = F.filter(F.flatten("changed"), lambda p: p["old"] != p["new"])
+    row = row.select("row", F.when(F.size("found") > 0, joined).otherwise(F.col("body")).alias("body"), once(changed).alias("changed"))
 
     def counted(kind: str) -> Column:
         earlier = [p for k, (p, _) in KINDS.items() if list(KINDS).index(k) < list(KINDS).index(kind)]
-        is_kind = lambda p: reduce(lambda c, e: c & ~p["_found"].rlike(e), earlier, p["_found"].rlike(KINDS[kind][0]))
-        return F.coalesce(F.size(F.filter("_changed", is_kind)), F.lit(0)).cast("long")
+        is_kind = lambda p: reduce(lambda c, e: c & ~p["old"].rlike(e), earlier, p["old"].rlike(KINDS[kind][0]))
+        return F.coalesce(F.size(F.filter("changed", is_kind)), F.lit(0)).cast("long")
 
-    return row.select(*own, *[counted(k).alias(f"n_{k}") for k in KINDS])
+    return row.select(*[(F.col("body") if c == text else F.col("row")[c]).alias(c) for c in own], *[counted(k).alias(f"n_{k}") for k in KINDS])
