@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import caching, kinds, texts
-from ..operators import capture, planning, resolve, rollups, validate
+from ..operators import budget, capture, planning, resolve, rollups, validate
 from .queries import documents, events, query
 
 
@@ -252,3 +252,17 @@ def document_fingerprints(spark, d):
 def base64_documents(spark, d):
     coded = F.replace(F.replace(F.base64(F.encode("text", "utf-8")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
     return documents(spark, d).select("doc_id", texts.is_base64(coded, 2000).alias("base64"), texts.is_base64(F.concat("text", F.lit("=!"))).alias("plain"))
+
+
+# --- budgets --------------------------------------------------------------------------------------------------------------
+
+_LIMIT, _MEDIA = 60_000, 20_000
+_SIZED = "SELECT source AS job, doc_id AS seq, CASE WHEN doc_id % 17 > 0 THEN n_chars END AS size, CASE WHEN doc_id % 5 = 0 THEN 'audio' WHEN doc_id % 5 = 1 THEN 'video' END AS media FROM documents WHERE source IS NOT NULL"
+
+
+@query("admitted_documents", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq) AS k, greatest(coalesce(size, 500), 0) AS n FROM ({_SIZED})),
+w AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS media_used, CAST(NULL AS BIGINT) AS seq, false AS ok FROM r
+  UNION ALL SELECT job, k, used + CASE WHEN ok THEN n ELSE 0 END, media_used + CASE WHEN ok AND media IS NOT NULL THEN n ELSE 0 END, seq, ok FROM (SELECT w.job, r.k, used, media_used, r.seq, n, media, used + n <= {_LIMIT} AND (media IS NULL OR media_used + n <= {_MEDIA}) AS ok FROM w JOIN r ON r.job = w.job AND r.k = w.k + 1))
+SELECT r.job, r.seq, r.size, r.media, w.ok AS admitted FROM r JOIN w ON w.job = r.job AND w.k = r.k""")
+def admitted_documents(spark, d):
+    return budget.admitted(spark.sql(_SIZED.replace("FROM documents", "FROM {documents}"), documents=documents(spark, d)), _LIMIT, _MEDIA, 500)
