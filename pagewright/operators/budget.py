@@ -15,7 +15,7 @@ from .work import dropped, small, written
 
 STRETCH = 4096
 #: Of a media budget of at least the first, the smaller of the second and a quarter is kept for audio.
-LEAST_MEDIA, MOST_AUDIO = 4 * 1024 * 1024, 32 * 1024 * 1024
+LEAST_MEDIA, MOST_AUDIO = 1024 * 1024, 32 * 1024 * 1024
 
 
 def video_limit(media_bytes: int | None) -> int | None:

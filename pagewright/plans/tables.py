@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import caching, kinds, texts
+from ..functions import caching, kinds, network, texts
 from ..operators import budget, capture, planning, resolve, rollups, validate
 from .queries import documents, events, query
 
@@ -266,3 +266,31 @@ w AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CA
 SELECT r.job, r.seq, r.size, r.media, w.ok AS admitted FROM r JOIN w ON w.job = r.job AND w.k = r.k""")
 def admitted_documents(spark, d):
     return budget.admitted(spark.sql(_SIZED.replace("FROM documents", "FROM {documents}"), documents=documents(spark, d)), _LIMIT, _MEDIA, 500)
+
+
+# --- addresses and retries ------------------------------------------------------------------------------------------------
+
+_HOSTS = """SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id * 31 % 256 AS STRING) || '.' || CAST(event_id * 17 % 256 AS STRING) || '.' || CAST(user_id AS STRING) || '.' || CAST(event_id % 270 AS STRING) ELSE
+  CASE event_id % 9 WHEN 0 THEN '::' WHEN 1 THEN 'fc00::' WHEN 2 THEN 'FE9' || CAST(event_id % 10 AS STRING) || '::1:' WHEN 3 THEN '2001:db8:0:0:0:0:1:' WHEN 4 THEN '2a00:1::' WHEN 5 THEN '::ffff:1.2.3.' WHEN 6 THEN '2001:dB9::7:0:' WHEN 7 THEN '1:2:3:4:5:6:7:8:' ELSE 'g::' END || CAST(event_id % 99 AS STRING) END AS address FROM {events}"""
+
+
+@query("public_addresses_of_events", _cte(r=_HOSTS) + """, o AS (SELECT *, list_transform(string_split(address, '.'), lambda x: TRY_CAST(x AS BIGINT)) AS o FROM r)
+SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN list_max(o) > 255 THEN NULL ELSE NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 OR o[1] = 100 AND o[2] BETWEEN 64 AND 127 OR o[1] = 169 AND o[2] = 254 OR o[1] = 172 AND o[2] BETWEEN 16 AND 31 OR o[1] = 192 AND o[2] = 0 AND o[3] IN (0, 2) OR o[1] = 192 AND o[2] = 168
+  OR o[1] = 198 AND o[2] IN (18, 19) OR o[1] = 198 AND o[2] = 51 AND o[3] = 100 OR o[1] = 203 AND o[2] = 0 AND o[3] = 113) END
+  ELSE CASE id % 9 WHEN 0 THEN id % 99 > 1 WHEN 4 THEN true WHEN 6 THEN true WHEN 7 THEN NULL WHEN 8 THEN NULL ELSE false END END AS public FROM o""")
+def public_addresses_of_events(spark, d):
+    return _base(_HOSTS)(spark, d).select("id", network.is_public_address(F.col("address")).alias("public"))
+
+
+_TRIES = """SELECT event_id AS id, ts, event_id % 6 + 1 AS attempt, CASE WHEN event_id % 7 < 3 THEN CASE WHEN event_id % 2 = 0 THEN 503 ELSE 404 END END AS status, CASE event_id % 5 WHEN 0 THEN 'ECONNRESET' WHEN 1 THEN 'ENOTFOUND' END AS code, event_id % 11 = 0 AS timed_out, CASE WHEN event_id % 13 = 0 THEN event_id % 2 = 0 END AS mismatch FROM {events}"""
+
+
+@query("retry_waits_of_events", _cte(r=_TRIES) + """, h AS (SELECT *, CASE id % 4 WHEN 0 THEN CAST(id % 50 AS BIGINT) * 1000 WHEN 1 THEN greatest(epoch_ms(date_trunc('second', ts)) - epoch_ms(TIMESTAMP '2024-01-15 12:00:00'), 0) END AS asked FROM r)
+SELECT id, CASE WHEN asked IS NOT NULL THEN least(asked, 30000) END AS asked, least(coalesce(CASE WHEN asked IS NOT NULL THEN least(asked, 30000) END, 250 * CAST(pow(2, attempt - 1) AS BIGINT)) + CAST('0x' || left(sha256('https://t.example/' || id || chr(0) || attempt), 4) AS BIGINT) % 250 + 1, 30000) AS waits,
+  coalesce(mismatch, CASE WHEN status IS NOT NULL THEN status = 503 END, CASE WHEN timed_out THEN true END, code = 'ECONNRESET', false) AS again FROM h""")
+def retry_waits_of_events(spark, d):
+    n = F.col("id")
+    header = F.when(n % 4 == 0, (n % 50).cast("string")).when(n % 4 == 1, F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).when(n % 4 == 2, "soon")
+    rows = _base(_TRIES)(spark, d).withColumn("asked", network.retry_after(header, F.lit("2024-01-15 12:00:00").cast("timestamp")))
+    wait = network.retry_wait(F.concat(F.lit("https://t.example/"), n.cast("string")), F.col("attempt"), F.col("asked"))
+    return rows.select("id", "asked", wait.alias("waits"), network.is_retryable(F.col("status"), F.col("code"), F.col("timed_out"), F.col("mismatch")).alias("again"))
