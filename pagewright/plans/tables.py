@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import caching, kinds, network, texts
-from ..operators import budget, capture, planning, resolve, rollups, validate
+from ..functions import caching, classify, kinds, media, network, shapes, texts, types, urls
+from ..operators import budget, capture, planning, resolve, rollups, routes, validate
 from .queries import documents, events, query
 
 
@@ -294,3 +294,151 @@ def retry_waits_of_events(spark, d):
     rows = _base(_TRIES)(spark, d).withColumn("asked", network.retry_after(header, F.lit("2024-01-15 12:00:00").cast("timestamp")))
     wait = network.retry_wait(F.concat(F.lit("https://t.example/"), n.cast("string")), F.col("attempt"), F.col("asked"))
     return rows.select("id", "asked", wait.alias("waits"), network.is_retryable(F.col("status"), F.col("code"), F.col("timed_out"), F.col("mismatch")).alias("again"))
+
+
+# --- URLs, paths and names ------------------------------------------------------------------------------------------------
+
+_LINKED = """SELECT event_id AS id, 'https://' || CASE WHEN event_id % 4 = 0 THEN 'me:pw@' ELSE '' END || 'h' || CAST(user_id AS STRING) || '.example/a/' || CAST(event_id AS STRING) || CASE event_id % 3 WHEN 0 THEN '?token=' || CAST(event_id AS STRING) || '&x=1' WHEN 1 THEN '?page=' || CAST(event_id AS STRING) ELSE '' END || CASE WHEN event_id % 5 = 0 THEN '#access_token=z' || CAST(event_id AS STRING) ELSE '' END AS url FROM {events}"""
+
+
+@query("redacted_event_urls", _cte(r=_LINKED) + r""" SELECT id, regexp_replace(regexp_replace(replace(url, 'me:pw@', 'REDACTED:REDACTED@'), '\?token=[0-9]+', '?token=REDACTED'), '#access_token=.*$', '#access_token=REDACTED') AS redacted FROM r""")
+def redacted_event_urls(spark, d):
+    return _base(_LINKED)(spark, d).select("id", urls.redacted(F.col("url")).alias("redacted"))
+
+
+_RANGES = "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'bytes=-' || CAST(event_id % 30 AS STRING) WHEN 1 THEN 'bytes=' || CAST(event_id % 50 AS STRING) || '-' WHEN 2 THEN 'bytes=' || CAST(event_id % 50 AS STRING) || '-' || CAST(event_id % 90 AS STRING) ELSE 'items=1-2' END AS header, event_id % 70 + 1 AS size FROM {events}"
+
+
+@query("ranges_of_events", _cte(r=_RANGES) + """, p AS (SELECT id, CASE id % 4 WHEN 0 THEN greatest(0, size - id % 30) WHEN 3 THEN NULL ELSE id % 50 END AS a, CASE WHEN id % 4 = 2 THEN least(size - 1, id % 90) ELSE size - 1 END AS b, size FROM r)
+SELECT id, CASE WHEN ok THEN a END AS "start", CASE WHEN ok THEN b END AS "end" FROM (SELECT *, a IS NOT NULL AND a <= b AND a < size AND NOT (id % 4 = 0 AND id % 30 = 0) AS ok FROM p)""")
+def ranges_of_events(spark, d):
+    return _base(_RANGES)(spark, d).select("id", media.byte_range(F.col("header"), F.col("size")).alias("r")).select("id", "r.start", "r.end")
+
+
+_PATHS = "SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN '/' WHEN 1 THEN '/a/' || CAST(event_id AS STRING) || '/' WHEN 2 THEN '//b/' || CAST(event_id AS STRING) || '.js' WHEN 3 THEN '/c/../' || CAST(event_id AS STRING) WHEN 4 THEN '/d/..x' || CAST(event_id AS STRING) WHEN 5 THEN '/e/./' || CAST(event_id AS STRING) ELSE '/f' || CAST(event_id AS STRING) || '.png' END AS path FROM {events}"
+
+
+@query("targets_of_paths", _cte(r=_PATHS) + r""", t AS (SELECT id, ltrim(path, '/') AS p FROM r), n AS (SELECT id, CASE WHEN p = '' OR p LIKE '%/' THEN p || 'index.html' ELSE p END AS p FROM t)
+SELECT id, CASE WHEN NOT regexp_matches(p, '(^|/)\.\.?(/|$)') THEN 'site/' || p END AS target, NOT regexp_matches(p, '(^|/)\.\.?(/|$)|^/|//|/$') AS inside FROM n""")
+def targets_of_paths(spark, d):
+    plain = F.regexp_replace("path", "^/+", "")
+    named = F.when((plain == "") | plain.endswith("/"), F.concat(plain, F.lit("index.html"))).otherwise(plain)
+    return _base(_PATHS)(spark, d).select("id", routes.target(F.col("path")).alias("target"), urls.is_inside_root(named).alias("inside"))
+
+
+_BESIDE = "SELECT event_id AS id, 'site/a/' || CAST(event_id % 3 AS STRING) || '/' || CAST(event_id AS STRING) || '.html' AS here, 'site/' || CASE WHEN event_id % 5 = 0 THEN '' ELSE 'a/' END || CAST(event_id % 4 AS STRING) || '/' || CAST(user_id AS STRING) || '.js' AS there, CASE event_id % 7 % 3 WHEN 0 THEN 'url' WHEN 1 THEN 'module-specifier' ELSE 'site-root-url' END AS style FROM {events}"
+
+
+@query("references_beside_pages", _cte(r=_BESIDE) + r""", p AS (SELECT *, split_part(there, '/', -1) AS f, CASE WHEN id % 5 = 0 THEN '../../' || substr(there, 6) WHEN id % 3 = id % 4 THEN split_part(there, '/', -1) ELSE '../' || id % 4 || '/' || split_part(there, '/', -1) END AS path FROM r)
+SELECT id, CASE WHEN style = 'site-root-url' THEN substr(there, 5) WHEN style = 'module-specifier' AND path NOT LIKE '../%' THEN './' || path ELSE path END AS reference FROM p""")
+def references_beside_pages(spark, d):
+    return _base(_BESIDE)(spark, d).select("id", kinds.relative_reference(F.col("here"), F.col("there"), F.col("style")).alias("reference"))
+
+
+_SHAPES = "SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN 'img/' || CAST(event_id AS STRING) || '.png' WHEN 1 THEN './x' || CAST(event_id AS STRING) WHEN 2 THEN 'word' || CAST(event_id AS STRING) WHEN 3 THEN 'HTTPS://h.example/p/' || CAST(event_id AS STRING) || '.WOFF2?x' WHEN 4 THEN '#a/' || CAST(event_id AS STRING) || '.png' WHEN 5 THEN 'a b/' || CAST(event_id AS STRING) || '.css' WHEN 6 THEN '/q/.js' ELSE '//c.example/' || CAST(event_id AS STRING) || '.exe' END AS t FROM {events}"
+
+
+@query("shapes_of_texts", _cte(r=_SHAPES) + """ SELECT id, id % 8 IN (0, 3) AS asset, id % 8 IN (0, 1, 3, 6, 7) AS url_shape, id % 8 IN (0, 2, 3, 4, 5) AS bare, CASE WHEN id % 8 = 3 THEN '/p/' || id || '.WOFF2 /' || id || '.WOFF2' ELSE '' END AS aliases FROM r""")
+def shapes_of_texts(spark, d):
+    t = F.col("t")
+    return _base(_SHAPES)(spark, d).select("id", shapes.is_asset(t).alias("asset"), shapes.has_url_shape(t).alias("url_shape"), shapes.is_bare_path(t).alias("bare"), F.coalesce(F.array_join(shapes.path_aliases(t), " "), F.lit("")).alias("aliases"))
+
+
+_FOLDERS = "SELECT event_id AS id, ts, 'https://www.H' || CAST(user_id AS STRING) || '.example/x' AS url, 'job ' || CAST(event_id AS STRING) || '/' || event_type || '!' AS job FROM {events}"
+
+
+@query("folders_of_events", _cte(r=_FOLDERS) + r""" SELECT id, lower(regexp_extract(url, '//([^/]*)', 1)) || '-' || strftime(ts, '%Y%m%dT%H%M%SZ') || '-' || left(regexp_replace(regexp_replace(job, '[^a-zA-Z0-9._-]+', '-', 'g'), '-+$', ''), 12) AS folder FROM r""")
+def folders_of_events(spark, d):
+    return _base(_FOLDERS)(spark, d).select("id", texts.output_folder(F.col("url"), F.col("job"), F.col("ts")).alias("folder"))
+
+
+# --- classes of URLs ------------------------------------------------------------------------------------------------------
+
+_PARTIES = """SELECT event_id AS id, 'https://' || CASE event_id % 9 WHEN 0 THEN 'www.google-analytics.com/g/collect?v=' WHEN 1 THEN 'stats.g.doubleclick.net/dc.js?' WHEN 2 THEN 'notdoubleclick.net/dc.js?' WHEN 3 THEN 'shop' || CAST(user_id AS STRING) || '.example/cdn/wpm/b.js?' WHEN 4 THEN 'connect.facebook.net/en_US/sdk.js?'
+  WHEN 5 THEN 'apis.google.com/js/plusone.js?' WHEN 6 THEN 'translate.google.com/translate_a/element.js?' WHEN 7 THEN 'h' || CAST(user_id AS STRING) || '.example/app.js?' ELSE 'www.facebook.com/page?' END || CAST(event_id AS STRING) AS url FROM {events}"""
+
+
+@query("classes_of_urls", _cte(r=_PARTIES) + """ SELECT id, id % 9 IN (0, 1) AS tracking, id % 9 = 3 AS telemetry, id % 9 IN (4, 5) AS embed, id % 9 = 6 AS translation FROM r""")
+def classes_of_urls(spark, d):
+    u = F.col("url")
+    return _base(_PARTIES)(spark, d).select("id", classify.is_tracking(u).alias("tracking"), classify.is_telemetry(u).alias("telemetry"), classify.is_embed(u).alias("embed"), classify.is_translation(u).alias("translation"))
+
+
+@query("admitted_event_requests", _cte(r=_PARTIES) + """ SELECT DISTINCT url, 'script' AS initiator FROM r WHERE id % 9 IN (2, 7, 8) AND id % 10 > 0""")
+def admitted_event_requests(spark, d):
+    rows = _base(_PARTIES)(spark, d).select("url", F.when(F.col("id") % 10 == 0, "Ping").otherwise("Script").alias("resource_type"), F.lit("script").alias("initiator"))
+    return capture.admitted_requests(rows).select("url", "initiator")
+
+
+# --- kinds of resources ---------------------------------------------------------------------------------------------------
+
+_KINDS = """SELECT event_id AS id, CASE event_id % 8 WHEN 0 THEN '.html' WHEN 1 THEN '.js' WHEN 2 THEN '.css' WHEN 3 THEN '.png' WHEN 4 THEN '.woff2' WHEN 5 THEN '.json' WHEN 6 THEN '.bin' ELSE '' END AS ext,
+  CASE (event_id * 7 + user_id) % 9 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/javascript' WHEN 2 THEN 'Text/CSS; charset=utf-8' WHEN 3 THEN 'image/png' WHEN 4 THEN 'font/woff2' WHEN 5 THEN 'application/json' WHEN 6 THEN 'application/octet-stream' WHEN 7 THEN 'text/plain; charset=x' END AS content_type,
+  CASE event_id % 5 WHEN 0 THEN 'Document' WHEN 1 THEN 'Script' WHEN 2 THEN 'Image' WHEN 3 THEN 'Fetch' END AS resource_type, CASE WHEN event_type = 'error' THEN '<!doctype html><p>' || props ELSE 'x ' || props END AS body FROM {events}"""
+
+
+@query("kinds_of_resources", _cte(r=_KINDS) + """, e(ext, pk, pt) AS (VALUES ('.html', 'document', 'text/html; charset=utf-8'), ('.js', 'script', 'application/javascript; charset=utf-8'), ('.css', 'stylesheet', 'text/css; charset=utf-8'), ('.png', 'image', 'image/png'), ('.woff2', 'font', 'font/woff2'), ('.json', 'structured', 'application/json; charset=utf-8'), ('.bin', 'binary', 'application/octet-stream'), ('', 'unknown', 'application/octet-stream')),
+t(m, tk, te, rw) AS (VALUES ('text/html', 'document', '.html', 'html'), ('application/javascript', 'script', '.js', 'javascript'), ('text/css', 'stylesheet', '.css', 'css'), ('image/png', 'image', '.png', NULL), ('font/woff2', 'font', '.woff2', NULL), ('application/json', 'structured', '.json', 'json'), ('application/octet-stream', 'unknown', NULL, NULL), ('text/plain', 'text', '.txt', NULL)),
+j AS (SELECT r.*, pk, pt, coalesce(tk, 'unknown') AS tk, te, coalesce(rw, CASE ext WHEN '.html' THEN 'html' WHEN '.js' THEN 'javascript' WHEN '.css' THEN 'css' WHEN '.json' THEN 'json' END) AS rw, CASE WHEN pk NOT IN ('unknown', 'binary') THEN pk END AS strong, m FROM r JOIN e USING (ext) LEFT JOIN t ON m = lower(split_part(content_type, ';', 1))),
+x AS (SELECT *, CASE WHEN resource_type = 'Document' THEN CASE WHEN strong <> 'document' THEN strong WHEN tk NOT IN ('unknown', 'document') THEN tk ELSE 'document' END ELSE coalesce(CASE resource_type WHEN 'Script' THEN 'script' WHEN 'Image' THEN 'image' END, strong, nullif(tk, 'unknown'), pk) END AS expected FROM j)
+SELECT id, te AS extension, rw AS rewritten, pk AS by_path, tk AS by_type, expected, CASE WHEN expected IN ('document', 'unknown') THEN 'ok' WHEN body LIKE '<!doctype html>%' THEN 'html' WHEN tk = 'unknown' OR tk = expected OR tk = 'text' AND expected IN ('script', 'stylesheet', 'structured', 'text') OR tk = 'structured' AND expected = 'text' THEN 'ok' ELSE 'mismatch' END AS verdict,
+  CASE WHEN tk = 'unknown' OR tk = 'text' AND expected IN ('script', 'stylesheet', 'structured', 'text') THEN pt ELSE content_type END AS preferred,
+  coalesce(resource_type NOT IN ('Script', 'Image', 'Fetch'), true) AND pk IN ('document', 'unknown') AND (coalesce(m = 'text/html', false) OR ext = '.html') AS page FROM x""")
+def kinds_of_resources(spark, d):
+    path, kind, declared = F.concat(F.lit("/a/"), F.col("id").cast("string"), F.col("ext")), F.col("resource_type"), F.col("content_type")
+    rows = _base(_KINDS)(spark, d).withColumn("expected", types.expected_kind(kind, path, declared))
+    return rows.select(
+        "id", types.extension_for(declared).alias("extension"), classify.rewrite_type(declared, path).alias("rewritten"), types.kind_by_path(path).alias("by_path"), kinds.by_content_type(declared).alias("by_type"), "expected",
+        types.body_verdict(F.col("expected"), declared, F.col("body")).alias("verdict"), types.preferred_type(F.col("expected"), path, F.lit(None).cast("string"), declared).alias("preferred"), types.is_html(kind, declared, path).alias("page"),
+    )
+
+
+_LACKING = """SELECT event_id AS id, CASE WHEN event_id % 6 = 5 THEN 'POST' ELSE 'GET' END AS method, CASE event_id % 4 WHEN 0 THEN 'text/html,*/*' WHEN 1 THEN 'application/json' WHEN 2 THEN '*/*' END AS accept, CASE event_id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'empty' WHEN 2 THEN 'image' WHEN 3 THEN '' END AS destination,
+  '/p/' || CAST(event_id AS STRING) || CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '.js?x=.png' WHEN 2 THEN '.css' WHEN 3 THEN '.json' WHEN 4 THEN '.vtt' WHEN 5 THEN '.png#a' ELSE '.exe' END AS path FROM {events}"""
+
+
+@query("answers_for_events", _cte(r=_LACKING) + """ SELECT id, CASE WHEN method = 'GET' AND id % 4 = 0 AND id % 5 IN (0, 3, 4) AND id % 7 IN (0, 6) THEN 'page' WHEN (id % 5 = 1 OR id % 5 IN (3, 4) AND id % 4 = 1) AND id % 7 IN (0, 1, 3) THEN 'data'
+  ELSE CASE id % 7 WHEN 1 THEN 'script' WHEN 2 THEN 'style' WHEN 3 THEN 'data' WHEN 4 THEN 'webvtt' WHEN 5 THEN 'image' ELSE 'nothing' END END AS answer FROM r""")
+def answers_for_events(spark, d):
+    return _base(_LACKING)(spark, d).select("id", types.neutral_answer(F.col("method"), F.col("accept"), F.col("destination"), F.col("path")).alias("answer"))
+
+
+# --- caches, hints, workers -----------------------------------------------------------------------------------------------
+
+_ENTRIES = "SELECT 'https://k.example/' || CAST(event_id AS STRING) AS u, 'h' || CAST(event_id % 400 AS STRING) AS sha256, event_id % 400 % 7 AS size, event_id % 5 > 0 AS valid FROM {events} WHERE event_type = 'view'"
+_OBJECTS = "SELECT DISTINCT 'h' || CAST(event_id % 400 AS STRING) AS sha256, event_id % 400 % 7 + CASE WHEN event_id % 400 % 11 = 0 THEN 1 ELSE 0 END AS size FROM {events} WHERE event_type = 'click'"
+
+
+@query("stored_bodies_of_events", _cte(r=_ENTRIES, o=_OBJECTS) + """ SELECT 'https://k.example/' || event_id AS url, o.sha256 FROM events LEFT JOIN r ON u = 'https://k.example/' || event_id AND valid LEFT JOIN o ON o.sha256 = r.sha256 AND o.size = r.size""")
+def stored_bodies_of_events(spark, d):
+    asked = events(spark, d).select(F.concat(F.lit("https://k.example/"), F.col("event_id").cast("string")).alias("url"))
+    entries = _base(_ENTRIES)(spark, d).select(F.sha2("u", 256).alias("key"), "sha256", "size", "valid")
+    return resolve.cached(asked, entries, _base(_OBJECTS)(spark, d))
+
+
+_DONE = "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'downloaded' END AS status, CASE WHEN event_id % 3 = 0 THEN 'cache' ELSE 'network' END AS body_source, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN false END AS redacted, CASE WHEN event_id % 7 > 0 THEN 'site/' || CAST(event_id AS STRING) END AS local_path FROM {events}"
+
+
+@query("bodies_to_keep", _cte(r=_DONE) + " SELECT * FROM r WHERE status = 'downloaded' AND body_source = 'network' AND redacted IS DISTINCT FROM true AND local_path IS NOT NULL")
+def bodies_to_keep(spark, d):
+    return planning.cache_commits(_base(_DONE)(spark, d))
+
+
+_TAGGED = "SELECT event_id AS id, 's' || CAST(user_id AS STRING) AS session, 'https://w.example/' || CAST(event_id % 60 AS STRING) || '.js' AS url FROM {events}"
+
+
+@query("worker_events", _cte(r=_TAGGED) + " SELECT id, session, url, session IN (SELECT 's' || user_id FROM events WHERE user_id % 5 = 0) OR url IN (SELECT 'https://w.example/' || event_id % 60 || '.js' FROM events WHERE event_id % 60 < 9) AS worker FROM r")
+def worker_events(spark, d):
+    rows = _base(_TAGGED)(spark, d)
+    by_session, by_url = rows.select("session").where("CAST(substr(session, 2) AS BIGINT) % 5 = 0"), rows.where("id % 60 < 9").select(F.concat("url", F.lit("#x")).alias("url"))
+    return capture.worker_tagged(rows, by_session, by_url)
+
+
+_TIMED = "SELECT event_id AS seq, 'https://t.example/' || CAST(event_id % 300 AS STRING) || CASE event_id % 300 % 5 WHEN 0 THEN '.js' WHEN 1 THEN '.png' WHEN 2 THEN '.css' WHEN 3 THEN '' ELSE '.html' END AS url FROM {events}"
+
+
+@query("hints_of_events", _cte(r=_TIMED) + """, f AS (SELECT url, min(seq) AS seq FROM r GROUP BY url), t AS (SELECT url, CASE regexp_extract(url, '\\.([a-z]+)$', 1) WHEN 'js' THEN 'Script' WHEN 'png' THEN 'Image' WHEN 'css' THEN 'Stylesheet' END AS resource_type, seq FROM f),
+l AS (SELECT * FROM t WHERE resource_type IS NOT NULL ORDER BY seq, url LIMIT 100) SELECT url, resource_type FROM l WHERE url NOT IN (SELECT 'https://t.example/' || event_id || '.js' FROM events WHERE event_id < 60)""".replace("\\\\", "\\"))
+def hints_of_events(spark, d):
+    known = events(spark, d).where("event_id < 60").select(F.concat(F.lit("https://t.example/"), F.col("event_id").cast("string"), F.lit(".js")).alias("url"))
+    return capture.seeded_hints(_base(_TIMED)(spark, d).withColumn("url", F.concat("url", F.lit("#a"))), known, 100)
