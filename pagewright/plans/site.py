@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
-from ..operators import closure, links, localise, resolve, routes, templates
+from ..operators import closure, links, localise, planning, resolve, routes, templates
 from ..operators.work import written
 from .queries import _LINKS, _PARTS, pages, query
 
@@ -309,3 +309,35 @@ def tailed_references(spark, d):
     name = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("nowhere/"), F.ltrim(F.regexp_extract("path", "(/[^/]+/?)$", 1), F.lit("/")))).otherwise(F.ltrim("path", F.lit("/")))
     query_ = F.when((F.col("page_id") % 4 == 0) & (F.col("search") == ""), "?_=1700000000000").otherwise(F.col("search"))
     return resolve.known_references(page.select(F.concat(name, query_).alias("ref"), F.concat("o", F.lit("/zz/")).alias("base")), page.select("url"), by_name=True)
+
+
+#: What pages refer to: themselves, their path without a query, their folder and name, and what is elsewhere or nowhere. Every page is known.
+_REFERRED = f"""WITH {_PARTS}, o AS (SELECT page_id, scheme || '://' || host AS o, CASE WHEN path = '' THEN '/' ELSE path END AS path, search FROM p), k AS (SELECT o, path, o || path || search AS url, 'site/' || page_id || '.html' AS file FROM o),
+r AS (SELECT page_id, o, o || '/q/' AS base, CASE page_id % 6 WHEN 0 THEN o || path || search WHEN 1 THEN path WHEN 2 THEN trim(path, '/') WHEN 3 THEN 'https://other.example/' || page_id WHEN 4 THEN 'mailto:' || page_id ELSE 'none/' || page_id || '.js' END AS ref,
+  CASE page_id % 6 WHEN 0 THEN o || path || search WHEN 1 THEN o || path WHEN 2 THEN o || '/q/' || trim(path, '/') WHEN 3 THEN 'https://other.example/' || page_id WHEN 5 THEN o || '/q/none/' || page_id || '.js' END AS target FROM o),
+e AS (SELECT url, min(file) AS f FROM k GROUP BY url HAVING count(DISTINCT file) = 1), a AS (SELECT o || path AS url, min(file) AS f FROM k GROUP BY ALL HAVING count(DISTINCT file) = 1), z AS (SELECT o, trim(path, '/') AS t, min(file) AS f FROM k WHERE trim(path, '/') LIKE '%/%' GROUP BY ALL HAVING count(DISTINCT file) = 1)
+SELECT ref, base, target, coalesce(e.f, a.f, z.f) AS local_path, CASE WHEN target IS NULL THEN 'ignored' WHEN e.f IS NOT NULL THEN 'exact' WHEN a.f IS NOT NULL THEN 'path' WHEN z.f IS NOT NULL THEN 'suffix' WHEN page_id % 6 = 3 THEN 'online' ELSE 'unresolved' END AS how
+FROM r LEFT JOIN e ON e.url = target LEFT JOIN a ON a.url = target AND NOT contains(target, '?') LEFT JOIN z ON z.o = r.o AND z.t = ref AND page_id % 6 IN (2, 5)"""
+
+
+@query("cascade_of_references", _REFERRED)
+def cascade_of_references(spark, d):
+    n = F.col("page_id")
+    page = pages(spark, d).select("page_id", urls.once(urls.canonical(F.col("url"))).alias("url")).withColumns({"o": F.regexp_extract("url", "^[^:]+://[^/]+", 0), "path": F.regexp_extract("url", r"^[^:]+://[^/]+([^?]*)", 1)})
+    ref = F.when(n % 6 == 0, F.col("url")).when(n % 6 == 1, F.col("path")).when(n % 6 == 2, F.trim("path", F.lit("/"))).when(n % 6 == 3, F.concat(F.lit("https://other.example/"), n.cast("string"))).when(n % 6 == 4, F.concat(F.lit("mailto:"), n.cast("string")))
+    ref = ref.otherwise(F.concat(F.lit("none/"), n.cast("string"), F.lit(".js")))
+    return resolve.resolved(page.select(ref.alias("ref"), F.concat("o", F.lit("/q/")).alias("base")), page.select("url", F.concat(F.lit("site/"), n.cast("string"), F.lit(".html")).alias("local_path")))
+
+
+@query("planned_links", _LINKS + """, m AS (SELECT DISTINCT page_id AS seq, base AS url, array_to_string(segs, '/') AS file, regexp_replace(base, '/[^/]*$', '') AS org FROM s JOIN e USING (r)), f AS (SELECT url, min(seq) AS seq, any_value(file) AS file, any_value(org) AS org FROM m GROUP BY url),
+g AS (SELECT *, 'site/_external/' || replace(org, '://', '/') || '/' || file AS lp FROM f WHERE seq % 5 > 0), n AS (SELECT *, row_number() OVER (PARTITION BY lower(lp) ORDER BY seq, url) AS n, regexp_extract(lp, '(?s)^.+(\\.[^.]*)$', 1) AS ext FROM g)
+SELECT seq, url, 'skipped' AS status, NULL AS local_path FROM f WHERE seq % 5 = 0 UNION ALL SELECT seq, url, 'pending', CASE WHEN n = 1 THEN lp ELSE left(lp, length(lp) - length(ext)) || '~u-' || n || ext END FROM n""".replace("\\\\", "\\"))
+def planned_links(spark, d):
+    found = links.page_links(pages(spark, d)).select(F.col("page_id").alias("seq"), F.col("target").alias("url"), F.when(F.col("page_id") % 5 == 0, "POST").alias("method"), F.lit(None).cast("string").alias("content_type")).distinct()
+    return planning.planned(found, F.lit("https://source.example")).select("seq", "url", "status", "local_path")
+
+
+@query("endings_of_pages", f"""WITH {_PARTS}, k AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM p WHERE search = ''), e AS (SELECT page_id, unnest(list_transform(range(1, len(s)), lambda i: array_to_string(s[i:], '/'))) AS suffix FROM k WHERE len(s) >= 2)
+SELECT suffix, 'site/' || min(page_id) AS local_path FROM e GROUP BY suffix HAVING count(DISTINCT page_id) = 1""")
+def endings_of_pages(spark, d):
+    return resolve.runtime_suffixes(pages(spark, d).select("url", F.concat(F.lit("site/"), F.col("page_id").cast("string")).alias("local_path")))

@@ -442,3 +442,35 @@ l AS (SELECT * FROM t WHERE resource_type IS NOT NULL ORDER BY seq, url LIMIT 10
 def hints_of_events(spark, d):
     known = events(spark, d).where("event_id < 60").select(F.concat(F.lit("https://t.example/"), F.col("event_id").cast("string"), F.lit(".js")).alias("url"))
     return capture.seeded_hints(_base(_TIMED)(spark, d).withColumn("url", F.concat("url", F.lit("#a"))), known, 100)
+
+
+# --- messages and networks ------------------------------------------------------------------------------------------------
+
+_SAID = """SELECT event_id AS id, CASE event_id % 10 WHEN 0 THEN 'Failed to load resource: ' || props WHEN 1 THEN 'Permissions policy violation: accelerometer is not allowed ' || CAST(event_id AS STRING) WHEN 2 THEN 'Minified React error #418; visit ' || CAST(event_id AS STRING) WHEN 3 THEN 'Minified React error #4180; ' || CAST(event_id AS STRING)
+  WHEN 4 THEN 'The play() request was interrupted by a call to pause(). ' || props WHEN 5 THEN '[Widget' || CAST(user_id AS STRING) || '] client init failed' WHEN 6 THEN '[Widget] TypeError: client failed ' || props WHEN 7 THEN 'Blocked https://www.google-analytics.com/g/collect?' || CAST(event_id AS STRING) || ').'
+  WHEN 8 THEN 'Blocked https://e.example/' || CAST(event_id AS STRING) || ' and https://doubleclick.net/' ELSE 'Uncaught TypeError: x' || CAST(event_id AS STRING) || ' is not a function' END AS message FROM {events}"""
+
+
+@query("classes_of_messages", _cte(r=_SAID) + " SELECT id, CASE id % 10 WHEN 0 THEN 'network' WHEN 1 THEN 'preview' WHEN 2 THEN 'hydration' WHEN 4 THEN 'playback' WHEN 5 THEN 'integration' WHEN 7 THEN 'nonessential' END AS class FROM r")
+def classes_of_messages(spark, d):
+    return _base(_SAID)(spark, d).select("id", kinds.console_class(F.col("message")).alias("class"))
+
+
+_NEAR = "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'http://localhost:' || CAST(event_id % 9000 + 1 AS STRING) || '/x' WHEN 1 THEN 'ws://127.0.' || CAST(event_id % 256 AS STRING) || '.1/' WHEN 2 THEN 'https://h' || CAST(user_id AS STRING) || '.example/' WHEN 3 THEN 'http://a.localhost/' || CAST(event_id AS STRING) WHEN 4 THEN 'data:text/plain,' || CAST(event_id AS STRING) ELSE 'http://[::1]:' || CAST(event_id % 9000 + 1 AS STRING) || '/' END AS url FROM {events}"
+
+
+@query("loopback_events", _cte(r=_NEAR) + " SELECT id, CASE id % 6 WHEN 2 THEN 'external' WHEN 4 THEN NULL ELSE 'loopback' END AS class FROM r")
+def loopback_events(spark, d):
+    return _base(_NEAR)(spark, d).select("id", validate.loopback_class(F.col("url")).alias("class"))
+
+
+_LOST = "SELECT event_id AS id, 'site/' || CAST(event_id AS STRING) AS local_path, 'https://l.example/' || CAST(event_id AS STRING) || '?token=a' || CAST(event_id AS STRING) AS url FROM {events} WHERE event_type = 'error'"
+
+
+@query("inputs_to_retry", """WITH f AS (SELECT event_id AS id FROM events WHERE event_type = 'error') SELECT 'https://p.example/' || id AS url FROM f WHERE id % 3 = 0 UNION SELECT 'https://l.example/' || id || '?token=b' FROM f WHERE id % 2 = 0""")
+def inputs_to_retry(spark, d):
+    lost = _base(_LOST)(spark, d)
+    every = events(spark, d).select("event_id")
+    sources = every.where("event_id % 3 = 0").select(F.concat(F.lit("site/"), F.col("event_id").cast("string")).alias("local_path"), F.concat(F.lit("https://p.example/"), F.col("event_id").cast("string")).alias("url"))
+    inputs = every.where("event_id % 2 = 0").select(F.concat(F.lit("https://l.example/"), F.col("event_id").cast("string"), F.lit("?token=b")).alias("url"))
+    return planning.retry_inputs(lost.select("local_path", "url", F.col("url").alias("canonical")), sources, inputs)
