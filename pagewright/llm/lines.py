@@ -16,15 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, once, small, written
+from .common import dropped, let, once, small, written
 
 LEADING, SIMILAR, DOCUMENTS = 3, 0.8, 2
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit as the variable field."""
-    plain = F.translate(line, "\t\r", "  ")
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
-    return F.array_remove(F.split(masked, " "), "")
+
+def _plain(line: Column) -> Column:
+    """A line's tokens, one blank between them, those with a digit as the variable field; empty for a blank line."""
+    tab = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    spaced = F.when(tab, F.translate(line, "\t\r", "  ")).otherwise(line)
+    # A token is looked at from its start alone, and no character twice.
+    masked = F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(spaced)
+    trimmed = F.trim(masked)
+    return F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, " ++", " ")).otherwise(trimmed)
 
 
 def _key(*parts: Column) -> Column:
@@ -33,17 +37,18 @@ def _key(*parts: Column) -> Column:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """Lines ``(id, key, line, leaf, exact, tokens)`` of ``rows(id, key, text)``; line counts from 0, blank lines have no row."""
-    lines = rows.select("id", "key", F.posexplode_outer(once(F.split("text", "\n", -1))).alias("line", "l")).select("id", "key", "line", once(_tokens(F.col("l"))).alias("tokens"))
-    lines = lines.where("size(tokens) > 0")
-    leaf = _key(F.size("tokens"), F.array_join(F.slice("tokens", 1, LEADING), " "))
-    return lines.withColumn("leaf", leaf).withColumn("exact", _key(F.array_join("tokens", " "), F.lit(1)))
+    """Lines ``(id, key, line, leaf, exact, plain)`` of ``rows(id, key, text)``; line counts from 0, blank lines have no row."""
+    lines = rows.select("id", "key", F.posexplode_outer(once(F.split("text", "\n", -1))).alias("line", "l")).select("id", "key", "line", once(_plain(F.col("l"))).alias("plain"))
+    lines = lines.where("plain <> ''")
+    many = F.octet_length("plain") - F.octet_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+    return lines.withColumn("leaf", _key(many, F.substring_index("plain", " ", LEADING))).withColumn("exact", _key(F.col("plain"), F.lit(1)))
 
 
 def _merged(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
-    """``(exact, template)`` of the lines of leaves with several lines."""
-    lines = _parsed(rows).join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
-    lines = written(lines, "forked-lines")
+    """``(exact, template)`` of the lines of leaves with several lines, written."""
+    lines = _parsed(rows).select("leaf", "exact", "plain").join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("plain").alias("plain"))
+    kept = written(lines, "forked-lines")
+    lines = kept.select("leaf", "exact", once(F.split("plain", " ")).alias("tokens"))
 
     # The leading tokens are those of all lines of a leaf: nothing to count there.
     n_tokens = F.size("tokens")
@@ -65,7 +70,9 @@ def _merged(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
     same = F.size(F.filter(F.zip_with(rest, "agreed", lambda a, b: a == b), lambda x: x)) + F.least(F.lit(LEADING), n_tokens)
     agreed = lines.join(winner, "leaf").where(same >= similar * F.size("tokens")).select("exact", _key("leaf", F.lit("agreed")).alias("template"))
 
-    return agreed.union(forms.join(shared, "template").select("exact", "template"))
+    merged = written(agreed.union(forms.join(shared, "template").select("exact", "template")), "merged")
+    dropped(rows.sparkSession, kept, votes)
+    return merged
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, documents: int = DOCUMENTS) -> DataFrame:
@@ -74,7 +81,7 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simil
     table = written(_parsed(rows).select("id", "key", "line", "leaf", "exact"), "lines")
     forked = table.groupBy("leaf").agg(F.min("exact.h").alias("a"), F.max("exact.h").alias("b")).where("a <> b").select("leaf")
     forked = small(written(forked, "forked"))
-    merged = written(_merged(rows, forked, similar), "merged")
+    merged = _merged(rows, forked, similar)
     merged = merged.groupBy("exact").agg(F.collect_set("template").alias("templates"))
     named = table.select("id", "key", "line", "exact").join(small(written(merged, "templates")), "exact", "left")
     named = named.select("id", "key", "line", F.explode(F.concat(F.array("exact"), F.coalesce("templates", F.array().cast("array<struct<h:bigint,g:int>>")))).alias("template"))
@@ -99,7 +106,7 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", simila
     lines = F.split("body", "\n", -1)
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lines"))
     left = let(lines, lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))
-    n = F.coalesce(F.size(F.filter(lines, lambda x: F.trim(F.translate(x, "\t\r", "")) != "")), F.lit(0)).cast("long")
-    dropped = F.when(F.col("body").isNull() | F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    new = F.when(dropped > 0, left).otherwise(F.col("body"))
-    return joined.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in own], n.alias("n_lines"), dropped.alias("n_dropped"))
+    n = F.coalesce(F.regexp_count("body", F.lit(r"[^ \t\r\n][^\n]*+")), F.lit(0)).cast("long")
+    n_dropped = F.when(F.col("body").isNull() | F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    new = F.when(n_dropped > 0, left).otherwise(F.col("body"))
+    return joined.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in own], n.alias("n_lines"), n_dropped.alias("n_dropped"))
