@@ -194,9 +194,9 @@ def sources_of_bodies(spark, d):
 _OPEN = "SELECT CAST(user_id AS STRING) AS session, CAST(event_id % 5 AS STRING) AS request_id, event_id AS seq, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'opened' ELSE 'closed' END AS kind, CASE WHEN event_id % 5 = 3 THEN 'WebSocket' ELSE 'Script' END AS resource_type, event_id % 5 = 4 AS worker FROM {events}"
 
 
-@query("open_requests", _cte(r=_OPEN) + """, l AS (SELECT *, lag(kind) OVER (PARTITION BY session, request_id ORDER BY seq) AS was FROM r), c AS (SELECT *, CASE WHEN worker OR resource_type = 'WebSocket' THEN 0 WHEN kind = 'opened' AND coalesce(was, 'closed') = 'closed' THEN 1 WHEN kind = 'closed' AND was = 'opened' THEN -1 ELSE 0 END AS c FROM l)
+@query("requests_in_flight", _cte(r=_OPEN) + """, l AS (SELECT *, lag(kind) OVER (PARTITION BY session, request_id ORDER BY seq) AS was FROM r), c AS (SELECT *, CASE WHEN worker OR resource_type = 'WebSocket' THEN 0 WHEN kind = 'opened' AND coalesce(was, 'closed') = 'closed' THEN 1 WHEN kind = 'closed' AND was = 'opened' THEN -1 ELSE 0 END AS c FROM l)
 SELECT session, request_id, seq, kind, resource_type, worker, CAST(sum(c) OVER (PARTITION BY session ORDER BY seq) AS BIGINT) AS pending FROM c""")
-def open_requests(spark, d):
+def requests_in_flight(spark, d):
     return capture.pending(_base(_OPEN)(spark, d)).withColumn("pending", F.col("pending").cast("long"))
 
 
