@@ -236,7 +236,7 @@ def escaped_documents(spark, d):
     return documents(spark, d).select("doc_id", *[F.sha2(f(F.col("text")), 256).alias(n) for n, f in (("html", texts.html_escaped), ("css", texts.css_escaped), ("json", texts.script_json_escaped))])
 
 
-@query("document_sizes", """SELECT doc_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n >= 10240 THEN printf('%.0f KB', n / 1024) ELSE printf('%.1f KB', n / 1024) END AS shown, CAST(n // 60000 AS VARCHAR) || ':' || lpad(CAST(n // 1000 % 60 AS VARCHAR), 2, '0') AS elapsed FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)""")
+@query("document_sizes", """SELECT doc_id, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n || ' B' WHEN n >= 10240 THEN printf('%.0f KB', floor(n / 1024 + 0.5)) ELSE printf('%.1f KB', floor(n * 10 / 1024 + 0.5) / 10) END AS shown, CAST(n // 60000 AS VARCHAR) || ':' || lpad(CAST(n // 1000 % 60 AS VARCHAR), 2, '0') AS elapsed FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents)""")
 def document_sizes(spark, d):
     n = F.octet_length("text")
     return documents(spark, d).select("doc_id", texts.size_shown(n).alias("shown"), texts.elapsed_shown(n).alias("elapsed"))
