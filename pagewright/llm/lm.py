@@ -15,14 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import mixer
-from .common import dropped, once, written
+from .common import batches_of, dropped, once, written
 
 CHUNK_BYTES, SCORE_BYTES = 16 << 20, 1 << 20
+#: Bytes of texts that become words at once, and of a batch that a task gets: what a task holds besides its chunk.
+SERIAL_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 #: Text of a counting task: at least, and at most where there are over COUNT_TASKS.
 TASK_BYTES, MOST_TASK_BYTES, COUNT_TASKS = 48 << 20, 1 << 30, 64
 #: Blocks of a table, and tables that are added up in one group.
@@ -65,20 +68,18 @@ def _packed(rows: DataFrame) -> DataFrame:
             words = b"\n".join(x[:-1] for x in tokens.dictionary.to_pylist())
             row = {
                 "chunk": (part << 32) + number, "ids": ids, "held": held, "lengths": n.astype(np.int32), "flat": flat.tobytes(), "vocabulary": words,
-                "train": train.astype(np.int32), "bytes": np.bincount(flat[own], minlength=256),
+                "train": train.astype(np.int32), "bytes": sum(np.bincount(flat[k : k + SERIAL_BYTES][own[k : k + SERIAL_BYTES]], minlength=256) for k in range(0, len(flat), SERIAL_BYTES)),
             }
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
             texts = batch.column(2).fill_null(b"")
-            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.zeros(0, np.int32)
-            for at in np.split(np.arange(len(texts)), np.searchsorted(np.cumsum(sizes), np.arange(CHUNK_BYTES, sizes.sum(), CHUNK_BYTES))):
-                if not len(at):
-                    continue
-                some = texts.slice(int(at[0]), len(at))
-                offsets = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
-                raw = np.frombuffer(some.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if some.buffers()[2] else np.zeros(0, np.uint8)
-                flat, n = mixer.serialised(raw, (offsets[1:] - offsets[0]).astype(np.int64))
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in mixer.pieces(sizes, SERIAL_BYTES):
+                some, own = texts.slice(int(at[0]), len(at)), sizes[at]
+                first = np.frombuffer(some.buffers()[1], np.int32)[some.offset]
+                raw = np.frombuffer(some.buffers()[2], np.uint8)[first : first + own.sum()] if own.any() else np.zeros(0, np.uint8)
+                flat, n = mixer.serialised(raw, np.cumsum(own))
                 flats.append(flat)
                 lengths.append(n)
                 ids += batch.column(0).slice(int(at[0]), len(at)).to_pylist()
@@ -145,7 +146,8 @@ def fitted(chunks: DataFrame) -> mixer.Model:
     code, slots = mixer.Code(counts), mixer.slot_bits(total)
     tasks = max(1, -(-total // MOST_TASK_BYTES), min(-(-total // TASK_BYTES), COUNT_TASKS))
     schema = "order int, block int, part int, n binary"
-    parts, left = written(_tables(chunks, code, slots, tasks), "context-counts"), tasks
+    with batches_of(spark, BATCH_BYTES):
+        parts, left = written(_tables(chunks, code, slots, tasks), "context-counts"), tasks
     while True:
         last = left <= FAN
         grouped = parts.groupBy("order", "block", F.floor(F.col("part") / FAN).cast("int").alias("part"))
@@ -186,7 +188,8 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     """
     spark, kind = docs.sparkSession, docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).cast("string").alias("id"), held_out(F.col(id)).alias("held"), F.col(text).cast("string").cast("binary").alias("text"))
-    chunks = written(_packed(rows), "chunks")
+    with batches_of(spark, BATCH_BYTES):
+        chunks = written(_packed(rows), "chunks")
     listed = F.split(F.col("vocabulary").cast("string"), "\n", -1)
     all_words = chunks.select(F.inline_outer(F.arrays_zip(listed.alias("word"), F.col("train").alias("c")))).toDF("word", "c")
     words = written(all_words.groupBy("word").agg(F.sum("c").alias("c")), "words")

@@ -28,6 +28,8 @@ RATE, SECOND_RATE, SECOND_SHARE, BUCKETS = 0.03, 0.02, 0.25, 33
 END = 10
 #: Bytes of texts whose contexts are made at once: arrays of that size stay in the cache.
 PIECE = 1 << 17
+#: Slots whose log-odds are made at once.
+SLOTS_AT_ONCE = 1 << 17
 #: Steps of a mixed input.
 FINE = 128
 #: Bytes up to which a task renews its inputs at each doubling.
@@ -43,19 +45,16 @@ LOWER[list(b"\t\n\x0b\x0c\r ")] = 32
 
 def serialised(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of texts one after another (``ends``: where each ends) as words with a blank after each, and a newline after each text; lengths of the results."""
-    counts = np.diff(ends, prepend=0)
-    at = np.arange(len(raw)) + np.repeat(2 * np.arange(len(ends)), counts)
-    flat = np.full(len(raw) + 2 * len(ends), 32, np.uint8)
-    flat[at] = LOWER[raw]
+    if not len(ends):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    flat = np.insert(LOWER.take(raw), np.repeat(ends, 2), 32)
     stop = ends + 2 * np.arange(len(ends)) + 1
     flat[stop] = END
     blank = flat == 32
     keep = ~blank
     keep[1:] |= blank[1:] & ~blank[:-1] & (flat[:-1] != END)
-    if len(flat):
-        keep[0] = not blank[0]
-    upto = np.cumsum(keep)
-    return flat[keep], np.diff(upto[stop], prepend=0)
+    keep[0] = not blank[0]
+    return flat[keep], np.add.reduceat(keep, np.append(0, stop[:-1] + 1), dtype=np.int64)
 
 
 class Code:
@@ -154,10 +153,12 @@ class Batch:
 def stretched(counts: np.ndarray) -> np.ndarray:
     """Log-odds of the bit for counts ``[..., bit]``, in steps of 1 / STEP; zero where nothing was counted."""
     n = counts.reshape(-1, 2)
-    used = np.flatnonzero(n[:, 0] | n[:, 1])
-    some = n[used].astype(np.float32)
     out = np.zeros(len(n), np.int8)
-    out[used] = np.rint(np.clip(np.log((some[:, 1] + PRIOR) / (some[:, 0] + PRIOR)), -CLIP, CLIP) * STEP)
+    for k in range(0, len(n), SLOTS_AT_ONCE):
+        own = n[k : k + SLOTS_AT_ONCE]
+        used = np.flatnonzero(own[:, 0] | own[:, 1])
+        some = own[used].astype(np.float32)
+        out[k + used] = np.rint(np.clip(np.log((some[:, 1] + PRIOR) / (some[:, 0] + PRIOR)), -CLIP, CLIP) * STEP)
     return out
 
 
