@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import dropped, new_path, written
+from .common import batches_of, dropped, new_path, written
 from .tokenize import Encoder, vocabulary_file
 
 RUN, MOST_BITS, BLOCK_TOKENS = 64, 20, 1 << 19
+#: Bytes of a batch of texts that a task gets.
+BATCH_BYTES = 8 << 20
 #: Tokens of a range of ids, which one task packs.
 PART_TOKENS = 1 << 23
 END = 2
@@ -145,10 +147,12 @@ def token_table(docs: DataFrame, id: str = "doc_id", text: str = "text", vocabul
             ids = encoder.encode_ended(rows.column(1), end)
             wide = pa.array(np.full(len(ids), encoder.dtype.itemsize, np.int32))
             yield pa.RecordBatch.from_arrays([rows.column(0), ids, wide], ["id", "ids", "wide"])
+        pa.default_memory_pool().release_unused()  # the worker process stays for other tasks
 
     own = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    return written(own.mapInArrow(tokens, f"id {kind}, ids binary, wide int"), "ids")
+    with batches_of(spark, BATCH_BYTES):
+        return written(own.mapInArrow(tokens, f"id {kind}, ids binary, wide int"), "ids")
 
 
 def _null_safe(df: DataFrame, kind: str) -> DataFrame:
@@ -157,6 +161,7 @@ def _null_safe(df: DataFrame, kind: str) -> DataFrame:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Encoder.forget()  # all texts are encoded by now
     total = np.zeros(0, np.int64)
     for rows in batches:
         for raw, wide in zip(rows["ids"], rows["wide"], strict=True):
@@ -178,7 +183,8 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     """
     table = token_table(docs, id, text, vocabulary, end)
     spark = docs.sparkSession
-    counts = table.select("ids", "wide").mapInPandas(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    with batches_of(spark, BATCH_BYTES):
+        counts = table.select("ids", "wide").mapInPandas(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     total[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     bits = code_lengths(total)
@@ -215,6 +221,7 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
                     held, size = [], 0
         if held:
             yield made()
+        pa.default_memory_pool().release_unused()
 
     n = max(spark.sparkContext.defaultParallelism, -(-int(total.sum()) // PART_TOKENS))
     ordered = table.withColumn("h", F.xxhash64("ids")).repartitionByRange(n, F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
@@ -222,7 +229,8 @@ def write_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     packed = _null_safe(ordered.select("id", "ids", "wide"), kind).mapInPandas(
         pack, "part int, block int, before long, doc_ids array<string>, n_tokens array<long>, n_bytes array<long>, payload binary, marks binary"
     )
-    packed.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>")).write.option("compression", "none").parquet(f"{path}/blocks")
+    with batches_of(spark, BATCH_BYTES):
+        packed.withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>")).write.option("compression", "none").parquet(f"{path}/blocks")
     dropped(spark, table)
 
 
@@ -238,6 +246,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Encoder.forget()
         decoder = Decoder(shared.value)
         for rows in batches:
             for r in rows.itertuples(index=False):

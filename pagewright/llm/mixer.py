@@ -47,14 +47,17 @@ def serialised(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Bytes of texts one after another (``ends``: where each ends) as words with a blank after each, and a newline after each text; lengths of the results."""
     if not len(ends):
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    flat = np.insert(LOWER.take(raw), np.repeat(ends, 2), 32)
     stop = ends + 2 * np.arange(len(ends)) + 1
+    flat, own = np.full(len(raw) + 2 * len(ends), 32, np.uint8), np.ones(len(raw) + 2 * len(ends), bool)
+    own[stop] = own[stop - 1] = False
+    flat[own] = LOWER.take(raw)
     flat[stop] = END
     blank = flat == 32
     keep = ~blank
     keep[1:] |= blank[1:] & ~blank[:-1] & (flat[:-1] != END)
     keep[0] = not blank[0]
-    return flat[keep], np.add.reduceat(keep, np.append(0, stop[:-1] + 1), dtype=np.int64)
+    flat = flat[keep]
+    return flat, np.diff(np.flatnonzero(flat == END), prepend=-1)
 
 
 class Code:

@@ -25,7 +25,7 @@ KINDS[[b for b in range(128) if chr(b).isalpha()]] = LETTER
 #: Bytes of words that a worker process remembers in each of two generations, and what a remembered word takes besides its characters.
 REMEMBERED_BYTES, ENTRY_BYTES = 48 << 20, 200
 #: Words that the library gets in one call, and bytes of texts that are looked up at once.
-CALL_WORDS, BATCH_BYTES = 256, 8 << 20
+CALL_WORDS, BATCH_BYTES = 256, 2 << 20
 
 
 def vocabulary_file(path: str | None = None) -> str:
@@ -74,6 +74,13 @@ class Encoder:
             kept[key] = Encoder(vocabulary)
         return kept[key]
 
+    @staticmethod
+    def forget() -> None:
+        """Frees what :meth:`of_worker` keeps: later tasks of the process have its memory."""
+        if "_pagewright_worker" in sys.modules:
+            sys.modules["_pagewright_worker"].__dict__.clear()
+        pa.default_memory_pool().release_unused()
+
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
@@ -117,18 +124,20 @@ class Encoder:
         kind = KINDS[raw]
         # A word ends before the punctuation after its last letter, where nothing but punctuation follows.
         after = np.flatnonzero((kind[1:] == MARK) & (kind[:-1] == LETTER)) + 1
-        others = np.append(np.flatnonzero(kind != MARK), len(raw))
-        follows = others[np.searchsorted(others, after)]
-        run = after[np.append(kind, SPACE)[follows] == SPACE]
+        stops = np.append(np.flatnonzero((kind[1:] != MARK) & (kind[:-1] == MARK)) + 1, len(raw))
+        follows = stops[np.searchsorted(stops, after)]
+        run = after[(follows == len(raw)) | (kind.take(follows, mode="clip") == SPACE)]
         begins = kind == SPACE
         begins[run] = True
         places = np.flatnonzero(begins).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(np.append(places, at[-1]).astype(np.int32)), data]).dictionary_encode()
         own, distinct = words.indices.to_numpy(), self._ids(words.dictionary.to_pylist())
-        length = np.fromiter(map(len, distinct), np.int64, len(distinct)) // self.dtype.itemsize
-        begin, flat, counts = np.cumsum(length) - length, np.frombuffer(b"".join(distinct), self.dtype), length[own]
-        upto = np.cumsum(counts)
-        ids = flat[np.arange(upto[-1]) + np.repeat(begin[own] - (upto - counts), counts)]
+        length = np.fromiter(map(len, distinct), np.int32, len(distinct)) // self.dtype.itemsize
+        begin, flat, counts = np.cumsum(length, dtype=np.int32) - length, np.frombuffer(b"".join(distinct), self.dtype), length[own]
+        upto = np.cumsum(counts, dtype=np.int32)
+        at_ids = np.repeat(begin[own] - (upto - counts), counts)
+        at_ids += np.arange(len(at_ids), dtype=np.int32)
+        ids = flat.take(at_ids)
         # Each text began with a newline that is not its own: its place is the end id's of the text before.
         first = (upto - counts)[np.searchsorted(places, at[:-1])]
         ids = np.append(ids[1:], ids.dtype.type(end))

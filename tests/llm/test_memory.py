@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagewright.llm import lm, mixer
+from pagewright.llm import huffman, lm, mixer
 from pagewright.llm.common import batches_of
+from pagewright.llm.tokenize import Encoder, vocabulary_file
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -36,7 +37,7 @@ def test_packing_takes_little_more_than_a_chunk(monkeypatch):
 def test_serialised_texts_and_log_odds_take_little_more_than_their_bytes():
     raw = np.frombuffer(b"Some words,  and\tothers \n" * 100_000, np.uint8)
     most, (flat, n) = peak(lambda: mixer.serialised(raw, np.array([0, 7, len(raw)])))
-    assert n.tolist() == [1, 9, len(flat) - 10] and bytes(flat[:10]) == b"\nsome wo \n" and most < 10 * len(raw)
+    assert n.tolist() == [1, 9, len(flat) - 10] and bytes(flat[:10]) == b"\nsome wo \n" and most < 15 * len(raw)
     counts = np.arange(1 << 22, dtype=np.int32) % 5
     most, _ = peak(lambda: mixer.stretched(counts))
     assert most < counts.nbytes
@@ -49,3 +50,22 @@ def test_batches_of_a_size(spark):
     with batches_of(spark, 200_000):
         assert count() < 400
     assert count() == 4000 and spark.conf.get(KEY) == before
+
+
+def test_encoding_takes_little_more_than_its_batch():
+    encoder = Encoder(vocabulary_file())
+    texts = pa.array([f"Word{i % 977}, (and) other...\nwords: 'w{i % 89}'!!\n" * 400 + "end?!" for i in range(1600)])
+    encoder.encode_ended(texts.slice(0, 100), 2)
+    most, ids = peak(lambda: encoder.encode_ended(texts, 2))
+    assert most < 3 * texts.nbytes
+    some = [0, 7, 1599]
+    assert [ids[i].as_py() for i in some] == [np.array([*encoder.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, 2], encoder.dtype).tobytes() for i in some]
+
+
+def test_a_worker_lets_go_of_its_encoder():
+    text = vocabulary_file()
+    one = Encoder.of_worker(text)
+    assert Encoder.of_worker(text) is one
+    list(huffman._counted(iter([])))
+    assert Encoder.of_worker(text) is not one
+    Encoder.forget()
