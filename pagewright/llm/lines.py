@@ -8,7 +8,7 @@ their places are lines of one template, whatever their order and whatever else i
 
 A template keeps SIMILAR of its places fixed. Each line is also a template of its own. Templates that recur across documents are dropped from all of them.
 
-DataFrame expressions only. Documents are read three times and shuffled once, for the last step. Lines and templates are compared by 96 bits of hashes of their tokens.
+DataFrame expressions only. Documents are read twice and shuffled once, for the last step; their lines are parsed once. Lines and templates are compared by 96 bits of hashes of their tokens.
 """
 
 from __future__ import annotations
@@ -44,10 +44,8 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return lines.withColumn("leaf", _key(many, F.substring_index("plain", " ", LEADING))).withColumn("exact", _key(F.col("plain"), F.lit(1)))
 
 
-def _merged(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
-    """``(exact, template)`` of the lines of leaves with several lines, written."""
-    lines = _parsed(rows).select("leaf", "exact", "plain").join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("plain").alias("plain"))
-    kept = written(lines, "forked-lines")
+def _merged(kept: DataFrame, similar: float) -> DataFrame:
+    """``(exact, template)`` of the written ``kept(leaf, exact, plain)``, the distinct lines of leaves with several, which are deleted; written."""
     lines = kept.select("leaf", "exact", once(F.split("plain", " ")).alias("tokens"))
 
     # The leading tokens are those of all lines of a leaf: nothing to count there.
@@ -71,17 +69,22 @@ def _merged(rows: DataFrame, forked: DataFrame, similar: float) -> DataFrame:
     agreed = lines.join(winner, "leaf").where(same >= similar * F.size("tokens")).select("exact", _key("leaf", F.lit("agreed")).alias("template"))
 
     merged = written(agreed.union(forms.join(shared, "template").select("exact", "template")), "merged")
-    dropped(rows.sparkSession, kept, votes)
+    dropped(kept.sparkSession, kept, votes)
     return merged
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, documents: int = DOCUMENTS) -> DataFrame:
     """``(id, key, lines)``: which lines of each document are dropped, by the hash ``key`` of its text."""
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
-    table = written(_parsed(rows).select("id", "key", "line", "leaf", "exact"), "lines")
-    forked = table.groupBy("leaf").agg(F.min("exact.h").alias("a"), F.max("exact.h").alias("b")).where("a <> b").select("leaf")
+    parsed = written(_parsed(rows), "parsed-lines")
+    forked = parsed.groupBy("leaf").agg(F.min("exact.h").alias("a"), F.max("exact.h").alias("b")).where("a <> b").select("leaf")
     forked = small(written(forked, "forked"))
-    merged = _merged(rows, forked, similar)
+    kept = parsed.select("leaf", "exact", "plain").join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("plain").alias("plain"))
+    kept = written(kept, "forked-lines")
+    # From here on lines go by their hashes: the words of all but the kept ones are not needed again.
+    table = written(parsed.select("id", "key", "line", "exact"), "lines")
+    dropped(docs.sparkSession, parsed)
+    merged = _merged(kept, similar)
     merged = merged.groupBy("exact").agg(F.collect_set("template").alias("templates"))
     named = table.select("id", "key", "line", "exact").join(small(written(merged, "templates")), "exact", "left")
     named = named.select("id", "key", "line", F.explode(F.concat(F.array("exact"), F.coalesce("templates", F.array().cast("array<struct<h:bigint,g:int>>")))).alias("template"))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pagewright.llm import huffman, lm, mixer
+from pagewright.llm import huffman, lines, lm, mixer
 from pagewright.llm.common import batches_of
 from pagewright.llm.tokenize import Encoder, vocabulary_file
 
@@ -69,3 +69,11 @@ def test_a_worker_lets_go_of_its_encoder():
     list(huffman._counted(iter([])))
     assert Encoder.of_worker(text) is not one
     Encoder.forget()
+
+
+def test_lines_are_parsed_once(spark, monkeypatch):
+    calls, parsed = [], lines._parsed
+    monkeypatch.setattr(lines, "_parsed", lambda rows: calls.append(1) or parsed(rows))
+    docs = spark.createDataFrame([(1, "user 17 came from here\nkept one"), (2, "user 18 came from here\nkept two")], "doc_id long, text string")
+    assert sorted(r["text"] for r in lines.deduplicated(docs).collect()) == ["kept one", "kept two"]
+    assert len(calls) == 1
