@@ -19,11 +19,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import mixer
-from .common import batches_of, dropped, once, written
+from .common import batches_of, dropped, written
 
-CHUNK_BYTES, SCORE_BYTES = 16 << 20, 1 << 20
+CHUNK_BYTES, SCORE_BYTES = 16 << 20, 1 << 19
 #: Bytes of texts that become words at once, and of a batch that a task gets: what a task holds besides its chunk.
 SERIAL_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
 #: Text of a counting task: at least, and at most where there are over COUNT_TASKS.
@@ -46,17 +47,18 @@ def _pieces(flat: np.ndarray) -> pa.DictionaryArray:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """Chunks of documents: their texts as :func:`mixer.serialised` gives them, their distinct tokens with training counts, and the counts of training bytes."""
+    """Chunks of documents: their texts as :func:`mixer.serialised` gives them, their distinct tokens with training counts, and how often a training byte comes after a pair of kinds (:func:`mixer.after_pairs`, those that occur)."""
     schema = pa.schema(
         [
             ("chunk", pa.int64()), ("ids", pa.list_(pa.string())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("flat", pa.binary()),
-            ("vocabulary", pa.binary()), ("train", pa.list_(pa.int32())), ("bytes", pa.list_(pa.int64())),
+            ("vocabulary", pa.binary()), ("train", pa.list_(pa.int32())), ("after", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
         ]
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids, held, lengths, flats, size = [], [], [], [], 0
+        after = np.zeros(mixer.PAIRS * 256, np.int32)
 
         def made() -> pa.RecordBatch:
             flat, n = np.concatenate(flats), np.concatenate(lengths)
@@ -65,11 +67,14 @@ def _packed(rows: DataFrame) -> DataFrame:
             tokens = _pieces(flat)
             ends = np.flatnonzero((flat == 32) | (flat == mixer.END))
             train = np.bincount(tokens.indices.to_numpy()[own[ends]], minlength=len(tokens.dictionary))
-            words = b"\n".join(x[:-1] for x in tokens.dictionary.to_pylist())
+            # Each token has its blank or newline as the last byte, and no other.
+            words = tokens.dictionary.buffers()[2][: pc.sum(pc.binary_length(tokens.dictionary)).as_py() - 1].to_pybytes().replace(b" ", b"\n")
+            some = np.flatnonzero(after)
             row = {
                 "chunk": (part << 32) + number, "ids": ids, "held": held, "lengths": n.astype(np.int32), "flat": flat.tobytes(), "vocabulary": words,
-                "train": train.astype(np.int32), "bytes": sum(np.bincount(flat[k : k + SERIAL_BYTES][own[k : k + SERIAL_BYTES]], minlength=256) for k in range(0, len(flat), SERIAL_BYTES)),
+                "train": train.astype(np.int32), "after": some.astype(np.int32), "times": after[some],
             }
+            after[:] = 0
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
@@ -82,25 +87,28 @@ def _packed(rows: DataFrame) -> DataFrame:
                 flat, n = mixer.serialised(raw, np.cumsum(own))
                 flats.append(flat)
                 lengths.append(n)
+                learns = ~batch.column(1).slice(int(at[0]), len(at)).to_numpy(zero_copy_only=False).astype(bool)
+                np.add.at(after, mixer.after_pairs(flat, n)[np.repeat(learns, n)], np.int32(1))
                 ids += batch.column(0).slice(int(at[0]), len(at)).to_pylist()
                 held += batch.column(1).slice(int(at[0]), len(at)).to_pylist()
                 size += len(flat)
                 if size >= CHUNK_BYTES:
                     yield made()
+                    pa.default_memory_pool().release_unused()
                     number += 1
                     ids, held, lengths, flats, size = [], [], [], [], 0
         if ids:
             yield made()
 
-    return rows.mapInArrow(pack, "chunk long, ids array<string>, held array<boolean>, lengths array<int>, flat binary, vocabulary binary, train array<int>, bytes array<bigint>")
+    return rows.mapInArrow(pack, "chunk long, ids array<string>, held array<boolean>, lengths array<int>, flat binary, vocabulary binary, train array<int>, after array<int>, times array<int>")
 
 
 def _tables(chunks: DataFrame, code: mixer.Code, slots: int, tasks: int) -> DataFrame:
     """``(order, block, part, n)``: the tables of each counting task, in blocks; the last order is the histogram of inputs, the one after it that of matches."""
-    counts = code.counts
+    shared = chunks.sparkSession.sparkContext.broadcast(code)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, part = mixer.Learner(mixer.Code(counts), slots), TaskContext.get().partitionId()
+        learner, part = mixer.Learner(shared.value, slots), TaskContext.get().partitionId()
         for batch in batches:
             for lengths, held, flat in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 n = np.asarray(lengths.values)
@@ -138,12 +146,20 @@ def _summed(last: bool, slots: int):
 def fitted(chunks: DataFrame) -> mixer.Model:
     """The model of the training documents of the written ``chunks``."""
     spark = chunks.sparkSession
-    rows = chunks.select(F.posexplode("bytes").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(256, np.int64)
-    for r in rows:
-        counts[r["byte"]] = r["n"]
+    after = chunks.select(F.inline(F.arrays_zip("after", "times"))).groupBy("after").agg(F.sum("times").alias("n"))
+    after = written(after, "bytes-after")
+    # Both have bounded sizes: a row for each pair of kinds, and one for each byte of each code.
+    totals = np.zeros(mixer.PAIRS, np.int64)
+    for r in after.groupBy(F.shiftright("after", 8).alias("pair")).agg(F.sum("n").alias("n")).collect():
+        totals[r["pair"]] = r["n"]
+    rows = mixer.coded_pairs(totals)
+    counts = np.zeros((rows.max() + 1, 256), np.int64)
+    row = F.get(F.lit(rows.tolist()), F.shiftright("after", 8))
+    for r in after.groupBy(row.alias("row"), (F.col("after") % 256).alias("byte")).agg(F.sum("n").alias("n")).collect():
+        counts[r["row"], r["byte"]] = r["n"]
+    dropped(spark, after)
     total = int(counts.sum())
-    code, slots = mixer.Code(counts), mixer.slot_bits(total)
+    code, slots = mixer.Code(counts, rows), mixer.slot_bits(total)
     tasks = max(1, -(-total // MOST_TASK_BYTES), min(-(-total // TASK_BYTES), COUNT_TASKS))
     schema = "order int, block int, part int, n binary"
     with batches_of(spark, BATCH_BYTES):
@@ -190,28 +206,31 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
     rows = docs.select(F.col(id).cast("string").alias("id"), held_out(F.col(id)).alias("held"), F.col(text).cast("string").cast("binary").alias("text"))
     with batches_of(spark, BATCH_BYTES):
         chunks = written(_packed(rows), "chunks")
-    listed = F.split(F.col("vocabulary").cast("string"), "\n", -1)
-    all_words = chunks.select(F.inline_outer(F.arrays_zip(listed.alias("word"), F.col("train").alias("c")))).toDF("word", "c")
-    words = written(all_words.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total, known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    entry = F.arrays_zip(F.split(F.col("vocabulary").cast("string"), "\n", -1).alias("word"), F.col("train").alias("c"))
+    asked = chunks.select("chunk", F.posexplode(entry).alias("place", "entry")).select("chunk", "place", "entry.word", "entry.c")
+    # A word has as many rows as chunks hold it; its first chunk counts it among the distinct ones.
+    own = Window.partitionBy("word")
+    answered = asked.select("chunk", "place", F.sum("c").over(own).alias("c"), (F.min("chunk").over(own) == F.col("chunk")).alias("first"))
+    answered = written(answered, "answers")
+    total, known = answered.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     model = fitted(chunks)
     shared = spark.sparkContext.broadcast(model)
-    asked = chunks.select("chunk", F.posexplode_outer(once(listed)).alias("place", "word"))
-    answered = asked.join(words, "word").select("chunk", "place", F.col("c").cast("long").alias("c"))
     base = math.log10(total + known + 1)
     out = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
 
     def scored(key: tuple, answers: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         r, mine = chunk.iloc[0], shared.value
         n, flat = np.asarray(r["lengths"], np.int64), np.frombuffer(r["flat"], np.uint8)
+        # The arrays of the bits are gone before those of the tokens are made.
+        upto = np.cumsum(n)
+        bits = np.concatenate([mine.bits(flat[upto[at[0]] - n[at[0]] : upto[at[-1]]], n[at]) for at in mixer.pieces(n, SCORE_BYTES)])
+        pa.default_memory_pool().release_unused()
         c = np.zeros(len(answers), np.int64)
         c[answers["place"].to_numpy()] = answers["c"].to_numpy()
         own = c[_pieces(flat).indices.to_numpy()]
         ends = np.flatnonzero((flat == 32) | (flat == mixer.END))
         last = np.flatnonzero(flat[ends] == mixer.END)
         first = np.append(0, last[:-1] + 1)
-        upto = np.cumsum(n)
-        bits = np.concatenate([mine.bits(flat[upto[at[0]] - n[at[0]] : upto[at[-1]]], n[at]) for at in mixer.pieces(n, SCORE_BYTES)])
         tokens = np.diff(np.append(first, len(own)))
         return pd.DataFrame(
             {
@@ -221,5 +240,5 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
         )
 
     texts = chunks.select(F.col("chunk").alias("of"), "ids", "held", "lengths", "flat")
-    found = answered.groupBy("chunk").cogroup(texts.groupBy("of")).applyInPandas(scored, out)
+    found = answered.select("chunk", "place", "c").groupBy("chunk").cogroup(texts.groupBy("of")).applyInPandas(scored, out)
     return found.select(F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
