@@ -73,13 +73,22 @@ def _merged(kept: DataFrame, similar: float) -> DataFrame:
     return merged
 
 
+def _recurring(named: DataFrame, documents: int) -> DataFrame:
+    """``(template)``: those of ``named(template, id, key)`` that ``documents`` documents or more have."""
+    if documents == 2:  # two documents or more have different least and greatest hashes: no row for each document is shuffled
+        own = named.select("template", F.xxhash64("id", "key").alias("d")).groupBy("template").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+        return own.where("a <> b").select("template")
+    own = named.select("template", "id", "key").distinct().groupBy("template").agg(F.count("*").alias("n"))
+    return own.where(F.col("n") >= documents).select("template")
+
+
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similar: float = SIMILAR, documents: int = DOCUMENTS) -> DataFrame:
     """``(id, key, lines)``: which lines of each document are dropped, by the hash ``key`` of its text."""
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     parsed = written(_parsed(rows), "parsed-lines")
     forked = parsed.groupBy("leaf").agg(F.min("exact.h").alias("a"), F.max("exact.h").alias("b")).where("a <> b").select("leaf")
     forked = small(written(forked, "forked"))
-    kept = parsed.select("leaf", "exact", "plain").join(forked, "leaf").groupBy("leaf", "exact").agg(F.first("plain").alias("plain"))
+    kept = parsed.select("leaf", "exact", "plain").join(forked, "leaf").distinct()
     kept = written(kept, "forked-lines")
     # From here on lines go by their hashes: the words of all but the kept ones are not needed again.
     table = written(parsed.select("id", "key", "line", "exact"), "lines")
@@ -88,8 +97,7 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simil
     merged = merged.groupBy("exact").agg(F.collect_set("template").alias("templates"))
     named = table.select("id", "key", "line", "exact").join(small(written(merged, "templates")), "exact", "left")
     named = named.select("id", "key", "line", F.explode(F.concat(F.array("exact"), F.coalesce("templates", F.array().cast("array<struct<h:bigint,g:int>>")))).alias("template"))
-    often = named.select("template", "id", "key").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= documents)
-    often = small(written(often.select("template"), "recurring"))
+    often = small(written(_recurring(named, documents), "recurring"))
     return named.join(often, "template").groupBy("id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
