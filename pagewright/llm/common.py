@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,14 @@ def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+def released() -> None:
+    """Gives the system what this process has freed: a worker that waits for its next task keeps it otherwise, beside what the executor holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def deleted(spark: SparkSession, *paths: str) -> None:
     """Deletes folders that nothing reads any more."""
     for name in paths:

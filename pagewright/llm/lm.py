@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import mixer
-from .common import batches_of, dropped, written
+from .common import batches_of, dropped, released, written
 
-CHUNK_BYTES, SCORE_BYTES = 16 << 20, 1 << 19
+CHUNK_BYTES, SCORE_BYTES = 4 << 20, 1 << 19
 #: Bytes of texts that become words at once, and of a batch that a task gets: what a task holds besides its chunk.
-SERIAL_BYTES, BATCH_BYTES = 1 << 20, 8 << 20
+SERIAL_BYTES, BATCH_BYTES = 1 << 19, 4 << 20
 #: Text of a counting task: at least, and at most where there are over COUNT_TASKS.
 TASK_BYTES, MOST_TASK_BYTES, COUNT_TASKS = 48 << 20, 1 << 30, 64
 #: Blocks of a table, and tables that are added up in one group.
@@ -56,6 +56,10 @@ def _packed(rows: DataFrame) -> DataFrame:
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(batches)
+        released()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         ids, held, lengths, flats, size = [], [], [], [], 0
         after = np.zeros(mixer.PAIRS * 256, np.int32)
@@ -94,7 +98,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                 size += len(flat)
                 if size >= CHUNK_BYTES:
                     yield made()
-                    pa.default_memory_pool().release_unused()
+                    released()
                     number += 1
                     ids, held, lengths, flats, size = [], [], [], [], 0
         if ids:
@@ -108,6 +112,10 @@ def _tables(chunks: DataFrame, code: mixer.Code, slots: int, tasks: int) -> Data
     shared = chunks.sparkSession.sparkContext.broadcast(code)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from counted(batches)
+        released()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, part = mixer.Learner(shared.value, slots), TaskContext.get().partitionId()
         for batch in batches:
             for lengths, held, flat in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -138,6 +146,8 @@ def _summed(last: bool, slots: int):
             halves = np.maximum(total.reshape(-1, 2).max(1) >> 30, 0)
             total = (total.reshape(-1, 2) >> np.ceil(np.log2(halves + 1)).astype(np.int64)[:, None]).ravel()
             raw = mixer.stretched(total).tobytes() if last else total.astype("<i4").tobytes()
+        del total
+        released()
         return pd.DataFrame({"order": [order], "block": [key[1]], "part": [key[2]], "n": [raw]})
 
     return add
@@ -224,7 +234,7 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
         # The arrays of the bits are gone before those of the tokens are made.
         upto = np.cumsum(n)
         bits = np.concatenate([mine.bits(flat[upto[at[0]] - n[at[0]] : upto[at[-1]]], n[at]) for at in mixer.pieces(n, SCORE_BYTES)])
-        pa.default_memory_pool().release_unused()
+        released()
         c = np.zeros(len(answers), np.int64)
         c[answers["place"].to_numpy()] = answers["c"].to_numpy()
         own = c[_pieces(flat).indices.to_numpy()]

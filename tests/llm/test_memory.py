@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewright.llm import huffman, lines, lm, mixer
-from pagewright.llm.common import batches_of
+from pagewright.llm.common import batches_of, released
 from pagewright.llm.tokenize import Encoder, vocabulary_file
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -77,3 +77,18 @@ def test_lines_are_parsed_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "user 17 came from here\nkept one"), (2, "user 18 came from here\nkept two")], "doc_id long, text string")
     assert sorted(r["text"] for r in lines.deduplicated(docs).collect()) == ["kept one", "kept two"]
     assert len(calls) == 1
+
+
+def test_workers_give_back_what_a_task_has_freed():
+    """Memory of arrays of 100 kB each, with one that stays behind them, is held by the process until it is released."""
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    arrays = [np.ones(100_000, np.uint8) for _ in range(1500)]
+    last, full = np.ones(1000, np.uint8), held()
+    del arrays
+    released()
+    assert held() < full - 100_000_000 and last.all()
+
+
+def test_chunks_are_small_beside_an_executor():
+    """Two tasks hold a chunk each, several times over, in Python, in the JVM and between them."""
+    assert lm.CHUNK_BYTES + 2 * lm.SERIAL_BYTES <= 8 << 20 and lm.BATCH_BYTES <= 4 << 20
