@@ -1,7 +1,7 @@
 """Network events to resources on a stream, in whatever order the events arrive.
 
 What the watermark has passed is settled into one small state for each request. Events that it hasn't passed wait in a list and are folded onto that state at each
-trigger, so an event that comes late moves what follows it. A timer drops a request's state once it has been quiet.
+trigger with events of the request, so an event that comes late moves what follows it. A timer drops a request's state once it has been quiet.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.capture import DEFAULT_TYPE, EVIDENCE
 
+#: Buckets of requests: some milliseconds of a trigger each, whatever they hold.
+BUCKETS = 2048
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FLAGS = ", ".join(f"{c} boolean" for c in EVIDENCE)
 OUTPUT = f"session string, request_id string, hop long, version long, present boolean, url string, state string, status long, mime_type string, request_extra boolean, response_extra boolean, {FLAGS}, extra_status long, ambiguous boolean"
-NEW = {"n": 0, "hop": 0, "row": None, "parked": [], "shown": [], "version": 0}
+NEW = {"hop": 0, "row": None, "parked": [], "shown": [], "version": 0}
 
 
 def _told(row: dict, e: dict) -> None:
@@ -66,53 +68,69 @@ def stepped(state: dict, e: dict) -> dict[int, dict]:
     return changed
 
 
+def moved(entry: dict, events: list[dict], watermark: int, idle_ms: int) -> tuple[dict[int, dict], list[int]]:
+    """Takes the new events of a request into its entry (state, waiting, due); the rows of the hops that they change, and the hops that are gone."""
+    state, parsed = entry["state"], sorted(entry["waiting"] + events, key=lambda e: e["seq"])
+    n = next((i for i, e in enumerate(parsed) if e["at"] > watermark * 1000), len(parsed))
+    changed: dict[int, dict] = {}
+    for e in parsed[:n]:
+        changed |= stepped(state, e)
+    changed = {h: dict(row) for h, row in changed.items()}
+    ahead = state | {"row": state["row"] and dict(state["row"]), "parked": list(state["parked"])}
+    for e in parsed[n:]:
+        changed |= stepped(ahead, e)
+    settled = state["row"] is not None
+    gone = [h for h in state["shown"] if (h > state["hop"] or not settled) and h not in changed]  # a hop that waited and has moved on
+    state["version"] += 1
+    state["shown"] = sorted(h for h in changed if h > state["hop"] or not settled)
+    entry.update(waiting=parsed[n:], due=max(max(e["at"] for e in parsed) // 1000 + idle_ms, watermark + 1))
+    return changed, gone
+
+
 class ResourceFold(StatefulProcessor):
-    """State of a request: what is settled (a value), what waits for the watermark (a list), and a timer."""
+    """Requests are kept by bucket, a value and a timer each: a request takes no round trip to the state store and no data frame of its own. A value is
+    what is settled of each of its requests and what waits for the watermark, and is written whole where one of them moves."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "state string")
-        self.waiting = handle.getListState("waiting", "event string")
+        self.held = handle.getValueState("held", "requests string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.settled.get()[0]) if self.settled.exists() else dict(NEW)
-        events = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
-        for batch in rows:
-            events += batch["event"].tolist()
-        events.sort(key=lambda text: json.loads(text)["seq"])
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        parsed = [json.loads(text) for text in events]
-        n = next((i for i, e in enumerate(parsed) if e["at"] > upto), len(parsed))
-        changed: dict[int, dict] = {}
-        for e in parsed[:n]:
-            changed |= stepped(state, e)
-        changed = json.loads(json.dumps(changed))
-        ahead = json.loads(json.dumps(state))
-        for e in parsed[n:]:
-            changed |= {str(k): dict(v) for k, v in stepped(ahead, e).items()}
-        gone = [h for h in state["shown"] if h > state["hop"] and str(h) not in changed]  # a hop that waited and has moved on
-        if state["row"] is None:
-            gone = [h for h in state["shown"] if str(h) not in changed]
-        state["version"] += 1
-        state["shown"] = sorted({*map(int, changed)} - {h for h in map(int, changed) if h <= state["hop"] and state["row"] is not None})
-        self.settled.update((json.dumps(state),))
-        self.waiting.clear()
-        if parsed[n:]:
-            self.waiting.put([(text,) for text in events[n:]])
+    def _entries(self) -> dict[tuple, dict]:
+        return {(e["session"], e["request_id"]): e for e in json.loads(self.held.get()[0])} if self.held.exists() else {}
+
+    def _keep(self, entries: dict[tuple, dict]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(max(e["at"] for e in parsed) // 1000 + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        out = [(*key, int(h), state["version"], True, *[row[c] for c in COLUMNS]) for h, row in changed.items()]
-        out += [(*key, h, state["version"], False, *[None] * len(COLUMNS)) for h in gone]
-        yield pd.DataFrame(out, columns=["session", "request_id", "hop", "version", "present", *COLUMNS])
+        if not entries:
+            self.held.clear()
+            return
+        self.held.update((json.dumps(list(entries.values()), separators=(",", ":")),))
+        self.handle.registerTimer(min(e["due"] for e in entries.values()))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark, entries = timerValues.getCurrentWatermarkInMs(), self._entries()
+        fresh: dict[tuple, list[dict]] = {}
+        for batch in rows:
+            events = json.loads(f"[{','.join(batch['event'])}]")
+            for session, request, e in zip(batch["session"].tolist(), batch["request_id"].tolist(), events, strict=True):
+                fresh.setdefault((session, request), []).append(e)
+        out = []
+        for own, events in fresh.items():
+            entry = entries.setdefault(own, {"session": own[0], "request_id": own[1], "state": NEW | {"parked": [], "shown": []}, "waiting": []})
+            changed, gone = moved(entry, events, watermark, self.idle_ms)
+            version = entry["state"]["version"]
+            out += [(*own, h, version, True, *[row[c] for c in COLUMNS]) for h, row in changed.items()]
+            out += [(*own, h, version, False, *[None] * len(COLUMNS)) for h in gone]
+        self._keep({own: e for own, e in entries.items() if own in fresh or e["due"] > watermark})
+        yield _frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.settled.clear()
-        self.waiting.clear()
-        yield pd.DataFrame(columns=["session", "request_id", "hop", "version", "present", *COLUMNS])
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self._keep({own: e for own, e in self._entries().items() if e["due"] > watermark})
+        yield _frame([])
 
     def close(self) -> None:
         pass
@@ -121,19 +139,28 @@ class ResourceFold(StatefulProcessor):
 COLUMNS = ["url", "state", "status", "mime_type", "request_extra", "response_extra", *EVIDENCE, "extra_status", "ambiguous"]
 
 
-def folded(events: DataFrame, late: str, idle: str = "1 hour") -> DataFrame:
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Objects, so that whole numbers stay whole beside nulls."""
+    return pd.DataFrame(rows, columns=["session", "request_id", "hop", "version", "present", *COLUMNS], dtype=object)
+
+
+def folded(events: DataFrame, late: str, idle: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """The streaming form of :func:`capture.resources`: rows of changed hops, of which the one of the highest version holds; ``present`` is false for a hop that an earlier event has moved away.
 
     ``events`` as there, with a time ``ts`` that rises with ``seq``. Events may come in any order that ``late`` allows; later ones are dropped. The state of a request goes once the watermark is ``idle`` past its last event. A null session
-    is root. The stream needs the state store that keeps lists and timers (ROCKSDB).
+    is root. Requests are kept in ``buckets`` by a hash, of which a trigger writes those that it has events for; streams of many millions of live requests ask for more. The stream needs the state store that keeps timers (ROCKSDB).
     """
-    micros = F.unix_micros("ts").alias("at")
-    fields = ["kind", "seq", "url", "status", "mime_type", "redirect_status", *EVIDENCE, "extra_status"]
+    micros, kind = F.unix_micros("ts").alias("at"), F.col("kind")
+    # What no step looks at for such an event, and flags that are not set, need not be kept.
+    asked = {"request": ["url", "redirect_status"], "response": ["status", "mime_type"], "response_extra": ["extra_status"]}
+    fields = [F.when(kind == k, F.col(c)).alias(c) for k, names in asked.items() for c in names]
+    flags = [F.when(F.col(c) & (F.endswith(kind, F.lit("_extra")) | (kind == "response")), True).alias(c) for c in EVIDENCE]
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    keyed = timed.select(F.coalesce("session_id", F.lit("root")).alias("session"), "request_id", "ts", F.to_json(F.struct(*fields, micros)).alias("event"))
+    keyed = timed.select(F.coalesce("session_id", F.lit("root")).alias("session"), "request_id", "ts", F.to_json(F.struct("kind", "seq", *fields, *flags, micros)).alias("event"))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("session", "request_id"), F.lit(buckets)))
     millis = F.expr(f"interval '{idle}'")
     idle_ms = events.sparkSession.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + millis)).first()[0]
-    return keyed.groupBy("session", "request_id").transformWithStateInPandas(ResourceFold(idle_ms), OUTPUT, "Update", "EventTime")
+    return keyed.groupBy("bucket").transformWithStateInPandas(ResourceFold(idle_ms), OUTPUT, "Update", "EventTime")
 
 
 def latest(changes: DataFrame) -> DataFrame:

@@ -101,3 +101,12 @@ def test_waits(spark):
     table = spark.createDataFrame([(j, k, t, s) for k, (j, t, s) in enumerate(rows)], "job string, seq long, t long, state string").withColumn("ts", F.timestamp_seconds("t"))
     found = {r["job"]: tuple(r)[1:] for r in validate.waits(table, ("end",), ("closing",), "100 seconds", "50 seconds").collect()}
     assert found == {"done": ("done", "end", 50_000), "late": ("late", "end", 130_000), "over": ("timeout", "closing", 150_000), "open": ("timeout", "x", 100_000), "edge": ("done", "end", 100_000)}
+
+
+def test_many_requests_share_a_bucket(spark, tmp_path):
+    """State is a row for each bucket, whatever the number of requests; null ids are a request, and a late event moves only its own."""
+    events = network(spark, 1200, 300, 5).withColumn("request_id", F.when(F.col("request_id") != "7", F.col("request_id")))
+    made = resources.folded(stream(spark, [events.where(f"seq % 3 = {k}") for k in (1, 0, 2)], tmp_path), late="30 days", idle="1 day", buckets=4)
+    rows, held = rows_of(spark, made, tmp_path, "buckets")
+    shown = lambda df: sorted(map(str, df.select("session", "request_id", "hop", *resources.COLUMNS).collect()))
+    assert shown(resources.latest(rows)) == shown(capture.resources(events)) and held <= 8
